@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilframe.llm import quality_rules, simhash
+from veilframe.llm import quality_rules, simhash, substring_dedup
 
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
     return {
+        "op5_substring_dedup": substring_dedup.op5,
         "op8_simhash": simhash.op8,
         "op10_quality_rules": quality_rules.op10,
     }
@@ -15,4 +16,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op10_quality_rules": quality_rules.OP10_SQL}
+    return {
+        "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op10_quality_rules": quality_rules.OP10_SQL,
+    }
