@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veilframe.llm import quality_rules, simhash, substring_dedup
+from veilframe.llm import quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
     return {
         "op5_substring_dedup": substring_dedup.op5,
+        "op7_suffix_dedup": suffix_dedup.op7,
         "op8_simhash": simhash.op8,
         "op10_quality_rules": quality_rules.op10,
     }
