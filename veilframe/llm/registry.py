@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from veilframe.llm import quality_rules, simhash, substring_dedup, suffix_dedup
+from veilframe.llm import byte_bpe, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
     return {
+        "op2_byte_bpe": byte_bpe.op2,
         "op5_substring_dedup": substring_dedup.op5,
         "op7_suffix_dedup": suffix_dedup.op7,
         "op8_simhash": simhash.op8,
@@ -18,6 +19,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
     return {
+        "op2_byte_bpe": byte_bpe.op2,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
