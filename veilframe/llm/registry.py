@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veilframe.llm import byte_bpe, quality_rules, simhash, substring_dedup, suffix_dedup
+from veilframe.llm import byte_bpe, plane_files, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
     return {
         "op2_byte_bpe": byte_bpe.op2,
+        "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.op5,
         "op7_suffix_dedup": suffix_dedup.op7,
         "op8_simhash": simhash.op8,
@@ -20,6 +21,7 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
     return {
         "op2_byte_bpe": byte_bpe.op2,
+        "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
