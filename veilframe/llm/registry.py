@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm import byte_bpe, plane_files, quality_rules, simhash, substring_dedup, suffix_dedup
+from veilframe.llm import byte_bpe, decontamination, plane_files, quality_rules, simhash, substring_dedup, suffix_dedup
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op5_substring_dedup": substring_dedup.op5,
         "op7_suffix_dedup": suffix_dedup.op7,
         "op8_simhash": simhash.op8,
+        "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
     }
 
@@ -23,5 +24,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_byte_bpe": byte_bpe.op2,
         "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
+        "op9_decontamination": decontamination.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
     }
