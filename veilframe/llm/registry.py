@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from veilframe.llm import byte_bpe, decontamination, plane_files, quality_rules, simhash, substring_dedup, suffix_dedup
+from veilframe.llm import byte_bpe, decontamination, language_id, plane_files, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
 
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
     return {
+        "op1_quality_model": quality_model.op1,
         "op2_byte_bpe": byte_bpe.op2,
+        "op3_toxicity": toxicity.op3,
         "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.op5,
+        "op6_language_id": language_id.op6,
         "op7_suffix_dedup": suffix_dedup.op7,
         "op8_simhash": simhash.op8,
         "op9_decontamination": decontamination.op9,
@@ -21,7 +24,9 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
     return {
+        "op1_quality_model": quality_model.op1,
         "op2_byte_bpe": byte_bpe.op2,
+        "op3_toxicity": toxicity.op3,
         "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
