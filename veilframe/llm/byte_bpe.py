@@ -169,12 +169,17 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return _joined(ids, [p.hex() for p in _by_id(path or public_tokenizers.path(RANKS))])
 
 
-def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's number of ids, and the digests of its ids and of what they decode to."""
+def digests(coded: DataFrame, path: str | None = None) -> DataFrame:
+    """For rows (doc_id, ids): n_tokens and the digests of the ids and of the bytes they decode to."""
     ids = F.col("ids")
-    return encode(documents(spark, sf_dir)).select(
+    return coded.select(
         "doc_id",
         F.size(ids).cast("long").alias("n_tokens"),
         F.sha2(id_bytes(ids), 256).alias("ids_sha256"),
-        F.sha2(decode(ids), 256).alias("decoded_sha256"),
+        F.sha2(decode(ids, path), 256).alias("decoded_sha256"),
     )
+
+
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids, and the digests of its ids and of what they decode to."""
+    return digests(encode(documents(spark, sf_dir)))

@@ -157,17 +157,21 @@ def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshol
 def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """The rows that no item contaminates, with all their columns."""
     flagged = docs
-    for block in _blocks(benchmark):
+
+    def judge(block: list[tuple[int, str | None]]):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(texts: Iterator[pd.Series], sent=sent) -> Iterator[pd.Series]:
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             sketches = Sketches(sent.value, shingle, threshold)
             for batch in texts:
                 ok = np.ones(len(batch), dtype=bool)
                 ok[[f[0] for f in sketches.matches(batch.tolist())]] = False
                 yield pd.Series(ok)
 
-        flagged = flagged.where(F.pandas_udf(run, T.BooleanType(), F.PandasUDFType.SCALAR_ITER)("text"))
+        return F.pandas_udf(run, T.BooleanType())
+
+    for block in _blocks(benchmark):
+        flagged = flagged.where(judge(block)("text"))
     return flagged
 
 

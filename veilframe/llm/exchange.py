@@ -10,31 +10,32 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import bucket_count, id_and_text
+from veilframe.llm.common import bucket_count
 
 #: Stands for a null id: larger than any other, so a document without an id is never the first to hold a passage.
 NO_ID = (1 << 63) - 1
-DOCS_SCHEMA = "doc_id long, text string, pid int"
 
 
-def grouped_documents(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """(doc_id, text, pid) of every row, and the numbers of groups and of buckets."""
+def grouped_documents(docs: DataFrame, carry: list[tuple[str, Column]] | None = None) -> tuple[DataFrame, int, int]:
+    """(doc_id, text, pid) of every row with the named expressions to carry along, and the numbers of groups and of buckets."""
     spark = docs.sparkSession
-    groups, buckets = bucket_count(spark), bucket_count(spark, times=1)
-    return id_and_text(docs).withColumn("pid", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups)).cast("int")), groups, buckets
+    groups, buckets = bucket_count(spark, least=128, times=2), bucket_count(spark, least=96, times=1)
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    pid = F.pmod(F.xxhash64(doc_id, F.lit("group")), F.lit(groups)).cast("int")
+    return docs.select(doc_id.alias("doc_id"), text.alias("text"), pid.alias("pid"), *(value.alias(name) for name, value in carry or [])), groups, buckets
 
 
-def ordered(group: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Ids (null: NO_ID), texts as bytes and which ids were null, in an order that does not depend on how rows arrived."""
+def ordered(group: pd.DataFrame) -> tuple[np.ndarray, list[bytes], np.ndarray, list[int]]:
+    """Ids (null: NO_ID), texts as bytes and which ids were null, in an order that does not depend on how rows arrived; that order."""
     raw = [t.encode("utf-8", "surrogatepass") for t in group["text"]]
     null = group["doc_id"].isna().to_numpy()
     ids = group["doc_id"].fillna(NO_ID).astype("int64").to_numpy() if null.any() else group["doc_id"].to_numpy(dtype="int64")
     ids = np.where(null, NO_ID, ids)
     order = sorted(range(len(raw)), key=lambda i: (ids[i], raw[i]))
-    return ids[order], [raw[i] for i in order], null[order]
+    return ids[order], [raw[i] for i in order], null[order], order
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

@@ -2,25 +2,28 @@
 
 Uses DataFrame functions alone. A null text counts as empty: no words, every measure 0, and it fails
 ``few_words``. Repeated rows are judged one by one; an empty table gives an empty ledger; further columns of
-the input are ignored by :func:`ledger` and kept by :func:`apply_policy` callers who join on their own key.
+the input are ignored by :func:`ledger` and kept by :func:`rejects_go`.
 A word has at most the text's length, so measures fit in a long; texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import documents, words_of
 
-#: Name and failing condition of each rule, in bit order. New rules go to the end, so that old ledgers stay readable.
-RULES: tuple[tuple[str, str], ...] = (
-    ("few_words", "n_words < 50"),
-    ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
-    ("symbols", "20 * n_symbols > n_words"),
-    ("shouting", "5 * n_shouts > n_words"),
-    ("repeated_lines", "2 * n_dup_lines > n_lines"),
-    ("word_length", "word_chars < 2 * n_words OR word_chars > 12 * n_words"),
+#: Name and failing condition of each rule over the measures, in bit order. New rules go to the end, so that old ledgers stay readable.
+RULES: tuple[tuple[str, Callable[[Column], Column]], ...] = (
+    ("few_words", lambda m: m["n_words"] < 50),
+    ("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
+    ("symbols", lambda m: 20 * m["n_symbols"] > m["n_words"]),
+    ("shouting", lambda m: 5 * m["n_shouts"] > m["n_words"]),
+    ("repeated_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    ("word_length", lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 12 * m["n_words"])),
 )
 BASE = ("few_words", "repeated_words")
 #: The rules that each policy version enforces.
@@ -38,6 +41,11 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << order.index(name) for name in rules)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside three-word windows that occur at least twice in one text."""
     windows = F.when(
@@ -52,50 +60,55 @@ def _repeat_words(words: Column) -> Column:
             same = lambda x, k: F.coalesce(F.get(rows, k)["h"] == x["h"], F.lit(False))
             return F.sort_array(F.array_compact(F.transform(rows, lambda x, k: F.when((k > 0) & same(x, F.greatest(k - 1, F.lit(0))) | same(x, k + 1), x["at"]))))
 
-        found = F.get(F.transform(F.array(ordered), starts), 0)
+        found = _let(ordered, starts)
         begun = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-3).alias("last"))
         step = lambda acc, at: F.struct((acc["n"] + F.least(F.lit(3), at - acc["last"])).alias("n"), at.alias("last"))
         return F.aggregate(found, begun, step, lambda acc: acc["n"])
 
     # Most texts repeat no window; only the others are sorted.
     one = lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("bigint")).otherwise(repeated(hashes))
-    return F.get(F.transform(F.array(windows), one), 0)
-
-
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id and the measures of each whole text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words, lines = F.col("__words"), F.col("__lines")
-    split = docs.select(
-        F.col("doc_id"),
-        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(text, F.lit(r"!!+")).cast("long").alias("n_shouts"),
-        words_of(F.col("text")).alias("__words"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-    )
-    return split.select(
-        "doc_id",
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
-        "n_symbols",
-        "n_shouts",
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        _repeat_words(words).alias("n_repeat_words"),
-    )
+    return _let(windows, one)
+
+
+def judged(text: Column) -> Column:
+    """The measures of one text and ``fail_bits``, bit i set where rule i fails, as one struct.
+
+    Each part is bound to a lambda's variable, so however the optimizer moves the expression no part runs twice.
+    """
+    text = F.coalesce(text, F.lit(""))
+
+    def measures(words: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            F.regexp_count(text, F.lit(r"!!+")).cast("long").alias("n_shouts"),
+            F.size(lines).cast("long").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeat_words(words).alias("n_repeat_words"),
+        )
+
+    def with_bits(m: Column) -> Column:
+        bits = reduce(Column.bitwiseOR, [F.when(fails(m), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, (_, fails) in enumerate(RULES)])
+        return F.struct(*(m[c].alias(c) for c in MEASURES), bits.alias("fail_bits"))
+
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    return _let(_let(words_of(text), lambda w: _let(lines, lambda x: measures(w, x))), with_bits)
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """One row per document: its measures and ``fail_bits``, bit i set where rule i fails."""
-    bits = F.lit(0).cast("bigint")
-    for i, (_, fails) in enumerate(RULES):
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint"))
-    return measure(docs).withColumn("fail_bits", bits)
+    """One row per document: its measures and ``fail_bits``."""
+    return docs.select("doc_id", judged(F.col("text")).alias("judged")).select("doc_id", "judged.*")
+
+
+def passes(fail_bits: Column, version: str = CURRENT) -> Column:
+    """Whether no rule of the policy failed."""
+    return fail_bits.bitwiseAND(F.lit(mask(POLICIES[version])).cast("bigint")) == 0
 
 
 def apply_policy(rows: DataFrame, version: str = CURRENT) -> DataFrame:
     """Adds ``kept``: no rule of the policy failed."""
-    return rows.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(mask(POLICIES[version])).cast("bigint")) == 0)
+    return rows.withColumn("kept", passes(F.col("fail_bits"), version))
 
 
 def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
@@ -113,10 +126,7 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def rejects_go(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents that pass a policy, with all their columns, each row judged on its own text."""
-    key = "__row"
-    named = docs.withColumn(key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    judged = apply_policy(ledger(named.select(F.col(key).alias("doc_id"), F.col(f"{key}.text").alias("text"))), version)
-    return judged.where("kept").select(*[F.col("doc_id").getField(c).alias(c) for c in docs.columns])
+    return docs.where(passes(judged(F.col("text"))["fail_bits"], version))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,10 @@ from veilframe.llm import byte_bpe, decontamination, language_id, plane_files, q
 
 def queries() -> dict:
     """Query name to callable of (spark, sf_dir)."""
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_quality_model": quality_model.op1,
         "op2_byte_bpe": byte_bpe.op2,
         "op3_toxicity": toxicity.op3,

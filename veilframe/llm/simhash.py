@@ -149,6 +149,19 @@ def cluster(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return prints.join(named, "fp", "left")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest doc_id; of rows that repeat id and text, any one.
+
+    Components are looked up by fingerprint, so a hot group of copies is dealt by its ids. A row without an id stays if
+    no row of its component has one.
+    """
+    keys = cut(fingerprints(docs).distinct())
+    placed = cluster(keys)
+    chosen = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
+    kept = docs.join(chosen.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
 def hex_of(fp: Column) -> Column:
     """Sixteen lowercase hex digits."""
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -31,7 +31,7 @@ class _Group:
     """The words of one group of documents in one sequence, and the keys of its blocks and windows."""
 
     def __init__(self, rows: pd.DataFrame, window: int, buckets: int) -> None:
-        self.ids, raw, self.null = ordered(rows)
+        self.ids, raw, self.null, _ = ordered(rows)
         self.words = [t.split() for t in raw]
         self.sizes = np.array([len(w) for w in self.words], dtype=np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)))

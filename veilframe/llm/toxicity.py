@@ -42,8 +42,9 @@ from veilframe.llm.learning import bounded_sample, sigmoid
 
 PER_LABEL = 2500
 STEMS = range(3, 9)
-#: A stem or word is an insult from this log-odds on, if at least this share of the toxic sample holds it.
-ODDS, LEAST_SHARE = 3.5, 0.004
+#: A stem or word is an insult if chance would put so many of its documents among the toxic ones with less than this
+#: probability over all stems and words together, and if no more than this share of the other documents holds it.
+CHANCE, SPARE = 0.01, 0.002
 THREAT, CLAUSE = 3.0, 8.0
 AIMED, DENIED, QUOTED = 1.5, 0.4, 0.6
 CUT = 0.3
@@ -164,6 +165,14 @@ def _signature(text: str) -> list[int]:
     return [int(mixed(runs ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in (1, 2, 3)]
 
 
+def _chance(k: int, others: int, share: float) -> float:
+    """The logarithm of the probability that of k + others documents, drawn with this share of toxic ones, k or more are toxic."""
+    n = k + others
+    terms = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + (n - i) * math.log(share) + i * math.log1p(-share) for i in range(others + 1)]
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def _curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
     """Slope and offset of a logistic curve, by Newton steps with a small penalty."""
     p = np.array([1.0, -2.0])
@@ -208,11 +217,14 @@ def learn(rows: list[tuple[int, int, list[int], set[str], str]], counts: dict) -
     held = {0: Counter(), 1: Counter()}
     for r in kept:
         held[r[1]].update(r[3])
-    insults = {}
+    insults, limit, toxic = {}, math.log(CHANCE / len(held[1])), n[1] / len(kept)
     for f, k in held[1].items():
-        odds = math.log((k + 0.5) / (n[1] + 1)) - math.log((held[0][f] + 0.5) / (n[0] + 1))
-        if k >= max(3, LEAST_SHARE * n[1]) and odds >= min(ODDS, math.log(n[0] / 4 + 1)) and 500 * held[0][f] <= n[0]:
-            insults[f] = odds
+        others = held[0][f]
+        if others <= SPARE * n[0] and _chance(k, others, toxic) < limit:
+            insults[f] = math.log((k + 0.5) / (n[1] + 1)) - math.log((others + 0.5) / (n[0] + 1))
+    # A stem that one longer stem or word accounts for says no more than that one.
+    spare = {f for f in insults for g in insults if f[-1] != "$" and len(g) > len(f) and g.startswith(f) and held[1][g] >= 0.95 * held[1][f]}
+    insults = {f: w for f, w in insults.items() if f not in spare}
     grammar = Grammar(insults)
     x, y = np.array([grammar.evidence(r[4]) for r in kept]), np.array([r[1] for r in kept], dtype=np.float64)
     weights = np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(kept)
