@@ -1,12 +1,14 @@
 """Byte-level BPE: ranked merges folded over the bytes of words, with DataFrame functions alone.
 
 A text is cut into words by the vocabulary's pattern. A word starts as its bytes; a fold merges, again and again, the
-leftmost neighbouring pair of least rank. Ranks are a literal: an array of small maps, indexed by the piece's hash, so
-that a look-up reads one map. A piece is written as a string with one character for each byte (code point = byte).
+leftmost neighbouring pair of least rank. Ranks are literals: two arrays, the pieces and their ranks, in which a piece
+stands at one of two places that its hash names. A piece is written as a string with one character for each byte (code
+point = byte). Decoding a word concatenates the binary pieces of its ids, from a literal array; a text's ids and bytes
+are those of its words, one after the other.
 
 The words of all documents are counted. The MOST_WORDS commonest of them, or a few less where counts tie, are folded
-once; their ids are a literal of the same shape. Every other word is folded where it stands. The result does not depend
-on which words are common.
+and decoded once; what comes out is a literal of the same shape. Every other word is folded where it stands. The
+result does not depend on which words are common.
 
 Null texts count as empty and give no ids. Repeated rows are encoded one by one; empty tables give no rows; other
 columns are ignored. A word of n bytes takes n steps over at most n pieces.
@@ -27,11 +29,11 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import documents, id_and_text, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bound of the literal of common words.
-MOST_WORDS = 1 << 18
-WORD_SLOTS, RANK_SLOTS = 1 << 16, 1 << 14
+#: Bound of the literal of common words, and the places (as powers of two) of words and pieces.
+MOST_WORDS, WORD_BITS, RANK_BITS = 200_000, 19, 17
 NONE = (1 << 31) - 1
-RANKS_KIND = "array<map<string,int>>"
+#: Stands between the entries of a literal; words that hold it are folded where they stand.
+BETWEEN = "\x01"
 #: The characters that the pattern's \s stands for; Java's own \s knows ASCII only.
 SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
@@ -48,32 +50,66 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def _slot(piece: str, slots: int) -> int:
-    h = xxhash.xxh64_intdigest(piece.encode(), 42)
-    return (h - (1 << 64) if h >= 1 << 63 else h) % slots
+def places(keys: list[str], bits: int) -> dict[int, str]:
+    """Each key at one of the two places that its hash names; a key that finds none after many moves is left out."""
+    held: dict[int, str] = {}
+    mask = (1 << bits) - 1
+    for key in keys:
+        now, at = key, xxhash.xxh64_intdigest(key.encode(), 42) & mask
+        for _ in range(500):
+            now, held[at] = held.get(at), now
+            if now is None:
+                break
+            h = xxhash.xxh64_intdigest(now.encode(), 42)
+            first, second = h & mask, h >> 32 & mask
+            at = second if at == first else first
+    return held
 
 
-def _literal(value: list, kind: str) -> Column:
-    """A constant: the optimizer reads the JSON once, before any row."""
-    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False, separators=(",", ":"))), kind)
+def _strings(values: list[str]) -> Column:
+    """A constant array of strings: the optimizer cuts the literal once, before any row."""
+    return F.split(F.lit(BETWEEN.join(values)), BETWEEN, -1)
 
 
-@cache
-def _rank_slots(path: str) -> list[dict[str, int]]:
-    """Ranks by the slot of the piece's hash."""
-    slots: list[dict[str, int]] = [{} for _ in range(RANK_SLOTS)]
-    for piece, rank in read_ranks(path).items():
-        text = piece.decode("latin-1")
-        slots[_slot(text, RANK_SLOTS)][text] = rank
-    return slots
+def _numbers(values: list[int]) -> Column:
+    """A constant array of numbers."""
+    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
+
+
+class Table:
+    """Constant arrays of keys and values, bound for use inside lambdas."""
+
+    def __init__(self, keys: Column, values: list[Column], bits: int) -> None:
+        self.keys, self.values, self.bits = keys, values, bits
 
+    def find(self, key: Column, take: Callable[[Column], Column], other: Column) -> Column:
+        """``take`` of the key's place, or ``other``."""
+        mask, h = F.lit((1 << self.bits) - 1).cast("bigint"), F.xxhash64(key)
+        a, b = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
+        return F.when(F.get(self.keys, a) == key, take(a)).when(F.get(self.keys, b) == key, take(b)).otherwise(other)
 
-def _by_id(path: str) -> list[bytes]:
+
+@cache
+def _rank_lists(path: str) -> tuple[list[str], list[int], list[str], list[str]]:
+    """Pieces and ranks by place; ids and pieces by id, both as hex."""
     ranks = read_ranks(path)
-    out = [b""] * (max(ranks.values()) + 1)
+    by_text = {piece.decode("latin-1"): rank for piece, rank in ranks.items()}
+    at = places(list(by_text), RANK_BITS)
+    if len(at) != len(by_text):
+        raise ValueError("the ranks do not fit their places")
+    n = 1 << RANK_BITS
+    pieces = [""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        out[rank] = piece
-    return out
+        pieces[rank] = piece.hex()
+    # BETWEEN is itself a piece, one byte; JSON keeps it apart.
+    return [at.get(i, "") for i in range(n)], [by_text.get(at.get(i, ""), NONE) for i in range(n)], [i.to_bytes(4, "little").hex() for i in range(len(pieces))], pieces
+
+
+def _with_ranks(path: str, body: Callable[[Table, Column, Column], Column]) -> Column:
+    """``body`` of the ranks, and of the ids' and pieces' hex by id."""
+    keys, ranks, ids, pieces = _rank_lists(path)
+    keys_column = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<string>")
+    return _let(keys_column, lambda k: _let(_numbers(ranks), lambda r: _let(_strings(ids), lambda i: _let(_strings(pieces), lambda p: body(Table(k, [r], RANK_BITS), i, p)))))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -81,39 +117,41 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _look_up(slots: Column, count: int, key: Column) -> Column:
-    return F.try_element_at(F.get(slots, F.pmod(F.xxhash64(key), F.lit(count)).cast("int")), key)
+def fold(word: Column, ranks: Table, ids: Column, pieces: Column) -> Column:
+    """One word's ids as hex of little-endian unsigned 32-bit integers, and the hex of the bytes they decode to."""
+    rank = lambda piece: _let(piece, lambda x: ranks.find(x, lambda at: F.get(ranks.values[0], at), F.lit(NONE)))
+
+    def folded(text: Column) -> Column:
+        # A piece is what stands between two bounds, so a merge takes one bound away; r holds the ranks of neighbouring pairs.
+        between = lambda bounds, i, j: rank(F.substring(text, F.get(bounds, i), F.get(bounds, j) - F.get(bounds, i)))
 
+        def merged(state: Column) -> Column:
+            p, r = state["p"], state["r"]
 
-def fold(word: Column, ranks: Column) -> Column:
-    """The ids of one word."""
-    rank = lambda piece: F.coalesce(_look_up(ranks, RANK_SLOTS, piece), F.lit(NONE))
-    empty = F.array().cast("array<int>")
+            def at(k: Column) -> Column:
+                keep = lambda values, gone: F.filter(values, lambda _, i: i != gone)
+                left = F.when(k > 0, between(p, k - 1, k + 2))
+                right = F.when(k < F.size(r) - 1, between(p, k, k + 3))
+                return F.struct(keep(p, k + 1).alias("p"), F.transform(keep(r, k), lambda x, i: F.when(i == k - 1, left).when(i == k, right).otherwise(x)).alias("r"))
 
-    def merged(state: Column) -> Column:
-        p, r = state["p"], state["r"]
+            return _let((F.array_position(r, F.array_min(r)) - 1).cast("int"), at)
 
-        def at(k: Column) -> Column:
-            def with_pair(pair: Column) -> Column:
-                left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), pair)))).otherwise(empty)
-                right = F.when(k < F.size(r), F.array(rank(F.concat(pair, F.get(p, k + 1))))).otherwise(empty)
-                return F.struct(
-                    F.concat(F.slice(p, 1, k - 1), F.array(pair), F.slice(p, k + 2, F.size(p))).alias("p"),
-                    F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r))).alias("r"),
-                )
+        def merge_all(bounds: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: between(bounds, i, i + 2))
+            step = lambda s, _: F.when((F.size(s["r"]) > 0) & (F.array_min(s["r"]) < NONE), merged(s)).otherwise(s)
+            last = lambda s: F.transform(F.sequence(F.lit(0), F.size(s["p"]) - 2), lambda i: between(s["p"], i, i + 1))
+            return F.aggregate(pairs, F.struct(bounds.alias("p"), pairs.alias("r")), step, last)
 
-            return _let(F.concat(F.get(p, k - 1), F.get(p, k)), with_pair)
+        return _let(F.sequence(F.lit(1), F.length(text) + 1), merge_all)
 
-        return _let(F.array_position(r, F.array_min(r)).cast("int"), at)
+    def written(found: Column) -> Column:
+        join = lambda table: F.array_join(F.transform(found, lambda i: F.get(table, i)), "")
+        return F.struct(join(ids).alias("ids"), join(pieces).alias("bytes"))
 
-    def folded(p: Column) -> Column:
-        pairs = F.when(F.size(p) > 1, F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: rank(F.concat(F.get(p, i), F.get(p, i + 1))))).otherwise(empty)
-        steps = F.when(F.size(p) > 1, F.sequence(F.lit(2), F.size(p))).otherwise(empty)
-        step = lambda s, _: F.when((F.size(s["r"]) > 0) & (F.array_min(s["r"]) < NONE), merged(s)).otherwise(s)
-        return F.aggregate(steps, F.struct(p.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], rank))
+    def whole(text: Column) -> Column:
+        return _let(rank(text), lambda r: F.when(r < NONE, F.array(r)).otherwise(folded(text)))
 
-    whole = lambda text: F.coalesce(F.when(rank(text) < NONE, F.array(rank(text))), _let(F.split(text, ""), folded))
-    return _let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole)
+    return _let(_let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole), written)
 
 
 def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
@@ -121,8 +159,8 @@ def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
     return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
 
 
-def common_words(rows: DataFrame, path: str, most: int = MOST_WORDS) -> list[dict[str, list[int]]]:
-    """The ids, by the slot of the word's hash, of the words that most documents hold: at most ``most`` words."""
+def common_words(rows: DataFrame, path: str, most: int = MOST_WORDS) -> list[tuple[str, str, str]]:
+    """(word, hex of its ids, hex of their bytes) of the words that most documents hold: at most ``most`` words."""
     spark = rows.sparkSession
     at = scratch(spark, "words")
     rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).write.parquet(at)
@@ -133,51 +171,41 @@ def common_words(rows: DataFrame, path: str, most: int = MOST_WORDS) -> list[dic
         if held + count > most:
             break
         least, held = n, held + count
-    word = F.col("word")
-    chosen = counted.where(F.col("n") >= least).select("word", _let(_literal(_rank_slots(path), RANKS_KIND), lambda r: fold(word, r)).alias("ids"), F.pmod(F.xxhash64("word"), F.lit(WORD_SLOTS)).alias("slot"))
-    slots: list[dict[str, list[int]]] = [{} for _ in range(WORD_SLOTS)]
-    for r in chosen.collect():
-        slots[r["slot"]][r["word"]] = r["ids"]
-    return slots
+    common = (F.col("n") >= least) & ~F.col("word").contains(BETWEEN)
+    folded = _with_ranks(path, lambda r, i, p: fold(F.col("word"), r, i, p)).alias("f")
+    return [(r[0], r[1], r[2]) for r in counted.where(common).select("word", folded).select("word", "f.ids", "f.bytes").toLocalIterator()]
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (array of int) of every row."""
+    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and the bytes that the ids decode to, of every row."""
     path = path or public_tokenizers.path(RANKS)
     rows = id_and_text(docs)
-    common = _literal(common_words(rows, path), "array<map<string,array<int>>>")
-
-    def ids(ranks: Column, known: Column) -> Column:
-        one = lambda word: F.coalesce(_look_up(known, WORD_SLOTS, word), fold(word, ranks))
-        return F.flatten(F.transform(words(F.col("text")), one))
+    known = {w: (i, b) for w, i, b in common_words(rows, path)}
+    at, n = places(list(known), WORD_BITS), 1 << WORD_BITS
+    lists = [_strings([at.get(k, "") for k in range(n)])] + [_strings([known[at[k]][j] if k in at else "" for k in range(n)]) for j in (0, 1)]
+    del known, at
 
-    both = _let(_literal(_rank_slots(path), RANKS_KIND), lambda r: _let(common, lambda k: ids(r, k)))
-    return rows.select("doc_id", both.alias("ids"))
+    def coded(keys: Column, id_hex: Column, byte_hex: Column, ranks: Table, ids: Column, pieces: Column) -> Column:
+        table = Table(keys, [id_hex, byte_hex], WORD_BITS)
+        take = lambda k: F.struct(F.get(id_hex, k).alias("ids"), F.get(byte_hex, k).alias("bytes"))
+        each = F.transform(words(F.col("text")), lambda w: table.find(w, take, fold(w, ranks, ids, pieces)))
+        join = lambda all_, part: F.array_join(F.transform(all_, lambda x: x[part]), "")
+        return _let(each, lambda e: F.struct(join(e, "ids").alias("ids"), join(e, "bytes").alias("bytes")))
 
+    whole = _with_ranks(path, lambda r, i, p: _let(lists[0], lambda k: _let(lists[1], lambda x: _let(lists[2], lambda y: coded(k, x, y, r, i, p)))))
+    out = rows.select("doc_id", whole.alias("c"))
+    return out.select("doc_id", F.unhex("c.ids").alias("ids"), F.unhex("c.bytes").alias("decoded")).select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
-def _joined(ids: Column, hexed: list[str]) -> Column:
-    return F.unhex(_let(_literal(hexed, "array<string>"), lambda h: F.array_join(F.transform(ids, lambda i: F.get(h, i)), "")))
 
-
-def id_bytes(ids: Column, most: int = 1 << 16) -> Column:
-    """Ids below ``most`` as little-endian unsigned 32-bit integers."""
-    return _joined(ids, [i.to_bytes(4, "little").hex() for i in range(most)])
+def decode(ids: Column, path: str | None = None) -> Column:
+    """The bytes that an array of ids stands for: their pieces, one after the other."""
+    pieces = _rank_lists(path or public_tokenizers.path(RANKS))[3]
+    return F.unhex(_let(_strings(pieces), lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
 
 
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes that ids stand for: their pieces, one after the other."""
-    return _joined(ids, [p.hex() for p in _by_id(path or public_tokenizers.path(RANKS))])
-
-
-def digests(coded: DataFrame, path: str | None = None) -> DataFrame:
-    """For rows (doc_id, ids): n_tokens and the digests of the ids and of the bytes they decode to."""
-    ids = F.col("ids")
-    return coded.select(
-        "doc_id",
-        F.size(ids).cast("long").alias("n_tokens"),
-        F.sha2(id_bytes(ids), 256).alias("ids_sha256"),
-        F.sha2(decode(ids, path), 256).alias("decoded_sha256"),
-    )
+def digests(coded: DataFrame) -> DataFrame:
+    """n_tokens and the digests of the ids and of the bytes they decode to."""
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
