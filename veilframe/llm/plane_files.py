@@ -18,7 +18,6 @@ are ignored. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -37,21 +36,19 @@ END = 0
 BLOCK = 1 << 14
 #: Ids after which a chunk is closed.
 CHUNK_IDS = 1 << 20
-#: Pieces of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Pieces of text whose ids a worker remembers; then they become the older half, of which those seen again stay.
+REMEMBERED = 600_000
 MAGIC = b"VPL1"
 CHUNKS = "shard int, chunk int, first_doc long, last_doc long, n_docs long, n_ids long, payload binary"
 NULL_ID = -1 << 63
 
-#: White space other than one space or one newline between two words; such texts are not cut into pieces.
-_UNUSUAL = re.compile(r"[^\S \n]|\s\s|^\s|\s$")
-
-
 class Encoder:
     """The tokenizer's ids of whole texts.
 
-    The vocabulary's pattern never joins what stands on both sides of a single space or newline between two words, so
-    ids of such pieces can be remembered. Texts with any other white space go to the tokenizer whole.
+    The vocabulary's pattern never joins what stands on both sides of a single space or newline between two words, nor a
+    letter and the comma or stop behind it, so the ids of such pieces can be remembered. Texts with any other white
+    space go to the tokenizer whole. Pieces that are new go to it many at a time: behind each other with their spaces,
+    or, where none stands before them, between newlines; the ids say where a piece begins.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -59,8 +56,13 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.mark = {m: self._whole(m) for m in ",.\n"}
         self.inner: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -69,27 +71,58 @@ class Encoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _many(self, words: list[str], spaced: bool) -> list[bytes]:
+        """The ids of words that have no white space, with a space before each or nothing."""
+        groups = [words[k : k + 200] for k in range(0, len(words), 200)]
+        texts = [f" {' '.join(g)}" if spaced else "\n".join(g) for g in groups]
+        out = []
+        for encoded in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(encoded.ids, dtype="<u4")
+            raw = ids.tobytes()
+            if spaced:
+                starts = (4 * np.flatnonzero(self.spaced[ids])).tolist()
+                out += [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)])]
+            else:
+                gaps = (4 * np.flatnonzero(ids == self.newline)).tolist()
+                out += [raw[a:b] for a, b in zip([0, *(g + 4 for g in gaps)], [*gaps, len(raw)])]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Remembers new pieces; those that begin with a newline have no space before them."""
+        parts: list[tuple[str, str, str]] = []
+        for p in pieces:
+            if (known := self.older.get(p)) is not None:
+                self.inner[p] = known
+                continue
+            mark = p[-1] if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() else ""
+            parts.append((p, p[:-1] if mark else p, mark))
+        inner = list({b for _, b, _ in parts if b[0] != "\n" and b not in self.inner})
+        heads = list({b[1:] for _, b, _ in parts if b[0] == "\n" and b[1:] not in self.heads})
+        self.inner.update(zip(inner, self._many(inner, True)))
+        self.heads.update(zip(heads, self._many(heads, False)))
+        for p, b, mark in parts:
+            ids = self.mark["\n"] + self.heads[b[1:]] if b[0] == "\n" else self.inner[b]
+            self.inner[p] = ids + self.mark[mark] if mark else ids
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not text:
-            return b""
-        if _UNUSUAL.search(text):
-            return self._ids([text])[0]
+        if " ".join(text.split()) != text.replace("\n", " "):
+            return self._whole(text)
+        if len(self.inner) > REMEMBERED:
+            self.inner, self.older = {}, self.inner
+        if len(self.heads) > REMEMBERED // 4:
+            self.heads = {"": b""}
         head, *rest = text.replace("\n", " \n").split(" ")
-        if len(self.inner) + len(self.heads) > REMEMBERED:
-            self.inner, self.heads = {}, {}
-        first = self.heads.get(head)
-        if first is None:
-            first = self.heads[head] = self._ids([head])[0]
+        if head not in self.heads:
+            self.heads[head] = self._whole(head)
         out = list(map(self.inner.get, rest))
         if None in out:
-            missing = list({p for p, ids in zip(rest, out) if ids is None})
-            self.inner.update(zip(missing, self._ids([p if p[0] == "\n" else f" {p}" for p in missing])))
+            self._learn(list({p for p, ids in zip(rest, out) if ids is None}))
             out = list(map(self.inner.get, rest))
-        return first + b"".join(out)
+        return self.heads[head] + b"".join(out)
 
 
 def _planes(ids: np.ndarray, bits: bool) -> list[bytes]:
