@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.plans import evaluation
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (evaluation,)
 
 
 def queries() -> dict[str, Query]:
     """All queries of the library's own operators."""
-    return {}
+    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """The DuckDB SQL of those queries that SQL can express."""
-    return {}
+    return {name: text for m in MODULES for name, text in m.ORACLE.items()}
