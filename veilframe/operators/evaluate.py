@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
+from veilframe.streaming.folds import fold_sorted
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -33,23 +34,18 @@ def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, p
 
 
 def greedy_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -> DataFrame:
-    """One-to-one pairs of a frame: the best first, ties to the lower truth and then the lower prediction.
+    """One-to-one pairs of a frame: the best first, ties to the lower truth and then the lower prediction."""
 
-    A frame's candidate pairs are one group; frames are dealt over the cluster.
-    """
-    kept = pairs.select(frame, truth, pred, by)
+    def take(state: tuple[set, set], row: tuple) -> tuple[tuple[set, set], list[tuple]]:
+        used_t, used_p = state
+        if row[1] in used_t or row[2] in used_p:
+            return state, []
+        used_t.add(row[1])
+        used_p.add(row[2])
+        return state, [row]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used_t, used_p, out = set(), set(), []
-        for i in rows.sort_values([by, truth, pred], ascending=[False, True, True]).index:
-            t, p = rows.at[i, truth], rows.at[i, pred]
-            if t not in used_t and p not in used_p:
-                used_t.add(t)
-                used_p.add(p)
-                out.append(i)
-        return rows.loc[out]
-
-    return kept.groupBy(frame).applyInPandas(run, kept.schema)
+    kept = pairs.select(frame, truth, pred, by)
+    return fold_sorted(kept, frame, [F.desc(by), truth, pred], lambda: (set(), set()), take, kept.schema)
 
 
 def mutual_best(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -> DataFrame:
@@ -87,19 +83,17 @@ def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
 
 def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by: str) -> DataFrame:
     """Targets of a frame in order, each taking the unused finding of largest overlap; ties take the highest finding."""
-    kept = pairs.select(frame, target, finding, by)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for _, own in rows.sort_values(target).groupby(target, sort=True):
-            free = own[~own[finding].isin(used) & (own[by] > 0)]
-            if len(free):
-                best = free.sort_values([by, finding]).iloc[-1]
-                used.add(best[finding])
-                out.append(best.name)
-        return rows.loc[out]
+    def take(state: tuple[set, set], row: tuple) -> tuple[tuple[set, set], list[tuple]]:
+        served, used = state
+        if row[1] in served or row[2] in used:
+            return state, []
+        served.add(row[1])
+        used.add(row[2])
+        return state, [row]
 
-    return kept.groupBy(frame).applyInPandas(run, kept.schema)
+    kept = pairs.select(frame, target, finding, by).where(F.col(by) > 0)
+    return fold_sorted(kept, frame, [target, F.desc(by), F.desc(finding)], lambda: (set(), set()), take, kept.schema)
 
 
 def raster_counts(truth: DataFrame, preds: DataFrame, grid: int = g.GRID) -> DataFrame:
@@ -231,7 +225,7 @@ def recognition_diagnostics(rows: DataFrame, key: str) -> DataFrame:
     """Per key: confidence buckets, whether any reading is exact, the least edit distance, and characters."""
     distance = F.when((F.length("text") == 0) & (F.length("expected") == 0), 0.0).otherwise(F.levenshtein("text", "expected") / F.greatest(F.length("text"), F.length("expected")))
     return rows.withColumn("distance", distance).groupBy(key).agg(
-        F.count_if("confidence < 0.5").alias("low"), F.count_if("confidence >= 0.5 AND confidence < 0.8").alias("middle"), F.count_if("confidence >= 0.8").alias("high"),
+        F.count_if(F.col("confidence") < 0.5).alias("low"), F.count_if((F.col("confidence") >= 0.5) & (F.col("confidence") < 0.8)).alias("middle"), F.count_if(F.col("confidence") >= 0.8).alias("high"),
         F.bool_or(F.col("text") == F.col("expected")).alias("any_exact"), F.min("distance").alias("least_distance"), F.sum(F.length("text")).alias("characters"),
     )
 

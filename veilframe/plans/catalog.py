@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.plans import evaluation
+from veilframe.plans import evaluation, relational
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evaluation,)
+MODULES = (evaluation, relational)
 
 
 def queries() -> dict[str, Query]:
