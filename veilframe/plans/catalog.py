@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.plans import evaluation, relational
+from veilframe.plans import evaluation, relational, scalar
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evaluation, relational)
+MODULES = (evaluation, relational, scalar)
 
 
 def queries() -> dict[str, Query]:
