@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.plans import evaluation, relational, scalar
+from veilframe.plans import corpora, evaluation, relational, scalar, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (evaluation, relational, scalar)
+MODULES = (evaluation, relational, scalar, stateful, corpora)
 
 
 def queries() -> dict[str, Query]:
