@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: More terms than this are refused, as a session's list is short.
 MOST_TERMS = 32
 
 
-@F.pandas_udf("text string, offsets array<int>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
 def nfkc(texts: pd.Series) -> pd.DataFrame:
     """NFKC and lower case by cluster, white space as one space, with each character's place in the source."""
 

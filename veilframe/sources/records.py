@@ -18,12 +18,12 @@ def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFr
     it scales by files; the raw text stays for checks of unknown keys.
     """
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "raw")).where(F.trim("raw") != "")
+    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "raw")).where(F.col("raw").rlike(r"\S"))
     kind = F.substring(F.trim("raw"), 1, 1)
     record = F.from_json("raw", schema, {"mode": "PERMISSIVE"})
     ok = F.try_parse_json("raw").isNotNull()
     rows = lines.select("file", (F.col("at") + 1).alias("line"), "raw", record.alias("record"), F.when(~ok, "bad_json").when(kind != "{", "not_an_object").alias("error"))
-    empty = files.where(F.trim("value") == "").select("file", F.lit(0).alias("line"), F.lit("").alias("raw"), F.lit(None).cast(schema).alias("record"), F.lit("empty_file").alias("error"))
+    empty = files.where(~F.col("value").rlike(r"\S")).select("file", F.lit(0).alias("line"), F.lit("").alias("raw"), F.lit(None).cast(schema).alias("record"), F.lit("empty_file").alias("error"))
     return rows.unionByName(empty)
 
 
