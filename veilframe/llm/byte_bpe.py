@@ -30,7 +30,7 @@ from veilframe.llm.common import documents, id_and_text, scratch
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bound of the literal of common words, and the places (as powers of two) of words and pieces.
-MOST_WORDS, WORD_BITS, RANK_BITS = 200_000, 19, 17
+MOST_WORDS, WORD_BITS, RANK_BITS = 50_000, 17, 17
 NONE = (1 << 31) - 1
 #: Stands between the entries of a literal; words that hold it are folded where they stand.
 BETWEEN = "\x01"
