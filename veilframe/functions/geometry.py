@@ -181,18 +181,26 @@ def point_in_polygon(x: Column, y: Column, poly: Column) -> Column:
 
 
 def cells(poly: Column, grid: int = GRID) -> Column:
-    """Ids, row by row, of the grid's cells whose centers a polygon holds; only the cells of its bounds are looked at."""
-    low = lambda v: F.greatest(F.floor(v * grid), F.lit(0)).cast("int")
-    high = lambda v: F.least(F.ceil(v * grid), F.lit(grid - 1)).cast("int")
+    """Ids, row by row, of the grid's cells whose centers a polygon holds; only the rows of its bounds are looked at."""
+    empty = F.array().cast("array<int>")
 
-    def scan(edges: Column, b: Rect) -> Column:
-        def row(y: Column) -> Column:
-            inside = F.filter(F.sequence(low(b.left), high(b.right)), lambda x: _inside((x + 0.5) / grid, (y + 0.5) / grid, edges))
-            return F.transform(inside, lambda x: y * grid + x)
+    def run(y: Column, xs: Column, k: Column) -> Column:
+        first = F.greatest(F.lit(0), F.ceil(F.get(xs, 2 * k) * grid - 0.5).cast("int"))
+        last = F.least(F.lit(grid - 1), F.ceil(F.get(xs, 2 * k + 1) * grid - 0.5).cast("int") - 1)
+        return F.when(last >= first, F.sequence(y * grid + first, y * grid + last)).otherwise(empty)
+
+    def row(edges: Column, y: Column) -> Column:
+        # A row's crossings in order; its cells lie between the first and second, the third and fourth, and so on.
+        at = (y + 0.5) / grid
+        crossed = F.filter(edges, lambda e: (e["a"][1] > at) != (e["b"][1] > at))
+        xs = F.array_sort(F.transform(crossed, lambda e: (e["b"][0] - e["a"][0]) * (at - e["a"][1]) / (e["b"][1] - e["a"][1]) + e["a"][0]))
+        return let(xs, lambda x: F.when(F.size(x) > 1, F.flatten(F.transform(F.sequence(F.lit(0), (F.size(x) / 2).cast("int") - 1), lambda k: run(y, x, k)))).otherwise(empty))
 
-        return F.flatten(F.transform(F.sequence(low(b.top), high(b.bottom)), row))
+    def scan(edges: Column, b: Rect) -> Column:
+        top, bottom = F.greatest(F.floor(b.top * grid), F.lit(0)).cast("int"), F.least(F.ceil(b.bottom * grid), F.lit(grid - 1)).cast("int")
+        return F.flatten(F.transform(F.sequence(top, bottom), lambda y: row(edges, y)))
 
-    # Every part is bound once: the optimizer would otherwise put the polygon's expression into each cell's test.
+    # Every part is bound once: the optimizer would otherwise put the polygon's expression into each row.
     return let(poly, lambda p: let(_edges(p), lambda es: let(polygon_bounds(p).struct(), lambda b: scan(es, Rect.from_struct(b)))))
 
 
