@@ -255,12 +255,16 @@ def plugged(frames: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFrame],
     """
     fields = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fieldNames()
 
+    def shaped(frame: pd.DataFrame) -> pd.DataFrame:
+        absent = {c: pd.Series([None] * len(frame), index=frame.index, dtype=object) for c in fields if c not in frame.columns}
+        return frame.assign(**absent)[fields]
+
     def run(batches):
         for batch in batches:
             try:
-                yield analyze(batch).reindex(columns=fields)
+                yield shaped(analyze(batch))
             except Exception as error:  # a detector's fault is data here
                 keys = batch[[c for c in fields if c in batch.columns]].copy()
-                yield keys.assign(failure=type(error).__name__).reindex(columns=fields)
+                yield shaped(keys.assign(failure=type(error).__name__))
 
     return frames.mapInPandas(run, schema)
