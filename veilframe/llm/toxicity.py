@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import documents, held_out, id_and_text
+from veilframe.llm.common import documents, held_out, id_and_text, scratch
 from veilframe.llm.exchange import mixed, rolling
 from veilframe.llm.learning import bounded_sample, sigmoid
 
@@ -162,7 +162,8 @@ def _signature(text: str) -> list[int]:
     words = text.lower().split()
     hashes = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], dtype=np.uint64)
     runs = mixed(rolling(hashes, min(5, len(hashes)), 0x9E3779B97F4A7C15)) if len(hashes) else np.zeros(1, np.uint64)
-    return [int(mixed(runs ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min()) for k in (1, 2, 3)]
+    least = [mixed(runs ^ np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)).min() for k in (1, 2, 3)]
+    return np.array(least, dtype=np.uint64).view(np.int64).tolist()
 
 
 def _chance(k: int, others: int, share: float) -> float:
@@ -189,46 +190,82 @@ def _curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, fl
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Grammar:
-    """The grammar for ``labels`` (doc_id, label 0 or 1)."""
+    """The grammar for ``labels`` (doc_id, label 0 or 1).
+
+    The sample is written once. Only signatures, insults that chance does not explain, and evidence come to the driver.
+    """
+    spark = docs.sparkSession
     sample, counts = bounded_sample(docs, labels, per_label, "toxicity")
+    at = scratch(spark, "toxicity-sample")
+    sample.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.col("label").cast("int").alias("label"), F.coalesce("text", F.lit("")).alias("text")).write.parquet(at)
+    rows = spark.read.parquet(at)
+    total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.0
+    kept = _without_copies(rows)
+    n = Counter(kept.values())
+    if not n[0] or not n[1]:
+        return Grammar({}, (0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    insults = _insults(rows, kept, n)
+    found = sorted(_evidence(rows, kept, Grammar(insults)))
+    x, y = np.array([e for e, _ in found]), np.array([label for _, label in found], dtype=np.float64)
+    weights = np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(found)
+    return Grammar(insults, _curve(x, y, weights))
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t or "" for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "signs": [_signature(t) for t in texts], "features": [sorted(_features(t)) for t in texts], "text": texts})
 
-    rows = sample.select("doc_id", F.col("label").cast("int").alias("label"), "text").mapInPandas(read, "doc_id long, label int, signs array<decimal(20,0)>, features array<string>, text string").toLocalIterator()
-    return learn([(r["doc_id"], r["label"], [int(s) for s in r["signs"]], set(r["features"]), r["text"]) for r in rows], counts)
+def _without_copies(rows: DataFrame) -> dict[int, int]:
+    """Row and label of the sample's rows that share no MinHash value with one before them."""
 
+    def signs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.drop(columns="text").assign(signs=[_signature(t) for t in batch["text"]])
 
-def learn(rows: list[tuple[int, int, list[int], set[str], str]], counts: dict) -> Grammar:
-    """Insults and curve from (doc_id, label, signature, features, text)."""
-    total = sum(counts.values())
-    share = counts.get(1, 0) / total if total else 0.0
     seen: set[int] = set()
-    kept = []
-    for row in sorted(rows, key=lambda r: r[0]):
-        if not seen & set(row[2]):
-            kept.append(row)
-        seen |= set(row[2])
-    n = Counter(r[1] for r in kept)
-    if not n[0] or not n[1]:
-        return Grammar({}, (0.0, math.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    held = {0: Counter(), 1: Counter()}
-    for r in kept:
-        held[r[1]].update(r[3])
-    insults, limit, toxic = {}, math.log(CHANCE / len(held[1])), n[1] / len(kept)
-    for f, k in held[1].items():
-        others = held[0][f]
-        if others <= SPARE * n[0] and _chance(k, others, toxic) < limit:
-            insults[f] = math.log((k + 0.5) / (n[1] + 1)) - math.log((others + 0.5) / (n[0] + 1))
+    kept: dict[int, int] = {}
+    for r in sorted(rows.mapInPandas(signs, "row long, doc_id long, label int, signs array<long>").toLocalIterator(), key=lambda r: (r["doc_id"], r["signs"], r["row"])):
+        if not seen & set(r["signs"]):
+            kept[r["row"]] = r["label"]
+        seen |= set(r["signs"])
+    return kept
+
+
+def _insults(rows: DataFrame, kept: dict[int, int], n: Counter) -> dict[str, float]:
+    """Words and stems that chance does not explain, with their weights."""
+    spark = rows.sparkSession
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            held = {0: Counter(), 1: Counter()}
+            for row, text in zip(batch["row"], batch["text"]):
+                if row in kept:
+                    held[kept[row]].update(_features(text))
+            names = list(held[0] | held[1])
+            yield pd.DataFrame({"feature": names, "toxic": [held[1][f] for f in names], "others": [held[0][f] for f in names]})
+
+    at = scratch(spark, "toxicity-features")
+    counted = rows.mapInPandas(count, "feature string, toxic long, others long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("others").alias("others"))
+    counted.where("toxic > 0").write.parquet(at)
+    features, toxic = spark.read.parquet(at), n[1] / (n[0] + n[1])
+    limit = math.log(CHANCE / max(1, features.count()))
+    # With none among the others chance is least, so fewer toxic documents than this never pass.
+    least = math.ceil(limit / math.log(toxic) - 1e-9)
+    held = {r["feature"]: (r["toxic"], r["others"]) for r in features.where((F.col("toxic") >= least) & (F.col("others") <= SPARE * n[0])).collect()}
+    insults = {f: math.log((k + 0.5) / (n[1] + 1)) - math.log((o + 0.5) / (n[0] + 1)) for f, (k, o) in held.items() if _chance(k, o, toxic) < limit}
     # A stem that one longer stem or word accounts for says no more than that one.
-    spare = {f for f in insults for g in insults if f[-1] != "$" and len(g) > len(f) and g.startswith(f) and held[1][g] >= 0.95 * held[1][f]}
-    insults = {f: w for f, w in insults.items() if f not in spare}
-    grammar = Grammar(insults)
-    x, y = np.array([grammar.evidence(r[4]) for r in kept]), np.array([r[1] for r in kept], dtype=np.float64)
-    weights = np.where(y == 1, share / n[1], (1 - share) / n[0]) * len(kept)
-    return Grammar(insults, _curve(x, y, weights))
+    spare = {f for g in insults for f in (g[:i] for i in STEMS if i < len(g)) if f in insults and held[g][0] >= 0.95 * held[f][0]}
+    return {f: w for f, w in insults.items() if f not in spare}
+
+
+def _evidence(rows: DataFrame, kept: dict[int, int], grammar: Grammar) -> list[tuple[float, int]]:
+    """Evidence and label of the kept rows of the sample."""
+    insults = grammar.insults
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = Grammar(insults)
+        for batch in batches:
+            batch = batch[batch["row"].isin(kept)]
+            yield pd.DataFrame({"evidence": [mine.evidence(t) for t in batch["text"]], "label": batch["label"].to_numpy()})
+
+    return [(r["evidence"], r["label"]) for r in rows.mapInPandas(run, "evidence double, label int").collect()]
 
 
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
