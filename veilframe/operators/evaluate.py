@@ -33,8 +33,11 @@ def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, p
     return both.where((F.col("iou") >= least_iou) | F.col("contained"))
 
 
-def greedy_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -> DataFrame:
-    """One-to-one pairs of a frame: the best first, ties to the lower truth and then the lower prediction."""
+def greedy_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str, *more: str) -> DataFrame:
+    """One-to-one pairs of a frame: the best first, ties to the lower truth and then the lower prediction.
+
+    ``more`` names further columns to keep.
+    """
 
     def take(state: tuple[set, set], row: tuple) -> tuple[tuple[set, set], list[tuple]]:
         used_t, used_p = state
@@ -44,7 +47,7 @@ def greedy_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -
         used_p.add(row[2])
         return state, [row]
 
-    kept = pairs.select(frame, truth, pred, by)
+    kept = pairs.select(frame, truth, pred, by, *more)
     return fold_sorted(kept, frame, [F.desc(by), truth, pred], lambda: (set(), set()), take, kept.schema)
 
 
@@ -61,7 +64,7 @@ def mutual_best(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) ->
 def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
     """Per slice and overall: objects, contained ones, matched ones, and the mean overlap of the matched."""
     pairs = overlap_pairs(truth, preds)
-    matched = mutual_best(pairs.where("iou >= 0.20"), "frame", "obj", "pred", "iou").select("frame", "obj", F.col("iou").alias("m_iou"))
+    matched = greedy_pairs(pairs.where("iou >= 0.20"), "frame", "obj", "pred", "iou").select("frame", "obj", F.col("iou").alias("m_iou"))
     held = pairs.where("contained").select("frame", "obj").distinct().withColumn("held", F.lit(1))
     each = truth.join(matched, ["frame", "obj"], "left").join(held, ["frame", "obj"], "left")
     labels = F.concat(slice_labels(F.col("is_small"), F.col("is_blurred"), F.col("is_occluded"), F.col("is_difficult")), F.array(F.lit("overall")))
@@ -74,10 +77,10 @@ def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
 
 
 def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
-    """Mutual best pairs by intersection area, with the share of truth covered and of prediction in excess."""
+    """Greedy one-to-one pairs by intersection area, with the share of truth covered and of prediction in excess."""
     t, p = Rect.of(), Rect.of("p_")
     both = truth.join(preds, "frame").withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
-    best = mutual_best(both, "frame", "obj", "pred", "inter")
+    best = greedy_pairs(both, "frame", "obj", "pred", "inter", "t_area", "p_area")
     return best.select("frame", "obj", "pred", (F.col("inter") / F.col("t_area")).alias("coverage"), ((F.col("p_area") - F.col("inter")) / F.col("p_area")).alias("excess"))
 
 
