@@ -1,11 +1,14 @@
 """Whole results where a query once did less: each case against a brute-force version."""
 
+import hashlib
+import re
 from collections import defaultdict
 
 import pytest
 
 from veilframe import derive
 from veilframe.operators import evaluate
+from veilframe.plans import scalar
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +63,55 @@ def test_coverage_matches_greedily(spark):
     for (frame, i, j), inter in wanted.items():
         coverage, excess = got[frame, i, j]
         assert coverage == pytest.approx(inter / _area(t[frame][i])) and excess == pytest.approx((_area(p[frame][j]) - inter) / _area(p[frame][j]))
+
+
+def _matches(text):
+    """D2 to D5 with Python's regular expressions."""
+    edge = r"[^\W_]|[._%+-]"
+    label = r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
+    for m in re.finditer(rf"(?<!{edge})[A-Za-z0-9.!#$%&'*+/=?^_`{{|}}~-]{{1,64}}@{label}(?:\.{label})+(?!{edge})", text):
+        local, domain = m[0].split("@")
+        if not re.search(r"^\.|\.$|\.\.", local) and len(domain) <= 253 and re.fullmatch("[A-Za-z]{2,63}", domain.split(".")[-1]):
+            yield m.span()
+    for m in re.finditer(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", text):
+        digits = [int(c) for c in m[0] if c.isdigit()][::-1]
+        if len(set(digits)) > 1 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0:
+            yield m.span()
+    for m in re.finditer(r"(?<![0-9])(?:\+1[ -]?)?\(?[2-9][0-9]{2}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9])", text):
+        yield m.span()
+    yield from _codes(text)
+
+
+def _codes(text):
+    word = re.compile("(?i)(one[- ]time|verification|security|login|passcode|otp|code)")
+    for m in re.finditer(r"(?<![0-9])[0-9]{4,8}(?![0-9])", text):
+        if word.search(text[max(0, m.start() - 64) : m.start()]) or word.search(text[m.end() : m.end() + 48]):
+            yield m.span()
+
+
+PRIVATE = "mail a.b@x.org or +1 (415) 555-0199 or 4111 1111 1111 1111, your login code is 123456; room 77 of 2024."
+
+
+@pytest.fixture
+def texts(spark, tmp_path):
+    rows = [(0, PRIVATE), (1, "plain words " * 1500 + PRIVATE), (2, PRIVATE * 200), (3, ""), (4, "a year: 1999. nothing else")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path), rows
+
+
+def test_whole_texts_are_redacted(spark, texts):
+    path, rows = texts
+    wanted = {}
+    for doc_id, text in rows:
+        out = list(text)
+        for start, end in _matches(text):
+            out[start:end] = "*" * (end - start)
+        wanted[doc_id] = hashlib.sha256("".join(out).encode()).hexdigest()
+    assert {r.doc_id: r.digest for r in scalar.d10_redacted(spark, path).collect()} == wanted
+
+
+def test_codes_of_texts(spark, texts):
+    path, rows = texts
+    wanted = {(i, *span) for i, text in rows for span in _codes(f"{text} {'Room ' if i % 3 else 'Your login code is '}{i * 7919 % 1000000:06d} today")}
+    assert {(r.doc_id, r.start, r.end) for r in scalar.d5_text_codes(spark, path).collect()} == wanted
+    assert {(0, s, e) for s, e in _codes(PRIVATE)} <= wanted

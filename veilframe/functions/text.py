@@ -90,10 +90,23 @@ def code_spans(text: Column) -> Column:
     return F.filter(spans(text, _CODE, "ONE_TIME_CODE"), announced)
 
 
-def all_spans(text: Column, most_chars: int = 16384, most: int = 256) -> Column:
-    """All structured spans in order; null where a text or its matches exceed the limits, so that the caller rejects it."""
-    found = F.array_sort(F.array_distinct(F.concat(email_spans(text), card_spans(text), phone_spans(text), code_spans(text))), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0))
-    return F.when(F.length(text) <= most_chars, let(found, lambda f: F.when(F.size(f) <= most, f)))
+def structured_spans(text: Column) -> Column:
+    """The spans of D2 to D5 one after the other, at any length of the text."""
+    return F.concat(email_spans(text), card_spans(text), phone_spans(text), code_spans(text))
+
+
+def in_order(found: Column) -> Column:
+    """Distinct spans by start, end and category."""
+    return F.array_sort(F.array_distinct(found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0))
+
+
+def all_spans(text: Column, found: Column | None = None, most_chars: int = 16384, most: int = 256) -> Column:
+    """All structured spans in order; null where a text or its matches exceed the limits, so that the caller rejects it.
+
+    ``found`` are the text's spans where the caller has them, such as those of its normalized form.
+    """
+    ordered = in_order(structured_spans(text) if found is None else found)
+    return F.when(F.length(text) <= most_chars, let(ordered, lambda f: F.when(F.size(f) <= most, f)))
 
 
 def redacted(text: Column, found: Column, mark: str = "*") -> Column:

@@ -124,9 +124,19 @@ def d4_phones(spark, sf):
     return _docs(spark, sf).select("doc_id", F.explode(t.phone_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
 
 
+def _announcement():
+    return F.concat(F.when(F.col("doc_id") % 3 == 0, "Your login code is ").otherwise("Room "), F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" today"))
+
+
 def d5_codes(spark, sf):
-    planted = F.concat(F.when(F.col("doc_id") % 3 == 0, "Your login code is ").otherwise("Room "), F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" today"))
-    return _docs(spark, sf).select("doc_id", F.explode(t.code_spans(planted)).alias("s")).select("doc_id", "s.*")
+    """The codes of planted phrases alone, which SQL can say; d5_text_codes reads the texts."""
+    return _docs(spark, sf).select("doc_id", F.explode(t.code_spans(_announcement())).alias("s")).select("doc_id", "s.*")
+
+
+def d5_text_codes(spark, sf):
+    """The codes of whole texts, each with d5_codes' phrase behind it, as codes are rare in the documents."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _announcement())
+    return _docs(spark, sf).select("doc_id", F.explode(g.let(text, t.code_spans)).alias("s")).select("doc_id", "s.*")
 
 
 def d6_watchlist(spark, sf):
@@ -145,8 +155,9 @@ def d9_terms(spark, sf):
 
 
 def d10_redacted(spark, sf):
+    """Digests of whole texts without their structured spans."""
     text = F.col("text")
-    return _docs(spark, sf).where(F.length("text") <= 16384).select("doc_id", F.sha2(t.redacted(text, F.array_sort(t.spans(text, r"[0-9]{3,}", "N"))), 256).alias("digest"))
+    return _docs(spark, sf).select("doc_id", F.sha2(t.redacted(text, t.in_order(t.structured_spans(text))), 256).alias("digest"))
 
 
 def d11_sequences(spark, sf):
@@ -327,5 +338,5 @@ ORACLE = {
         UNION ALL SELECT frame || '-' || obj, 'rotation' FROM truth_box WHERE ln % 2 = 1 AND ln * 45 - 45 NOT IN (0, 90, 180, 270)""", "truth_box"),
     "b13_objects": sql("""SELECT frame || '-' || obj AS location, 'category' AS code FROM truth_box WHERE ln = 6 UNION ALL SELECT frame || '-' || obj, 'points' FROM truth_box WHERE ln = 2 UNION ALL SELECT frame || '-' || obj, 'outside' FROM truth_box WHERE ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame || '-' || obj, 'visibility' FROM truth_box WHERE ln > 5""", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, d2_emails, d3_cards, d4_phones, d5_codes, d6_watchlist, d7_all_spans, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns,
+QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d6_watchlist, d7_all_spans, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns,
     b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b10_captures, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
