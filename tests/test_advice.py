@@ -1,13 +1,17 @@
 """Whole results where a query once did less: each case against a brute-force version."""
 
 import hashlib
+import random
 import re
+import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from veilframe import derive
-from veilframe.operators import evaluate
+from veilframe.functions import text as t
+from veilframe.operators import evaluate, spans
 from veilframe.plans import scalar
 
 SF = "/root/testdata/sf0.001"
@@ -115,3 +119,75 @@ def test_codes_of_texts(spark, texts):
     wanted = {(i, *span) for i, text in rows for span in _codes(f"{text} {'Room ' if i % 3 else 'Your login code is '}{i * 7919 % 1000000:06d} today")}
     assert {(r.doc_id, r.start, r.end) for r in scalar.d5_text_codes(spark, path).collect()} == wanted
     assert {(0, s, e) for s, e in _codes(PRIVATE)} <= wanted
+
+
+def _clusters(text):
+    """D1 one cluster after the other: the text, and the start and end in the source of each of its characters."""
+    out, pending, i = [], None, 0
+    while i < len(text):
+        j = i + 1
+        while j < len(text) and unicodedata.category(text[j])[0] == "M":
+            j += 1
+        for ch in unicodedata.normalize("NFKC", text[i:j]).lower():
+            if ch.isspace() and ch != "\x85":
+                if out:
+                    pending = (" ", pending[1] if pending else i, j)
+            else:
+                out += [pending] * bool(pending) + [(ch, i, j)]
+                pending = None
+        i = j
+    return out
+
+
+def _occurrences(text, term):
+    units, word = _clusters(text), lambda c: c.isalnum() or c == "_"
+    plain = "".join(u[0] for u in units)
+    for k in range(len(plain) - len(term) + 1):
+        end = k + len(term)
+        if plain[k:end] == term and not (word(term[0]) and k and word(plain[k - 1])) and not (word(term[-1]) and end < len(plain) and word(plain[end])):
+            yield units[k][1], units[end - 1][2]
+
+
+AWKWARD = "aAbe \n\t \u00a0\u0301\u0308\uff41\uff11\ufb01\u00b4\u0130\u00c9\u2028\x85\U0001d41a_.-"
+
+
+def test_normal_form_by_cluster():
+    rng = random.Random(5)
+    for text in ["", " ", " a", "Caf\u0065\u0301  x ", *("".join(rng.choices(AWKWARD, k=rng.randrange(1, 25))) for _ in range(3000))]:
+        plain, at, starts, ends = spans._normalized(text)
+        units = []
+        for k, ch in enumerate(plain):
+            run = max(i for i, x in enumerate(at) if x <= k)
+            units.append((ch, starts[run], ends[run]) if ends[run] != -1 else (ch, starts[run] + k - at[run], starts[run] + k - at[run] + 1))
+        assert units == _clusters(text), ascii(text)
+
+
+def test_watchlist_matches_the_normal_form(spark):
+    rng = random.Random(6)
+    texts = ["de\n la x De  La", "x\uff44\uff45 la", "aaa aa", "", None, *("".join(rng.choices(AWKWARD, k=30)) for _ in range(150))]
+    terms = ["de la", "aa", "a", "ae", "1", "._", "fi", "b a"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(map(tuple, spans.watchlist_spans(docs, "doc_id", "text", spark.createDataFrame([(x,) for x in [*terms, "DE  LA"]], "term string")).collect()))
+    assert got == sorted((i, term, *span) for i, text in enumerate(texts) for term in terms for span in _occurrences(text or "", term))
+    assert {(0, "de la", 0, 6), (0, "de la", 9, 15)} <= set(got)
+
+
+def test_watchlist_refuses_more_terms_than_it_searches(spark):
+    docs = spark.createDataFrame([(1, "t1 t31 t32")], "doc_id long, text string")
+    terms = lambda n: spark.createDataFrame([(f"t{i}",) for i in range(n)], "term string")
+    assert spans.watchlist_spans(docs, "doc_id", "text", terms(32)).count() == 2
+    with pytest.raises(Exception, match="At most 32 watchlist terms"):
+        spans.watchlist_spans(docs, "doc_id", "text", terms(33)).collect()
+
+
+def test_terms_are_nfkc(spark):
+    raw = spark.createDataFrame([("\uff21\uff22 \u3000 C",), ("a\x00b",), ("\tx\n",), ("\ufb01" * 33,), ("\u1112\u1161",), (" ",)], "term string")
+    assert {r.term for r in spans.normalized_terms(raw).collect()} == {"ab c", "x", "\ud558"}
+
+
+def test_structured_spans_match_the_normal_form(spark):
+    wanted = [("EMAIL", "\uff41@b.org"), ("PHONE", "+1\u00a0415\n555-0199"), ("PAYMENT_CARD", "4111\u00a01111\n1111 1111"), ("ONE_TIME_CODE", "\uff11\uff12\uff13\uff14")]
+    text = "  ".join(["\ufb01", *(f"{x} x" for _, x in wanted[:3]), "x\n" * 40, "one\ntime", wanted[3][1]])
+    docs = spark.createDataFrame([(text,)], "text string").withColumn("n", spans.nfkc("text"))
+    found = docs.select(F.explode(spans.in_source(t.structured_spans(F.col("n.text")), F.col("n"))).alias("s")).select("s.*").collect()
+    assert sorted((r.category, text[r.start : r.end]) for r in found) == sorted(wanted)

@@ -2,74 +2,168 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.geometry import let
+
 #: More terms than this are refused, as a session's list is short.
 MOST_TERMS = 32
 
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("offsets", T.ArrayType(T.IntegerType()))]))
+_UNITS: dict[str, str] = {}
+
+
+def _unit(ch: str) -> str:
+    if ch not in _UNITS:
+        _UNITS[ch] = unicodedata.normalize("NFKC", ch).lower()
+    return _UNITS[ch]
+
+
+def _is_space(ch: str) -> bool:
+    """White space as Java has it; NFKC has already made plain spaces of the non-breaking ones."""
+    return ch.isspace() and ch != "\x85"
+
+
+def _normalized(text: str) -> tuple[str, list[int], list[int], list[int]]:
+    """The text of D1, and where runs of it begin, in the text and in the source, and where each one's source ends.
+
+    In a run with end -1 characters correspond one to one; in any other all come from the same piece of the source.
+    """
+    out: list[str] = []
+    at, starts, ends = [], [], []
+    n = 0
+    pending: list[int] | None = None
+
+    def put(piece: str, start: int, end: int) -> None:
+        nonlocal n
+        if end != -1 or not at or ends[-1] != -1 or starts[-1] - at[-1] != start - n:
+            at.append(n)
+            starts.append(start)
+            ends.append(end)
+        out.append(piece)
+        n += len(piece)
+
+    def space(start: int, end: int) -> None:
+        nonlocal pending
+        if n:
+            pending = [pending[0] if pending else start, end]
+
+    def flush() -> None:
+        nonlocal pending
+        if pending:
+            put(" ", pending[0], -1 if pending[1] == pending[0] + 1 else pending[1])
+            pending = None
+
+    def linear(a: int, b: int) -> None:
+        if a < b and text[a] == " ":
+            space(a, a + 1)
+            a += 1
+        last = b - 1 if a < b and text[b - 1] == " " else b
+        if a < last:
+            flush()
+            put(text[a:last].translate(table), a, -1)
+        if last < b:
+            space(last, b)
+
+    table: dict[int, str] = {}
+    marks, odd, spaces = [], [], []
+    for ch in set(text):
+        unit = _unit(ch)
+        if unicodedata.category(ch)[0] == "M":
+            marks.append(ch)
+        elif len(unit) == 1 and _is_space(unit):
+            spaces.append(ch)
+        elif len(unit) != 1:
+            odd.append(ch)
+        elif unit != ch:
+            table[ord(ch)] = unit
+    any_of = lambda chars: f"[{re.escape(''.join(chars))}]"
+    parts = [rf".{any_of(marks)}+"] if marks else []
+    parts += [any_of(marks + odd)] if marks + odd else []
+    rest = [c for c in spaces if c != " "]
+    follows = f"(?!{any_of(marks)})" if marks else ""
+    parts += [rf"(?:{any_of(spaces)}{follows}){{2,}}"] if spaces else []
+    parts += [any_of(rest)] if rest else []
+    done = 0
+    for m in re.finditer("|".join(parts), text, re.DOTALL) if parts else ():
+        linear(done, m.start())
+        for ch in unicodedata.normalize("NFKC", m[0]).lower():
+            if _is_space(ch):
+                space(*m.span())
+            else:
+                flush()
+                put(ch, *m.span())
+        done = m.end()
+    linear(done, len(text))
+    return "".join(out), at, starts, ends
+
+
+_INTS = T.ArrayType(T.IntegerType())
+
+
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType())] + [T.StructField(c, _INTS) for c in ("at", "starts", "ends")]))
 def nfkc(texts: pd.Series) -> pd.DataFrame:
-    """NFKC and lower case by cluster, white space as one space, with each character's place in the source."""
-
-    def one(text: str | None) -> tuple[str | None, list[int] | None]:
-        if text is None:
-            return None, None
-        out: list[str] = []
-        at: list[int] = []
-        i = 0
-        while i < len(text):
-            j = i + 1
-            while j < len(text) and unicodedata.combining(text[j]):
-                j += 1
-            piece = unicodedata.normalize("NFKC", text[i:j]).lower()
-            for ch in piece:
-                if ch.isspace():
-                    if out and out[-1] != " ":
-                        out.append(" ")
-                        at.append(i)
-                else:
-                    out.append(ch)
-                    at.append(i)
-            i = j
-        while out and out[-1] == " ":
-            out.pop()
-            at.pop()
-        return "".join(out), at
-
-    rows = [one(t) for t in texts]
-    return pd.DataFrame({"text": [r[0] for r in rows], "offsets": [r[1] for r in rows]})
+    """NFKC and lower case by cluster, white space as one space, with the runs that lead back to the source (D1); see ``in_source``."""
+    rows = [(None,) * 4 if t is None else _normalized(t) for t in texts]
+    return pd.DataFrame(rows, columns=["text", "at", "starts", "ends"])
+
+
+@F.pandas_udf(T.StringType())
+def _nfkc_whole(terms: pd.Series) -> pd.Series:
+    return terms.map(lambda t: unicodedata.normalize("NFKC", t).lower(), na_action="ignore")
+
+
+def in_source(found: Column, n: Column) -> Column:
+    """Spans of a text that ``nfkc`` made, as spans of its source."""
+
+    def place(p: Column, is_end: bool) -> Column:
+        run = lambda i: F.when(F.get(n["ends"], i) != -1, F.get(n["ends" if is_end else "starts"], i)).otherwise(F.get(n["starts"], i) + p - F.get(n["at"], i) + int(is_end))
+        return let(F.size(F.filter(n["at"], lambda x: x <= p)) - 1, run)
+
+    ends = lambda s: F.struct(s["category"].alias("category"), place(s["start"], False).alias("start"), place(s["end"] - 1, True).alias("end"))
+    return F.transform(found, ends)
 
 
 def watchlist_spans(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Every occurrence of every term, overlapping ones too, with a word boundary where the term's edge is a word character.
 
-    ``terms`` has term, normalized; at most MOST_TERMS, so they travel as a broadcast. Positions come from one regular-expression
-    free pass: a term's occurrences are the places where a cut of the text equals it.
+    ``terms`` has term; more than MOST_TERMS fail the query, so they travel as a broadcast. Both sides are matched in the form of
+    D1, and spans are places in the source. Positions come from one regular-expression free pass: a term's occurrences are the
+    places where a cut of the text equals it.
     """
-    small = F.broadcast(terms.select("term").distinct().limit(MOST_TERMS + 1))
-    pairs = docs.select(key, F.lower(F.col(text)).alias("__t")).join(small, F.contains(F.col("__t"), F.col("term")))
-    n = F.length("term")
-    parts = F.split(F.col("__t"), F.concat(F.lit("(?="), F.regexp_replace("term", r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(")")), -1)
-    starts = F.filter(F.aggregate(parts, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p)))), lambda x: x >= 0)
-    found = pairs.select(key, "term", "__t", n.alias("n"), F.explode(F.array_distinct(starts)).alias("start"))
+    listed = terms.select(nfkc("term")["text"].alias("term")).distinct().limit(MOST_TERMS + 1).agg(F.collect_list("term").alias("ts"))
+    refused = F.raise_error(F.lit(f"At most {MOST_TERMS} watchlist terms are supported"))
+    small = F.broadcast(listed.select(F.explode(F.when(F.size("ts") <= MOST_TERMS, F.col("ts")).otherwise(refused.cast("array<string>"))).alias("term")))
+    normal = docs.select(key, nfkc(text).alias("__n"))
+    pairs = normal.join(small, F.contains(F.col("__n.text"), F.col("term")))
+    whole, n = F.col("__n.text"), F.length("term")
+    parts = F.split(whole, F.concat(F.lit("(?="), F.regexp_replace("term", r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(")")), -1)
     word = lambda c: c.rlike(r"^[\p{L}\p{N}_]$")
-    at = lambda pos: F.substring(F.col("__t"), pos, F.lit(1))
-    left = ~(word(F.substring("term", 1, 1)) & (F.col("start") > 0) & word(at(F.col("start"))))
-    right = ~(word(F.substring("term", -1, 1)) & word(at(F.col("start") + F.col("n") + 1)))
-    same = F.substring(F.col("__t"), F.col("start") + 1, F.col("n")) == F.col("term")
-    return found.where(same & left & right).select(key, "term", F.col("start").cast("long").alias("start"), (F.col("start") + F.col("n")).cast("long").alias("end"))
+    from_word, to_word = word(F.substring("term", 1, 1)), word(F.substring("term", -1, 1))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<int>").alias("starts"))
+
+    def step(acc: Column, part: Column) -> Column:
+        opens = F.startswith(part, F.substring("term", 1, 1)) & ~(from_word & word(acc["before"]))
+        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
+        return F.struct((acc["at"] + F.length(part)).alias("at"), F.coalesce(F.substring(part, -1, 1), acc["before"]).alias("before"), starts.alias("starts"))
+
+    starts = F.aggregate(parts, begin, step, lambda acc: acc["starts"])
+    whole_term = lambda s: (F.substring(whole, s + 1, n) == F.col("term")) & ~(to_word & word(F.substring(whole, s + n + 1, F.lit(1))))
+    found = F.transform(F.filter(starts, whole_term), lambda s: F.struct(F.lit("WATCHLIST_MATCH").alias("category"), s.alias("start"), (s + n).alias("end")))
+    spans = pairs.select(key, "term", F.explode(in_source(found, F.col("__n"))).alias("s"))
+    return spans.select(key, "term", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 def normalized_terms(raw: DataFrame) -> DataFrame:
-    """Terms in lower case with single spaces; those with control characters, or not of 1 to 64 characters, are left out."""
-    term = F.trim(F.regexp_replace(F.lower("term"), r"\s+", " "))
-    return raw.select(term.alias("term")).where((F.length("term").between(1, 64)) & ~F.col("term").rlike(r"\p{Cntrl}")).distinct()
+    """Terms in NFKC, lower case and single spaces; those with control characters, or not of 1 to 64 characters, are left out."""
+    term = F.trim(F.regexp_replace(_nfkc_whole("term"), r"[\s\x1c-\x1f\u1680\u2000-\u200a\u2028\u2029\u205f\u3000]+", " "))
+    return raw.select(term.alias("term")).where((F.length("term").between(1, 64)) & ~F.col("term").rlike(r"[\x00-\x1f\x7f-\x9f]")).distinct()
 
 
 def collapse_sequences(scores: DataFrame, key: str, symbols: list[str]) -> DataFrame:

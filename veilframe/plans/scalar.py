@@ -112,16 +112,26 @@ def _docs(spark, sf):
     return derive.table(spark, sf, "documents")
 
 
+def _normal(docs, text="text"):
+    """Documents with their text in the form of D1, in which D2 to D6 match."""
+    return docs.withColumn("n", s.nfkc(text))
+
+
+def _found(spans_of):
+    return s.in_source(spans_of(F.col("n.text")), F.col("n"))
+
+
 def d2_emails(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(t.email_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return _normal(_docs(spark, sf)).select("doc_id", F.explode(_found(t.email_spans)).alias("s")).select("doc_id", "s.*")
 
 
 def d3_cards(spark, sf):
-    return _docs(spark, sf).groupBy("source").agg(F.sum(F.size(t.card_spans(F.col("text")))).alias("cards"), F.sum(F.size(t.spans(F.col("text"), r"\d{13,19}", "x"))).alias("long_numbers"))
+    text = F.col("n.text")
+    return _normal(_docs(spark, sf)).groupBy("source").agg(F.sum(F.size(t.card_spans(text))).alias("cards"), F.sum(F.size(t.spans(text, r"\d{13,19}", "x"))).alias("long_numbers"))
 
 
 def d4_phones(spark, sf):
-    return _docs(spark, sf).select("doc_id", F.explode(t.phone_spans(F.col("text"))).alias("s")).select("doc_id", "s.*")
+    return _normal(_docs(spark, sf)).select("doc_id", F.explode(_found(t.phone_spans)).alias("s")).select("doc_id", "s.*")
 
 
 def _announcement():
@@ -130,13 +140,13 @@ def _announcement():
 
 def d5_codes(spark, sf):
     """The codes of planted phrases alone, which SQL can say; d5_text_codes reads the texts."""
-    return _docs(spark, sf).select("doc_id", F.explode(t.code_spans(_announcement())).alias("s")).select("doc_id", "s.*")
+    return _normal(_docs(spark, sf), _announcement()).select("doc_id", F.explode(_found(t.code_spans)).alias("s")).select("doc_id", "s.*")
 
 
 def d5_text_codes(spark, sf):
     """The codes of whole texts, each with d5_codes' phrase behind it, as codes are rare in the documents."""
     text = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), _announcement())
-    return _docs(spark, sf).select("doc_id", F.explode(g.let(text, t.code_spans)).alias("s")).select("doc_id", "s.*")
+    return _normal(_docs(spark, sf), text).select("doc_id", F.explode(_found(t.code_spans)).alias("s")).select("doc_id", "s.*")
 
 
 def d6_watchlist(spark, sf):
@@ -145,7 +155,7 @@ def d6_watchlist(spark, sf):
 
 
 def d7_all_spans(spark, sf):
-    found = _docs(spark, sf).select("doc_id", t.all_spans(F.col("text")).alias("f"))
+    found = _normal(_docs(spark, sf)).select("doc_id", t.all_spans(F.col("text"), _found(t.structured_spans)).alias("f"))
     return found.select("doc_id", F.when(F.col("f").isNull(), -1).otherwise(F.size("f")).alias("n"))
 
 
@@ -157,7 +167,7 @@ def d9_terms(spark, sf):
 def d10_redacted(spark, sf):
     """Digests of whole texts without their structured spans."""
     text = F.col("text")
-    return _docs(spark, sf).select("doc_id", F.sha2(t.redacted(text, t.in_order(t.structured_spans(text))), 256).alias("digest"))
+    return _normal(_docs(spark, sf)).select("doc_id", F.sha2(t.redacted(text, t.in_order(_found(t.structured_spans))), 256).alias("digest"))
 
 
 def d11_sequences(spark, sf):
