@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from veilframe import derive
 from veilframe.functions import text as t
 from veilframe.operators import evaluate, spans
-from veilframe.plans import scalar
+from veilframe.plans import corpora, scalar
 
 SF = "/root/testdata/sf0.001"
 
@@ -191,3 +191,11 @@ def test_structured_spans_match_the_normal_form(spark):
     docs = spark.createDataFrame([(text,)], "text string").withColumn("n", spans.nfkc("text"))
     found = docs.select(F.explode(spans.in_source(t.structured_spans(F.col("n.text")), F.col("n"))).alias("s")).select("s.*").collect()
     assert sorted((r.category, text[r.start : r.end]) for r in found) == sorted(wanted)
+
+
+def test_staging_plan_has_every_item(spark):
+    docs = derive.table(spark, SF, "documents").where("lang = 'en'").collect()
+    names = [r.doc_id // 3 for r in docs]
+    wanted = sorted((f"d{r.doc_id % 3}/{r.doc_id // 3}.jpg", "digest" if str(r.doc_id // 3)[-1] == "7" else "name" if names.count(r.doc_id // 3) > 1 else "number") for r in docs)
+    got = sorted(map(tuple, corpora.k2_staging(spark, SF).collect()))
+    assert got == wanted and {p for _, p in got} == {"digest", "name", "number"}

@@ -69,9 +69,9 @@ def k1_manifest(spark, sf):
 
 def k2_staging(spark, sf):
     docs = derive.table(spark, sf, "documents")
-    items = docs.selectExpr("concat('d', doc_id % 3, '/', doc_id div 3 % 200, '.jpg') AS path", "sha2(text, 256) AS digest", "lang AS split").dropDuplicates(["path"])
+    items = docs.selectExpr("concat('d', doc_id % 3, '/', doc_id div 3, '.jpg') AS path", "sha2(text, 256) AS digest", "lang AS split")
     found = items.selectExpr("path", "IF(path LIKE '%7.jpg', 'x', digest) AS digest")
-    return c.staging_plan(items, found, "en", 13).groupBy("problem").agg(F.count("*").alias("n")).where("problem = 'digest'").select("problem", (F.col("n") > 0).alias("some"))
+    return c.staging_plan(items, found, "en", 13)
 
 
 def k3_retention(spark, sf):
@@ -99,6 +99,8 @@ ORACLE = {
     "e14_coco": sql("""SELECT frame * 100 + obj AS id, i.p_partkey || '.jpg' AS file_name, n_name AS category, CASE WHEN i.p_partkey IS NOT NULL AND n_name IS NOT NULL THEN least(1, "right") END AS x1, CASE WHEN i.p_partkey IS NULL THEN 'image' WHEN n_name IS NULL THEN 'category' END AS error
         FROM truth_box LEFT JOIN (SELECT p_partkey FROM part WHERE p_partkey % 11 <> 0) i ON i.p_partkey = pk LEFT JOIN nation ON n_nationkey = sk % 27""", "truth_box"),
     "k1_manifest": "SELECT 'pub-' || lpad((row_number() OVER (ORDER BY sha256('seed-1' || s_name), s_name))::VARCHAR, greatest(3, length((row_number() OVER (ORDER BY sha256('seed-1' || s_name), s_name))::VARCHAR))::INT, '0') AS fixtureId, s_name AS name, sha256(s_name)[1:20] AS source_group, CASE WHEN s_suppkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split FROM supplier",
+    "k2_staging": """WITH i AS (SELECT 'd' || doc_id % 3 || '/' || doc_id // 3 || '.jpg' AS path, doc_id // 3 AS name, (doc_id // 3) % 10 = 7 AS differs FROM documents WHERE lang = 'en')
+        SELECT path, CASE WHEN differs THEN 'digest' WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'name' WHEN count(*) OVER () <> 13 THEN 'number' END AS problem FROM i""",
     "k3_retention": "SELECT o_orderkey AS asset FROM orders WHERE o_orderdate::DATE < DATE '1996-01-01' AND o_orderstatus <> 'F'",
     "a10_report": sql("""SELECT '{"category":"' || category || '","frames":' || count(*) || ',"recalled":' || (count(*) FILTER (ln = 1)) || ',"split":"' || split || '","targets":' || count(*) || '}' AS line FROM (SELECT *, CASE WHEN frame % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split FROM truth_box WHERE obj = 1) GROUP BY split, category""", "truth_box"),
 }
