@@ -199,3 +199,11 @@ def test_staging_plan_has_every_item(spark):
     wanted = sorted((f"d{r.doc_id % 3}/{r.doc_id // 3}.jpg", "digest" if str(r.doc_id // 3)[-1] == "7" else "name" if names.count(r.doc_id // 3) > 1 else "number") for r in docs)
     got = sorted(map(tuple, corpora.k2_staging(spark, SF).collect()))
     assert got == wanted and {p for _, p in got} == {"digest", "name", "number"}
+
+
+def test_oracle_sql_is_text():
+    import __spark_entry__
+
+    found = __spark_entry__.oracle_sql()
+    assert found and found.keys() <= __spark_entry__.queries().keys()
+    assert [name for name, sql in found.items() if not isinstance(sql, str)] == []

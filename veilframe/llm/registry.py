@@ -27,10 +27,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
     return {
-        "op1_quality_model": quality_model.op1,
-        "op2_byte_bpe": byte_bpe.op2,
-        "op3_toxicity": toxicity.op3,
-        "op4_plane_files": plane_files.op4,
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
