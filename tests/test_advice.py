@@ -207,3 +207,17 @@ def test_oracle_sql_is_text():
     found = __spark_entry__.oracle_sql()
     assert found and found.keys() <= __spark_entry__.queries().keys()
     assert [name for name, sql in found.items() if not isinstance(sql, str)] == []
+
+
+def test_files_grow_with_the_table(spark):
+    small, large = (corpora._block_lines(spark, f"/root/testdata/{sf}").select("file").distinct().count() for sf in ("sf0.001", "sf0.01"))
+    assert large > 5 * small
+
+
+def test_no_window_holds_the_whole_table(spark):
+    """Windows without a key hold counts of buckets only, and the items of a split are counted by an aggregation."""
+    plan = lambda frame: frame._jdf.queryExecution().optimizedPlan().toString()
+    manifest = plan(corpora.k1_manifest(spark, SF))
+    assert re.search(r"Window \[row_number\(\) windowspecdefinition\(__b#", manifest)
+    assert not re.search(r"windowspecdefinition\((split#\d+, )?specifiedwindowframe", plan(corpora.k2_staging(spark, SF)))
+    assert "CROSS" in plan(corpora.k2_staging(spark, SF)).upper()

@@ -12,15 +12,18 @@ from veilframe.sources import records as r
 from veilframe.plans.views import sql
 
 
-def a5_blocks(spark, sf):
-    """An order's lines written as one block: name, count, rows of ten numbers."""
+def _block_lines(spark, sf):
+    """An order's lines written as one block: name, count, rows of ten numbers; a file has the orders of 256 keys in a row."""
     t = derive.truth_box(spark, sf)
     n = t.groupBy("frame").agg(F.count("*").alias("n"))
     name = t.select("frame").distinct().selectExpr("frame", "0L AS k", "concat('f', frame, '.jpg') AS raw")
     count = n.selectExpr("frame", "1L AS k", "CAST(n AS STRING) AS raw")
     rows = t.selectExpr("frame", "obj + 1L AS k", "concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, IF(obj = 3, NULL, '1')) AS raw")
-    lines = name.unionByName(count).unionByName(rows).selectExpr("concat('file', frame % 50) AS file", "frame * 1000 + k AS at", "raw")
-    return c.block_text(lines).select("filename", "declared", "box", "x", "y", "width", "pose")
+    return name.unionByName(count).unionByName(rows).selectExpr("concat('file', frame div 256) AS file", "frame * 1000 + k AS at", "raw")
+
+
+def a5_blocks(spark, sf):
+    return c.block_text(_block_lines(spark, sf)).select("filename", "declared", "box", "x", "y", "width", "pose")
 
 
 def a5_block_errors(spark, sf):

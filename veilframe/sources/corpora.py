@@ -51,9 +51,16 @@ def coco_star(images: DataFrame, categories: DataFrame, annotations: DataFrame)
 
 
 def public_manifest(items: DataFrame, prefix: str, seed: str) -> DataFrame:
-    """Manifest rows with numbered ids and nested leakage keys, in the order of the seeded hash (K1)."""
-    number = F.row_number().over(Window.orderBy(t.selection_hash(seed, F.col("name")), "name"))
-    return items.withColumn("k", number).select(
+    """Manifest rows with numbered ids and nested leakage keys, in the order of the seeded hash (K1).
+
+    Rows are numbered inside buckets of the hash's first four digits, behind the rows of the buckets before; only the at most 65536
+    buckets' counts are added up in one place.
+    """
+    hashed = items.withColumn("__h", t.selection_hash(seed, F.col("name"))).withColumn("__b", F.substring("__h", 1, 4))
+    counts = hashed.groupBy("__b").agg(F.count("*").alias("__n"))
+    before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "name"))
+    return hashed.withColumn("__k", inside).join(before, "__b").withColumn("k", F.col("__before") + F.col("__k")).select(
         F.format_string(f"{prefix}-%03d", "k").alias("fixtureId"), "name", F.struct(t.group_id(F.col("name")).alias("sourceGroupId"), F.array(F.lit(seed)).alias("generatorSeeds")).alias("leakageKeys"), "split",
     )
 
@@ -62,10 +69,10 @@ def staging_plan(items: DataFrame, found: DataFrame, split: str, expected: int)
     """The items of one split in order, with what forbids staging them: digest, repeated file name, or another number of items than expected (H4, K2)."""
     chosen = items.where(F.col("split") == split).join(found.select("path", F.col("digest").alias("f_digest")), "path", "left")
     name = F.element_at(F.split("path", "/"), -1)
-    whole = Window.partitionBy("split")
+    total = F.broadcast(items.where(F.col("split") == split).agg(F.count("*").alias("items")))
     same = F.count("*").over(Window.partitionBy("split", name))
-    problem = F.when(~F.col("digest").eqNullSafe(F.col("f_digest")), "digest").when(same > 1, "name").when(F.count("*").over(whole) != expected, "number")
-    return chosen.select("path", problem.alias("problem"))
+    problem = F.when(~F.col("digest").eqNullSafe(F.col("f_digest")), "digest").when(same > 1, "name").when(F.col("items") != expected, "number")
+    return chosen.crossJoin(total).select("path", problem.alias("problem"))
 
 
 def retention_audit(ledger: DataFrame, deletions: DataFrame, as_of: str) -> DataFrame:
