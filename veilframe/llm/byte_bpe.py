@@ -1,46 +1,44 @@
-"""Byte-level BPE: ranked merges folded over the bytes of words, with DataFrame functions alone.
+"""Byte-level BPE: ranked merges folded over the byte arrays of distinct words, by Spark's higher-order functions.
 
-A text is cut into words by the vocabulary's pattern. A word starts as its bytes; a fold merges, again and again, the
-leftmost neighbouring pair of least rank. Ranks are literals: two arrays, the pieces and their ranks, in which a piece
-stands at one of two places that its hash names. A piece is written as a string with one character for each byte (code
-point = byte). Decoding a word concatenates the binary pieces of its ids, from a literal array; a text's ids and bytes
-are those of its words, one after the other.
+A task cuts the texts of a block (BLOCK bytes of text, whole documents) into words by the vocabulary's pattern and writes
+a block as one row: its distinct words as byte arrays, and each document as positions in that list. The fold then works
+on the distinct words alone: a word starts as its bytes, and the leftmost neighbouring pair of least rank is merged until
+no pair has a rank. The rank map is a literal: the pieces by rank, and places that name a rank, of which a piece has two
+by its hash. A document's ids are those of its words, gathered by position. Decoding concatenates the binary pieces of
+the ids. No row leaves its task, so nothing is shuffled, broadcast by words, or kept by the driver.
 
-The words of all documents are counted. The MOST_WORDS commonest of them, or a few less where counts tie, are folded
-and decoded once; what comes out is a literal of the same shape. Every other word is folded where it stands. The
-result does not depend on which words are common.
+A word of n bytes takes n steps over at most n pieces; words of more than LONG bytes are therefore cut into their final
+pieces by the same ranked merges with a heap in the task (n log n steps), and their pieces go through the rank map.
 
 Null texts count as empty and give no ids. Repeated rows are encoded one by one; empty tables give no rows; other
-columns are ignored. A word of n bytes takes n steps over at most n pieces.
+columns are ignored; a document larger than a block is a block of its own.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import documents, id_and_text, scratch
+from veilframe.llm.common import documents, id_and_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-#: Bound of the literal of common words, and the places (as powers of two) of words and pieces.
-MOST_WORDS, WORD_BITS, RANK_BITS = 50_000, 17, 17
+#: Bytes of text whose distinct words are folded together; words of more bytes than LONG are cut by a heap.
+BLOCK, LONG = 24 << 20, 64
+#: Places of the rank map, as a power of two of them.
+RANK_BITS = 17
 NONE = (1 << 31) - 1
-#: Stands between the entries of a literal; words that hold it are folded where they stand.
-BETWEEN = "\x01"
-#: The characters that the pattern's \s stands for; Java's own \s knows ASCII only.
-SPACES = r"\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-
-
-def java_pattern(pattern: str = public_tokenizers.PATTERN) -> str:
-    """The vocabulary's pattern for Java's regular expressions."""
-    return pattern.replace(r"[^\s", f"[^{SPACES}").replace(r"\S", f"[^{SPACES}]").replace(r"\s", f"[{SPACES}]")
+_BLOCKS = "words array<binary>, docs array<struct<doc_id:bigint,at:array<int>>>"
 
 
 @cache
@@ -50,157 +48,207 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def places(keys: list[str], bits: int) -> dict[int, str]:
-    """Each key at one of the two places that its hash names; a key that finds none after many moves is left out."""
-    held: dict[int, str] = {}
+def places(keys: list[bytes], bits: int) -> dict[int, bytes]:
+    """Each key at one of the two places that its hash names; a key that finds none after many moves is an error."""
+    held: dict[int, bytes] = {}
     mask = (1 << bits) - 1
     for key in keys:
-        now, at = key, xxhash.xxh64_intdigest(key.encode(), 42) & mask
+        now, at = key, xxhash.xxh64_intdigest(key, 42) & mask
         for _ in range(500):
             now, held[at] = held.get(at), now
             if now is None:
                 break
-            h = xxhash.xxh64_intdigest(now.encode(), 42)
+            h = xxhash.xxh64_intdigest(now, 42)
             first, second = h & mask, h >> 32 & mask
             at = second if at == first else first
+        else:
+            raise ValueError("the ranks do not fit their places")
     return held
 
 
-def _strings(values: list[str]) -> Column:
-    """A constant array of strings: the optimizer cuts the literal once, before any row."""
-    return F.split(F.lit(BETWEEN.join(values)), BETWEEN, -1)
-
-
-def _numbers(values: list[int]) -> Column:
-    """A constant array of numbers."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), "array<int>")
+@cache
+def _literals(path: str) -> tuple[str, str]:
+    """The pieces by rank and the rank at each place, as JSON."""
+    ranks = read_ranks(path)
+    by_rank, rank_at = [""] * (max(ranks.values()) + 1), ["-1"] * (1 << RANK_BITS)
+    for piece, rank in ranks.items():
+        by_rank[rank] = base64.b64encode(piece).decode()
+    for place, piece in places(list(ranks), RANK_BITS).items():
+        rank_at[place] = str(ranks[piece])
+    return json.dumps(by_rank, separators=(",", ":")), f"[{','.join(rank_at)}]"
 
 
-class Table:
-    """Constant arrays of keys and values, bound for use inside lambdas."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    def __init__(self, keys: Column, values: list[Column], bits: int) -> None:
-        self.keys, self.values, self.bits = keys, values, bits
 
-    def find(self, key: Column, take: Callable[[Column], Column], other: Column) -> Column:
-        """``take`` of the key's place, or ``other``."""
-        mask, h = F.lit((1 << self.bits) - 1).cast("bigint"), F.xxhash64(key)
-        a, b = h.bitwiseAND(mask).cast("int"), F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int")
-        return F.when(F.get(self.keys, a) == key, take(a)).when(F.get(self.keys, b) == key, take(b)).otherwise(other)
+class RankMap:
+    """The literal rank map, bound for use inside lambdas."""
 
+    def __init__(self, pieces: Column, places_: Column) -> None:
+        self.pieces, self.places = pieces, places_
 
-@cache
-def _rank_lists(path: str) -> tuple[list[str], list[int], list[str], list[str]]:
-    """Pieces and ranks by place; ids and pieces by id, both as hex."""
-    ranks = read_ranks(path)
-    by_text = {piece.decode("latin-1"): rank for piece, rank in ranks.items()}
-    at = places(list(by_text), RANK_BITS)
-    if len(at) != len(by_text):
-        raise ValueError("the ranks do not fit their places")
-    n = 1 << RANK_BITS
-    pieces = [""] * (max(ranks.values()) + 1)
-    for piece, rank in ranks.items():
-        pieces[rank] = piece.hex()
-    # BETWEEN is itself a piece, one byte; JSON keeps it apart.
-    return [at.get(i, "") for i in range(n)], [by_text.get(at.get(i, ""), NONE) for i in range(n)], [i.to_bytes(4, "little").hex() for i in range(len(pieces))], pieces
+    def rank(self, piece: Column) -> Column:
+        """A piece's rank, or NONE."""
 
+        def found(x: Column) -> Column:
+            mask, h = F.lit((1 << RANK_BITS) - 1).cast("bigint"), F.xxhash64(x)
+            a = F.get(self.places, h.bitwiseAND(mask).cast("int"))
+            b = F.get(self.places, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
+            return F.when(F.get(self.pieces, a) == x, a).when(F.get(self.pieces, b) == x, b).otherwise(F.lit(NONE))
 
-def _with_ranks(path: str, body: Callable[[Table, Column, Column], Column]) -> Column:
-    """``body`` of the ranks, and of the ids' and pieces' hex by id."""
-    keys, ranks, ids, pieces = _rank_lists(path)
-    keys_column = F.from_json(F.lit(json.dumps(keys, separators=(",", ":"))), "array<string>")
-    return _let(keys_column, lambda k: _let(_numbers(ranks), lambda r: _let(_strings(ids), lambda i: _let(_strings(pieces), lambda p: body(Table(k, [r], RANK_BITS), i, p)))))
+        return _let(piece, found)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def with_ranks(path: str, body: Callable[[RankMap], Column]) -> Column:
+    """``body`` of the rank map."""
+    pieces, rank_at = _literals(path)
+    return _let(F.from_json(F.lit(pieces), "array<binary>"), lambda p: _let(F.from_json(F.lit(rank_at), "array<int>"), lambda s: body(RankMap(p, s))))
 
 
-def fold(word: Column, ranks: Table, ids: Column, pieces: Column) -> Column:
-    """One word's ids as hex of little-endian unsigned 32-bit integers, and the hex of the bytes they decode to."""
-    rank = lambda piece: _let(piece, lambda x: ranks.find(x, lambda at: F.get(ranks.values[0], at), F.lit(NONE)))
+def fold(word: Column, ranks: RankMap) -> Column:
+    """The ids of a word's bytes."""
 
     def folded(text: Column) -> Column:
         # A piece is what stands between two bounds, so a merge takes one bound away; r holds the ranks of neighbouring pairs.
-        between = lambda bounds, i, j: rank(F.substring(text, F.get(bounds, i), F.get(bounds, j) - F.get(bounds, i)))
-
-        def merged(state: Column) -> Column:
-            p, r = state["p"], state["r"]
+        between = lambda bounds, i, j: ranks.rank(F.substring(text, F.get(bounds, i), F.get(bounds, j) - F.get(bounds, i)))
 
-            def at(k: Column) -> Column:
-                keep = lambda values, gone: F.filter(values, lambda _, i: i != gone)
-                left = F.when(k > 0, between(p, k - 1, k + 2))
-                right = F.when(k < F.size(r) - 1, between(p, k, k + 3))
-                return F.struct(keep(p, k + 1).alias("p"), F.transform(keep(r, k), lambda x, i: F.when(i == k - 1, left).when(i == k, right).otherwise(x)).alias("r"))
+        def merged(p: Column, r: Column, k: Column) -> Column:
+            keep = lambda values, gone: F.filter(values, lambda _, i: i != gone)
+            left = F.when(k > 0, between(p, k - 1, k + 2))
+            right = F.when(k < F.size(r) - 1, between(p, k, k + 3))
+            return F.struct(keep(p, k + 1).alias("p"), F.transform(keep(r, k), lambda x, i: F.when(i == k - 1, left).when(i == k, right).otherwise(x)).alias("r"))
 
-            return _let((F.array_position(r, F.array_min(r)) - 1).cast("int"), at)
+        def step(s: Column, _: Column) -> Column:
+            at_least = lambda m: F.when(m < NONE, _let((F.array_position(s["r"], m) - 1).cast("int"), lambda k: merged(s["p"], s["r"], k))).otherwise(s)
+            return _let(F.array_min(s["r"]), at_least)
 
         def merge_all(bounds: Column) -> Column:
             pairs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: between(bounds, i, i + 2))
-            step = lambda s, _: F.when((F.size(s["r"]) > 0) & (F.array_min(s["r"]) < NONE), merged(s)).otherwise(s)
             last = lambda s: F.transform(F.sequence(F.lit(0), F.size(s["p"]) - 2), lambda i: between(s["p"], i, i + 1))
             return F.aggregate(pairs, F.struct(bounds.alias("p"), pairs.alias("r")), step, last)
 
-        return _let(F.sequence(F.lit(1), F.length(text) + 1), merge_all)
-
-    def written(found: Column) -> Column:
-        join = lambda table: F.array_join(F.transform(found, lambda i: F.get(table, i)), "")
-        return F.struct(join(ids).alias("ids"), join(pieces).alias("bytes"))
-
-    def whole(text: Column) -> Column:
-        return _let(rank(text), lambda r: F.when(r < NONE, F.array(r)).otherwise(folded(text)))
-
-    return _let(_let(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), whole), written)
-
-
-def words(text: Column, pattern: str = public_tokenizers.PATTERN) -> Column:
-    """The pattern's matches, in order."""
-    return F.regexp_extract_all(text, F.lit(java_pattern(pattern)), F.lit(0))
+        return _let(F.sequence(F.lit(1), F.octet_length(text) + 1), merge_all)
+
+    return _let(ranks.rank(word), lambda r: F.when(r < NONE, F.array(r)).otherwise(folded(word)))
+
+
+def joined(parts: Column) -> Column:
+    """The bytes of all parts, one after the other: a cast between binary and string leaves bytes as they are."""
+    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
+
+
+def decode(ids: Column, ranks: RankMap) -> Column:
+    """The bytes that an array of ids stands for: their binary pieces, concatenated."""
+    return joined(F.transform(ids, lambda i: F.get(ranks.pieces, i)))
+
+
+def little_endian(i: Column) -> Column:
+    """An id as an unsigned 32-bit integer, least byte first."""
+    byte = lambda shift: F.lpad(F.hex(F.shiftrightunsigned(i, shift).bitwiseAND(255)), 2, "0")
+    return F.unhex(F.concat(byte(0), byte(8), byte(16), byte(24)))
+
+
+def heap_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
+    """The pieces that ranked merges leave of a word, the leftmost pair of least rank first."""
+    n = len(word)
+    # A piece is known by where it starts: end[i] is where it ends, before[i] where the piece to its left starts.
+    end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+    def offer(i: int) -> None:
+        j = end[i]
+        if j < n and (rank := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (rank, i, j, end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    while heap:
+        _, i, j, past = heapq.heappop(heap)
+        if end[i] != j or end[j] != past:
+            continue
+        end[i], end[j] = past, -1
+        if past < n:
+            before[past] = i
+        offer(i)
+        if before[i] >= 0:
+            offer(before[i])
+    out, i = [], 0
+    while i < n:
+        out.append(word[i : end[i]])
+        i = end[i]
+    return out
+
+
+class _Numbered(dict):
+    """Words by the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def _block(names: list, texts: list[str], pattern: regex.Pattern, ranks: Callable[[], dict[bytes, int]]) -> pa.RecordBatch:
+    """One row: the distinct words of some documents, and the documents as positions in them."""
+    numbered = _Numbered()
+    at = [np.fromiter(map(numbered.__getitem__, pattern.findall(text)), dtype=np.int32) for text in texts]
+    words = [w.encode() for w in numbered]
+    cut = {i: heap_pieces(w, ranks()) for i, w in enumerate(words) if len(w) > LONG}
+    if cut:
+        known, more = {w: i for i, w in enumerate(words)}, {}
+        for i, pieces in cut.items():
+            more[i] = np.array([known.setdefault(p, len(known)) for p in pieces], dtype=np.int32)
+            words[i] = b""
+        words += list(known)[len(words) :]
+        is_long = np.zeros(len(words), dtype=bool)
+        is_long[list(more)] = True
+        at = [np.concatenate([more[i] if i in more else np.array([i], dtype=np.int32) for i in a.tolist()]) if is_long[a].any() else a for a in at]
+    ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
+    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*at, np.empty(0, np.int32)])))
+    held = pa.StructArray.from_arrays([pa.array(names, pa.int64()), positions], ["doc_id", "at"])
+    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pa.RecordBatch.from_arrays([one(pa.array(words, pa.binary())), one(held)], ["words", "docs"])
+
+
+def blocks(rows: DataFrame, path: str, size: int = BLOCK, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """Blocks of documents, each with its distinct words, from rows of doc_id and text."""
+    shared = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compiled, names, texts, held = regex.compile(pattern), [], [], 0
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = text.as_py()
+                names.append(name)
+                texts.append(text)
+                held += len(text)
+                if held >= size:
+                    yield _block(names, texts, compiled, lambda: shared.value)
+                    names, texts, held = [], [], 0
+        if names:
+            yield _block(names, texts, compiled, lambda: shared.value)
+
+    return rows.mapInArrow(run, _BLOCKS)
+
+
+def encode(docs: DataFrame, path: str | None = None, size: int = BLOCK) -> DataFrame:
+    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and the bytes that the ids decode to, of every row."""
+    path = path or public_tokenizers.path(RANKS)
 
+    def coded(ranks: RankMap) -> Column:
+        def word(w: Column, le: Column) -> Column:
+            both = lambda ids: F.struct(joined(F.transform(ids, lambda i: F.get(le, i))).cast("string").alias("ids"), decode(ids, ranks).cast("string").alias("bytes"))
+            return _let(fold(w, ranks), both)
 
-def common_words(rows: DataFrame, path: str, most: int = MOST_WORDS) -> list[tuple[str, str, str]]:
-    """(word, hex of its ids, hex of their bytes) of the words that most documents hold: at most ``most`` words."""
-    spark = rows.sparkSession
-    at = scratch(spark, "words")
-    rows.select(F.explode(F.array_distinct(words(F.col("text")))).alias("word")).groupBy("word").agg(F.count("*").alias("n")).write.parquet(at)
-    counted = spark.read.parquet(at)
-    # How many words have each count: as few rows as there are different counts. The least count that keeps the bound.
-    least, held = NONE, 0
-    for n, count in sorted(((r["n"], r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True):
-        if held + count > most:
-            break
-        least, held = n, held + count
-    common = (F.col("n") >= least) & ~F.col("word").contains(BETWEEN)
-    folded = _with_ranks(path, lambda r, i, p: fold(F.col("word"), r, i, p)).alias("f")
-    return [(r[0], r[1], r[2]) for r in counted.where(common).select("word", folded).select("word", "f.ids", "f.bytes").toLocalIterator()]
+        def document(d: Column, words: Column) -> Column:
+            gather = lambda part: F.array_join(F.transform(d["at"], lambda i: F.get(words, i)[part]), "").cast("binary")
+            return F.struct(d["doc_id"].alias("doc_id"), gather("ids").alias("ids"), gather("bytes").alias("decoded"))
 
+        every_id = F.transform(F.sequence(F.lit(0), F.size(ranks.pieces) - 1), little_endian)
+        return _let(every_id, lambda le: _let(F.transform("words", lambda w: word(w, le)), lambda words: F.transform("docs", lambda d: document(d, words))))
 
-def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit integers), n_tokens, and the bytes that the ids decode to, of every row."""
-    path = path or public_tokenizers.path(RANKS)
-    rows = id_and_text(docs)
-    known = {w: (i, b) for w, i, b in common_words(rows, path)}
-    at, n = places(list(known), WORD_BITS), 1 << WORD_BITS
-    lists = [_strings([at.get(k, "") for k in range(n)])] + [_strings([known[at[k]][j] if k in at else "" for k in range(n)]) for j in (0, 1)]
-    del known, at
-
-    def coded(keys: Column, id_hex: Column, byte_hex: Column, ranks: Table, ids: Column, pieces: Column) -> Column:
-        table = Table(keys, [id_hex, byte_hex], WORD_BITS)
-        take = lambda k: F.struct(F.get(id_hex, k).alias("ids"), F.get(byte_hex, k).alias("bytes"))
-        each = F.transform(words(F.col("text")), lambda w: table.find(w, take, fold(w, ranks, ids, pieces)))
-        join = lambda all_, part: F.array_join(F.transform(all_, lambda x: x[part]), "")
-        return _let(each, lambda e: F.struct(join(e, "ids").alias("ids"), join(e, "bytes").alias("bytes")))
-
-    whole = _with_ranks(path, lambda r, i, p: _let(lists[0], lambda k: _let(lists[1], lambda x: _let(lists[2], lambda y: coded(k, x, y, r, i, p)))))
-    out = rows.select("doc_id", whole.alias("c"))
-    return out.select("doc_id", F.unhex("c.ids").alias("ids"), F.unhex("c.bytes").alias("decoded")).select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
-
-
-def decode(ids: Column, path: str | None = None) -> Column:
-    """The bytes that an array of ids stands for: their pieces, one after the other."""
-    pieces = _rank_lists(path or public_tokenizers.path(RANKS))[3]
-    return F.unhex(_let(_strings(pieces), lambda p: F.array_join(F.transform(ids, lambda i: F.get(p, i)), "")))
+    out = blocks(id_and_text(docs), path, size).select(F.inline(with_ranks(path, coded)))
+    return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")
 
 
 def digests(coded: DataFrame) -> DataFrame:
