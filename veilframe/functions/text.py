@@ -5,20 +5,31 @@ Spans are arrays of struct<category, start, end>, in code points, end exclusive;
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe.functions.geometry import let
 
-#: The identifiers' patterns.
-STABLE_ID, OPAQUE_ID = r"^[A-Za-z0-9][A-Za-z0-9._-]{2,127}$", r"^[A-Za-z0-9][A-Za-z0-9._-]{7,127}$"
+# The identifiers' patterns.
+STABLE_ID, OPAQUE_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{2,127}$", r"^[A-Za-z0-9][A-Za-z0-9._:-]{7,127}$"
 SEMVER, SHA256 = r"^[0-9]+\.[0-9]+\.[0-9]+$", r"^[0-9a-f]{64}$"
-#: What announces a one-time code.
-CODE_WORDS = r"(?i)(one[- ]time|verification|security|login|passcode|otp|code)"
-
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+(?![\p{L}\p{N}._%+-])"
-_CARD = r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"
-_CODE = r"(?<!\d)\d{4,8}(?!\d)"
+# What stands right before or right behind a one-time code, and what may stand between.
+CODE_BEFORE = r"(?:verification(?: code)?|verify|otp|one[ -]?time(?: code| password)?|passcode|security code|authentication code)(?: (?:is|number|code|pin))?"
+CODE_AFTER = r"(?:is )?(?:your )?(?:verification code|otp|one[ -]?time code|passcode|security code)\b"
+CODE_GAP = r"[ :#=\-]{0,12}"
+
+#: No letter, digit or mark of an address may touch one.
+_EDGE = r"[\p{L}\p{N}._%+-]"
+#: A label of a domain: at most 63 letters, digits and inner hyphens, in ASCII.
+_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
+_EMAIL = rf"(?iu)(?<!{_EDGE})[\p{{L}}\p{{N}}.!#$%&'*+/=?^_`{{|}}~-]{{1,64}}@{_LABEL}(?:\.{_LABEL})+(?!{_EDGE})"
+#: Thirteen to nineteen digits, with one space or hyphen between two of them at most.
+_CARD = r"(?<!\p{Nd})\p{Nd}(?:[ -]?\p{Nd}){12,18}(?!\p{Nd})"
+_CODE = r"(?<!\p{Nd})\p{Nd}{4,8}(?!\p{Nd})"
 #: North American numbers; other numbering plans are outside this subset.
 _PHONE = r"(?<!\d)(?:\+1[ -]?)?\(?[2-9]\d{2}\)?[ -]\d{3}-\d{4}(?!\d)"
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -58,9 +69,16 @@ def email_spans(text: Column) -> Column:
     return F.filter(spans(text, _EMAIL, "EMAIL"), strict)
 
 
+@cache
+def _foreign_digits() -> tuple[str, str]:
+    """The decimal digits outside ASCII, and the ASCII digits of equal value."""
+    found = [chr(i) for i in range(128, sys.maxunicode + 1) if unicodedata.category(chr(i)) == "Nd"]
+    return "".join(found), "".join(str(unicodedata.digit(c)) for c in found)
+
+
 def passes_luhn(number: Column) -> Column:
     """The check digit of a card number is right, and its digits are not all the same (D3)."""
-    digits = F.transform(F.split(F.regexp_replace(number, r"\D", ""), ""), lambda d: d.cast("int"))
+    digits = F.transform(F.split(F.regexp_replace(F.translate(number, *_foreign_digits()), r"[^0-9]", ""), ""), lambda d: d.cast("int"))
 
     def total(ds: Column) -> Column:
         n = F.size(ds)
@@ -81,11 +99,12 @@ def phone_spans(text: Column) -> Column:
 
 
 def code_spans(text: Column) -> Column:
-    """Four to eight digits with a code word within 64 characters before or 48 after."""
+    """Four to eight digits right behind or right before what announces a code, looked for in the 64 characters before and the 48 after."""
+    behind, ahead = F.lit(rf"(?iu)^.*{CODE_BEFORE}{CODE_GAP}\z"), F.lit(rf"(?iu)^{CODE_GAP}{CODE_AFTER}")
 
     def announced(s: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - 63), F.least(s["start"], F.lit(64)))
-        return before.rlike(CODE_WORDS) | F.substring(text, s["end"] + 1, F.lit(48)).rlike(CODE_WORDS)
+        return F.rlike(before, behind) | F.rlike(F.substring(text, s["end"] + 1, F.lit(48)), ahead)
 
     return F.filter(spans(text, _CODE, "ONE_TIME_CODE"), announced)
 
@@ -100,13 +119,14 @@ def in_order(found: Column) -> Column:
     return F.array_sort(F.array_distinct(found), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["end"] != b["end"], a["end"] - b["end"]).when(a["category"] < b["category"], -1).when(a["category"] > b["category"], 1).otherwise(0))
 
 
-def all_spans(text: Column, found: Column | None = None, most_chars: int = 16384, most: int = 256) -> Column:
-    """All structured spans in order; null where a text or its matches exceed the limits, so that the caller rejects it.
+def span_refusal(text: Column, found: Column, most_chars: int = 16384, most: int = 256) -> Column:
+    """Why a text's spans are refused: ``text`` above so many characters, ``matches`` above so many distinct spans; null if they are not."""
+    return F.when(F.length(text) > most_chars, "text").when(F.size(F.array_distinct(found)) > most, "matches")
 
-    ``found`` are the text's spans where the caller has them, such as those of its normalized form.
-    """
-    ordered = in_order(structured_spans(text) if found is None else found)
-    return F.when(F.length(text) <= most_chars, let(ordered, lambda f: F.when(F.size(f) <= most, f)))
+
+def all_spans(text: Column, found: Column) -> Column:
+    """All spans in order; null where the text is refused, see :func:`span_refusal`."""
+    return F.when(span_refusal(text, found).isNull(), in_order(found))
 
 
 def redacted(text: Column, found: Column, mark: str = "*") -> Column:
@@ -144,6 +164,11 @@ def group_id(name: Column) -> Column:
     return F.substring(F.sha2(name, 256), 1, 20)
 
 
+def ratio(numerator: Column, denominator: Column) -> Column:
+    """numerator, denominator and their quotient, null at a denominator of 0."""
+    return F.struct(numerator.cast("long").alias("numerator"), denominator.cast("long").alias("denominator"), F.try_divide(numerator, denominator).alias("value"))
+
+
 def iso_date(text: Column) -> Column:
     """A date, or null if it is none."""
     return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
@@ -156,8 +181,19 @@ def severity(status: Column) -> Column:
 
 def lane_of(group: Column, tags: Column) -> Column:
     """The lane that a fixture's tags name; null unless exactly one does."""
-    lanes = F.array_intersect(tags, F.lit(["AUTOMATIC", "WATCHLIST", "CONFIGURED_ZONE"]))
-    return F.when(group == "BIV", "BIV_SMOKE").when(F.size(lanes) == 1, F.get(lanes, 0))
+    lanes = F.array_intersect(tags, F.lit(["AUTOMATIC_PATTERN", "CONFIGURED_WATCHLIST", "CONFIGURED_ZONE"]))
+    return F.when(group == "BIV_PRIV_SEG", "BIV_SMOKE").when(F.size(lanes) == 1, F.get(lanes, 0))
+
+
+def grid_samples(luminance: Column, width: Column, height: Column, cells: int = 8) -> Column:
+    """The values at the corners of a grid of cells by cells, row by row; ``luminance`` is a frame's values, row by row."""
+    place = lambda i: F.least(height - 1, F.floor(F.floor(i / cells) * height / cells)) * width + F.least(width - 1, F.floor((i % cells) * width / cells))
+    return F.transform(F.sequence(F.lit(0), F.lit(cells * cells - 1)), lambda i: F.get(luminance, place(i).cast("int")).cast("bigint"))
+
+
+def grid_mean(samples: Column) -> Column:
+    """The mean of a frame's samples, rounded down."""
+    return F.floor(F.aggregate(samples, F.lit(0).cast("bigint"), lambda a, v: a + v) / F.size(samples))
 
 
 def luminance_pattern(values: Column) -> Column:

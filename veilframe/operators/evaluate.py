@@ -11,14 +11,10 @@ from pyspark.sql import types as T
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
+from veilframe.operators.relations import nearest_monotonic
 from veilframe.streaming.folds import fold_sorted
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """numerator, denominator and their quotient, null at a denominator of 0."""
-    return F.struct(numerator.alias("numerator"), denominator.alias("denominator"), F.try_divide(numerator, denominator).alias("value"))
-
-
 def slice_labels(small: Column, blurred: Column, occluded: Column, difficult: Column) -> Column:
     """The slices that an object is in, or the baseline."""
     named = ((small, "small"), (blurred, "heavy_blur"), (occluded, "heavy_occlusion"), (difficult, "difficult_capture"))
@@ -62,18 +58,20 @@ def mutual_best(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) ->
 
 
 def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
-    """Per slice and overall: objects, contained ones, matched ones, and the mean overlap of the matched."""
-    pairs = overlap_pairs(truth, preds)
-    matched = greedy_pairs(pairs.where("iou >= 0.20"), "frame", "obj", "pred", "iou").select("frame", "obj", F.col("iou").alias("m_iou"))
-    held = pairs.where("contained").select("frame", "obj").distinct().withColumn("held", F.lit(1))
-    each = truth.join(matched, ["frame", "obj"], "left").join(held, ["frame", "obj"], "left")
-    labels = F.concat(slice_labels(F.col("is_small"), F.col("is_blurred"), F.col("is_occluded"), F.col("is_difficult")), F.array(F.lit("overall")))
-    return each.select(F.explode(labels).alias("slice"), "held", "m_iou").groupBy("slice").agg(
-        F.count("*").alias("objects"),
-        F.coalesce(F.sum("held"), F.lit(0)).alias("contained"),
-        F.count("m_iou").alias("matched"),
-        F.round(F.avg("m_iou"), 6).alias("mean_iou"),
-    )
+    """Per slice of images and overall: images, objects, predictions, matched and contained pairs, false positives, mean overlap.
+
+    An image is in every slice that one of its objects is in; contained counts matched pairs alone; a prediction without a
+    match is a false positive. Images with predictions alone count as baseline.
+    """
+    matched = greedy_pairs(overlap_pairs(truth, preds), "frame", "obj", "pred", "iou", "contained")
+    hits = matched.groupBy("frame").agg(F.count("*").alias("matched"), F.count_if("contained").alias("contained"), F.sum("iou").alias("iou_sum"))
+    flags = ("is_small", "is_blurred", "is_occluded", "is_difficult")
+    images = truth.groupBy("frame").agg(F.count("*").alias("objects"), *(F.bool_or(c).alias(c) for c in flags))
+    found = preds.groupBy("frame").agg(F.count("*").alias("predictions"))
+    labels = F.concat(slice_labels(*(F.coalesce(c, F.lit(False)) for c in flags)), F.array(F.lit("overall")))
+    each = images.join(found, "frame", "full").join(hits, "frame", "left").select(F.explode(labels).alias("slice"), *(F.coalesce(c, F.lit(0)).alias(c) for c in ("objects", "predictions", "matched", "contained", "iou_sum")))
+    sums = each.groupBy("slice").agg(F.count("*").alias("images"), *(F.sum(c).alias(c) for c in ("objects", "predictions", "matched", "contained", "iou_sum")))
+    return sums.select("slice", "images", "objects", "predictions", "matched", "contained", (F.col("predictions") - F.col("matched")).alias("false_positives"), F.round(F.try_divide("iou_sum", "matched"), 6).alias("mean_iou"))
 
 
 def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
@@ -99,33 +97,62 @@ def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by:
     return fold_sorted(kept, frame, [target, F.desc(by), F.desc(finding)], lambda: (set(), set()), take, kept.schema)
 
 
-def raster_counts(truth: DataFrame, preds: DataFrame, grid: int = g.GRID) -> DataFrame:
-    """Per frame: targets, findings, and the grid cells of truth, of predictions, covered and in excess.
+def _cells(objects: DataFrame, grid: int, *keep: str) -> DataFrame:
+    """A row for each grid cell of each object; an object's corners must be in the unit square."""
+    return objects.select("frame", *keep, F.explode(g.cells(F.col("poly"), grid)).alias("cell"))
+
+
+def cell_matches(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
+    """(frame, obj, pred, cells): each target in turn takes the unused finding of its category that shares most cells with it.
+
+    ``targets`` has frame, obj, category and poly; ``findings`` frame, pred, p_category and poly.
+    """
+    t, p = _cells(targets, grid, "obj", "category"), _cells(findings, grid, "pred", "p_category")
+    shared = t.join(p, ["frame", "cell"]).where("category = p_category").groupBy("frame", "obj", "pred").agg(F.count("*").alias("cells"))
+    return sequential_best(shared, "frame", "obj", "pred", "cells")
+
+
+def raster_counts(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
+    """Per frame: targets, recalled ones, findings, false positives, and the cells of truth, of predictions, covered and in excess.
 
-    ``truth`` and ``preds`` have frame and poly. Cells are rows, so a crowded frame is many rows, not one long array.
+    Covered is the union of what the matched pairs share. Cells are rows, so a crowded frame is many rows, not one long array.
     """
-    cell = lambda df, flag: df.select("frame", F.explode(g.cells(F.col("poly"), grid)).alias("cell"), *(F.lit(f == flag).alias(f) for f in ("t", "p")))
-    cells = cell(truth, "t").unionByName(cell(preds, "p")).groupBy("frame", "cell").agg(F.bool_or("t").alias("t"), F.bool_or("p").alias("p"))
-    n = lambda c: F.count_if(c)
-    t, p = F.col("t"), F.col("p")
-    counts = cells.groupBy("frame").agg(n(t).alias("truth_cells"), n(p).alias("predicted_cells"), n(t & p).alias("covered_cells"), n(p & ~t).alias("excess_cells"))
+    taken = cell_matches(targets, findings, grid)
+    t, p = _cells(targets, grid, "obj"), _cells(findings, grid, "pred")
+    flag = lambda df, at: df.select("frame", "cell", *((F.lit(at == f)).alias(f) for f in ("t", "p", "c")))
+    covered = taken.select("frame", "obj", "pred").join(t, ["frame", "obj"]).join(p, ["frame", "pred", "cell"])
+    cells = flag(t, "t").unionByName(flag(p, "p")).unionByName(flag(covered, "c")).groupBy("frame", "cell").agg(*(F.bool_or(f).alias(f) for f in ("t", "p", "c")))
+    n, is_t, is_p = F.count_if, F.col("t"), F.col("p")
+    counts = cells.groupBy("frame").agg(n(is_t).alias("truth_cells"), n("c").alias("covered_cells"), n(is_p).alias("predicted_cells"), n(is_p & ~is_t).alias("excess_cells"))
     tally = lambda df, name: df.groupBy("frame").agg(F.count("*").alias(name))
-    zero = {c: 0 for c in ("targets", "findings", "truth_cells", "predicted_cells", "covered_cells", "excess_cells")}
-    return tally(truth, "targets").join(tally(preds, "findings"), "frame", "full").join(counts, "frame", "full").fillna(zero)
+    out = tally(targets, "targets").join(tally(findings, "findings"), "frame", "full").join(tally(taken, "recalled"), "frame", "left").join(counts, "frame", "full")
+    names = ("targets", "recalled", "truth_cells", "covered_cells", "predicted_cells", "excess_cells", "findings")
+    return out.fillna({c: 0 for c in names}).select("frame", *names, (F.coalesce("findings", F.lit(0)) - F.coalesce("recalled", F.lit(0))).alias("false_positives"))
 
 
 def suite_report(frames: DataFrame, grid: int = g.GRID) -> DataFrame:
-    """Sums by split and category, and their ratios; there is no overall row, as averages over categories mislead (F2, A10)."""
-    sums = frames.groupBy("split", "category").agg(F.count("*").alias("frames"), *(F.sum(c).alias(c) for c in ("targets", "findings", "recalled", "truth_cells", "covered_cells", "excess_cells")))
+    """Sums by split, lane and category, and their four ratios; there is no overall row, as averages over categories mislead (F2, A10)."""
+    counted = ("targets", "recalled", "truth_cells", "covered_cells", "predicted_cells", "excess_cells", "findings", "false_positives")
+    sums = frames.groupBy("split", "lane", "category").agg(F.count("*").alias("frames"), *(F.sum(c).alias(c) for c in counted))
     col = F.col
     return sums.withColumns({
         "recall": F.try_divide(col("recalled"), col("targets")),
         "coverage": F.try_divide(col("covered_cells"), col("truth_cells")),
         "excess_share": F.try_divide(col("excess_cells"), col("frames") * grid * grid),
-        "precision": F.try_divide(col("recalled"), col("findings")),
+        "false_share": F.try_divide(col("false_positives"), col("findings")),
     })
 
 
+def lane_targets(objects: DataFrame, lane: Column, grid: int = g.GRID) -> DataFrame:
+    """The protectable objects of each frame; in the lane of configured zones the one of most cells alone, the first of equals.
+
+    ``objects`` has frame, obj, poly and protectable.
+    """
+    at = objects.where("protectable").withColumns({"__zone": lane == "CONFIGURED_ZONE", "__n": F.size(g.cells(F.col("poly"), grid))})
+    k = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("__n"), "obj"))
+    return at.withColumn("__k", k).where("NOT __zone OR __k = 1").drop("__zone", "__n", "__k")
+
+
 def category_sets_differ(frames: DataFrame) -> DataFrame:
     """Categories that some split lacks."""
     splits = frames.select("split").distinct()
@@ -134,17 +161,20 @@ def category_sets_differ(frames: DataFrame) -> DataFrame:
     return wanted.join(have, "category").select("category", F.explode(F.array_except("all", "have")).alias("missing_split"))
 
 
-def mixed_frames(objects: DataFrame) -> DataFrame:
-    """Frames whose objects have several categories, which an evaluation refuses."""
-    return objects.groupBy("frame").agg(F.countDistinct("category").alias("categories")).where("categories > 1")
+def mixed_frames(objects: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Frames whose targets have several categories, and those of ``frames`` without a target, which an evaluation refuses."""
+    counted = objects.groupBy("frame").agg(F.countDistinct("category").alias("categories"))
+    if frames is not None:
+        counted = frames.select("frame").distinct().join(counted, "frame", "left").fillna({"categories": 0})
+    return counted.where("categories <> 1")
 
 
-def _runs(frames: DataFrame) -> DataFrame:
+def _runs(frames: DataFrame, nominal_ns: int) -> DataFrame:
     """Durations, visible spans, and islands of unprotected visible frames."""
     w = Window.partitionBy("episode").orderBy("frame")
     span = Window.partitionBy("episode", "span").orderBy("frame")
     with_span = frames.withColumns({
-        "duration": F.coalesce(F.lead("ts_ns").over(w) - F.col("ts_ns"), F.lit(0)),
+        "duration": F.coalesce(F.lead("ts_ns").over(w) - F.col("ts_ns"), F.lit(nominal_ns)),
         "span": F.sum(F.when(F.col("visible"), 0).otherwise(1)).over(w),
         "open": F.col("visible") & ~F.col("guarded"),
     })
@@ -158,12 +188,13 @@ def _runs(frames: DataFrame) -> DataFrame:
     })
 
 
-def episode_metrics(frames: DataFrame) -> DataFrame:
+def episode_metrics(frames: DataFrame, nominal_ns: int) -> DataFrame:
     """Per episode: visible and protected frames, coverage, longest gap in frames and nanoseconds, fragments, id switches.
 
-    An invisible frame ends a gap and a span: fragments and switches are counted inside spans only. A frame lasts until the next one.
+    An invisible frame ends a gap and a span: fragments and switches are counted inside spans only. A frame lasts until the
+    next one, an episode's last frame for the nominal duration (G4).
     """
-    runs = _runs(frames)
+    runs = _runs(frames, nominal_ns)
     gaps = runs.where("open").groupBy("episode", "gap").agg(F.count("*").alias("n"), F.sum("duration").alias("ns")).groupBy("episode").agg(F.max("n").alias("gap_frames"), F.max("ns").alias("gap_ns"))
     spans = runs.groupBy("episode", "span").agg(F.greatest(F.count_if("run_starts") - 1, F.lit(0)).alias("fragments"), F.count_if(F.col("id_now").isNotNull() & (F.col("id_now") != F.col("last_id"))).alias("switches"))
     spans = spans.groupBy("episode").agg(F.sum("fragments").alias("fragments"), F.sum("switches").alias("switches"))
@@ -185,6 +216,32 @@ def episode_summary(metrics: DataFrame) -> DataFrame:
     )
 
 
+def join_totals(wanted: DataFrame, decoded: DataFrame, key: str, tolerance: int) -> DataFrame:
+    """Per episode: annotation and decoded frames, matched ones, decoded ones that no annotation took, and the largest time difference."""
+    joined = nearest_monotonic(wanted, decoded, key, tolerance)
+    seen = joined.groupBy(key).agg(F.count("*").alias("annotated"), F.count("taken").alias("matched"), F.coalesce(F.max(F.abs(F.col("at") - F.col("taken"))), F.lit(0)).alias("largest_delta"))
+    counted = decoded.groupBy(key).agg(F.count("*").alias("decoded"))
+    both = seen.join(counted, key, "full").fillna({c: 0 for c in ("annotated", "matched", "largest_delta", "decoded")})
+    return both.select(key, "annotated", "decoded", "matched", (F.col("decoded") - F.col("matched")).alias("unmatched_decoded"), "largest_delta")
+
+
+def object_metrics(objects: DataFrame, joined: DataFrame, decoded: DataFrame, nominal_ns: int) -> DataFrame:
+    """The episode metrics of each object whose role is UNKNOWN, over all annotated frames of its episode (F8).
+
+    ``objects`` has episode, at, object, role and protectable; ``joined`` the rows of E4 (episode, at, taken) for every annotated
+    frame; ``decoded`` has episode, at, object, fully_protected and track. Where an object is absent or not protectable it is not visible;
+    where it was not decoded it is visible and not protected.
+    """
+    unknown = objects.where("role = 'UNKNOWN'").select("episode", "object").distinct()
+    shown = objects.where("protectable").select("episode", "at", "object", F.lit(True).alias("visible"))
+    seen = decoded.select("episode", F.col("at").alias("taken"), "object", "fully_protected", "track")
+    frames = joined.withColumn("frame", F.row_number().over(Window.partitionBy("episode").orderBy("at")))
+    each = frames.join(unknown, "episode").join(shown, ["episode", "at", "object"], "left").join(seen, ["episode", "taken", "object"], "left")
+    visible = F.coalesce("visible", F.lit(False))
+    named = each.select(F.struct("episode", "object").alias("episode"), "frame", F.col("at").alias("ts_ns"), visible.alias("visible"), (visible & F.coalesce("fully_protected", F.lit(False))).alias("guarded"), F.when(visible, F.col("track")).alias("track"))
+    return episode_metrics(named, nominal_ns).select("episode.*", *("visible", "guarded", "fragments", "switches", "gap_frames", "gap_ns", "coverage"))
+
+
 def accepted(metrics: DataFrame, least: float, most_gap_ns: int) -> DataFrame:
     """Whether coverage and longest gap meet acceptance thresholds."""
     ok = (F.coalesce(F.col("coverage"), F.lit(1.0)) >= least) & (F.col("gap_ns") <= most_gap_ns)

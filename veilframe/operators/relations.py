@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
+from veilframe.shared import cut, scratch
 from veilframe.streaming.folds import fold_sorted
 
 
@@ -28,13 +29,13 @@ def as_of(frames: DataFrame, snapshots: DataFrame, lanes: list[str]) -> DataFram
     per_lane = frames.withColumn("lane", F.explode(F.lit(lanes))).select("session", "lane", F.col("ts_ns").alias("at"), F.col("frame"), F.lit(1).alias("kind"), F.lit(None).alias("s"))
     firsts = snapshots.withColumn("__k", F.row_number().over(Window.partitionBy("session", "lane", "source_ns").orderBy("event_id"))).where("__k = 1")
     sources = firsts.select("session", "lane", F.col("source_ns").alias("at"), F.lit(None).alias("frame"), F.lit(0).alias("kind"), F.struct(*payload).alias("s"))
-    w = Window.partitionBy("session", "lane").orderBy("at", "kind")
+    keys = Window.partitionBy("session", "lane")
     both = sources.unionByName(per_lane)
     found = both.withColumns({
-        "past": F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "ahead": F.first("s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).isNotNull(),
+        "past": F.last("s", ignorenulls=True).over(keys.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)),
+        "newest": F.max(F.col("s.source_ns")).over(keys),
     })
-    basis = F.when(F.col("past").isNotNull(), "FOUND").when(F.col("ahead"), "FUTURE").otherwise("MISSING")
+    basis = F.when(F.col("past").isNotNull(), "FOUND").when(F.col("newest") > F.col("at"), "FUTURE").otherwise("MISSING")
     return found.where("kind = 1").select("session", "frame", F.col("at").alias("ts_ns"), "lane", basis.alias("basis"), *(F.col("past")[c].alias(c) for c in payload))
 
 
@@ -70,19 +71,24 @@ def nearest_monotonic(wanted: DataFrame, decoded: DataFrame, key: str, tolerance
     return fold_sorted(both, key, ["turn", "kind"], list, step, f"{key} {dict(wanted.dtypes)[key]}, at long, taken long")
 
 
-def decision_lookup(frames: DataFrame, decisions: DataFrame, forgotten: DataFrame) -> DataFrame:
+def decision_lookup(frames: DataFrame, decisions: DataFrame, forgotten: DataFrame, most_age_ns: int) -> DataFrame:
     """The decision of exactly a frame's time, or why a shield stands in for it (E5).
 
     ``frames``: session, ts_ns, now_ns. ``decisions``: session, ts_ns, status, expires_ns. ``forgotten``: evicted session, ts_ns.
+    Without a decision: EVICTED, FUTURE where the session has a later one, else MISSING. With one: EXPIRED after its expiry, STALE
+    above the age. A lookup before its frame is REFUSED.
     """
     newest = decisions.groupBy("session").agg(F.max("ts_ns").alias("newest"))
     gone = forgotten.select("session", "ts_ns").withColumn("evicted", F.lit(True))
     joined = frames.join(decisions, ["session", "ts_ns"], "left").join(gone, ["session", "ts_ns"], "left").join(newest, "session", "left")
+    none = F.col("status").isNull()
     reason = (
-        F.when(F.col("status").isNull() & F.coalesce(F.col("evicted"), F.lit(False)), "EVICTED")
-        .when(F.col("status").isNull() & (F.col("newest").isNull() | (F.col("ts_ns") < F.col("newest"))), "MISSING")
-        .when(F.col("status").isNull(), "FUTURE")
+        F.when(F.col("now_ns") < F.col("ts_ns"), "REFUSED")
+        .when(none & F.coalesce(F.col("evicted"), F.lit(False)), "EVICTED")
+        .when(none & (F.col("newest") > F.col("ts_ns")), "FUTURE")
+        .when(none, "MISSING")
         .when(F.col("now_ns") > F.col("expires_ns"), "EXPIRED")
+        .when(F.col("now_ns") - F.col("ts_ns") > most_age_ns, "STALE")
     )
     return joined.select("session", "ts_ns", F.coalesce(reason, F.lit("OK")).alias("lookup"), F.when(reason.isNull(), F.col("status")).otherwise("FULL_SHIELD").alias("status"))
 
@@ -177,10 +183,25 @@ def retention(rows: DataFrame, key: str, at: str, keep: int, remember: int) -> D
     return rows.withColumn("fate", F.when(k <= keep, "RETAINED").when(k <= keep + remember, "EVICTED").otherwise("FORGOTTEN"))
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Rows with their place in an order over all of them, from 1.
+
+    Rows are dealt by range and counted there; a range's first number is what the ranges before hold, so one task adds up counts alone.
+    Written once, as the ranges of two evaluations might differ.
+    """
+    spark = rows.sparkSession
+    at = scratch(spark, "ranges")
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__k": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1}).write.parquet(at)
+    dealt = spark.read.parquet(at)
+    counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    return dealt.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__k")).drop("__part", "__k", "__before")
+
+
 def nth_trigger(rows: DataFrame, key: str, order: list[str], skip: int) -> DataFrame:
     """The one row of each key that fires after ``skip`` others, and its place among those that fire."""
     fired = rows.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("__k") == skip + 1).drop("__k")
-    return fired.withColumn("fired", F.row_number().over(Window.orderBy(*order)))
+    return numbered(fired, order, "fired")
 
 
 def suffix_match(seen: DataFrame, wanted: DataFrame, key: str, least: int = 1, most: int = 160) -> DataFrame:
@@ -195,19 +216,31 @@ def suffix_match(seen: DataFrame, wanted: DataFrame, key: str, least: int = 1, m
 
 
 def stratified_choice(rows: DataFrame, slices: list[str], each: int, name: str, seed: str) -> DataFrame:
-    """For each slice in turn the rows of least hash that no slice before has taken (H1).
+    """For each slice in turn the ``each`` rows of least hash that no slice before has taken; a slice that runs short fails the query (H1).
 
-    ``rows`` has name and slices (an array). A report of ``each`` rows a slice, so what is taken is small and is joined by broadcast.
+    ``rows`` has name and slices (an array). The slices before one can take at most ``each`` rows each, so a slice's choice is among its
+    first ``each`` times its place; these are kept in one pass, and the choice runs over them alone.
     """
-    hashed = rows.select(name, "slices", F.sha2(F.concat(F.lit(seed), F.col(name)), 256).alias("lot"))
+    lots = rows.select(name, F.sha2(F.concat(F.lit(seed), F.col(name)), 256).alias("lot"), F.posexplode(F.filter(F.lit(slices), lambda s: F.array_contains("slices", s))).alias("__i", "slice"))
+    place = F.array_position(F.lit(slices), F.col("slice"))
+    k = F.row_number().over(Window.partitionBy("slice").orderBy("lot", name))
+    first = cut(lots.withColumn("__k", k).where(F.col("__k") <= place * each).select(name, "lot", "slice"))
     taken = None
     for label in slices:
-        free = hashed.where(F.array_contains("slices", label))
+        free = first.where(F.col("slice") == label)
         if taken is not None:
             free = free.join(F.broadcast(taken.select(name)), name, "left_anti")
-        mine = free.orderBy("lot", name).limit(each).select(name, "lot", F.lit(label).alias("slice"))
+        mine = free.orderBy("lot", name).limit(each)
         taken = mine if taken is None else taken.unionByName(mine)
-    return taken
+    counts = taken.groupBy("slice").agg(F.count("*").alias("__n"))
+    short = F.raise_error(F.concat(F.lit("too few candidates for "), F.col("slice")))
+    enough = spread(taken.sparkSession, slices, "slice").join(counts, "slice", "left").select("slice", F.when(F.col("__n") >= each, True).otherwise(short.cast("boolean")).alias("__ok"))
+    return taken.join(F.broadcast(enough), "slice").where("__ok").select(name, "lot", "slice")
+
+
+def spread(spark: SparkSession, values: list[str], name: str) -> DataFrame:
+    """A column of a few given values."""
+    return spark.range(1).select(F.explode(F.lit(values)).alias(name))
 
 
 def first_in_key(rows: DataFrame, key: str, order: list[Column | str], most: int) -> DataFrame:
@@ -216,34 +249,47 @@ def first_in_key(rows: DataFrame, key: str, order: list[Column | str], most: int
 
 
 def leaked_values(rows: DataFrame, split: str, keys: list[str]) -> DataFrame:
-    """Values of leakage keys that stand in more than one split."""
-    long = rows.select(split, F.explode(F.array(*(F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys))).alias("kv"))
+    """Values of leakage keys that stand in more than one split; each element of an array-valued key is a value of its own."""
+    types = dict(rows.dtypes)
+    values = lambda k: F.col(k).cast("array<string>") if types[k].startswith("array") else F.array(F.col(k).cast("string"))
+    named_as = lambda k: F.transform(F.coalesce(values(k), F.array().cast("array<string>")), lambda v: F.struct(F.lit(k).alias("key"), v.alias("value")))
+    named = F.concat(*map(named_as, keys))
+    long = rows.select(split, F.explode(named).alias("kv"))
     return long.where("kv.value IS NOT NULL").groupBy("kv.key", "kv.value").agg(F.countDistinct(split).alias("splits")).where("splits > 1").select("key", "value", "splits")
 
 
-def merge_boxes(boxes: DataFrame, key: str, provenance: str) -> DataFrame:
+def merge_boxes(boxes: DataFrame, key: str, provenance: list[str]) -> DataFrame:
     """Overlapping boxes of one provenance united again and again until none overlap (I6). A united box can reach boxes that no member touched.
 
-    The boxes of a key pass in order; the state is the boxes merged so far.
+    ``provenance`` names the columns that must agree: category, confidence and action of findings, or none for zones. The boxes of a key
+    and provenance pass by their left edge; the state is the boxes merged so far that a later one can still reach.
     """
-    marked = boxes.select(key, provenance, *Rect._fields, F.lit(0).alias("end")).unionByName(boxes.select(key).distinct().select(key, F.lit(None).cast(boxes.schema[provenance].dataType).alias(provenance), *(F.lit(None).cast("double").alias(c) for c in Rect._fields), F.lit(1).alias("end")))
+    group = [key, *provenance]
+    owner = boxes.select(F.struct(*group).alias("__g"), *Rect._fields, F.lit(0).alias("__end"))
+    last = boxes.select(F.struct(*group).alias("__g")).distinct().select("__g", *(F.lit(None).cast("double").alias(c) for c in Rect._fields), F.lit(1).alias("__end"))
 
     def meets(a: tuple, b: tuple) -> bool:
-        return a[0] == b[0] and a[1] <= b[3] and a[3] >= b[1] and a[2] <= b[4] and a[4] >= b[2]
+        return a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1]
 
     def step(state: list[tuple], row: tuple) -> tuple[list[tuple], list[tuple]]:
-        if row[6]:
-            return [], [(row[0], *b) for b in sorted(state)]
-        now = row[1:6]
-        while (hit := next((i for i, b in enumerate(state) if meets(b, now)), None)) is not None:
-            b = state.pop(hit)
-            now = (now[0], min(b[1], now[1]), min(b[2], now[2]), max(b[3], now[3]), max(b[4], now[4]))
-        state.append(now)
-        return state, []
-
-    types = dict(boxes.dtypes)
-    schema = f"{key} {types[key]}, {provenance} {types[provenance]}, left double, top double, right double, bottom double"
-    return fold_sorted(marked, key, ["end", provenance, *Rect._fields], list, step, schema)
+        owner, *now, end = row
+        if end:
+            return [], [(owner, *b) for b in state]
+        # Boxes come by their left edge. A box left of everything that can still grow is done: behind it lies a free upright line.
+        open_from, kept, done = now[0], [], []
+        for b in sorted(state, key=lambda b: -b[2]):
+            (kept if b[2] >= open_from else done).append(b)
+            open_from = min(open_from, b[0]) if b[2] >= open_from else open_from
+        now = tuple(now)
+        while (hit := next((i for i, b in enumerate(kept) if meets(b, now)), None)) is not None:
+            b = kept.pop(hit)
+            now = (min(b[0], now[0]), min(b[1], now[1]), max(b[2], now[2]), max(b[3], now[3]))
+        return [*kept, now], [(owner, *b) for b in done]
+
+    marked = owner.unionByName(last).select(F.to_json("__g", {"ignoreNullFields": "false"}).alias("__g"), *Rect._fields, "__end")
+    merged = fold_sorted(marked, "__g", ["__end", *Rect._fields], list, step, "__g string, left double, top double, right double, bottom double")
+    types = ", ".join(f"`{c}` {t}" for c, t in boxes.dtypes if c in group)
+    return merged.select(F.from_json("__g", types).alias("__g"), *Rect._fields).select(*(F.col("__g")[c].alias(c) for c in group), *Rect._fields)
 
 
 def release_statistics(units: DataFrame, key: str) -> DataFrame:

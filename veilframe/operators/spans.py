@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions import text as t
 from veilframe.functions.geometry import let
 
 #: More terms than this are refused, as a session's list is short.
@@ -160,6 +161,29 @@ def watchlist_spans(docs: DataFrame, key: str, text: str, terms: DataFrame) -> D
     return spans.select(key, "term", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
+def private_spans(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, category, start, end) of every structured span and watchlist term, in the places of the source, each once.
+
+    Texts or matches above the limits have no spans; :func:`refused_texts` names them.
+    """
+    return _all(docs, key, text, terms).where("refusal IS NULL").select(key, F.explode("found").alias("s")).select(key, "s.*")
+
+
+def refused_texts(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, refusal) of the texts whose length or number of matches is above the limits."""
+    return _all(docs, key, text, terms).where("refusal IS NOT NULL").select(key, "refusal")
+
+
+def _all(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
+    """(key, found, refusal): a document's spans in order."""
+    listed = watchlist_spans(docs, key, text, terms).groupBy(key).agg(F.collect_list(F.struct(F.lit("WATCHLIST_MATCH").alias("category"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__listed"))
+    own = docs.select(key, F.col(text).alias("__text"), nfkc(text).alias("__n"))
+    structured = in_source(t.structured_spans(F.col("__n.text")), F.col("__n"))
+    none = F.array().cast("array<struct<category:string,start:int,end:int>>")
+    both = own.join(listed, key, "left").select(key, "__text", F.concat(F.coalesce(structured, none), F.coalesce("__listed", none)).alias("__found"))
+    return both.select(key, t.in_order(F.col("__found")).alias("found"), t.span_refusal(F.col("__text"), F.col("__found")).alias("refusal"))
+
+
 def normalized_terms(raw: DataFrame) -> DataFrame:
     """Terms in NFKC, lower case and single spaces; those with control characters, or not of 1 to 64 characters, are left out."""
     term = F.trim(F.regexp_replace(_nfkc_whole("term"), r"[\s\x1c-\x1f\u1680\u2000-\u200a\u2028\u2029\u205f\u3000]+", " "))

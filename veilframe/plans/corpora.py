@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilframe import derive
 from veilframe.functions.geometry import Rect
-from veilframe.operators import evaluate as e
+from veilframe.plans import evaluation
+from veilframe.plans.views import sql
+from veilframe.shared import scratch
 from veilframe.sources import corpora as c
 from veilframe.sources import records as r
-from veilframe.plans.views import sql
 
 
 def _block_lines(spark, sf):
@@ -35,6 +37,81 @@ def a3_findings(spark, sf):
     return r.keyed_findings(rows, ["frame", "ln"])[1]
 
 
+def _files(rows, name, value="raw"):
+    """Writes rows of (g, at, raw) as text, a folder of one file for each g with its rows in order; the folder's path."""
+    path = scratch(rows.sparkSession, name)
+    rows.repartition("g").sortWithinPartitions("g", "at").select("g", F.col(value).alias("value")).write.partitionBy("g").text(path)
+    return path
+
+
+#: A group of a file is 256 keys in a row, so files grow in number with the table.
+_G = "o_orderkey div 256"
+
+
+def _group(path):
+    return F.regexp_extract(path, "/g=([0-9]+)/", 1).cast("long")
+
+
+def _raw_lines(spark, sf):
+    return derive.table(spark, sf, "orders").selectExpr(
+        f"{_G} AS g", "o_orderkey AS at", "o_custkey",
+        "CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN '{' WHEN o_orderkey % 11 = 0 THEN '[1]' ELSE concat('{\"id\":', o_orderkey, ',\"name\":\"c', o_custkey, '\"}') END AS raw",
+    )
+
+
+def a1_lines(spark, sf):
+    """Lines of files that Spark has written, some blank, some broken."""
+    rows = r.strict_jsonl(spark, _files(_raw_lines(spark, sf), "a1"), "id long, name string")
+    return rows.select(_group("file").alias("g"), "line", "error", F.when(F.col("error").isNull(), F.col("record.id")).alias("id"))
+
+
+def a2_records(spark, sf):
+    path = _files(_raw_lines(spark, sf).where("raw LIKE '{_%' OR raw = ' '"), "a2")
+    return r.lenient_jsonl(spark, path, "id long, name string").select("id", "name")
+
+
+def a4_truth(spark, sf):
+    """Truth folders that a manifest names, one of which is absent."""
+    t = derive.truth_box(spark, sf).selectExpr("frame div 256 AS g", "frame * 100 + obj AS at", "concat('{\"frame\":', frame, ',\"obj\":', obj, '}') AS raw")
+    path = _files(t.where("g % 7 <> 3"), "a4")
+    truth = spark.read.schema("frame long, obj long").json(path).select("*", F.col("_metadata.file_path").alias("file")).drop("g")
+    manifest = derive.truth_box(spark, sf).selectExpr("frame div 256 AS fixture").distinct().selectExpr("fixture", "concat('g=', fixture) AS truthPath")
+    return r.truth_of(manifest, truth, path.split("/")[-1]).select("fixture", "frame", "obj", "error")
+
+
+def a6_coco(spark, sf):
+    """COCO files, each with its images, categories and annotations, read as three tables and joined."""
+    t = derive.truth_box(spark, sf).withColumn("g", F.expr("frame div 256"))
+    notes = t.groupBy("g").agg(F.to_json(F.collect_list(F.struct((F.col("frame") * 100 + F.col("obj")).alias("id"), F.col("frame").alias("image_id"), (F.col("obj") % 3).alias("category_id"), F.array(*(F.col(c) * 64 for c in ("left", "top")), (F.col("right") - F.col("left")) * 64, (F.col("bottom") - F.col("top")) * 64).alias("bbox")))).alias("a"))
+    images = t.where("frame % 10 <> 0").select("g", "frame").distinct().groupBy("g").agg(F.to_json(F.collect_list(F.struct(F.col("frame").alias("id"), F.concat("frame", F.lit(".jpg")).alias("file_name"), F.lit(64).alias("width"), F.lit(64).alias("height")))).alias("i"))
+    categories = F.lit('[{"id":0,"name":"a"},{"id":1,"name":"b"}]')
+    doc = notes.join(images, "g", "left").select("g", F.lit(0).alias("at"), F.concat(F.lit('{"annotations":'), "a", F.lit(',"categories":'), categories, F.lit(',"images":'), F.coalesce("i", F.lit("[]")), F.lit("}")).alias("raw"))
+    images, categories, notes = c.coco_tables(spark, _files(doc, "a6"))
+    return c.coco_star(images, categories.distinct(), notes).select("id", "file_name", "category", "error", F.round(F.col("polygon")[2][0], 9).alias("x1"))
+
+
+def a7_digests(spark, sf):
+    """Sizes and digests of written files."""
+    files = r.media_digests(spark, _files(_raw_lines(spark, sf), "a7"))
+    return files.select(_group("path").alias("g"), "bytes", "digest")
+
+
+def a8_jpeg(spark, sf):
+    """Headers of JPEG files with a segment before the size; some are cut short."""
+    two = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    p, n = derive.table(spark, sf, "part"), F.col("p_size").cast("long")
+    head = F.concat(F.unhex(F.lit("FFD8FFE000046162FFC0001108")), two(n * 7 + 1), two(n * 11 + 3), F.unhex(F.lit("00000000")))
+    files = p.select(F.col("p_partkey").cast("string").alias("path"), F.when(F.col("p_partkey") % 9 == 0, F.substring(head, 1, 9)).otherwise(head).alias("content"))
+    return r.jpeg_sizes(files)
+
+
+def h4_plan(spark, sf):
+    """The plan of the thirteen fixtures of one split, in order of path."""
+    items = derive.table(spark, sf, "supplier").selectExpr("concat('s', s_nationkey, '/', s_suppkey, '.png') AS path", "sha2(s_name, 256) AS digest", "CASE WHEN s_suppkey <= 13 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split")
+    plan = c.staging_plan(items, items.select("path", "digest"), "DEVELOPMENT", 13)
+    return plan.where("problem IS NULL").withColumn("place", F.row_number().over(Window.orderBy("path"))).select("place", "path")
+
+
 def a9_records(spark, sf):
     rows = derive.table(spark, sf, "part").selectExpr("p_partkey AS id", "p_name AS name", "p_size AS a_size")
     return rows.select("id", r.sorted_json(rows.columns).alias("line"))
@@ -84,13 +161,28 @@ def k3_retention(spark, sf):
 
 
 def a10_report(spark, sf):
-    """Report rows; there is no overall row."""
-    t = derive.truth_box(spark, sf).where("obj = 1").selectExpr("CASE WHEN frame % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split", "category", "1 AS targets", "2 AS findings", "CAST(ln = 1 AS INT) AS recalled", "pk AS truth_cells", "pk AS covered_cells", "sk AS excess_cells")
-    out = e.suite_report(t, grid=256)
-    return out.select(r.sorted_json(["split", "category", "frames", "recalled", "targets"]).alias("line"))
+    """The report written as lines and read back; there is no overall row."""
+    lines = r.report_lines(evaluation.suite(spark, sf), "suite-1", evaluation.GRID)
+    back = lines.select(F.from_json("line", r.REPORT_LINE).alias("x")).select("x.*")
+    part = lambda c, n: (F.col(c).numerator.alias(f"{n}_n"), F.col(c).denominator.alias(f"{n}_d"))
+    return back.select(
+        F.col("schemaVersion").alias("schema_version"), "suite", F.col("gridSize").alias("grid_size"), "split", "lane", "category", "frames", *part("recall", "recall"), F.round("recall.value", 9).alias("recall"),
+        *part("localizationCoverage", "coverage"), *part("excessiveMask", "excess"), *part("falsePositives", "false"), F.col("overallAverageIntentionallyOmitted").alias("omitted"),
+    )
+
 
+_RAW = """l AS (SELECT o_orderkey // 256 AS g, o_orderkey AS pos, CASE WHEN o_orderkey % 17 = 0 THEN ' ' WHEN o_orderkey % 13 = 0 THEN '{' WHEN o_orderkey % 11 = 0 THEN '[1]' ELSE '{"id":' || o_orderkey || ',"name":"c' || o_custkey || '"}' END AS raw FROM orders)"""
 
 ORACLE = {
+    "a1_lines": f"""WITH {_RAW}, n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pos) AS line FROM l)
+        SELECT g, line, CASE WHEN raw = '{{' THEN 'bad_json' WHEN raw = '[1]' THEN 'not_an_object' END AS error, CASE WHEN raw LIKE '{{_%' THEN pos END AS id FROM n WHERE raw <> ' ' UNION ALL SELECT g, 0, 'empty_file', NULL FROM l GROUP BY g HAVING bool_and(raw = ' ')""",
+    "a2_records": "SELECT o_orderkey AS id, 'c' || o_custkey AS name FROM orders WHERE o_orderkey % 17 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 11 <> 0",
+    "a4_truth": sql("SELECT frame // 256 AS fixture, frame, obj, NULL AS error FROM truth_box WHERE frame // 256 % 7 <> 3 UNION ALL SELECT DISTINCT frame // 256, NULL::BIGINT, NULL::BIGINT, 'absent' FROM truth_box WHERE frame // 256 % 7 = 3", "truth_box"),
+    "a6_coco": sql("""SELECT frame * 100 + obj AS id, CASE WHEN frame % 10 <> 0 THEN frame || '.jpg' END AS file_name, CASE obj % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS category, CASE WHEN frame % 10 = 0 THEN 'image' WHEN obj % 3 = 2 THEN 'category' END AS error,
+        CASE WHEN frame % 10 <> 0 AND obj % 3 <> 2 THEN round(least(1, "right"), 9) END AS x1 FROM truth_box""", "truth_box"),
+    "a7_digests": f"WITH {_RAW} SELECT g, sum(length(raw) + 1)::BIGINT AS bytes, sha256(string_agg(raw || chr(10), '' ORDER BY pos)) AS digest FROM l GROUP BY g",
+    "a8_jpeg": "SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 11 + 3)::INT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 7 + 1)::INT END AS height FROM part",
+    "h4_plan": "SELECT row_number() OVER (ORDER BY path)::INT AS place, path FROM (SELECT 's' || s_nationkey || '/' || s_suppkey || '.png' AS path FROM supplier WHERE s_suppkey <= 13) WHERE (SELECT count(*) FROM supplier WHERE s_suppkey <= 13) = 13",
     "a5_blocks": sql("SELECT 'f' || frame || '.jpg' AS filename, count(*) OVER (PARTITION BY frame)::INT AS declared, obj::INT AS box, pk::INT AS x, sk::INT AS y, ln::INT AS width, CASE WHEN obj = 3 THEN NULL ELSE 1 END AS pose FROM truth_box", "truth_box"),
     "a5_block_errors": sql("SELECT 'f' AS file, 'f' || frame || '.jpg' AS filename, 'fields' AS code FROM truth_box WHERE obj = 3", "truth_box"),
     "a3_findings": sql("SELECT frame, ln, count(*) AS n, count(*) FILTER (pk % 9 = 0) AS without FROM truth_box GROUP BY frame, ln HAVING count(*) > 1 OR count(*) FILTER (pk % 9 = 0) > 0", "truth_box"),
@@ -105,6 +197,6 @@ ORACLE = {
     "k2_staging": """WITH i AS (SELECT 'd' || doc_id % 3 || '/' || doc_id // 3 || '.jpg' AS path, doc_id // 3 AS name, (doc_id // 3) % 10 = 7 AS differs FROM documents WHERE lang = 'en')
         SELECT path, CASE WHEN differs THEN 'digest' WHEN count(*) OVER (PARTITION BY name) > 1 THEN 'name' WHEN count(*) OVER () <> 13 THEN 'number' END AS problem FROM i""",
     "k3_retention": "SELECT o_orderkey AS asset FROM orders WHERE o_orderdate::DATE < DATE '1996-01-01' AND o_orderstatus <> 'F'",
-    "a10_report": sql("""SELECT '{"category":"' || category || '","frames":' || count(*) || ',"recalled":' || (count(*) FILTER (ln = 1)) || ',"split":"' || split || '","targets":' || count(*) || '}' AS line FROM (SELECT *, CASE WHEN frame % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split FROM truth_box WHERE obj = 1) GROUP BY split, category""", "truth_box"),
+    "a10_report": evaluation.REPORT_SQL,
 }
-QUERIES = {f.__name__: f for f in (a3_findings, a5_blocks, a5_block_errors, a9_records, a10_report, a11_markdown, a12_locks, a13_event_lines, e14_coco, k1_manifest, k2_staging, k3_retention)}
+QUERIES = {f.__name__: f for f in (a1_lines, a2_records, a4_truth, a6_coco, a7_digests, a8_jpeg, h4_plan, a3_findings, a5_blocks, a5_block_errors, a9_records, a10_report, a11_markdown, a12_locks, a13_event_lines, e14_coco, k1_manifest, k2_staging, k3_retention)}

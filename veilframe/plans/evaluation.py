@@ -8,6 +8,7 @@ from veilframe import derive
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
 from veilframe.operators import evaluate as e
+from veilframe.operators.relations import nearest_monotonic
 from veilframe.plans.views import sql
 
 
@@ -33,8 +34,8 @@ def e7_overlap_pairs(spark, sf):
 
 
 def e8_greedy(spark, sf):
-    pairs = e.overlap_pairs(*_both(spark, sf)).where("iou >= 0.20")
-    return e.greedy_pairs(pairs, "frame", "obj", "pred", "iou").select("frame", "obj", "pred", F.round("iou", 9).alias("iou"))
+    pairs = e.overlap_pairs(*_both(spark, sf))
+    return e.greedy_pairs(pairs, "frame", "obj", "pred", "iou", "contained").select("frame", "obj", "pred", F.round("iou", 9).alias("iou"), "contained")
 
 
 def e8_mutual_best(spark, sf):
@@ -46,32 +47,42 @@ def e9_coverage(spark, sf):
     return e.coverage_pairs(*_both(spark, sf)).select("frame", "obj", "pred", F.round("coverage", 9).alias("coverage"), F.round("excess", 9).alias("excess"))
 
 
-def e10_sequential(spark, sf):
-    t, p = _both(spark, sf)
-    pairs = t.join(p, "frame").where("category = p_category").withColumn("inter", g.intersection_area(Rect.of(), Rect.of("p_"))).where("inter > 0")
-    return e.sequential_best(pairs, "frame", "obj", "pred", "inter").select("frame", "obj", "pred", F.round("inter", 9).alias("inter"))
+GRID = 64
+NOMINAL_NS = 40_000_000
+#: A frame's lane, as its fixture's tags would name it.
+LANE = "element_at(array('AUTOMATIC_PATTERN', 'CONFIGURED_WATCHLIST', 'CONFIGURED_ZONE'), CAST(frame % 3 + 1 AS INT))"
+
+
+def _targets(spark, sf):
+    """Truth with its corners; what has the category of the frame's first object is protectable."""
+    t = _truth(spark, sf).withColumn("protectable", F.expr("category = first_value(category) OVER (PARTITION BY frame ORDER BY obj)"))
+    return t.select("frame", "obj", "category", "protectable", g.corners(Rect.of()).alias("poly"))
+
+
+def _findings(spark, sf):
+    return derive.pred_box(_truth(spark, sf)).select("frame", "pred", "p_category", g.corners(Rect.of("p_")).alias("poly"))
 
 
-def _polygons(spark, sf):
-    t, p = _both(spark, sf)
-    return t.select("frame", "category", g.corners(Rect.of()).alias("poly")), p.select("frame", g.corners(Rect.of("p_")).alias("poly"))
+def e10_sequential(spark, sf):
+    return e.cell_matches(_targets(spark, sf), _findings(spark, sf), GRID)
 
 
 def f1_raster(spark, sf):
-    t, p = _polygons(spark, sf)
-    return e.raster_counts(t, p, grid=64)
+    return e.raster_counts(_targets(spark, sf), _findings(spark, sf), GRID)
+
+
+def suite(spark, sf):
+    """The report of frames of one category, as the suite asks."""
+    targets = e.lane_targets(_targets(spark, sf), F.expr(LANE), GRID)
+    counts = e.raster_counts(targets, _findings(spark, sf), GRID)
+    frames = counts.join(targets.groupBy("frame").agg(F.min("category").alias("category")), "frame").join(_split(spark, sf), "frame").withColumn("lane", F.expr(LANE))
+    return e.suite_report(frames, GRID)
 
 
 def f2_suite(spark, sf):
-    """Frames of one category, as the suite asks (F4); the largest object is a frame's target."""
-    t, p = _both(spark, sf)
-    target = e.largest_object(t, g.area(Rect.of()))
-    found = target.join(p, "frame").where("category = p_category").withColumn("inter", g.intersection_area(Rect.of(), Rect.of("p_")))
-    recalled = found.groupBy("frame").agg(F.max((F.col("inter") > 0).cast("int")).alias("recalled"))
-    counts = e.raster_counts(target.select("frame", g.corners(Rect.of()).alias("poly")), p.select("frame", g.corners(Rect.of("p_")).alias("poly")), grid=64)
-    frames = counts.join(target.select("frame", "category"), "frame").join(_split(spark, sf), "frame").join(recalled, "frame", "left").fillna({"recalled": 0})
-    out = e.suite_report(frames, grid=64)
-    return out.select("split", "category", "frames", "targets", "findings", "recalled", "truth_cells", "covered_cells", "excess_cells", *(F.round(c, 9).alias(c) for c in ("recall", "coverage", "excess_share", "precision")))
+    out = suite(spark, sf)
+    ratios = ("recall", "coverage", "excess_share", "false_share")
+    return out.select(*(c for c in out.columns if c not in ratios), *(F.round(c, 9).alias(c) for c in ratios))
 
 
 def f3_category_sets(spark, sf):
@@ -80,23 +91,47 @@ def f3_category_sets(spark, sf):
 
 
 def f4_mixed_frames(spark, sf):
-    return e.mixed_frames(_truth(spark, sf))
+    frames = derive.table(spark, sf, "orders").selectExpr("o_orderkey AS frame")
+    return e.mixed_frames(_truth(spark, sf), frames)
 
 
 def _episodes(spark, sf):
     return derive.episode_frames(derive.session_frames(spark, sf))
 
 
+def _metrics(spark, sf):
+    return e.episode_metrics(_episodes(spark, sf), NOMINAL_NS)
+
+
 def f6_episodes(spark, sf):
-    return e.episode_metrics(_episodes(spark, sf)).withColumn("coverage", F.round("coverage", 9))
+    return _metrics(spark, sf).withColumn("coverage", F.round("coverage", 9))
 
 
 def f7_summary(spark, sf):
-    return e.episode_summary(e.episode_metrics(_episodes(spark, sf))).withColumn("micro", F.round("micro", 9))
+    return e.episode_summary(_metrics(spark, sf)).withColumn("micro", F.round("micro", 9))
 
 
 def f19_acceptance(spark, sf):
-    return e.accepted(e.episode_metrics(_episodes(spark, sf)), 0.75, 2_000_000_000_000_000).select("episode", "accepted")
+    return e.accepted(_metrics(spark, sf), 0.75, 2_000_000_000_000_000).select("episode", "accepted")
+
+
+def _joined(spark, sf):
+    f = derive.session_frames(spark, sf)
+    decoded = f.where("event_id % 11 <> 0").selectExpr("session AS episode", "ts_ns + (event_id % 7 - 3) * 1000 AS at", "event_id")
+    return f, f.selectExpr("session AS episode", "ts_ns AS at"), decoded
+
+
+def f8_totals(spark, sf):
+    _, wanted, decoded = _joined(spark, sf)
+    return e.join_totals(wanted, decoded, "episode", 3000)
+
+
+def f8_objects(spark, sf):
+    """Three faces in every frame, of which the first is the host's and the last is not always protectable."""
+    f, wanted, decoded = _joined(spark, sf)
+    objects = f.selectExpr("session AS episode", "ts_ns AS at", "event_type", "explode(sequence(0, 2)) AS object").selectExpr("episode", "at", "object", "IF(object = 0, 'HOST', 'UNKNOWN') AS role", "object < 2 OR event_type <> 'signup' AS protectable")
+    seen = decoded.selectExpr("episode", "at", "event_id", "explode(sequence(1, 2)) AS object").selectExpr("episode", "at", "object", "event_id % (object + 2) <> 0 AS fully_protected", "event_id % 13 % (object + 1) AS track")
+    return e.object_metrics(objects, nearest_monotonic(wanted, decoded, "episode", 3000), seen, NOMINAL_NS).withColumn("coverage", F.round("coverage", 9))
 
 
 def _pixels(spark, sf):
@@ -156,7 +191,17 @@ _IOU = """pr AS (SELECT t.*, p.*, greatest(0, least("right", p_right) - greatest
   q AS (SELECT *, inter / (ta + pa - inter) AS iou FROM pr WHERE inter / (ta + pa - inter) >= 0.2::DOUBLE OR contained)"""
 _BEST = """r AS (SELECT *, row_number() OVER (PARTITION BY frame, obj ORDER BY iou DESC, obj, pred) AS a, row_number() OVER (PARTITION BY frame, pred ORDER BY iou DESC, obj, pred) AS b FROM q WHERE iou >= 0.2::DOUBLE),
   m AS (SELECT frame, obj, pred, iou FROM r WHERE a = 1 AND b = 1)"""
-_RUNS = """d AS (SELECT *, coalesce(lead(ts_ns) OVER w - ts_ns, 0) AS duration, sum(CASE WHEN visible THEN 0 ELSE 1 END) OVER w AS span FROM episode_frames WINDOW w AS (PARTITION BY episode ORDER BY frame)),
+
+
+def _assigned(pairs: str, order: str, name: str = "m") -> str:
+    """One-to-one pairs in the given order as rounds: a pair that is first for both its sides is taken, then its sides are gone."""
+    return f"""rounds AS (SELECT *, false AS taken FROM {pairs} UNION ALL
+    SELECT * EXCLUDE (taken, best, o_gone, p_gone), best AS taken FROM (SELECT *, bool_or(best) OVER (PARTITION BY frame, obj) AS o_gone, bool_or(best) OVER (PARTITION BY frame, pred) AS p_gone FROM
+      (SELECT *, row_number() OVER (PARTITION BY frame, obj ORDER BY {order}) = 1 AND row_number() OVER (PARTITION BY frame, pred ORDER BY {order}) = 1 AS best FROM rounds WHERE NOT taken))
+    WHERE best OR NOT (o_gone OR p_gone)), {name} AS (SELECT * EXCLUDE (taken) FROM rounds WHERE taken)"""
+
+
+_RUNS = """d AS (SELECT *, coalesce(lead(ts_ns) OVER w - ts_ns, 40000000) AS duration, sum(CASE WHEN visible THEN 0 ELSE 1 END) OVER w AS span FROM episode_frames WINDOW w AS (PARTITION BY episode ORDER BY frame)),
   r AS (SELECT *, sum(CASE WHEN visible AND NOT guarded THEN 0 ELSE 1 END) OVER w AS gap, visible AND guarded AND NOT coalesce(lag(visible AND guarded) OVER s, false) AS starts,
     last_value(CASE WHEN visible AND guarded THEN track END IGNORE NULLS) OVER (PARTITION BY episode, span ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_id
     FROM d WINDOW w AS (PARTITION BY episode ORDER BY frame), s AS (PARTITION BY episode, span ORDER BY frame)),
@@ -164,34 +209,46 @@ _RUNS = """d AS (SELECT *, coalesce(lead(ts_ns) OVER w - ts_ns, 0) AS duration,
   sp AS (SELECT episode, sum(f)::BIGINT AS fragments, sum(x)::BIGINT AS switches FROM (SELECT episode, span, greatest(count(*) FILTER (starts) - 1, 0) AS f, count(*) FILTER (visible AND guarded AND track <> last_id) AS x FROM r GROUP BY ALL) GROUP BY episode),
   tt AS (SELECT episode, count(*) FILTER (visible) AS visible, count(*) FILTER (visible AND guarded) AS guarded FROM r GROUP BY episode),
   em AS (SELECT episode, tt.visible, tt.guarded, fragments, switches, coalesce(gap_frames, 0)::BIGINT AS gap_frames, coalesce(gap_ns, 0)::BIGINT AS gap_ns, CASE WHEN tt.visible > 0 THEN tt.guarded / tt.visible END AS coverage FROM tt JOIN sp USING (episode) LEFT JOIN gp USING (episode))"""
+_TARGETS = """tb AS (SELECT *, category = first_value(category) OVER (PARTITION BY frame ORDER BY obj) AS protectable, ['AUTOMATIC_PATTERN', 'CONFIGURED_WATCHLIST', 'CONFIGURED_ZONE'][frame % 3 + 1] AS lane FROM truth_box)"""
 _CELLS = """k AS (SELECT unnest(range(0, 64)) AS i),
-  tc AS (SELECT DISTINCT frame, y.i * 64 + x.i AS cell FROM {t} JOIN k x ON (x.i + 0.5e0) / 64 >= "left" AND (x.i + 0.5e0) / 64 < "right" JOIN k y ON (y.i + 0.5e0) / 64 >= top AND (y.i + 0.5e0) / 64 < bottom),
-  pc AS (SELECT DISTINCT frame, y.i * 64 + x.i AS cell FROM pred_box JOIN k x ON (x.i + 0.5e0) / 64 >= p_left AND (x.i + 0.5e0) / 64 < p_right JOIN k y ON (y.i + 0.5e0) / 64 >= p_top AND (y.i + 0.5e0) / 64 < p_bottom),
-  c AS (SELECT frame, count(tc.cell) AS truth_cells, count(pc.cell) AS predicted_cells, count(*) FILTER (tc.cell IS NOT NULL AND pc.cell IS NOT NULL) AS covered_cells, count(*) FILTER (tc.cell IS NULL) AS excess_cells FROM tc FULL JOIN pc USING (frame, cell) GROUP BY frame),
-  nt AS (SELECT frame, count(*) AS targets FROM {t} GROUP BY frame), np AS (SELECT frame, count(*) AS findings FROM pred_box GROUP BY frame),
-  rc AS (SELECT frame, coalesce(targets, 0) AS targets, coalesce(findings, 0) AS findings, coalesce(truth_cells, 0) AS truth_cells, coalesce(predicted_cells, 0) AS predicted_cells, coalesce(covered_cells, 0) AS covered_cells, coalesce(excess_cells, 0) AS excess_cells FROM nt FULL JOIN np USING (frame) FULL JOIN c USING (frame))"""
+  tc AS (SELECT frame, obj, category, y.i * 64 + x.i AS cell FROM {t} JOIN k x ON (x.i + 0.5e0) / 64 >= "left" AND (x.i + 0.5e0) / 64 < "right" JOIN k y ON (y.i + 0.5e0) / 64 >= top AND (y.i + 0.5e0) / 64 < bottom),
+  pc AS (SELECT frame, pred, p_category, y.i * 64 + x.i AS cell FROM pred_box JOIN k x ON (x.i + 0.5e0) / 64 >= p_left AND (x.i + 0.5e0) / 64 < p_right JOIN k y ON (y.i + 0.5e0) / 64 >= p_top AND (y.i + 0.5e0) / 64 < p_bottom),
+  ov AS (SELECT frame, obj, pred, count(*) AS cells FROM tc JOIN pc USING (frame, cell) WHERE category = p_category GROUP BY ALL), """ + _assigned("ov", "obj, cells DESC, pred DESC", "mt")
+_COUNTS = """cv AS (SELECT DISTINCT frame, cell FROM mt JOIN tc USING (frame, obj) JOIN pc USING (frame, pred, cell)), td AS (SELECT DISTINCT frame, cell FROM tc), pd AS (SELECT DISTINCT frame, cell FROM pc),
+  nt AS (SELECT frame, count(*) AS targets FROM {t} GROUP BY frame), np AS (SELECT frame, count(*) AS findings FROM pred_box GROUP BY frame), nm AS (SELECT frame, count(*) AS recalled FROM mt GROUP BY frame),
+  n1 AS (SELECT frame, count(*) AS truth_cells FROM td GROUP BY frame), n2 AS (SELECT frame, count(*) AS covered_cells FROM cv GROUP BY frame), n3 AS (SELECT frame, count(*) AS predicted_cells FROM pd GROUP BY frame),
+  n4 AS (SELECT frame, count(*) AS excess_cells FROM pd ANTI JOIN td USING (frame, cell) GROUP BY frame),
+  rc AS (SELECT frame, coalesce(targets, 0) AS targets, coalesce(recalled, 0) AS recalled, coalesce(truth_cells, 0) AS truth_cells, coalesce(covered_cells, 0) AS covered_cells, coalesce(predicted_cells, 0) AS predicted_cells, coalesce(excess_cells, 0) AS excess_cells,
+    coalesce(findings, 0) AS findings, coalesce(findings, 0) - coalesce(recalled, 0) AS false_positives FROM nt FULL JOIN np USING (frame) LEFT JOIN nm USING (frame) LEFT JOIN n1 USING (frame) LEFT JOIN n2 USING (frame) LEFT JOIN n3 USING (frame) LEFT JOIN n4 USING (frame))"""
 _TARGET = """tg AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY ("right" - "left") * (bottom - top) DESC, obj) AS rk FROM truth_box) WHERE rk = 1)"""
 
+_SUITE = f"""WITH RECURSIVE {_TARGETS}, k0 AS (SELECT unnest(range(0, 64)) AS i), nc AS (SELECT frame, obj, count(*) FILTER ((i + 0.5e0) / 64 >= "left" AND (i + 0.5e0) / 64 < "right") * count(*) FILTER ((i + 0.5e0) / 64 >= top AND (i + 0.5e0) / 64 < bottom) AS n FROM tb CROSS JOIN k0 WHERE protectable GROUP BY ALL),
+        zt AS (SELECT frame, arg_max(obj, (n, -obj)) AS obj FROM nc GROUP BY frame), tg AS (SELECT tb.* FROM tb LEFT JOIN zt USING (frame) WHERE protectable AND (lane <> 'CONFIGURED_ZONE' OR tb.obj = zt.obj)), {_CELLS.format(t='tg')}, {_COUNTS.format(t='tg')},
+        f AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, lane, category, rc.* FROM rc JOIN (SELECT frame, min(category) AS category, min(lane) AS lane FROM tg GROUP BY frame) USING (frame) JOIN orders ON o_orderkey = frame),
+        s AS (SELECT split, lane, category, count(*) AS frames, sum(targets)::BIGINT AS targets, sum(recalled)::BIGINT AS recalled, sum(truth_cells)::BIGINT AS truth_cells, sum(covered_cells)::BIGINT AS covered_cells, sum(predicted_cells)::BIGINT AS predicted_cells, sum(excess_cells)::BIGINT AS excess_cells, sum(findings)::BIGINT AS findings, sum(false_positives)::BIGINT AS false_positives FROM f GROUP BY ALL)"""
+
+#: The rows of the report (A10), for the queries of files.
+REPORT_SQL = sql(_SUITE + """ SELECT '1.0.0' AS schema_version, 'suite-1' AS suite, 64 AS grid_size, split, lane, category, frames, recalled AS recall_n, targets AS recall_d, round(recalled / targets, 9) AS recall, covered_cells AS coverage_n, truth_cells AS coverage_d,
+    excess_cells AS excess_n, frames * 4096 AS excess_d, false_positives AS false_n, findings AS false_d, true AS omitted FROM s""", "truth_box", "pred_box")
+
 ORACLE = {
-    "f5_slice_totals": sql(f"""WITH {_IOU}, {_BEST}, h AS (SELECT DISTINCT frame, obj FROM q WHERE contained),
-        a AS (SELECT t.*, m.iou AS m_iou, h.obj IS NOT NULL AS held FROM truth_box t LEFT JOIN m USING (frame, obj) LEFT JOIN h USING (frame, obj)),
-        l AS (SELECT 'small' AS slice, held, m_iou FROM a WHERE is_small UNION ALL SELECT 'heavy_blur', held, m_iou FROM a WHERE is_blurred UNION ALL SELECT 'heavy_occlusion', held, m_iou FROM a WHERE is_occluded
-          UNION ALL SELECT 'difficult_capture', held, m_iou FROM a WHERE is_difficult UNION ALL SELECT 'baseline', held, m_iou FROM a WHERE NOT (is_small OR is_blurred OR is_occluded OR is_difficult) UNION ALL SELECT 'overall', held, m_iou FROM a)
-        SELECT slice, count(*) AS objects, count(*) FILTER (held) AS contained, count(m_iou) AS matched, round(avg(m_iou), 6) AS mean_iou FROM l GROUP BY slice""", "truth_box", "pred_box"),
+    "f5_slice_totals": sql(f"""WITH RECURSIVE {_IOU}, {_assigned('q', 'iou DESC, obj, pred')}, h AS (SELECT frame, count(*) AS matched, count(*) FILTER (contained) AS contained, sum(iou) AS iou_sum FROM m GROUP BY frame),
+        i AS (SELECT frame, count(*) AS objects, bool_or(is_small) AS s, bool_or(is_blurred) AS b, bool_or(is_occluded) AS o, bool_or(is_difficult) AS d FROM truth_box GROUP BY frame), n AS (SELECT frame, count(*) AS predictions FROM pred_box GROUP BY frame),
+        a AS (SELECT frame, objects, coalesce(predictions, 0) AS predictions, coalesce(matched, 0) AS matched, coalesce(contained, 0) AS contained, coalesce(iou_sum, 0) AS iou_sum,
+          list_filter(['overall', CASE WHEN s THEN 'small' END, CASE WHEN b THEN 'heavy_blur' END, CASE WHEN o THEN 'heavy_occlusion' END, CASE WHEN d THEN 'difficult_capture' END, CASE WHEN NOT (s OR b OR o OR d) THEN 'baseline' END], lambda x: x IS NOT NULL) AS labels FROM i LEFT JOIN n USING (frame) LEFT JOIN h USING (frame)),
+        l AS (SELECT unnest(labels) AS slice, * FROM a)
+        SELECT slice, count(*) AS images, sum(objects)::BIGINT AS objects, sum(predictions)::BIGINT AS predictions, sum(matched)::BIGINT AS matched, sum(contained)::BIGINT AS contained, sum(predictions - matched)::BIGINT AS false_positives, round(sum(iou_sum) / sum(matched), 6) AS mean_iou FROM l GROUP BY slice""", "truth_box", "pred_box"),
+    "e8_greedy": sql(f"WITH RECURSIVE {_IOU}, {_assigned('q', 'iou DESC, obj, pred')} SELECT frame, obj, pred, round(iou, 9) AS iou, contained FROM m", "truth_box", "pred_box"),
+    "e10_sequential": sql(f"WITH RECURSIVE {_CELLS.format(t='truth_box')} SELECT frame, obj, pred, cells FROM mt", "truth_box", "pred_box"),
     "e7_overlap_pairs": sql(f"WITH {_IOU} SELECT frame, obj, pred, round(iou, 9) AS iou, contained FROM q", "truth_box", "pred_box"),
     "e8_mutual_best": sql(f"WITH {_IOU}, {_BEST} SELECT frame, obj, pred, round(iou, 9) AS iou FROM m", "truth_box", "pred_box"),
-    "e9_coverage": sql("""WITH q AS (SELECT t.*, p.*, greatest(0, least("right", p_right) - greatest("left", p_left)) * greatest(0, least(bottom, p_bottom) - greatest(top, p_top)) AS inter FROM truth_box t JOIN pred_box p USING (frame)),
-        r AS (SELECT *, row_number() OVER (PARTITION BY frame, obj ORDER BY inter DESC, obj, pred) AS a, row_number() OVER (PARTITION BY frame, pred ORDER BY inter DESC, obj, pred) AS b FROM q WHERE inter > 0)
-        SELECT frame, obj, pred, round(inter / (("right" - "left") * (bottom - top)), 9) AS coverage, round(((p_right - p_left) * (p_bottom - p_top) - inter) / ((p_right - p_left) * (p_bottom - p_top)), 9) AS excess FROM r WHERE a = 1 AND b = 1""", "truth_box", "pred_box"),
-    "f1_raster": sql(f"WITH {_CELLS.format(t='truth_box')} SELECT * FROM rc", "truth_box", "pred_box"),
-    "f2_suite": sql(f"""WITH {_TARGET}, {_CELLS.format(t='tg')},
-        rec AS (SELECT frame, max(CASE WHEN greatest(0, least("right", p_right) - greatest("left", p_left)) * greatest(0, least(bottom, p_bottom) - greatest(top, p_top)) > 0 THEN 1 ELSE 0 END) AS recalled FROM tg JOIN pred_box USING (frame) WHERE category = p_category GROUP BY frame),
-        f AS (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, category, rc.*, coalesce(recalled, 0) AS recalled FROM rc JOIN tg USING (frame) JOIN orders ON o_orderkey = frame LEFT JOIN rec USING (frame)),
-        s AS (SELECT split, category, count(*) AS frames, sum(targets)::BIGINT AS targets, sum(findings)::BIGINT AS findings, sum(recalled)::BIGINT AS recalled, sum(truth_cells)::BIGINT AS truth_cells, sum(covered_cells)::BIGINT AS covered_cells, sum(excess_cells)::BIGINT AS excess_cells FROM f GROUP BY ALL)
-        SELECT *, round(recalled / targets, 9) AS recall, round(covered_cells / truth_cells, 9) AS coverage, round(excess_cells / (frames * 4096), 9) AS excess_share, round(recalled / findings, 9) AS "precision" FROM s""", "truth_box", "pred_box"),
+    "e9_coverage": sql(f"""WITH RECURSIVE q AS (SELECT * FROM (SELECT t.*, p.*, greatest(0, least("right", p_right) - greatest("left", p_left)) * greatest(0, least(bottom, p_bottom) - greatest(top, p_top)) AS inter FROM truth_box t JOIN pred_box p USING (frame)) WHERE inter > 0), {_assigned('q', 'inter DESC, obj, pred')}
+        SELECT frame, obj, pred, round(inter / (("right" - "left") * (bottom - top)), 9) AS coverage, round(((p_right - p_left) * (p_bottom - p_top) - inter) / ((p_right - p_left) * (p_bottom - p_top)), 9) AS excess FROM m""", "truth_box", "pred_box"),
+    "f1_raster": sql(f"WITH RECURSIVE {_CELLS.format(t='truth_box')}, {_COUNTS.format(t='truth_box')} SELECT * FROM rc", "truth_box", "pred_box"),
+    "f2_suite": sql(f"""{_SUITE} SELECT *, round(recalled / targets, 9) AS recall, round(covered_cells / truth_cells, 9) AS coverage, round(excess_cells / (frames * 4096), 9) AS excess_share, round(false_positives / findings, 9) AS false_share FROM s""", "truth_box", "pred_box"),
     "f3_category_sets": sql("""WITH f AS (SELECT CASE WHEN frame % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, category FROM truth_box WHERE NOT (category = 'CARD' AND frame % 2 = 0))
         SELECT category, split AS missing_split FROM (SELECT DISTINCT category FROM f) CROSS JOIN (SELECT DISTINCT split FROM f) EXCEPT SELECT category, split FROM f""", "truth_box"),
-    "f4_mixed_frames": sql("SELECT frame, count(DISTINCT category) AS categories FROM truth_box GROUP BY frame HAVING count(DISTINCT category) > 1", "truth_box"),
+    "f4_mixed_frames": sql("SELECT o_orderkey AS frame, count(DISTINCT category) AS categories FROM orders LEFT JOIN truth_box ON frame = o_orderkey GROUP BY o_orderkey HAVING count(DISTINCT category) <> 1", "truth_box"),
     "f6_episodes": sql(f"WITH {_RUNS} SELECT episode, visible, guarded, fragments, switches, gap_frames, gap_ns, round(coverage, 9) AS coverage FROM em", "episode_frames"),
     "f7_summary": sql(f"""WITH {_RUNS} SELECT round(sum(guarded) / sum(visible), 9) AS micro, round(avg(coverage), 9) AS macro, max(gap_frames) AS gap_frames, max(gap_ns) AS gap_ns, sum(fragments)::BIGINT AS fragments,
         sum(switches)::BIGINT AS switches, count(*) FILTER (gap_frames > 0) AS with_gap FROM em""", "episode_frames"),
@@ -215,4 +272,4 @@ ORACLE = {
     "f20_zone": sql('SELECT category, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM truth_box GROUP BY category', "truth_box"),
     "g7_largest": sql(f"WITH {_TARGET} SELECT frame, obj, category FROM tg", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (f5_slice_totals, e7_overlap_pairs, e8_greedy, e8_mutual_best, e9_coverage, e10_sequential, f1_raster, f2_suite, f3_category_sets, f4_mixed_frames, f6_episodes, f7_summary, f19_acceptance, f9_pixels, f10_gate, f14_expected, f15_exactly_one, f16_recognition, f17_polygon_mean, f18_dispatch, f20_zone, g7_largest)}
+QUERIES = {f.__name__: f for f in (f5_slice_totals, e7_overlap_pairs, e8_greedy, e8_mutual_best, e9_coverage, e10_sequential, f1_raster, f2_suite, f3_category_sets, f4_mixed_frames, f6_episodes, f7_summary, f8_totals, f8_objects, f19_acceptance, f9_pixels, f10_gate, f14_expected, f15_exactly_one, f16_recognition, f17_polygon_mean, f18_dispatch, f20_zone, g7_largest)}

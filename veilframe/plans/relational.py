@@ -47,7 +47,7 @@ def _decisions(f):
 
 def e5_lookup(spark, sf):
     f = _frames(spark, sf)
-    return r.decision_lookup(f.selectExpr("session", "ts_ns", "ts_ns + event_id % 200 AS now_ns"), _decisions(f), f.where("frame < 4 AND event_id % 2 = 0"))
+    return r.decision_lookup(f.selectExpr("session", "ts_ns", "ts_ns + event_id % 200 AS now_ns"), _decisions(f), f.where("frame < 4 AND event_id % 2 = 0"), 90)
 
 
 def _elements(spark, sf):
@@ -127,7 +127,7 @@ def g12_suffix(spark, sf):
 
 def h1_choice(spark, sf):
     rows = derive.table(spark, sf, "part").selectExpr("concat(p_name, p_partkey) AS name", "array_compact(array(IF(p_size < 10, 'small', NULL), IF(p_size % 3 = 0, 'third', NULL), IF(p_size % 5 = 0, 'fifth', NULL), 'all')) AS slices")
-    return r.stratified_choice(rows, ["small", "third", "fifth", "all"], 40, "name", "seed-1")
+    return r.stratified_choice(rows, ["small", "third", "fifth", "all"], 10, "name", "seed-1")
 
 
 def h3_first(spark, sf):
@@ -140,8 +140,12 @@ def h2_order(spark, sf):
 
 
 def i1_leakage(spark, sf):
-    rows = derive.table(spark, sf, "orders").selectExpr("CASE WHEN o_orderkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split", "o_custkey AS payload", "o_orderpriority AS priority", "o_orderkey AS source")
-    return r.leaked_values(rows, "split", ["payload", "priority", "source"])
+    """The six leakage keys of a manifest, two of them arrays."""
+    rows = derive.table(spark, sf, "orders").selectExpr(
+        "CASE WHEN o_orderkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split", "o_orderkey AS source", "array(o_custkey, o_custkey + 1) AS actors", "array(o_orderpriority, o_orderstatus) AS payloads",
+        "array(o_custkey % 7) AS seeds", "IF(o_orderkey % 3 = 0, NULL, o_orderkey div 5) AS room", "CAST(round(o_totalprice * 100) AS BIGINT) AS digest",
+    )
+    return r.leaked_values(rows, "split", ["source", "actors", "payloads", "seeds", "room", "digest"])
 
 
 def i2_union(spark, sf):
@@ -155,7 +159,9 @@ def i3_difference(spark, sf):
 
 
 def i6_merge(spark, sf):
-    return r.merge_boxes(_truth(spark, sf).select("frame", "category", *Rect._fields), "frame", "category")
+    """Findings that agree in category, confidence and action."""
+    found = _truth(spark, sf).selectExpr("frame", "category", "IF(is_blurred, 'LOW', 'HIGH') AS confidence", "IF(ln > 3, 'BLUR', 'OPAQUE') AS action", *Rect._fields)
+    return r.merge_boxes(found, "frame", ["category", "confidence", "action"])
 
 
 def i7_zones(spark, sf):
@@ -189,7 +195,7 @@ ORACLE = {
     "j18_freshness": sql(f"WITH {_ASOF} SELECT session, frame, lane, coalesce(NOT failed AND ts_ns <= valid_until_ns AND ts_ns - source_ns <= 3600000000000000, false) AS fresh FROM ao", "snapshots"),
     "e5_lookup": sql("""WITH f AS (SELECT session, ts_ns, frame, event_id, event_type, ts_ns + event_id % 200 AS now_ns FROM session_frames),
         d AS (SELECT session, ts_ns, CASE WHEN event_type = 'error' THEN 'FULL_SHIELD' ELSE 'REGIONAL_SAFE' END AS st FROM f WHERE event_id % 5 <> 0 AND frame >= 4), n AS (SELECT session, max(ts_ns) AS newest FROM d GROUP BY session),
-        l AS (SELECT f.session, f.ts_ns, st, CASE WHEN st IS NULL AND frame < 4 AND event_id % 2 = 0 THEN 'EVICTED' WHEN st IS NULL AND (newest IS NULL OR f.ts_ns < newest) THEN 'MISSING' WHEN st IS NULL THEN 'FUTURE' WHEN now_ns > f.ts_ns + 100 THEN 'EXPIRED' ELSE 'OK' END AS lookup
+        l AS (SELECT f.session, f.ts_ns, st, CASE WHEN st IS NULL AND frame < 4 AND event_id % 2 = 0 THEN 'EVICTED' WHEN st IS NULL AND newest > f.ts_ns THEN 'FUTURE' WHEN st IS NULL THEN 'MISSING' WHEN event_id % 200 > 100 THEN 'EXPIRED' WHEN event_id % 200 > 90 THEN 'STALE' ELSE 'OK' END AS lookup
           FROM f LEFT JOIN d USING (session, ts_ns) LEFT JOIN n USING (session)) SELECT session, ts_ns, lookup, CASE WHEN lookup = 'OK' THEN st ELSE 'FULL_SHIELD' END AS status FROM l""", "session_frames"),
     "g6_reading_order": f"WITH {_WORDS} SELECT doc_id, count(*) AS elements, max(s + length(text)) AS chars, sum(s)::BIGINT AS starts FROM o GROUP BY doc_id",
     "e6_spans": f"""WITH {_WORDS}, sp AS (SELECT doc_id, unnest(range(0, n_chars + 101, 97)) AS a FROM documents),
@@ -216,16 +222,17 @@ ORACLE = {
     "g8_changes": sql("SELECT session, frame, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY session ORDER BY frame) AS p FROM session_frames) WHERE event_type IS DISTINCT FROM p", "session_frames"),
     "g9_jumps": sql("SELECT session, frame, round(s, 6) AS step FROM (SELECT *, abs(value - lag(value) OVER (PARTITION BY session ORDER BY frame)) AS s FROM session_frames) WHERE s >= 24", "session_frames"),
     "g10_retention": sql("SELECT session, frame, CASE WHEN k <= 8 THEN 'RETAINED' WHEN k <= 24 THEN 'EVICTED' ELSE 'FORGOTTEN' END AS fate FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY frame DESC) AS k FROM session_frames)", "session_frames"),
-    "g11_trigger": sql("SELECT event_type, event_id, row_number() OVER (ORDER BY ts_ns, event_id)::INT AS fired FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_ns, event_id) AS k FROM session_frames) WHERE k = 4", "session_frames"),
+    "g11_trigger": sql("SELECT event_type, event_id, row_number() OVER (ORDER BY ts_ns, event_id) AS fired FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts_ns, event_id) AS k FROM session_frames) WHERE k = 4", "session_frames"),
     "g12_suffix": sql("""WITH n AS (SELECT session, count(*) AS n, count(*) FILTER (frame >= 5) AS m FROM session_frames GROUP BY session)
         SELECT session, n - m AS priming, (NOT (session % 3 = 0 AND n > 6)) AND n - m BETWEEN 1 AND 160 AS ok FROM n WHERE m > 0""", "session_frames"),
     "h1_choice": """WITH p AS (SELECT p_name || p_partkey AS name, sha256('seed-1' || p_name || p_partkey) AS lot, p_size FROM part),
-        a AS (SELECT name, lot, 'small' AS slice FROM p WHERE p_size < 10 ORDER BY lot, name LIMIT 40), b AS (SELECT name, lot, 'third' AS slice FROM p WHERE p_size % 3 = 0 AND name NOT IN (SELECT name FROM a) ORDER BY lot, name LIMIT 40),
-        c AS (SELECT name, lot, 'fifth' AS slice FROM p WHERE p_size % 5 = 0 AND name NOT IN (SELECT name FROM a UNION SELECT name FROM b) ORDER BY lot, name LIMIT 40),
-        d AS (SELECT name, lot, 'all' AS slice FROM p WHERE name NOT IN (SELECT name FROM a UNION SELECT name FROM b UNION SELECT name FROM c) ORDER BY lot, name LIMIT 40) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""",
+        a AS (SELECT name, lot, 'small' AS slice FROM p WHERE p_size < 10 ORDER BY lot, name LIMIT 10), b AS (SELECT name, lot, 'third' AS slice FROM p WHERE p_size % 3 = 0 AND name NOT IN (SELECT name FROM a) ORDER BY lot, name LIMIT 10),
+        c AS (SELECT name, lot, 'fifth' AS slice FROM p WHERE p_size % 5 = 0 AND name NOT IN (SELECT name FROM a UNION SELECT name FROM b) ORDER BY lot, name LIMIT 10),
+        d AS (SELECT name, lot, 'all' AS slice FROM p WHERE name NOT IN (SELECT name FROM a UNION SELECT name FROM b UNION SELECT name FROM c) ORDER BY lot, name LIMIT 10) SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c UNION ALL SELECT * FROM d""",
     "h3_first": sql('SELECT frame, obj FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY top, "left", obj) AS k FROM truth_box) WHERE k <= 3', "truth_box"),
     "h2_order": sql("""SELECT frame, '[' || string_agg(obj::VARCHAR, ', ' ORDER BY "left", top, "right", bottom, obj) || ']' AS objs FROM truth_box GROUP BY frame""", "truth_box"),
-    "i1_leakage": """WITH o AS (SELECT o_orderkey % 2 AS s, o_custkey::VARCHAR AS payload, o_orderpriority AS priority, o_orderkey::VARCHAR AS source FROM orders), l AS (SELECT s, 'payload' AS key, payload AS value FROM o UNION ALL SELECT s, 'priority', priority FROM o UNION ALL SELECT s, 'source', source FROM o)
+    "i1_leakage": """WITH o AS (SELECT o_orderkey % 2 AS s, * FROM orders), l AS (SELECT s, 'source' AS key, o_orderkey::VARCHAR AS value FROM o UNION ALL SELECT s, 'actors', unnest([o_custkey, o_custkey + 1])::VARCHAR FROM o UNION ALL SELECT s, 'payloads', unnest([o_orderpriority, o_orderstatus]) FROM o
+          UNION ALL SELECT s, 'seeds', (o_custkey % 7)::VARCHAR FROM o UNION ALL SELECT s, 'room', (o_orderkey // 5)::VARCHAR FROM o WHERE o_orderkey % 3 <> 0 UNION ALL SELECT s, 'digest', round(o_totalprice * 100)::BIGINT::VARCHAR FROM o)
         SELECT key, value, count(DISTINCT s) AS splits FROM l GROUP BY ALL HAVING count(DISTINCT s) > 1""",
     "i2_union": "SELECT corpus, count(*) AS n, min(item) AS first_item FROM (SELECT c_name AS item, 'C' AS corpus FROM customer UNION ALL SELECT s_name, 'S' FROM supplier) GROUP BY corpus",
     "i3_difference": sql("SELECT frame, obj FROM truth_box WHERE obj % 5 = 4", "truth_box"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from veilframe import derive
@@ -135,7 +136,7 @@ def d4_phones(spark, sf):
 
 
 def _announcement():
-    return F.concat(F.when(F.col("doc_id") % 3 == 0, "Your login code is ").otherwise("Room "), F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" today"))
+    return F.concat(F.when(F.col("doc_id") % 3 == 0, "Your security code is ").otherwise("Room "), F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" today"))
 
 
 def d5_codes(spark, sf):
@@ -150,13 +151,31 @@ def d5_text_codes(spark, sf):
 
 
 def d6_watchlist(spark, sf):
-    terms = spark.createDataFrame([("The",), ("de la",), ("und",), ("er",)], "term string")
-    return s.watchlist_spans(_docs(spark, sf), "doc_id", "text", s.normalized_terms(terms)).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+    return s.watchlist_spans(_docs(spark, sf), "doc_id", "text", _terms(spark)).groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("start").alias("first"), F.max("end").alias("last"))
+
+
+def _terms(spark):
+    return s.normalized_terms(spark.createDataFrame([("The",), ("de la",), ("und",), ("er",)], "term string"))
 
 
 def d7_all_spans(spark, sf):
-    found = _normal(_docs(spark, sf)).select("doc_id", t.all_spans(F.col("text"), _found(t.structured_spans)).alias("f"))
-    return found.select("doc_id", F.when(F.col("f").isNull(), -1).otherwise(F.size("f")).alias("n"))
+    return s.private_spans(_docs(spark, sf), "doc_id", "text", _terms(spark))
+
+
+def d7_refused(spark, sf):
+    return s.refused_texts(_docs(spark, sf), "doc_id", "text", _terms(spark))
+
+
+def d1_normal(spark, sf):
+    """The normal form of whole texts, as its digest and length."""
+    return _normal(_docs(spark, sf)).select("doc_id", F.length("n.text").alias("n"), F.sha2("n.text", 256).alias("digest"))
+
+
+def d8_listed(spark, sf):
+    """A document's watchlist spans in order, as a digest."""
+    found = s.watchlist_spans(_docs(spark, sf), "doc_id", "text", _terms(spark))
+    ordered = F.array_sort(F.collect_list(F.struct("start", "end")))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.sha2(ordered.cast("string"), 256).alias("digest"))
 
 
 def d9_terms(spark, sf):
@@ -181,56 +200,103 @@ def d12_strings(spark, sf):
         "p_partkey", _r(t.edit_distance(F.col("p_name"), F.col("p_type"))).alias("distance"), t.diagnostic(F.concat(F.lit(" a  "), F.col("p_name"))).alias("plain"), t.normalized(F.concat(F.lit(" A \t"), F.col("p_name"))).alias("lower_plain"),
         t.selection_hash("s", F.col("p_name")).alias("lot"), t.group_id(F.col("p_name")).alias("gid"), t.severity(F.col("p_size") % 4).alias("severity"),
         t.iso_date(F.concat(F.lit("2024-0"), (F.col("p_size") % 10).cast("string"), F.lit("-15"))).isNotNull().alias("is_date"),
-        t.lane_of(F.col("p_brand"), F.array(F.when(F.col("p_size") % 2 == 0, "AUTOMATIC").otherwise("WATCHLIST"), F.when(F.col("p_size") % 3 == 0, "CONFIGURED_ZONE").otherwise("x"))).alias("lane"),
+        t.lane_of(F.when(F.col("p_size") % 7 == 0, "BIV_PRIV_SEG").otherwise("PRIORITY_2"), F.array(F.when(F.col("p_size") % 2 == 0, "AUTOMATIC_PATTERN").otherwise("CONFIGURED_WATCHLIST"), F.when(F.col("p_size") % 3 == 0, "CONFIGURED_ZONE").otherwise("x"))).alias("lane"),
+        *(t.ratio(F.col("p_size") % 5, F.col("p_size") % 4)[n].alias(f"ratio_{n}") for n in ("numerator", "denominator")), _r(t.ratio(F.col("p_size") % 5, F.col("p_size") % 4)["value"]).alias("ratio"),
         t.evaluation_category(F.when(F.col("p_size") % 3 == 0, "FACE").when(F.col("p_size") % 3 == 1, "PRIVACY_ZONE").otherwise("QR"), F.lit("CARD")).alias("category"),
     )
 
 
+def _frames_of_values(spark, sf):
+    """Frames of 13 by 9 values: the embedding's, over and over."""
+    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * 100).cast("bigint") + 128)
+    return derive.table(spark, sf, "embeddings").select("vec_id", F.flatten(F.array_repeat(v, 2)).alias("v")).select("vec_id", F.slice("v", 1, 117).alias("v"))
+
+
 def d21_patterns(spark, sf):
-    """Sixty-four-cell luminance patterns of a session's frames, and their distance from the frame before."""
-    e = derive.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.floor(v * 100).cast("bigint")).alias("v"))
-    return e.select("vec_id", F.bit_count(t.luminance_pattern(F.col("v"))).alias("bits"), F.aggregate("v", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    """The bits of a frame's luminance pattern, each place by itself."""
+    e = _frames_of_values(spark, sf).select("vec_id", t.luminance_pattern(t.grid_samples(F.col("v"), F.lit(13), F.lit(9))).alias("p"))
+    return e.select("vec_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("getbit", F.col("p"), i))).alias("place", "bit")).where("bit = 1").select("vec_id", F.col("place").cast("long").alias("place"))
+
+
+def d22_means(spark, sf):
+    return _frames_of_values(spark, sf).select("vec_id", t.grid_mean(t.grid_samples(F.col("v"), F.lit(13), F.lit(9))).alias("mean"))
 
 
 def _manifest(spark, sf):
-    return derive.table(spark, sf, "orders").selectExpr(
-        "concat('fx-', o_orderkey) AS fixture", "element_at(array('WIDER', 'BIV', 'PII', 'CAPTURE', 'NOPE'), CAST(o_orderkey % 5 + 1 AS INT)) AS group",
-        "element_at(array('PUBLIC_DATASET', 'SYNTHETIC', 'CONSENTED_CAPTURE'), CAST(o_orderkey % 3 + 1 AS INT)) AS source_kind", "CASE WHEN o_orderkey % 97 = 0 THEN 'BAD' WHEN o_custkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split",
-        "CASE WHEN o_orderkey % 89 = 0 THEN 'xyz' ELSE sha2(CAST(o_orderkey AS STRING), 256) END AS digest", "CASE WHEN o_orderkey % 2 = 0 THEN 'u' END AS public_block", "CASE WHEN o_orderkey % 3 = 1 THEN 's' END AS synthetic_block",
-        "concat(IF(o_orderkey % 7 = 0, '../', IF(o_orderkey % 11 = 0, '/', 'a/')), 'b.jpg') AS path", "o_custkey AS cust", "o_orderkey AS ok",
-        "concat('{\"id\":1,', IF(o_orderkey % 83 = 0, '\"extra\":2', '\"split\":2'), ',\"meta\":{\"', IF(o_orderkey % 71 = 0, 'Pixel_Data', 'ok'), '\":3}}') AS json",
+    """Manifest rows in their nested columns, some of them broken; plain columns beside them for the single rules."""
+    ok, cust = F.col("ok"), F.col("cust")
+    pick = lambda names, by: F.element_at(F.lit(names), (by % len(names) + 1).cast("int"))
+    when = lambda mod, bad, good: F.when(ok % mod == 0, bad).otherwise(good)
+    ids = lambda *values: F.array(*(v if isinstance(v, Column) else F.lit(v) for v in values))
+    rows = derive.table(spark, sf, "orders").selectExpr("o_orderkey AS ok", "o_custkey AS cust").withColumns({
+        "fixtureId": F.concat(F.lit("fx:"), ok), "group": pick(["WIDER_FACE", "BIV_PRIV_SEG", "PRIORITY_2", "CONSENTED_FACE", "NOPE"], ok), "sourceKind": pick(["LICENSED_PUBLIC", "SYNTHETIC", "CONSENTED_CAPTURE"], ok),
+    })
+    kind, ref = F.col("sourceKind"), F.concat(F.lit("ref-"), F.lpad(ok.cast("string"), 8, "0"))
+    public = F.struct(
+        when(13, "ftp://x", "https://x").alias("sourceUrl"), F.lit("1").alias("datasetVersion"), F.lit("own").alias("license"), when(53, " ", "any").alias("allowedUsage"), F.lit("us").alias("attribution"),
+        F.concat(F.lit("2024-1"), ok % 4, F.lit("-01")).alias("retrievedAt"), (ok % 17).alias("byteLength"), F.lit("seed-1").alias("selectionSeed"), F.col("fixtureId").alias("sourceItemId"),
+    )
+    font = F.struct(F.lit("fnt").alias("artifact"), F.sha2(F.col("fixtureId"), 256).alias("sha256"), F.lit("OFL").alias("license"), when(31, "xyz", F.sha1(F.col("fixtureId"))).alias("upstreamCommit"), F.lit("ras").alias("rasterizer"))
+    synthetic = F.struct(F.lit("gen").alias("generatorId"), F.concat(F.lit("1."), ok % 5, when(19, "", ".0")).alias("generatorVersion"), (ok % 23 != 0).alias("fictionalPayloadVerified"), F.when(ok % 2 == 0, "sym").alias("symbolGenerator"), F.when(ok % 5 == 0, font).alias("font"))
+    capture = F.struct(
+        when(29, "x", ref).alias("authorizationRef"), (ok % 37 != 0).alias("consentRecorded"), F.lit(True).alias("fictionalPayloadVerified"), ref.alias("encryptedStorageRef"), ref.alias("authorizedAccessRef"),
+        F.concat(F.lit("2024-0"), ok % 9 + 1, F.lit("-10")).alias("deletionDeadline"), pick(["PENDING", "DELETED", "WITHDRAWN", "LOST"], ok).alias("deletionAuditStatus"), when(41, "LAB", "DEVICE_VALIDATION").alias("capturePhase"),
     )
+    device = F.struct(F.lit("phone").alias("deviceClass"), pick(["FRONT", "REAR", "EXTERNAL", "SIDE"], cust).alias("lens"), (cust % 31).alias("width"), F.lit(10).alias("height"), F.lit(30.0).alias("frameRate"))
+    leakage = F.struct(F.concat(F.lit("src-"), cust).alias("sourceGroupId"), ids("act-1", F.concat(F.lit("act-"), cust % 3)).alias("actorIds"), ids().cast("array<string>").alias("payloadIds"), F.when(ok % 43 != 0, ids("seed")).alias("generatorSeeds"), ids("ok:1", when(47, "!", "r.2")).alias("roomMotionIds"))
+    return rows.withColumns({
+        "schemaVersion": when(59, "2.0.0", "1.0.0"), "corpusVersion": when(61, "1.0", "1.0.0"), "split": F.when(ok % 97 == 0, "BAD").when(F.col("group") == "WIDER_FACE", "REGRESSION").when(cust % 2 == 0, "DEVELOPMENT").otherwise("HOLDOUT"),
+        "scenarioIds": when(67, ids().cast("array<string>"), ids("scn-1")), "sourcePath": F.concat(F.when(ok % 7 == 0, "../").when(ok % 11 == 0, "/").otherwise("a/"), F.lit("b.jpg")), "truthPath": F.lit("t/x.jsonl"),
+        "sourceDigest": when(89, "xyz", F.sha2(F.col("fixtureId"), 256)), "provenanceRef": ref, "mediaStreams": F.when(ok % 73 == 0, ids("VIDEO", "AUDIO")).otherwise(ids("VIDEO")), "leakageKeys": leakage,
+        "publicDataset": F.when(kind == "LICENSED_PUBLIC", F.when(ok % 79 != 0, public)), "syntheticSource": F.when((kind == "SYNTHETIC") | (ok % 83 == 0), synthetic), "captureAuthorization": F.when(kind == "CONSENTED_CAPTURE", capture),
+        "deviceContext": F.when(kind == "CONSENTED_CAPTURE", device),
+    })
+
+
+_JSON = "concat('{\"id\":1,', IF(ok % 83 = 0, '\"extra\":2', '\"split\":2'), ',\"meta\":[{\"', IF(ok % 71 = 0, 'Face_\\\\u0043rop', 'ok'), '\":3,\"k\":\"password: \\\\\"token\\\\\":\"}]}') AS json"
 
 
 def b1_keys(spark, sf):
-    return q.key_errors(_manifest(spark, sf), F.col("fixture"), F.col("json"), ["id", "split"], ["meta"])
+    return q.key_errors(_manifest(spark, sf).selectExpr("fixtureId", _JSON), F.col("fixtureId"), F.col("json"), ["id", "split"], ["meta"])
 
 
 def b2_forbidden(spark, sf):
-    return q.forbidden_keys(_manifest(spark, sf), F.col("fixture"), F.col("json"))
+    """A banned key inside a list, written with an escape; a value that looks like one."""
+    return q.forbidden_keys(_manifest(spark, sf).selectExpr("fixtureId", _JSON), F.col("fixtureId"), F.col("json"))
 
 
 def b3_manifest(spark, sf):
-    m = _manifest(spark, sf)
-    return q.errors(m, F.col("fixture"), {
-        "digest": ~F.col("digest").rlike(t.SHA256), "fixture": ~F.col("fixture").rlike(t.STABLE_ID), "opaque": ~F.col("fixture").rlike(t.OPAQUE_ID), "path": ~q.is_safe_path(F.col("path")), "root": ~q.is_under(F.lit("r"), F.col("path")),
-        **q.public_rules(F.concat(F.when(F.col("ok") % 13 == 0, "ftp").otherwise("https"), F.lit("://x")), F.lit("1"), F.col("ok") % 17, F.col("fixture"), F.concat(F.lit("2024-1"), (F.col("ok") % 4).cast("string"), F.lit("-01"))),
-        **q.synthetic_rules(F.col("fixture"), F.concat(F.lit("1."), (F.col("ok") % 5).cast("string"), F.when(F.col("ok") % 19 != 0, ".0").otherwise("")), F.col("ok") % 23 != 0, F.col("digest")),
+    m, at = _manifest(spark, sf), F.col("fixtureId")
+    return q.errors(m, at, {
+        "digest": ~F.col("sourceDigest").rlike(t.SHA256), "fixture": ~at.rlike(t.STABLE_ID), "opaque": ~at.rlike(t.OPAQUE_ID), "version": ~F.col("corpusVersion").rlike(t.SEMVER),
+        "path": ~q.is_safe_path(F.col("sourcePath")), "root": ~q.is_under(F.lit("r"), F.col("sourcePath")),
     })
 
 
 def b6_groups(spark, sf):
-    return q.group_rule_errors(_manifest(spark, sf), F.col("fixture"))
+    return q.group_rule_errors(_manifest(spark, sf).withColumnRenamed("sourceKind", "source_kind"), F.col("fixtureId"))
 
 
 def b7_blocks(spark, sf):
-    return q.block_errors(_manifest(spark, sf), F.col("fixture"), F.col("source_kind"), {"PUBLIC_DATASET": "public_block", "SYNTHETIC": "synthetic_block"})
+    return q.block_errors(_manifest(spark, sf), F.col("fixtureId"), F.col("sourceKind"), q.BLOCKS)
+
+
+def b8_public(spark, sf):
+    return q.errors(_manifest(spark, sf).where("publicDataset IS NOT NULL"), F.col("fixtureId"), q.public_rules(F.col("publicDataset")))
+
+
+def b9_synthetic(spark, sf):
+    return q.errors(_manifest(spark, sf).where("syntheticSource IS NOT NULL"), F.col("fixtureId"), q.synthetic_rules(F.col("syntheticSource")))
 
 
 def b10_captures(spark, sf):
-    m = _manifest(spark, sf)
-    status = F.when(F.col("ok") % 3 == 0, "DELETED").otherwise("PENDING")
-    return q.errors(m, F.col("fixture"), q.capture_rules(F.col("fixture"), F.col("ok") % 29 != 0, status, F.concat(F.lit("2024-0"), (F.col("ok") % 9 + 1).cast("string"), F.lit("-10")), "2024-05-01", F.col("cust") % 31))
+    m = _manifest(spark, sf).where("captureAuthorization IS NOT NULL")
+    rules = {**q.capture_rules(F.col("captureAuthorization"), F.col("provenanceRef"), "2024-05-01"), **q.device_rules(F.col("deviceContext"))}
+    return q.errors(m, F.col("fixtureId"), rules)
+
+
+def b11_manifest(spark, sf):
+    return q.manifest_errors(_manifest(spark, sf), "2024-05-01")
 
 
 def b12_frames(spark, sf):
@@ -239,18 +305,24 @@ def b12_frames(spark, sf):
 
 
 def b13_objects(spark, sf):
-    rows = _poly(spark, sf).select(F.concat_ws("-", "frame", "obj").alias("at"), F.when(F.col("ln") == 6, "ODD").otherwise("CARD").alias("category"), F.when(F.col("ln") == 2, F.slice("poly", 1, 2)).otherwise(F.transform("poly", lambda p: F.array(p[0] + F.when(F.col("ln") == 3, 0.9).otherwise(0.0), p[1]))).alias("polygon"), (F.col("ln") / 5.0).alias("visibility"))
-    return q.object_errors(rows, F.col("at"), ["CARD"])
+    shift = F.when(F.col("ln") == 3, 0.9).otherwise(0.0)
+    corner = F.transform(F.when(F.col("ln") == 2, F.slice("poly", 1, 2)).otherwise(F.col("poly")), lambda p: F.array(p[0] + shift, p[1]))
+    one = F.struct(
+        "obj", F.when(F.col("sk") % 9 == 0, "!").otherwise(F.concat(F.lit("o:"), F.col("sk") % 4)).alias("objectId"), F.when(F.col("ln") == 6, "ODD").otherwise("PAYMENT_CARD").alias("category"),
+        F.when(F.col("pk") % 8 == 0, "GUEST").otherwise("SENSITIVE").alias("role"), corner.alias("polygon"), (F.col("ln") / 5.0).alias("visibility"),
+    )
+    rows = _poly(spark, sf).join(derive.truth_box(spark, sf).select("frame", "obj", "pk", "sk"), ["frame", "obj"]).groupBy("frame").agg(F.array_sort(F.collect_list(one)).alias("objects"))
+    return q.object_errors(rows, F.col("frame"))
 
 
 def b14_gate(spark, sf):
-    truth = derive.truth_box(spark, sf).selectExpr("concat('fx-', frame) AS fixture", "obj", "category")
-    return q.gated_category(truth, _manifest(spark, sf), "fixture", "PHONE", "BIV").select("fixture", "obj", "group")
+    truth = derive.truth_box(spark, sf).selectExpr("concat('fx:', frame) AS fixtureId", "obj", "category")
+    return q.gated_category(truth, _manifest(spark, sf), "fixtureId", "PHONE", "BIV_PRIV_SEG").select("fixtureId", "obj", "group")
 
 
 def b15_states(spark, sf):
     t_ = derive.truth_box(spark, sf)
-    rows = t_.groupBy("frame").agg(F.collect_list(F.struct((F.col("ln") > 2).alias("protectable"), F.when(F.col("pk") % 2 == 0, "HOST").otherwise("GUEST").alias("role"))).alias("objects")).selectExpr("frame", "objects", "element_at(array('REGIONAL', 'FULL_SHIELD', 'STOPPED'), CAST(frame % 3 + 1 AS INT)) AS state", "IF(frame % 10 = 0, 'PROTECT_REGIONS', element_at(array('PROTECT_REGIONS', 'FULL_SHIELD', 'STOP_OUTPUT'), CAST(frame % 3 + 1 AS INT))) AS action")
+    rows = t_.groupBy("frame").agg(F.collect_list(F.struct((F.col("ln") > 2).alias("protectable"), F.when(F.col("pk") % 2 == 0, "HOST").otherwise("GUEST").alias("role"))).alias("objects")).selectExpr("frame", "objects", "element_at(array('REGIONAL_PROTECTION', 'FULL_SHIELD', 'STOPPED'), CAST(frame % 3 + 1 AS INT)) AS state", "IF(frame % 10 = 0, 'PROTECT_REGIONS', element_at(array('PROTECT_REGIONS', 'FULL_SHIELD', 'STOP_OUTPUT'), CAST(frame % 3 + 1 AS INT))) AS action")
     return q.state_errors(rows, F.col("frame"))
 
 
@@ -264,6 +336,14 @@ def b18_roles(spark, sf):
     return q.changing_roles(derive.truth_box(spark, sf).selectExpr("frame % 500 AS episode", "obj", "category"), ["episode", "obj"], "category")
 
 
+def b18_faces(spark, sf):
+    rows = derive.truth_box(spark, sf).selectExpr(
+        "concat(IF(frame % 500 < 7, 'face-x-', 'face-dev-'), lpad(frame % 500, 4, '0')) AS fixture", "frame", "frame * 1000 AS ts_ns", "concat('face-', lpad(hex(obj), 8, '0')) AS object", "IF(pk % 50 = 0, 'HOST', 'UNKNOWN') AS role",
+        "ln > 1 AS protectable", "CASE WHEN ln > 1 AND pk % 20 > 0 OR pk % 90 = 1 THEN obj * 40 + IF(sk % 40 = 0, frame * 2000, 0) - IF(sk % 41 = 0, 900, 0) END AS since_ns",
+    )
+    return q.face_truth_errors(rows.withColumn("object", F.lower("object")))
+
+
 def b19_lanes(spark, sf):
     t_ = derive.truth_box(spark, sf)
     rows = t_.groupBy("frame").agg(F.collect_list(F.when(F.col("pk") % 40 == 0, "FACE").otherwise("AUTO_BARCODE")).alias("c"), F.collect_list(F.col("ln")).alias("b"))
@@ -280,8 +360,13 @@ def b21_rules(spark, sf):
 
 
 def b23_endpoints(spark, sf):
-    url = F.when(F.col("page_id") % 5 == 0, F.concat("url", F.lit("?a=1"))).when(F.col("page_id") % 7 == 0, F.regexp_replace("url", "^https?", "rtmp")).otherwise(F.col("url"))
-    return derive.table(spark, sf, "pages").select("page_id", q.endpoint_error(url, ["http", "https"]).alias("error"))
+    """Pages' addresses, and addresses with an IPv4 or IPv6 host made of the page's number."""
+    p, n = derive.table(spark, sf, "pages"), F.col("page_id")
+    url = (
+        F.when(n % 5 == 0, F.concat("url", F.lit("?a=1"))).when(n % 7 == 0, F.regexp_replace("url", "^https?", "rtmp")).when(n % 11 == 0, F.concat(F.lit("http://10.0."), n, F.lit(".1:80/x")))
+        .when(n % 13 == 0, F.concat(F.lit("http://[fe80::"), n, F.when(n % 2 == 0, ":%").otherwise(""), F.lit("]:8080/x"))).when(n % 17 == 0, F.concat(F.lit("https://a.b:"), n * 1000)).otherwise(F.col("url"))
+    )
+    return p.select("page_id", q.endpoint_error(url, ["http", "https"]).alias("error"))
 
 
 def b24_masked(spark, sf):
@@ -299,8 +384,29 @@ _PAIR = """pr AS (SELECT t.*, p_left, p_top, p_right, p_bottom, greatest(0, leas
 _M = """m AS (SELECT *, 1 + ln / 8e0 AS a, pk % 3 / 8e0 AS b, "left" / 4 AS c, sk % 3 / 8e0 AS d, 1 + obj % 4 / 8e0 AS e, top / 4 AS f FROM truth_box),
     mm AS (SELECT *, a * e - b * d AS det, a * "left" + b * top + c AS px, d * "left" + e * top + f AS py, greatest(0, least(1, a * "left" + b * top + c)) AS rl, greatest(0, least(1, a * "right" + b * bottom + c)) AS rr,
       greatest(0, least(1, d * "left" + e * top + f)) AS rt, greatest(0, least(1, d * "right" + e * bottom + f)) AS rb FROM m)"""
-_MAN = """man AS (SELECT 'fx-' || o_orderkey AS fixture, ['WIDER', 'BIV', 'PII', 'CAPTURE', 'NOPE'][o_orderkey % 5 + 1] AS grp, ['PUBLIC_DATASET', 'SYNTHETIC', 'CONSENTED_CAPTURE'][o_orderkey % 3 + 1] AS kind,
-    CASE WHEN o_orderkey % 97 = 0 THEN 'BAD' WHEN o_custkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, o_orderkey AS ok, o_custkey AS cust FROM orders)"""
+_SAMPLES = """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 100)::BIGINT + 128) AS v FROM embeddings), f AS (SELECT vec_id, list_concat(v, v) AS v FROM e),
+    g AS (SELECT unnest(range(0, 64)) AS place), s AS (SELECT vec_id, place, v[(place // 8 * 9 // 8) * 13 + (place % 8) * 13 // 8 + 1] AS v FROM f CROSS JOIN g)"""
+_MAN = """man AS (SELECT 'fx:' || o_orderkey AS fixtureId, ['WIDER_FACE', 'BIV_PRIV_SEG', 'PRIORITY_2', 'CONSENTED_FACE', 'NOPE'][o_orderkey % 5 + 1] AS grp, ['LICENSED_PUBLIC', 'SYNTHETIC', 'CONSENTED_CAPTURE'][o_orderkey % 3 + 1] AS kind,
+    CASE WHEN o_orderkey % 97 = 0 THEN 'BAD' WHEN o_orderkey % 5 = 0 THEN 'REGRESSION' WHEN o_custkey % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, o_orderkey AS ok, o_custkey AS cust FROM orders),
+    pub AS (SELECT * FROM man WHERE ok % 3 = 0 AND ok % 79 <> 0), syn AS (SELECT * FROM man WHERE ok % 3 = 1 OR ok % 83 = 0), cap AS (SELECT * FROM man WHERE ok % 3 = 2)"""
+_GROUPS = """SELECT fixtureId AS location, 'group' AS code FROM man WHERE ok % 5 = 4
+    UNION ALL SELECT fixtureId, 'source_kind' FROM man WHERE ok % 5 <> 4 AND kind <> CASE WHEN ok % 5 < 2 THEN 'LICENSED_PUBLIC' WHEN ok % 5 = 2 THEN 'SYNTHETIC' ELSE 'CONSENTED_CAPTURE' END
+    UNION ALL SELECT fixtureId, 'split' FROM man WHERE ok % 5 <> 4 AND CASE WHEN ok % 5 = 0 THEN split <> 'REGRESSION' WHEN ok % 5 = 1 THEN split <> 'SMOKE' ELSE split NOT IN ('DEVELOPMENT', 'HOLDOUT') END"""
+#: The planted faults of each block: what fails, and where.
+_PUB = {"sourceUrl": "ok % 13 = 0", "allowedUsage": "ok % 53 = 0", "byteLength": "ok % 17 = 0", "retrievedAt": "ok % 4 = 3"}
+_SYN = {"generatorVersion": "ok % 19 = 0", "fictionalPayloadVerified": "ok % 23 = 0", "font.upstreamCommit": "ok % 5 = 0 AND ok % 31 = 0"}
+_CAP = {"authorizationRef": "ok % 29 = 0", "consentRecorded": "ok % 37 = 0", "deletionAuditStatus": "ok % 4 = 3", "overdue": "ok % 4 = 0 AND ok % 9 + 1 < 5", "capturePhase": "ok % 41 = 0", "provenance": "ok % 29 = 0"}
+_DEVICE = {"lens": "cust % 4 = 3", "width": "cust % 31 = 0"}
+_ROW = {
+    "schemaVersion": "ok % 59 = 0", "corpusVersion": "ok % 61 = 0", "sourcePath": "ok % 7 = 0 OR ok % 11 = 0", "sourceDigest": "ok % 89 = 0", "mediaStreams": "ok % 73 = 0", "scenarioIds.array": "ok % 67 = 0",
+    "leakageKeys.actorIds.unique": "cust % 3 = 1", "leakageKeys.generatorSeeds.array": "ok % 43 = 0", "leakageKeys.roomMotionIds.id": "ok % 47 = 0",
+    "publicDataset.missing": "ok % 3 = 0 AND ok % 79 = 0", "syntheticSource.unexpected": "ok % 3 <> 1 AND ok % 83 = 0",
+}
+
+
+def _faults(faults: dict[str, str], table: str = "man", prefix: str = "") -> str:
+    return " UNION ALL ".join(f"SELECT fixtureId AS location, '{prefix}{code}' AS code FROM {table} WHERE {where}" for code, where in faults.items())
+
 
 ORACLE = {
     "c1_boxes": sql("""WITH b AS (SELECT frame, obj, greatest(0, least(1, (pk % 700 - 30) / 640e0)) AS x0, greatest(0, least(1, (sk % 400 - 10) / 360e0)) AS y0, greatest(0, least(1, (pk % 700 - 30 + ln * 20) / 640e0)) AS x1, greatest(0, least(1, (sk % 400 - 10 + ln * 15) / 360e0)) AS y1 FROM truth_box)
@@ -317,24 +423,33 @@ ORACLE = {
         SELECT frame, obj, CASE k WHEN 0 THEN l WHEN 1 THEN t WHEN 2 THEN 100 - r ELSE 100 - b END AS "left", CASE k WHEN 0 THEN t WHEN 1 THEN 80 - r WHEN 2 THEN 80 - b ELSE l END AS top, CASE k WHEN 0 THEN r WHEN 1 THEN b WHEN 2 THEN 100 - l ELSE 100 - t END AS "right", CASE k WHEN 0 THEN b WHEN 1 THEN 80 - l WHEN 2 THEN 80 - t ELSE r END AS bottom FROM p""", "truth_box"),
     "c27_predicted": sql("""WITH p AS (SELECT *, pk % 10 AS el, "right" - "left" AS w0, bottom - top AS h0 FROM truth_box), q AS (SELECT *, least(1, greatest(1e-6, greatest(w0, w0 - 0.01::DOUBLE * el))) AS w, least(1, greatest(1e-6, greatest(h0, h0 + 0.002::DOUBLE * el))) AS h FROM p),
         s AS (SELECT *, greatest(0, least(1 - w, ("left" + "right") / 2 + ln / 640e0 * el - w / 2)) AS l, greatest(0, least(1 - h, (top + bottom) / 2 + obj / 640e0 * el - h / 2)) AS t FROM q) SELECT frame, obj, round(l, 9) AS "left", round(t, 9) AS top, round(l + w, 9) AS "right", round(t + h, 9) AS bottom FROM s""", "truth_box"),
-    "d5_codes": """SELECT doc_id, 'ONE_TIME_CODE' AS category, 19 AS start, 25 AS "end" FROM documents WHERE doc_id % 3 = 0""",
+    "d5_codes": """SELECT doc_id, 'ONE_TIME_CODE' AS category, 22 AS start, 28 AS "end" FROM documents WHERE doc_id % 3 = 0""",
     "d9_terms": "SELECT DISTINCT lower(trim(p_name)) || ' x' AS term FROM part",
     "d12_strings": r"""SELECT p_partkey, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 9) AS distance, 'A ' || upper(p_name) AS plain, 'a ' || lower(p_name) AS lower_plain, sha256('s' || p_name) AS lot, sha256(p_name)[1:20] AS gid,
-        CASE WHEN p_size % 4 <= 1 THEN 'NOMINAL' WHEN p_size % 4 = 2 THEN 'WARNING' ELSE 'SEVERE' END AS severity, p_size % 10 <> 0 AS is_date, CASE WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'AUTOMATIC' ELSE 'WATCHLIST' END END AS lane,
+        CASE WHEN p_size % 4 <= 1 THEN 'NOMINAL' WHEN p_size % 4 = 2 THEN 'WARNING' ELSE 'SEVERE' END AS severity, p_size % 10 <> 0 AS is_date, CASE WHEN p_size % 7 = 0 THEN 'BIV_SMOKE' WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'AUTOMATIC_PATTERN' ELSE 'CONFIGURED_WATCHLIST' END END AS lane,
+        (p_size % 5)::BIGINT AS ratio_numerator, (p_size % 4)::BIGINT AS ratio_denominator, CASE WHEN p_size % 4 > 0 THEN round((p_size % 5) / (p_size % 4), 9) END AS ratio,
         CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'CARD' ELSE 'QR' END AS category FROM part""",
-    "d21_patterns": """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: floor(v::DOUBLE * 100)::BIGINT) AS v FROM embeddings), m AS (SELECT *, trunc(list_sum(v) / len(v))::BIGINT AS mean FROM e)
-        SELECT vec_id, len(list_filter(v, lambda x: x >= mean + 12))::INT AS bits, list_sum(v)::BIGINT AS total FROM m""",
+    "d21_patterns": f"""{_SAMPLES}, m AS (SELECT vec_id, floor(avg(v))::BIGINT AS mean FROM s GROUP BY vec_id) SELECT vec_id, place FROM s JOIN m USING (vec_id) WHERE v >= mean + 12""",
+    "d22_means": f"""{_SAMPLES} SELECT vec_id, floor(sum(v) / 64)::BIGINT AS mean FROM s GROUP BY vec_id""",
     "d11_sequences": """WITH e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS score, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), r AS (SELECT vec_id, i // 8 AS step, i % 8 AS c, score, row_number() OVER (PARTITION BY vec_id, i // 8 ORDER BY score DESC, i % 8) AS k FROM e),
         b AS (SELECT *, lag(c) OVER (PARTITION BY vec_id ORDER BY step) AS p FROM r WHERE k = 1), q AS (SELECT *, c <> 0 AND c IS DISTINCT FROM p AS kept FROM b)
         SELECT vec_id, coalesce(string_agg('-abcdefg'[c + 1], '' ORDER BY step) FILTER (kept), '') AS text, round(avg(least(1, greatest(0, score))) FILTER (kept), 9) AS confidence FROM q GROUP BY vec_id""",
-    "b1_keys": f"WITH {_MAN} SELECT fixture AS location, unnest(['missing:split', 'unknown:extra']) AS code FROM man WHERE ok % 83 = 0",
-    "b2_forbidden": f"WITH {_MAN} SELECT fixture AS location, 'pixeldata' AS key FROM man WHERE ok % 71 = 0",
-    "b6_groups": f"""WITH {_MAN}, r AS (SELECT * FROM (VALUES ('WIDER', 'PUBLIC_DATASET', ['DEVELOPMENT', 'HOLDOUT']), ('BIV', 'PUBLIC_DATASET', ['SMOKE']), ('PII', 'SYNTHETIC', ['DEVELOPMENT', 'HOLDOUT']), ('CAPTURE', 'CONSENTED_CAPTURE', ['HOLDOUT'])) AS v(grp, k, s))
-        SELECT fixture AS location, 'group' AS code FROM man LEFT JOIN r USING (grp) WHERE k IS NULL UNION ALL SELECT fixture, 'source_kind' FROM man JOIN r USING (grp) WHERE kind <> k UNION ALL SELECT fixture, 'split' FROM man JOIN r USING (grp) WHERE NOT list_contains(s, split)""",
-    "b7_blocks": f"""WITH {_MAN} SELECT fixture AS location, 'public_block:missing' AS code FROM man WHERE ok % 3 = 0 AND ok % 2 <> 0 UNION ALL SELECT fixture, 'public_block:unexpected' FROM man WHERE ok % 3 <> 0 AND ok % 2 = 0
-        UNION ALL SELECT fixture, 'synthetic_block:unexpected' FROM man WHERE false""",
-    "b10_captures": f"""WITH {_MAN} SELECT fixture AS location, 'consent' AS code FROM man WHERE ok % 29 = 0 UNION ALL SELECT fixture, 'reference' FROM man WHERE length(fixture) < 8 UNION ALL SELECT fixture, 'overdue' FROM man WHERE ok % 3 <> 0 AND ok % 9 + 1 < 5 UNION ALL SELECT fixture, 'device' FROM man WHERE cust % 31 = 0""",
-    "b14_gate": sql(f"WITH {_MAN} SELECT 'fx-' || frame AS fixture, obj, grp AS \"group\" FROM truth_box JOIN man ON ok = frame WHERE category = 'PHONE' AND grp <> 'BIV'", "truth_box"),
+    "b1_keys": f"WITH {_MAN} SELECT fixtureId AS location, unnest(['missing:split', 'unknown:extra']) AS code FROM man WHERE ok % 83 = 0",
+    "b2_forbidden": f"WITH {_MAN} SELECT fixtureId AS location, 'facecrop' AS key FROM man WHERE ok % 71 = 0",
+    "b3_manifest": f"WITH {_MAN} " + _faults({"digest": "ok % 89 = 0", "opaque": "length(fixtureId) < 8", "fixture": "length(fixtureId) < 3", "version": "ok % 61 = 0", "path": "ok % 7 = 0 OR ok % 11 = 0", "root": "ok % 7 = 0 OR ok % 11 = 0"}),
+    "b6_groups": f"WITH {_MAN} {_GROUPS}",
+    "b7_blocks": f"WITH {_MAN} " + _faults({"publicDataset:missing": "ok % 3 = 0 AND ok % 79 = 0", "syntheticSource:unexpected": "ok % 3 <> 1 AND ok % 83 = 0"}),
+    "b8_public": f"WITH {_MAN} " + _faults(_PUB, "pub"),
+    "b9_synthetic": f"WITH {_MAN} " + _faults(_SYN, "syn"),
+    "b10_captures": f"WITH {_MAN} " + _faults({**_CAP, **_DEVICE}, "cap"),
+    "b11_manifest": f"WITH {_MAN} " + " UNION ALL ".join([_faults(_ROW), _faults(_PUB, "pub", "publicDataset."), _faults({k: f"({w}) AND ok % 3 = 1" for k, w in _SYN.items()}, "syn", "syntheticSource."), _faults(_CAP, "cap", "captureAuthorization."), _faults(_DEVICE, "cap", "deviceContext."), _GROUPS]),
+    "b14_gate": sql(f"WITH {_MAN} SELECT 'fx:' || frame AS fixtureId, obj, grp AS \"group\" FROM truth_box JOIN man ON ok = frame WHERE category = 'PHONE' AND grp <> 'BIV_PRIV_SEG'", "truth_box"),
+    "b18_faces": sql("""WITH o AS (SELECT CASE WHEN frame % 500 < 7 THEN 'face-x-' ELSE 'face-dev-' END || lpad((frame % 500)::VARCHAR, 4, '0') AS fixture, frame, frame * 1000 AS ts_ns, 'face-' || lpad(lower(to_hex(obj)), 8, '0') AS object, CASE WHEN pk % 50 = 0 THEN 'HOST' ELSE 'UNKNOWN' END AS role, ln > 1 AS protectable,
+          CASE WHEN ln > 1 AND pk % 20 > 0 OR pk % 90 = 1 THEN obj * 40 + CASE WHEN sk % 40 = 0 THEN frame * 2000 ELSE 0 END - CASE WHEN sk % 41 = 0 THEN 900 ELSE 0 END END AS since FROM truth_box)
+        SELECT fixture, frame, object, 'fixture' AS code FROM o WHERE fixture LIKE 'face-x-%' UNION ALL SELECT fixture, frame, object, 'since' FROM o WHERE protectable <> (since IS NOT NULL) UNION ALL SELECT fixture, frame, object, 'negative' FROM o WHERE since < 0 UNION ALL SELECT fixture, frame, object, 'early' FROM o WHERE since > ts_ns
+        UNION ALL SELECT fixture, NULL, object, 'role' FROM o GROUP BY ALL HAVING count(DISTINCT role) > 1 UNION ALL SELECT fixture, NULL, object, 'since_changes' FROM o GROUP BY ALL HAVING count(DISTINCT since) FILTER (protectable) > 1""", "truth_box"),
+    "b23_endpoints": """WITH p AS (SELECT page_id, contains(url, '?') OR contains(url, '#') AS more, page_id % 5 = 0 AS q, page_id % 7 = 0 AS r, page_id % 11 = 0 AS v4, page_id % 13 = 0 AS v6, page_id % 17 = 0 AS po FROM pages)
+        SELECT page_id, CASE WHEN q THEN 'extra' WHEN r THEN 'scheme' WHEN v4 THEN CASE WHEN page_id > 255 THEN 'host' END WHEN v6 THEN CASE WHEN page_id % 2 = 0 OR page_id > 9999 THEN 'host' END WHEN po THEN CASE WHEN page_id * 1000 NOT BETWEEN 1 AND 65535 THEN 'port' END WHEN more THEN 'extra' END AS error FROM p""",
     "b17_id_lists": sql("SELECT frame, count(*) = count(DISTINCT pk % 20) AS ok FROM truth_box GROUP BY frame", "truth_box"),
     "b18_roles": sql("SELECT frame % 500 AS episode, obj, count(DISTINCT category) AS values FROM truth_box GROUP BY ALL HAVING count(DISTINCT category) > 1", "truth_box").replace("AS values", 'AS "values"'),
     "b19_lanes": sql("SELECT frame, frame % 9 <> 0 AND bool_and(pk % 40 <> 0) AND count(*) <= 6 AND sum(ln) <= 20 AS ok FROM truth_box GROUP BY frame", "truth_box"),
@@ -346,7 +461,9 @@ ORACLE = {
     "b15_states": sql("""WITH f AS (SELECT frame, bool_or(ln > 2 AND pk % 2 <> 0) AS p FROM truth_box GROUP BY frame) SELECT frame AS location, 'action' AS code FROM f WHERE frame % 10 = 0 AND frame % 3 <> 0 UNION ALL SELECT frame, 'nothing_to_protect' FROM f WHERE frame % 3 = 0 AND NOT p""", "truth_box"),
     "b12_frames": sql("""SELECT frame || '-' || obj AS location, 'rotation' AS code FROM truth_box WHERE ln % 2 = 0 UNION ALL SELECT frame || '-' || obj, 'crop' FROM truth_box WHERE sk % 9 = 0 UNION ALL SELECT frame || '-' || obj, 'matrix' FROM truth_box WHERE pk % 50 = 0
         UNION ALL SELECT frame || '-' || obj, 'rotation' FROM truth_box WHERE ln % 2 = 1 AND ln * 45 - 45 NOT IN (0, 90, 180, 270)""", "truth_box"),
-    "b13_objects": sql("""SELECT frame || '-' || obj AS location, 'category' AS code FROM truth_box WHERE ln = 6 UNION ALL SELECT frame || '-' || obj, 'points' FROM truth_box WHERE ln = 2 UNION ALL SELECT frame || '-' || obj, 'outside' FROM truth_box WHERE ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame || '-' || obj, 'visibility' FROM truth_box WHERE ln > 5""", "truth_box"),
+    "b13_objects": sql("""WITH o AS (SELECT *, CASE WHEN sk % 9 = 0 THEN '!' ELSE 'o:' || sk % 4 END AS oid FROM truth_box), d AS (SELECT *, row_number() OVER (PARTITION BY frame, oid ORDER BY obj) AS k FROM o)
+        SELECT frame AS location, (obj - 1)::INT AS place, 'category' AS code FROM d WHERE ln = 6 UNION ALL SELECT frame, (obj - 1)::INT, 'polygon' FROM d WHERE ln = 2 OR ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame, (obj - 1)::INT, 'visibility' FROM d WHERE ln > 5
+        UNION ALL SELECT frame, (obj - 1)::INT, 'objectId' FROM d WHERE oid = '!' OR length(oid) < 3 UNION ALL SELECT frame, (obj - 1)::INT, 'duplicate' FROM d WHERE k > 1 AND length(oid) >= 3 UNION ALL SELECT frame, (obj - 1)::INT, 'role' FROM d WHERE pk % 8 = 0""", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d6_watchlist, d7_all_spans, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns,
-    b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b10_captures, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
+QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
+    b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}

@@ -34,6 +34,8 @@ def sql(body: str, *names: str) -> str:
                 wanted.append(n)
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in wanted)
     rest = body.strip()
+    if rest.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {rest[15:]}"
     if rest.upper().startswith("WITH "):
         return f"WITH {ctes}, {rest[5:]}"
     return f"WITH {ctes} {rest}"

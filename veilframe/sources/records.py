@@ -2,28 +2,42 @@
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.text import ratio
 
-def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, raw) of text files, lines counted from 1, also in files that are read in several splits.
+
+    A row's number in its split is its distance from the split's first row, as a task numbers its rows one by one; before it stand
+    the rows of the file's earlier splits. Only the splits' counts are summed up; no line is moved.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__from"), F.monotonically_increasing_id().alias("__id"), F.col("value").alias("raw"))
+    splits = lines.groupBy("file", "__from").agg(F.count("*").alias("__n"), F.min("__id").alias("__first"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("file").orderBy("__from").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = splits.select("file", "__from", (before + 1 - F.col("__first")).alias("__to_line"))
+    return lines.join(offsets, ["file", "__from"]).select("file", (F.col("__id") + F.col("__to_line")).alias("line"), "raw")
+
+
+def strict_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     """One row for each non-blank line: file, line number, raw text, the record, and why it is refused (A1).
 
-    A line that is not a JSON object is an error row; so is a file without any record. A file is one row of the scan, so
-    it scales by files; the raw text stays for checks of unknown keys.
+    A line that is not a JSON object is an error row; so is a file without any line of text. The raw text stays for checks of unknown keys.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("at", "raw")).where(F.col("raw").rlike(r"\S"))
-    kind = F.substring(F.trim("raw"), 1, 1)
-    record = F.from_json("raw", schema, {"mode": "PERMISSIVE"})
-    ok = F.try_parse_json("raw").isNotNull()
-    rows = lines.select("file", (F.col("at") + 1).alias("line"), "raw", record.alias("record"), F.when(~ok, "bad_json").when(kind != "{", "not_an_object").alias("error"))
-    empty = files.where(~F.col("value").rlike(r"\S")).select("file", F.lit(0).alias("line"), F.lit("").alias("raw"), F.lit(None).cast(schema).alias("record"), F.lit("empty_file").alias("error"))
+    schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    lines = numbered_lines(spark, path).where(F.col("raw").rlike(r"\S"))
+    kind, ok = F.substring(F.trim("raw"), 1, 1), F.try_parse_json("raw").isNotNull()
+    rows = lines.select("file", "line", "raw", F.from_json("raw", schema, {"mode": "PERMISSIVE"}).alias("record"), F.when(~ok, "bad_json").when(kind != "{", "not_an_object").alias("error"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    empty = files.join(lines.select("file").distinct(), "file", "left_anti").select("file", F.lit(0).cast("long").alias("line"), F.lit("").alias("raw"), F.lit(None).cast(schema).alias("record"), F.lit("empty_file").alias("error"))
     return rows.unionByName(empty)
 
 
@@ -40,9 +54,14 @@ def keyed_findings(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFra
 
 
 def truth_of(manifest: DataFrame, truth: DataFrame, root: str) -> DataFrame:
-    """Frames of the files that manifest rows name, by path under the root; rows whose file is absent stay with null (A4)."""
-    relative = F.regexp_replace(F.col("file"), f"^.*?{root.rstrip('/')}/", "")
-    return manifest.join(truth.withColumn("truthPath", relative), "truthPath", "left")
+    """Frames of what manifest rows name: a file, or a folder of part files, by path under the root (A4).
+
+    ``truth`` has file; a row whose path has no frames stays with null columns and the error ``absent``.
+    """
+    relative = F.regexp_replace(F.col("file"), f"^.*?{re.escape(root.rstrip('/'))}/", "")
+    paths = F.array_distinct(F.array(relative, F.regexp_replace(relative, "/[^/]*$", "")))
+    joined = manifest.join(truth.withColumn("truthPath", F.explode(paths)), "truthPath", "left")
+    return joined.withColumn("error", F.when(F.col("file").isNull(), "absent"))
 
 
 def media_digests(spark: SparkSession, path: str) -> DataFrame:
@@ -100,6 +119,24 @@ def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.select(sorted_json(rows.columns).alias("value")).write.mode("overwrite").text(path)
 
 
+#: A line of the report; keys as they are written.
+REPORT_LINE = "schemaVersion string, suite string, gridSize int, overallAverageIntentionallyOmitted boolean, split string, lane string, category string, frames long, " + ", ".join(
+    f"{n} struct<numerator:long,denominator:long,value:double>" for n in ("recall", "localizationCoverage", "excessiveMask", "falsePositives")
+)
+
+
+def report_lines(sums: DataFrame, suite: str, grid: int) -> DataFrame:
+    """The report of a suite, one JSON line for each split, lane and category, with the suite's name and grid on each; no overall average."""
+    col = F.col
+    parts = {
+        "recall": ratio(col("recalled"), col("targets")), "localizationCoverage": ratio(col("covered_cells"), col("truth_cells")),
+        "excessiveMask": ratio(col("excess_cells"), col("frames") * grid * grid), "falsePositives": ratio(col("false_positives"), col("findings")),
+    }
+    head = {"schemaVersion": F.lit("1.0.0"), "suite": F.lit(suite), "gridSize": F.lit(grid), "overallAverageIntentionallyOmitted": F.lit(True), "split": col("split"), "lane": col("lane"), "category": col("category"), "frames": col("frames")}
+    fields = sorted({**head, **parts}.items())
+    return sums.select("split", "lane", "category", F.to_json(F.struct(*(c.alias(n) for n, c in fields)), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def fraction(numerator: Column, denominator: Column) -> Column:
     """n/d as text, 0/0 where nothing is counted."""
     return F.when(denominator == 0, F.lit("0/0")).otherwise(F.concat_ws("/", numerator.cast("long"), denominator.cast("long")))
