@@ -2,22 +2,25 @@
 
 A task cuts the texts of a block (BLOCK bytes of text, whole documents) into words by the vocabulary's pattern and writes
 a block as one row: its distinct words as byte arrays, and each document as positions in that list. The fold then works
-on the distinct words alone: a word starts as its bytes, and the leftmost neighbouring pair of least rank is merged until
-no pair has a rank. The rank map is a literal: the pieces by rank, and places that name a rank, of which a piece has two
-by its hash. A document's ids are those of its words, gathered by position. Decoding concatenates the binary pieces of
-the ids. No row leaves its task, so nothing is shuffled, broadcast by words, or kept by the driver.
+on the distinct words alone: a word starts as the ids of its bytes, and the leftmost neighbouring pair of least rank is
+merged until no pair has a rank. The rank map is a literal from pairs of ids to ranks, which are ids too. A piece has
+one pair: what merges leave of its own bytes before the last merge, as nothing outside a span changes the order of the
+merges inside it. A document's ids are those of its words, gathered by position. Decoding concatenates the binary pieces
+of the ids. No row leaves its task, so nothing is shuffled, broadcast by words, or kept by the driver.
 
-A word of n bytes takes n steps over at most n pieces; words of more than LONG bytes are therefore cut into their final
+A word of n bytes takes n steps over at most n ids; words of more than LONG bytes are therefore cut into their final
 pieces by the same ranked merges with a heap in the task (n log n steps), and their pieces go through the rank map.
 
 Null texts count as empty and give no ids. Repeated rows are encoded one by one; empty tables give no rows; other
-columns are ignored; a document larger than a block is a block of its own.
+columns are ignored; a document larger than a block is a block of its own. Ranks of which some piece is not reached by
+merging its bytes are an error.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import json
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -25,8 +28,8 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +37,13 @@ from veilframe.llm.common import documents, id_and_text
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text whose distinct words are folded together; words of more bytes than LONG are cut by a heap.
-BLOCK, LONG = 24 << 20, 64
-#: Places of the rank map, as a power of two of them.
-RANK_BITS = 17
-NONE = (1 << 31) - 1
-_BLOCKS = "words array<binary>, docs array<struct<doc_id:bigint,at:array<int>>>"
+BLOCK, LONG = 32 << 20, 128
+#: Bytes of text that are cut at once.
+SLICE = 2 << 20
+#: Bits of an id or rank; the rank of what is no pair; the two divisors whose remainders are a pair's places in the rank map.
+ID_BITS, DIVISORS = 20, (130_969, 131_009)
+NONE = (1 << ID_BITS) - 1
+_BLOCKS = "words array<array<int>>, docs array<struct<doc_id:bigint,at:array<int>>>"
 
 
 @cache
@@ -48,34 +53,39 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-def places(keys: list[bytes], bits: int) -> dict[int, bytes]:
-    """Each key at one of the two places that its hash names; a key that finds none after many moves is an error."""
-    held: dict[int, bytes] = {}
-    mask = (1 << bits) - 1
-    for key in keys:
-        now, at = key, xxhash.xxh64_intdigest(key, 42) & mask
-        for _ in range(500):
-            now, held[at] = held.get(at), now
-            if now is None:
-                break
-            h = xxhash.xxh64_intdigest(now, 42)
-            first, second = h & mask, h >> 32 & mask
-            at = second if at == first else first
-        else:
-            raise ValueError("the ranks do not fit their places")
-    return held
+def last_merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:
+    """The two pieces that a piece's own bytes are merged to at last."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 2:
+        rank, i = min((ranks.get(parts[i] + parts[i + 1], NONE), i) for i in range(len(parts) - 1))
+        if rank == NONE:
+            raise ValueError(f"merges do not reach {piece!r}")
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return parts[0], parts[1]
 
 
 @cache
-def _literals(path: str) -> tuple[str, str]:
-    """The pieces by rank and the rank at each place, as JSON."""
+def _literals(path: str) -> tuple[str, str, str]:
+    """As JSON: the pieces by id; at each place a pair of ids with its rank, or -1; the ids of the 256 bytes."""
     ranks = read_ranks(path)
-    by_rank, rank_at = [""] * (max(ranks.values()) + 1), ["-1"] * (1 << RANK_BITS)
+    pieces, held = [""] * (max(ranks.values()) + 1), [-1] * max(DIVISORS)
     for piece, rank in ranks.items():
-        by_rank[rank] = base64.b64encode(piece).decode()
-    for place, piece in places(list(ranks), RANK_BITS).items():
-        rank_at[place] = str(ranks[piece])
-    return json.dumps(by_rank, separators=(",", ":")), f"[{','.join(rank_at)}]"
+        pieces[rank] = base64.b64encode(piece).decode()
+        if len(piece) == 1:
+            continue
+        a, b = last_merge(piece, ranks)
+        now = (ranks[a] << ID_BITS | ranks[b]) << ID_BITS | rank
+        at = (now >> ID_BITS) % DIVISORS[0]
+        for _ in range(500):
+            now, held[at] = held[at], now
+            if now < 0:
+                break
+            first, second = ((now >> ID_BITS) % d for d in DIVISORS)
+            at = second if at == first else first
+        else:
+            raise ValueError("the ranks do not fit their places")
+    plain = lambda values: json.dumps(values, separators=(",", ":"))
+    return plain(pieces), plain(held), plain([ranks[bytes([i])] for i in range(256)])
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -86,62 +96,83 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 class RankMap:
     """The literal rank map, bound for use inside lambdas."""
 
-    def __init__(self, pieces: Column, places_: Column) -> None:
-        self.pieces, self.places = pieces, places_
+    def __init__(self, pieces: Column, held: Column, bytes_: Column) -> None:
+        self.pieces, self.held, self.bytes = pieces, held, bytes_
+
+    def rank(self, left: Column, right: Column) -> Column:
+        """The rank of two neighbours (ids as bigint), or NONE."""
 
-    def rank(self, piece: Column) -> Column:
-        """A piece's rank, or NONE."""
+        def found(key: Column) -> Column:
+            entries = [self.held[key % F.lit(d).cast("bigint")] for d in DIVISORS]
+            match = lambda at: F.shiftright(at, ID_BITS) == key
+            return F.when(match(entries[0]), _low(entries[0])).when(match(entries[1]), _low(entries[1])).otherwise(_long(NONE))
 
-        def found(x: Column) -> Column:
-            mask, h = F.lit((1 << RANK_BITS) - 1).cast("bigint"), F.xxhash64(x)
-            a = F.get(self.places, h.bitwiseAND(mask).cast("int"))
-            b = F.get(self.places, F.shiftrightunsigned(h, 32).bitwiseAND(mask).cast("int"))
-            return F.when(F.get(self.pieces, a) == x, a).when(F.get(self.pieces, b) == x, b).otherwise(F.lit(NONE))
+        return _let(F.shiftleft(left, ID_BITS).bitwiseOR(right), found)
 
-        return _let(piece, found)
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("bigint")
+
+
+def _low(packed: Column) -> Column:
+    """The id or rank in the low bits."""
+    return packed.bitwiseAND(_long(NONE))
 
 
 def with_ranks(path: str, body: Callable[[RankMap], Column]) -> Column:
     """``body`` of the rank map."""
-    pieces, rank_at = _literals(path)
-    return _let(F.from_json(F.lit(pieces), "array<binary>"), lambda p: _let(F.from_json(F.lit(rank_at), "array<int>"), lambda s: body(RankMap(p, s))))
+    pieces, held, bytes_ = (F.from_json(F.lit(text), f"array<{kind}>") for text, kind in zip(_literals(path), ("binary", "bigint", "bigint")))
+    return _let(pieces, lambda p: _let(held, lambda h: _let(bytes_, lambda b: body(RankMap(p, h, b)))))
+
+
+def _entry(rank: Column, of: Column) -> Column:
+    """An id in the low bits, above it the rank of it and the next id."""
+    return F.shiftleft(rank, ID_BITS).bitwiseOR(of)
+
 
+def byte_pairs(ranks: RankMap) -> Column:
+    """The entries of all pairs of bytes, so that a word's first entries are looked up by place."""
+    each = lambda i: _entry(ranks.rank(ranks.bytes[F.shiftright(i, 8)], ranks.bytes[i.bitwiseAND(255)]), ranks.bytes[F.shiftright(i, 8)])
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << 16) - 1)), each)
 
-def fold(word: Column, ranks: RankMap) -> Column:
-    """The ids of a word's bytes."""
 
-    def folded(text: Column) -> Column:
-        # A piece is what stands between two bounds, so a merge takes one bound away; r holds the ranks of neighbouring pairs.
-        between = lambda bounds, i, j: ranks.rank(F.substring(text, F.get(bounds, i), F.get(bounds, j) - F.get(bounds, i)))
+def fold(word: Column, ranks: RankMap, pairs: Column) -> Column:
+    """The ids of a word, an array of bytes.
 
-        def merged(p: Column, r: Column, k: Column) -> Column:
-            keep = lambda values, gone: F.filter(values, lambda _, i: i != gone)
-            left = F.when(k > 0, between(p, k - 1, k + 2))
-            right = F.when(k < F.size(r) - 1, between(p, k, k + 3))
-            return F.struct(keep(p, k + 1).alias("p"), F.transform(keep(r, k), lambda x, i: F.when(i == k - 1, left).when(i == k, right).otherwise(x)).alias("r"))
+    The state is one array of entries. Its least entry is the leftmost pair of least rank, as a rank has one pair; the rank is the id
+    that the two become.
+    """
+    end = _long(NONE)
 
-        def step(s: Column, _: Column) -> Column:
-            at_least = lambda m: F.when(m < NONE, _let((F.array_position(s["r"], m) - 1).cast("int"), lambda k: merged(s["p"], s["r"], k))).otherwise(s)
-            return _let(F.array_min(s["r"]), at_least)
+    def merged(v: Column, k: Column) -> Column:
+        new = F.shiftright(v[k], ID_BITS)
+        next_rank = F.when(k + 2 < F.size(v), ranks.rank(new, _low(v[k + 2]))).otherwise(end)
+        moved = lambda x, i: F.when(i == k, _entry(next_rank, new)).when(i == k - 1, _entry(ranks.rank(_low(x), new), _low(x))).otherwise(x)
+        return F.transform(F.filter(v, lambda _, i: i != k + 1), moved)
 
-        def merge_all(bounds: Column) -> Column:
-            pairs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: between(bounds, i, i + 2))
-            last = lambda s: F.transform(F.sequence(F.lit(0), F.size(s["p"]) - 2), lambda i: between(s["p"], i, i + 1))
-            return F.aggregate(pairs, F.struct(bounds.alias("p"), pairs.alias("r")), step, last)
+    def step(v: Column, _: Column) -> Column:
+        return _let(F.array_position(v, F.array_min(v)).cast("int") - 1, lambda k: F.when(v[k] < NONE << ID_BITS, merged(v, k)).otherwise(v))
 
-        return _let(F.sequence(F.lit(1), F.octet_length(text) + 1), merge_all)
+    def merge_all(rest: Column) -> Column:
+        first = F.zip_with(word, rest, lambda a, b: F.when(b.isNull(), _entry(end, ranks.bytes[a])).otherwise(pairs[F.shiftleft(a, 8) + b]))
+        return F.aggregate(rest, first, step, lambda v: F.transform(v, lambda x: _low(x).cast("int")))
 
-    return _let(ranks.rank(word), lambda r: F.when(r < NONE, F.array(r)).otherwise(folded(word)))
+    return _let(F.slice(word, 2, F.size(word)), merge_all)
 
 
-def joined(parts: Column) -> Column:
-    """The bytes of all parts, one after the other: a cast between binary and string leaves bytes as they are."""
-    return F.array_join(F.transform(parts, lambda x: x.cast("string")), "").cast("binary")
+def strings(parts: Column) -> Column:
+    """Binary pieces as strings: the cast leaves bytes as they are, and strings can be joined."""
+    return F.transform(parts, lambda x: x.cast("string"))
+
+
+def gathered(places: Column, pieces: Column) -> Column:
+    """The pieces at some places, one after the other."""
+    return F.array_join(F.transform(places, lambda i: F.get(pieces, i)), "")
 
 
 def decode(ids: Column, ranks: RankMap) -> Column:
     """The bytes that an array of ids stands for: their binary pieces, concatenated."""
-    return joined(F.transform(ids, lambda i: F.get(ranks.pieces, i)))
+    return _let(strings(ranks.pieces), lambda pieces: gathered(ids, pieces)).cast("binary")
 
 
 def little_endian(i: Column) -> Column:
@@ -152,6 +183,8 @@ def little_endian(i: Column) -> Column:
 
 def heap_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     """The pieces that ranked merges leave of a word, the leftmost pair of least rank first."""
+    if word in ranks:
+        return [word]
     n = len(word)
     # A piece is known by where it starts: end[i] is where it ends, before[i] where the piece to its left starts.
     end, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
@@ -180,34 +213,85 @@ def heap_pieces(word: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return out
 
 
-class _Numbered(dict):
-    """Words by the order in which they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        n = self[word] = len(self)
-        return n
-
-
-def _block(names: list, texts: list[str], pattern: regex.Pattern, ranks: Callable[[], dict[bytes, int]]) -> pa.RecordBatch:
-    """One row: the distinct words of some documents, and the documents as positions in them."""
-    numbered = _Numbered()
-    at = [np.fromiter(map(numbered.__getitem__, pattern.findall(text)), dtype=np.int32) for text in texts]
-    words = [w.encode() for w in numbered]
-    cut = {i: heap_pieces(w, ranks()) for i, w in enumerate(words) if len(w) > LONG}
-    if cut:
-        known, more = {w: i for i, w in enumerate(words)}, {}
-        for i, pieces in cut.items():
-            more[i] = np.array([known.setdefault(p, len(known)) for p in pieces], dtype=np.int32)
-            words[i] = b""
-        words += list(known)[len(words) :]
-        is_long = np.zeros(len(words), dtype=bool)
-        is_long[list(more)] = True
-        at = [np.concatenate([more[i] if i in more else np.array([i], dtype=np.int32) for i in a.tolist()]) if is_long[a].any() else a for a in at]
-    ends = np.cumsum([0, *map(len, at)], dtype=np.int32)
-    positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*at, np.empty(0, np.int32)])))
-    held = pa.StructArray.from_arrays([pa.array(names, pa.int64()), positions], ["doc_id", "at"])
-    one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-    return pa.RecordBatch.from_arrays([one(pa.array(words, pa.binary())), one(held)], ["words", "docs"])
+#: White space in the sense of the pattern, and without the space.
+_WIDE = "\t-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"[ {_WIDE}]"
+#: Stand before each word while a text is cut, the second where a run's space has gone to the word; texts that hold one are cut by the
+#: pattern itself.
+_MARK, _TAKEN = "\x01", "\x02"
+
+
+@cache
+def _cuts(pattern: str) -> tuple[str, list[tuple[str, str]]]:
+    """What a text must not hold to be cut by replacements, and the replacements that put a mark before each word.
+
+    They need no look-ahead: a run of white space is first one word; if another word follows, the run's last character then goes to that
+    word if it is a space, and is a word of its own if not.
+    """
+    plain = pattern.replace(r"|\s+(?!\S)|\s+", f"|{_SPACE}+").replace(r"\s", f" {_WIDE}")
+    return f"[{_MARK}{_TAKEN}]|{_SPACE}{{2}}'", [
+        (plain, rf"{_MARK}\0"),
+        (f"{_MARK}({_SPACE}+) {_MARK}", rf"{_MARK}\1{_TAKEN} "),
+        (f"{_MARK}({_SPACE}+)([{_WIDE}]){_MARK}", rf"{_MARK}\1{_MARK}\2{_MARK}"),
+    ]
+
+
+class _Block:
+    """Some documents as they are cut: their ids, their numbers of words, and their words."""
+
+    def __init__(self, pattern: str) -> None:
+        self.pattern, self.compiled, self.size = pattern, regex.compile(pattern), 0
+        self.names, self.sizes, self.words = [], [], []
+
+    def add(self, names: pa.Array, texts: pa.Array) -> None:
+        """More documents; their order does not matter."""
+        odd, replacements = _cuts(self.pattern)
+        self.size += int(pc.sum(pc.binary_length(texts)).as_py() or 0)
+        is_odd = pc.match_substring_regex(texts, odd)
+        plain = pc.invert(is_odd)
+        marked = texts.filter(plain)
+        for what, by in replacements:
+            marked = pc.replace_substring_regex(marked, what, by)
+        split = pc.split_pattern(pc.replace_substring(marked, _TAKEN, _MARK), _MARK)
+        n = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        # Nothing stands before a text's first mark.
+        kept = np.ones(len(words), dtype=bool)
+        kept[split.offsets.to_numpy()[:-1]] = False
+        self._hold(names.filter(plain), n - 1, pa.DictionaryArray.from_arrays(words.indices.filter(pa.array(kept)), words.dictionary))
+        if len(marked) < len(texts):
+            found = [self.compiled.findall(t) for t in texts.filter(is_odd).to_pylist()]
+            self._hold(names.filter(is_odd), np.array([len(f) for f in found]), pa.array(list(itertools.chain.from_iterable(found)), pa.string()).dictionary_encode())
+
+    def _hold(self, names: pa.Array, sizes: np.ndarray, words: pa.DictionaryArray) -> None:
+        self.names.append(names)
+        self.sizes.append(sizes)
+        self.words.append(words)
+
+    def row(self, ranks: Callable[[], dict[bytes, int]]) -> pa.RecordBatch:
+        """The block as one row."""
+        coded = pa.chunked_array(self.words).unify_dictionaries()
+        words = coded.chunk(0).dictionary.cast(pa.binary())
+        at, sizes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in coded.chunks]), np.concatenate(self.sizes)
+        if (pc.max(pc.binary_length(words)).as_py() or 0) > LONG:
+            at, sizes, words = _without_long(at, sizes, words.to_pylist(), ranks())
+        positions = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(at.astype(np.int32)))
+        held = pa.StructArray.from_arrays([pa.concat_arrays(self.names), positions], ["doc_id", "at"])
+        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(words).to_numpy()))).astype(np.int32)
+        raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), b"")[0].as_buffer(), dtype=np.uint8)
+        return pa.RecordBatch.from_arrays([one(pa.ListArray.from_arrays(pa.array(ends), pa.array(raw.astype(np.int32)))), one(held)], ["words", "docs"])
+
+
+def _without_long(at: np.ndarray, sizes: np.ndarray, words: list[bytes], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Positions, the documents' numbers of words, and the different words, with long words as their final pieces."""
+    known = {w: i for i, w in enumerate(words)}
+    cut = {i: [known.setdefault(p, len(known)) for p in heap_pieces(w, ranks)] for i, w in enumerate(words) if len(w) > LONG}
+    words = [b"" if cut.get(i, [i]) != [i] else w for i, w in enumerate(known)]
+    pieces = [cut.get(i, [i]) for i in at.tolist()]
+    total = np.concatenate(([0], np.cumsum([len(p) for p in pieces], dtype=np.int64)))
+    ends = np.cumsum(sizes)
+    return np.array(list(itertools.chain.from_iterable(pieces)), dtype=np.int32), total[ends] - total[ends - sizes], pa.array(words, pa.binary())
 
 
 def blocks(rows: DataFrame, path: str, size: int = BLOCK, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -215,18 +299,18 @@ def blocks(rows: DataFrame, path: str, size: int = BLOCK, pattern: str = public_
     shared = rows.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled, names, texts, held = regex.compile(pattern), [], [], 0
+        block = _Block(pattern)
         for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                names.append(name)
-                texts.append(text)
-                held += len(text)
-                if held >= size:
-                    yield _block(names, texts, compiled, lambda: shared.value)
-                    names, texts, held = [], [], 0
-        if names:
-            yield _block(names, texts, compiled, lambda: shared.value)
+            ends, at = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()), 0
+            while at < len(ends):  # a few documents at a time, so that what is cut is small beside the block
+                past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + min(size, SLICE), side="right")))
+                block.add(batch.column(0).slice(at, past - at), batch.column(1).slice(at, past - at))
+                at = past
+                if block.size >= size:
+                    yield block.row(lambda: shared.value)
+                    block = _Block(pattern)
+        if block.names:
+            yield block.row(lambda: shared.value)
 
     return rows.mapInArrow(run, _BLOCKS)
 
@@ -236,16 +320,16 @@ def encode(docs: DataFrame, path: str | None = None, size: int = BLOCK) -> DataF
     path = path or public_tokenizers.path(RANKS)
 
     def coded(ranks: RankMap) -> Column:
-        def word(w: Column, le: Column) -> Column:
-            both = lambda ids: F.struct(joined(F.transform(ids, lambda i: F.get(le, i))).cast("string").alias("ids"), decode(ids, ranks).cast("string").alias("bytes"))
-            return _let(fold(w, ranks), both)
+        def word(w: Column, pairs: Column, le: Column, pieces: Column) -> Column:
+            return _let(fold(w, ranks, pairs), lambda ids: F.struct(gathered(ids, le).alias("ids"), gathered(ids, pieces).alias("bytes")))
 
         def document(d: Column, words: Column) -> Column:
-            gather = lambda part: F.array_join(F.transform(d["at"], lambda i: F.get(words, i)[part]), "").cast("binary")
-            return F.struct(d["doc_id"].alias("doc_id"), gather("ids").alias("ids"), gather("bytes").alias("decoded"))
+            part = lambda name: F.array_join(F.transform(d["at"], lambda i: F.get(words, i)[name]), "").cast("binary")
+            return F.struct(d["doc_id"].alias("doc_id"), part("ids").alias("ids"), part("bytes").alias("decoded"))
 
         every_id = F.transform(F.sequence(F.lit(0), F.size(ranks.pieces) - 1), little_endian)
-        return _let(every_id, lambda le: _let(F.transform("words", lambda w: word(w, le)), lambda words: F.transform("docs", lambda d: document(d, words))))
+        all_words = lambda pairs: _let(strings(every_id), lambda le: _let(strings(ranks.pieces), lambda pieces: F.transform("words", lambda w: word(w, pairs, le, pieces))))
+        return _let(_let(byte_pairs(ranks), all_words), lambda words: F.transform("docs", lambda d: document(d, words)))
 
     out = blocks(id_and_text(docs), path, size).select(F.inline(with_ranks(path, coded)))
     return out.select("doc_id", "ids", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "decoded")

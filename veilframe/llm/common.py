@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.shared import cut, scratch, shared_folder
+
+__all__ = ["bucket_count", "cut", "documents", "held_out", "id_and_text", "scratch", "shared_folder", "words_of"]
+
 #: Words are runs of anything but space, tab, newline, vertical tab, form feed and return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
@@ -17,30 +18,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(named)
-        return named
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="veilframe-"))
-    return sc.getCheckpointDir()
-
-
-def cut(frame: DataFrame) -> DataFrame:
-    """The same rows read from a reliable checkpoint."""
-    shared_folder(frame.sparkSession)
-    return frame.checkpoint(eager=True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/veilframe-{name}-{uuid.uuid4().hex}"
-
-
 def bucket_count(spark: SparkSession, least: int = 64, times: int = 4) -> int:
     """How many groups to deal packed rows into: follows the shuffle partitions that are set for the data's size."""
     return max(least, times * int(spark.conf.get("spark.sql.shuffle.partitions")))
