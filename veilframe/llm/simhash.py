@@ -31,6 +31,8 @@ SEED = 42
 #: Different fingerprints that are compared with each other inside one bucket.
 MOST = 256
 LEVELS = 3
+#: One row in so many makes a fingerprint hot.
+HOT_SHARE = 10_000
 #: Parts into which the rows of one bucket are dealt while its size is looked up.
 SALTS = 16
 
@@ -140,13 +142,20 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
 
 
 def cluster(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Adds component_id, the smallest doc_id reachable over links, to rows of (doc_id, fp)."""
-    same = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    """Adds component_id, the smallest doc_id reachable over links, to rows of (doc_id, fp).
+
+    A fingerprint of more than one row in HOT_SHARE has its component sent to the rows, of which there are at most HOT_SHARE; the rows of
+    the others are joined by fingerprint, where none is hot.
+    """
+    same = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     roots = components(links(same, radius))
-    placed = same.join(roots, same.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = same.join(roots, same.fp == roots.node, "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp", "left")
+    named = cut(placed.join(least, "root").select("fp", "component_id", "n"))
+    bound = (named.agg(F.sum("n")).first()[0] or 0) / HOT_SHARE
+    hot = F.broadcast(named.where(F.col("n") > bound).select("fp", "component_id"))
+    cold = named.where(F.col("n") <= bound).select("fp", "component_id")
+    return prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(cold, "fp"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
@@ -157,8 +166,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     keys = cut(fingerprints(docs).distinct())
     placed = cluster(keys)
-    chosen = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "__kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    name = next(n for n in ("__kept" + "_" * i for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    chosen = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"])
 
 
