@@ -1,17 +1,19 @@
 """Toxicity: a weighted finite-state grammar over the clauses of a text.
 
 A reader turns each word into a symbol: INSULT with a weight, HARM (what a threat does), WILL (what announces it),
-TARGET (who is addressed), NOT, SAID (reported speech begins), or nothing. Five transducers run over the symbols:
+TARGET (who is addressed), NOT, BUT (what takes a negation back), SAID (reported speech begins), or nothing. Five
+transducers run over the symbols:
 
 * insult: emits the weight of an insult;
 * threat: emits THREAT for a harm after an announcement in the same clause;
-* target: multiplies what is emitted by AIMED once the clause has addressed somebody;
-* negation: multiplies it by DENIED for two words after a negation;
+* target: the whole clause counts AIMED times if it addresses somebody, before or behind the insult: a final weight;
+* negation: multiplies what is emitted by DENIED up to DENIES words behind a negation, or until it is taken back;
 * reported speech: multiplies it by QUOTED until the clause ends.
 
-They are composed into one table over product states; the end of a clause (a mark of punctuation after a word) brings
-all of them back to their first states. A clause's score is the sum of what is emitted, at most CLAUSE; a text's evidence is
-the logarithm of one plus the sum over its clauses, and a logistic curve makes a probability of it.
+They are composed into one table over product states; the end of a clause (a mark of punctuation after a word) takes the
+final weight and brings all of them back to their first states. A clause's score is the sum of what is emitted, at most
+CLAUSE; a text's evidence is the logarithm of one plus the sum over its clauses, and a logistic curve makes a probability
+of it.
 
 Insults are learned: whole words and beginnings of words (stems) that many toxic and hardly any other documents of the
 sample hold, weighted by log-odds. Copies in the sample count once, or the words of one much-copied document would all
@@ -47,51 +49,67 @@ STEMS = range(3, 9)
 CHANCE, SPARE = 0.01, 0.002
 THREAT, CLAUSE = 3.0, 8.0
 AIMED, DENIED, QUOTED = 1.5, 0.4, 0.6
+DENIES = 4
 CUT = 0.3
 REMEMBERED = 500_000
 
-#: Words of the grammar in English, French, German and Spanish.
-WILL = frozenset("will shall gonna vais werde voy".split())
-HARM = frozenset("kill hurt beat destroy tuer frapper töten schlagen matar golpear".split())
-TARGET = frozenset("you your yourself they tu toi vous du dich ihr tú usted ustedes".split())
-NOT = frozenset("not never no isn't aren't ne pas jamais nicht kein keine nie nunca jamás".split())
-SAID = frozenset("said says told called quoted dit sagte dijo".split())
+#: Words of the grammar, in English, French, German and Spanish: what announces a deed, what it does, who is addressed, what denies,
+#: what takes a denial back, and what begins reported speech.
+WILL = frozenset(
+    "will shall gonna going must should i'll we'll they'll vais va allons vont vas irai devrais werde werden wird wirst werdet sollte muss voy vas va vamos van iré debería".split()
+)
+HARM = frozenset(
+    "kill hurt beat destroy murder stab shoot hang burn crush smash strangle punch kick slaughter torture tuer frapper détruire égorger pendre brûler écraser étrangler poignarder torturer "
+    "töten schlagen umbringen vernichten erschießen erstechen verbrennen hängen zerstören verprügeln quälen matar golpear destruir asesinar quemar ahorcar apuñalar aplastar torturar degollar".split()
+)
+TARGET = frozenset(
+    "you your yours yourself yourselves u ya they them their tu toi te ton ta tes vous votre vos du dich dir dein deine deinen ihr euch euer eure sie tú ti tu tus te usted ustedes vosotros vuestro".split()
+)
+NOT = frozenset(
+    "not never no none nobody neither nor without isn't aren't wasn't weren't don't doesn't didn't won't wouldn't can't cannot couldn't shouldn't ne pas jamais aucun aucune rien ni sans "
+    "nicht kein keine keinen keiner nie niemals niemand nichts ohne nunca jamás ningún ninguna nadie nada sin tampoco".split()
+)
+BUT = frozenset("but yet however mais pourtant cependant aber doch sondern jedoch pero sino aunque".split())
+SAID = frozenset(
+    "said says say told tells called calls quoted quotes wrote writes claimed claims reported according dit disait disent écrit appelé selon affirme "
+    "sagte sagt sagen schrieb nannte laut behauptet zitiert dijo dice decía escribió llamó según afirmó citó".split()
+)
 
-NOTHING, INSULT, HARMS, WILLS, TARGETS, NOTS, SAYS = range(7)
+NOTHING, INSULT, HARMS, WILLS, TARGETS, NOTS, BUTS, SAYS = range(8)
 _MARKS = re.compile(r"^[^\w]+|[^\w]+$")
 _END = re.compile(r"[.!?;:|\n]")
 
 
 class Transducer:
-    """States, a step (state, symbol) -> state, and what it adds or multiplies at a state and symbol."""
+    """States, a step (state, symbol) -> state, what it adds or multiplies at a state and symbol, and the weight of the state at the end."""
 
-    def __init__(self, states: int, step, emit=None, factor=None) -> None:
-        self.states, self.step, self.emit, self.factor = states, step, emit or (lambda s, a: (0.0, 0.0)), factor or (lambda s, a: 1.0)
+    def __init__(self, states: int, step, emit=None, factor=None, final=None) -> None:
+        self.states, self.step, self.emit, self.factor, self.final = states, step, emit or (lambda s, a: (0.0, 0.0)), factor or (lambda s, a: 1.0), final or (lambda s: 1.0)
 
 
 #: emit gives (what is added, what the word's own weight is multiplied by and added).
 GRAMMAR = (
     Transducer(1, lambda s, a: 0, emit=lambda s, a: (0.0, 1.0 if a == INSULT else 0.0)),
     Transducer(2, lambda s, a: 1 if a == WILLS else s, emit=lambda s, a: (THREAT if s and a == HARMS else 0.0, 0.0)),
-    Transducer(2, lambda s, a: 1 if a == TARGETS else s, factor=lambda s, a: AIMED if s else 1.0),
-    Transducer(3, lambda s, a: 2 if a == NOTS else max(0, s - 1), factor=lambda s, a: DENIED if s else 1.0),
+    Transducer(2, lambda s, a: 1 if a == TARGETS else s, final=lambda s: AIMED if s else 1.0),
+    Transducer(DENIES + 1, lambda s, a: DENIES if a == NOTS else 0 if a == BUTS else max(0, s - 1), factor=lambda s, a: DENIED if s else 1.0),
     Transducer(2, lambda s, a: 1 if a == SAYS else s, factor=lambda s, a: QUOTED if s else 1.0),
 )
 
 
-def compose(parts: tuple[Transducer, ...] = GRAMMAR) -> dict[tuple[int, int], tuple[int, float, float]]:
-    """(state, symbol) -> (state, what is added, what the word's weight is multiplied by), over reachable product states."""
+def compose(parts: tuple[Transducer, ...] = GRAMMAR) -> tuple[dict[tuple[int, int], tuple[int, float, float]], list[float]]:
+    """(state, symbol) -> (state, what is added, what the word's weight is multiplied by), over product states; the states' final weights."""
     states = list(itertools.product(*(range(p.states) for p in parts)))
     number = {s: i for i, s in enumerate(states)}
     table = {}
-    for s, a in itertools.product(states, range(7)):
+    for s, a in itertools.product(states, range(SAYS + 1)):
         factor = math.prod(p.factor(x, a) for p, x in zip(parts, s))
         added, times = (sum(v) for v in zip(*(p.emit(x, a) for p, x in zip(parts, s))))
         table[number[s], a] = (number[tuple(p.step(x, a) for p, x in zip(parts, s))], added * factor, times * factor)
-    return table
+    return table, [math.prod(p.final(x) for p, x in zip(parts, s)) for s in states]
 
 
-_TABLE = compose()
+_TABLE, _FINAL = compose()
 
 
 def _plain(word: str) -> str:
@@ -115,7 +133,7 @@ class Grammar:
     def _symbol(self, raw: str) -> tuple[int, float, bool]:
         word, end = _plain(raw), bool(_END.search(raw[-1]))
         weight = self.weight(word)
-        for symbol, words in ((WILLS, WILL), (HARMS, HARM), (TARGETS, TARGET), (NOTS, NOT), (SAYS, SAID)):
+        for symbol, words in ((WILLS, WILL), (HARMS, HARM), (TARGETS, TARGET), (NOTS, NOT), (BUTS, BUT), (SAYS, SAID)):
             if word in words:
                 return symbol, 0.0, end
         return (INSULT, weight, end) if weight else (NOTHING, 0.0, end)
@@ -138,9 +156,9 @@ class Grammar:
                     score += added + times * weight
             if end and (state or score):
                 if score:
-                    out.append(min(score, CLAUSE))
+                    out.append(min(score * _FINAL[state], CLAUSE))
                 state, score = 0, 0.0
-        return out + [min(score, CLAUSE)] if score else out
+        return out + [min(score * _FINAL[state], CLAUSE)] if score else out
 
     def evidence(self, text: str | None) -> float:
         """The logarithm of one plus the clauses' scores."""
