@@ -121,13 +121,14 @@ class Sketches:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of bounded size."""
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
+    """The benchmark in blocks of bounded size, one at a time: the driver holds one block. Each block is a pass over the documents."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = math.ceil(size / BLOCK_BYTES) or 1
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in rows.where(part == k).collect()] for k in range(n)]
+    for k in range(n):
+        yield [(r["item_id"], r["text"]) for r in rows.where(part == k).collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:

@@ -14,11 +14,11 @@ other columns are ignored. With nothing to learn from every answer is ``und``.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +35,8 @@ UNKNOWN = "und"
 #: Words whose sums a worker remembers; then it starts anew.
 REMEMBERED = 300_000
 BASE = 0x9E3779B97F4A7C15
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter in the sense of Unicode; half signs, superscripts and circled digits are none.
+_LETTER = regex.compile(r"\p{L}")
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -55,7 +55,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: Texts that hold an added token go to the tokenizer whole, as only it knows what surrounds one.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -109,7 +110,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if " ".join(text.split()) != text.replace("\n", " "):
+        if " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
             return self._whole(text)
         if len(self.inner) > REMEMBERED:
             self.inner, self.older = {}, self.inner
