@@ -173,7 +173,6 @@ def test_byte_bpe_equals_tiktoken(docs, empty):
 @pytest.mark.parametrize("bits", [False, True])
 def test_plane_files(spark, docs, empty, tmp_path, bits):
     tk = Tokenizer.from_file(public_tokenizers.path(plane_files.TOKENIZER))
-    tk.encode_special_tokens = True
     plane_files.write(docs, str(tmp_path / "a"), bits=bits)
     got = sorted((r.start, r.doc_id, r.n_tokens, zlib.crc32(r.ids)) for r in plane_files.read(spark, str(tmp_path / "a")).collect())
     wanted, start = [], 0
@@ -271,3 +270,127 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert sorted(got) == [0, 1, 2, 3, 4, 5, 11]
     assert got[11].decoded_sha256 == hashlib.sha256((" ".join(f"q{k}" for k in range(60)) + " ").encode()).hexdigest()
     assert got[2].decoded_sha256 == hashlib.sha256(rows[2][1].encode()).hexdigest()
+
+
+def _tiktoken():
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.RANKS))
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
+def test_byte_bpe_long_words_and_small_blocks(spark):
+    rng, (coder, _) = np.random.default_rng(4), _tiktoken()
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    texts = [letters(1 << 20), f"a {letters(byte_bpe.LONG)} {letters(byte_bpe.LONG + 1)} b", "\n" * 300 + "x" * 5000, "é" * 200, " " * 200 + "end", "a  b \n c　 d e", "Ⅻ½٩ x²", "word, " * 9000, "", " "]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts[1:5])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    wanted = sorted((i, np.array(coder.encode_ordinary(t), "<u4").tobytes(), t.encode()) for i, t in rows)
+    for size in (byte_bpe.BLOCK, 1000):
+        assert sorted((r.doc_id, bytes(r.ids), bytes(r.decoded)) for r in byte_bpe.encode(frame, size=size).collect()) == wanted
+
+
+def test_block_words_are_the_patterns():
+    import random
+
+    import pyarrow as pa
+    import regex
+
+    rng, pattern = random.Random(7), regex.compile(public_tokenizers.PATTERN)
+    texts = ["".join(rng.choices(["a", "Z", "é", " ", "  ", "\n", "\t", "'s", "'", "1", ".", ",", "!!", "\xa0", "　", "日", "_", "\x1c", "\x01"], k=rng.randrange(0, 14))) for _ in range(20000)]
+    block = byte_bpe._Block(public_tokenizers.PATTERN)
+    for k in range(0, len(texts), 3000):
+        block.add(pa.array(range(k, k + len(texts[k : k + 3000])), pa.int64()), pa.array(texts[k : k + 3000]))
+    row = block.row(dict)
+    words = [bytes(w).decode() for w in row.column(0)[0].as_py()]
+    assert {d["doc_id"]: [words[i] for i in d["at"]] for d in row.column(1)[0].as_py()} == {i: pattern.findall(t) for i, t in enumerate(texts)}
+
+
+def test_heap_equals_the_order_of_ranks():
+    (coder, ranks), rng = _tiktoken(), np.random.default_rng(9)
+    for n in (1, 2, 30, 400):
+        word = bytes(rng.choice(list(b"abcdenst "), n).astype(np.uint8))
+        assert [ranks[p] for p in byte_bpe.heap_pieces(word, ranks)] == coder._encode_single_piece(word)
+
+
+def test_decode_concatenates_pieces(spark):
+    coder, _ = _tiktoken()
+    ids = coder.encode_ordinary("daß 日本 €5")
+    frame = spark.createDataFrame([(ids,), ([],)], "ids array<int>")
+    out = frame.select(byte_bpe.with_ranks(public_tokenizers.path(byte_bpe.RANKS), lambda r: byte_bpe.decode(F.col("ids"), r)).alias("b")).collect()
+    assert [bytes(r.b) for r in out] == ["daß 日本 €5".encode(), b""]
+
+
+def test_strip_carries_every_type_exactly(spark):
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        A2 = " ".join(f"gamma{i}" for i in range(30))
+        docs = spark.createDataFrame([(1, A2), (2, A2), (3, None), (None, "x")], "doc_id int, text string").selectExpr(
+            "*", "timestamp_micros(1729991400123456) AS again", "struct(timestamp_micros(1729987800123456) AS t, array(1.5D, double('NaN'), NULL) AS a, NULL AS n) AS s", "map(1, timestamp_micros(1), 2, NULL) AS m", "CAST('12345678901234567890.12' AS DECIMAL(30,2)) AS d",
+            "unhex('FF00') AS b", "CAST('NaN' AS FLOAT) AS f", "CAST(9007199254740993 AS BIGINT) AS big", "IF(doc_id = 1, NULL, true) AS flag", "DATE'0999-01-01' AS day", "TIMESTAMP_NTZ'2024-10-27 02:30:00.123456' AS ntz", "INTERVAL '1 02:03:04.5' DAY TO SECOND AS span",
+            "named_struct('a b', CAST(NULL AS STRUCT<x: INT>)) AS odd", "array(map('k', unhex('00'))) AS deep", "7 AS __c0", "9 AS n_chars",
+        )
+        out = suffix_dedup.strip(docs)
+        assert out.dtypes == docs.dtypes
+        as_text = lambda frame: sorted(str(r) for r in frame.selectExpr("doc_id", "to_json(struct(* EXCEPT (text, n_chars, flag))) AS j", "hex(b)", "cast(again AS bigint)", "unix_micros(again)", "unix_micros(s.t)", "map_values(m)", "flag").collect())
+        assert as_text(out) == as_text(docs)
+        assert {(r.doc_id, r.text, r.n_chars) for r in out.select("doc_id", "text", "n_chars").collect()} == {(1, A2, 9), (2, "", 0), (3, None, 9), (None, "x", 9)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_near_duplicates_with_clashing_columns_and_hot_prints(spark, monkeypatch):
+    rows = [(i, "one and the same text here", 1) for i in range(40)] + [(100 + i, f"other words {i} x{i} y{i} z{i}", 2) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __kept long").selectExpr("*", "5 AS component_id", "6 AS root")
+    wanted = {0, *range(100, 105)}
+    for share in (2, 10_000):
+        monkeypatch.setattr(simhash, "HOT_SHARE", share)
+        kept = simhash.keep_first(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == wanted
+        assert simhash.cluster(simhash.fingerprints(docs)).where("doc_id < 100 AND component_id <> 0").count() == 0
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    rng = np.random.default_rng(8)
+    part = "".join(map(chr, rng.integers(97, 123, 60_000)))
+    rows = [(1, part), (2, f"{part[100:30_000]}-{part[40_000:40_050]}-{part[50_000:50_049]}-{'ab' * 500}"), (3, "ab" * 400)]
+    got = {r.doc_id: (r.n_removed, len(r.spans)) for r in suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (0, 0), 2: (29_900 + 50, 2), 3: (800, 1)}
+
+
+def test_letters_decide_what_has_a_language(spark):
+    docs = spark.createDataFrame([(1, "½ ² ① 12 _ Ⅻ"), (2, "é"), (3, ""), (4, None)], "doc_id long, text string")
+    texts = spark.createDataFrame([(i, w * 20, k) for i, (w, k) in enumerate([("the cat sat ", "en"), ("le chat noir ", "fr")] * 20)], "doc_id long, text string, lang string")
+    model = language_id.fit(texts, texts.select("doc_id", F.col("lang").alias("label")))
+    assert [r.doc_id for r in language_id.predict(docs, model).where("lang_pred = 'und'").orderBy("doc_id").collect()] == [1, 3, 4]
+
+
+def test_empty_tables(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    none = spark.createDataFrame([], "doc_id long, label int")
+    assert quality_model.score(empty, quality_model.fit(empty, none)).count() == 0
+    assert toxicity.score(empty, toxicity.fit(empty, none)).count() == 0
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_toxicity_targets_and_contrasts():
+    g = toxicity.Grammar({"idiot$": 4.0}, (3.0, -4.0))
+    assert g.clauses("an idiot is what you are") == [6.0] and g.clauses("not only here but an idiot") == [4.0] and g.clauses("not a single one idiot here") == [1.6]
+    assert g.clauses("no a b c d idiot") == [4.0] and g.clauses("idiot. you are here") == [4.0]
+
+
+def test_registered_sql_is_text():
+    from veilframe.llm import registry
+
+    assert all(isinstance(sql, str) for sql in registry.oracle_sql().values()) and registry.oracle_sql().keys() <= registry.queries().keys()
+
+
+def test_no_folder_of_one_machine_on_a_cluster():
+    from types import SimpleNamespace
+
+    from veilframe.shared import shared_folder
+
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_folder(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
