@@ -129,11 +129,85 @@ def test_scene_needs_confirmation():
 
 
 def test_session_machine():
-    step = p.session_step()
-    rows = [("s", 0, "READY", False), ("s", 1, "READY", True), ("s", 2, "LIVE", True), ("s", 3, "HOST_LOST", False), ("s", 4, "ENDED", True), ("s", 5, "FAILED", True)]
+    step, none = p.session_step(), (None,) * 4
+    rows = [("s", 0, "READY", False, none), ("s", 1, "READY", True, none), ("s", 2, "LIVE", True, none), ("s", 3, "HOST_LOST", False, none), ("s", 4, "ENDED", True, none), ("s", 5, "FAILED", True, none)]
     assert [(r[2], r[3]) for r in _run(step, {}, rows)] == [("SETUP", False), ("READY", True), ("LIVE", True), ("SHIELDING", True), ("SHIELDING", False), ("FAILED", True)]
 
 
+def test_publisher_degrades_and_recovers_a_session():
+    health = lambda at, *h, host=True: ("s", at, "HEALTH", host, h)
+    rows = [
+        health(0, "FAILED", "NONE", False, False), ("s", 1, "READY", True, None), ("s", 2, "LIVE", True, None), health(3, "RECONNECTING", "NONE", True, True), health(4, "PUBLISHING", "NONE", True, False), health(5, "PUBLISHING", "NONE", True, True, host=False),
+        health(6, "PUBLISHING", "NONE", True, True), ("s", 7, "DEGRADED", True, None), health(8, "PUBLISHING", "NONE", True, True), health(9, "PUBLISHING", "NONE", False, True), health(10, "STOPPED", "NONE", True, True),
+    ]
+    # A session that was degraded by hand is not recovered by the publisher.
+    assert [r[2] for r in _run(p.session_step(), {}, rows)] == ["SETUP", "READY", "LIVE", "DEGRADED", "DEGRADED", "DEGRADED", "LIVE", "DEGRADED", "DEGRADED", "DEGRADED", "STOPPING"]
+
+
+def test_publication_states_and_failures():
+    rows = [("s", i, *x) for i, x in enumerate([("PUBLISHED", "KEY"), ("CONNECT", None), ("CONNECTED", None), ("PUBLISHED", "KEY"), ("PUBLISHED", "CONFIG"), ("PUBLISHED", "KEY"), ("PUBLISHER", "DISCONNECTED"), ("PUBLISHED", "KEY"), ("CONNECTED", None), ("CONGESTION", None), ("QUEUE", "OVERFLOW"), ("CONNECTED", None), ("STOP", None), ("CLOSE", None), ("STOP", None)])]
+    out = [r[2:] for r in _run(p.publication_step(), {}, rows)]
+    assert [r[0] for r in out] == ["IDLE", "CONNECTING", "PUBLISHING", "PUBLISHING", "PUBLISHING", "PUBLISHING", "RECONNECTING", "RECONNECTING", "PUBLISHING", "RECONNECTING", "FAILED", "FAILED", "STOPPED", "CLOSED", "CLOSED"]
+    assert [r[1] for r in out[6:11]] == ["NETWORK_DISCONNECTED", "NETWORK_DISCONNECTED", "NONE", "CONGESTION", "QUEUE_OVERFLOW"]
+    assert [r[3] for r in out] == [False] * 5 + [True] + [False] * 9 and [r[2] for r in out][-1] == 3 and [r[4] for r in out].count(False) == 4
+
+
+def test_coordinator_revokes_until_nothing_is_selected():
+    a = (0.1, 0.1, 0.2, 0.2, None)
+    rows = [("s", 0, "FACE", False, [a], None), ("s", 100, "FACE", False, [a], 0), ("s", 100, "FACE", False, [a], 0), ("s", 200, "TEXT", False, [], 0), ("s", 300, "FACE", False, [a], 0), ("s", 400, "FACE", False, [a], None), ("s", 500, "FACE", False, [a], 0), ("s", 600, "FACE", False, [], 0), ("s", 700, "FACE", False, [(0.5, 0.5, 0.5, 0.5, None), a], 0)]
+    out = _run(p.coordinator_step(), p.coordinator_start(), rows)
+    assert [r[2:] for r in out] == [("TRACKED", False, None, 1), ("TRACKED", False, 0, 0), ("FULL_SHIELD", True, None, 0), ("FULL_SHIELD", True, None, 0), ("TRACKED", True, None, 1), ("TRACKED", False, None, 1), ("TRACKED", False, 0, 0), ("TRACKED", True, None, 1), ("FULL_SHIELD", True, None, 0)]
+
+
+def test_simple_tracker_keeps_given_ids_and_forgets_over_empty_frames():
+    box = lambda x: (x, 0.0, x + 0.2, 0.2)
+    rows = [("s", 0, *box(0.1), None), ("s", 0, *box(0.5), 7), ("s", 1, *box(0.12), None), ("s", 1, *box(0.5), None), ("s", 2, None, None, None, None, None), ("s", 3, *box(0.1), None)]
+    assert [r[-1] for r in _run(p.simple_tracks(), {}, rows)] == [0, 7, 0, 7, 8]
+
+
+def test_zones_join_findings(spark):
+    rect = "left double, top double, right double, bottom double"
+    decisions = spark.createDataFrame([(1, "FRESH", True), (2, "FRESH", False), (3, "CARRIED", True), (4, "SHIELD_REQUIRED", True)], "frame int, basis string, zones_ok boolean")
+    findings = spark.createDataFrame([(1, "CARD", "VALIDATED", "OPAQUE", 0.0, 0.0, 0.2, 0.2), (1, "CARD", "UNCERTAIN", "OPAQUE", 0.1, 0.1, 0.3, 0.3), (2, "CARD", "VALIDATED", "OPAQUE", 0.0, 0.0, 0.2, 0.2)], f"frame int, category string, confidence string, action string, {rect}")
+    zones = spark.createDataFrame([(1, 0.1, 0.1, 0.3, 0.3), (1, 0.2, 0.2, 0.4, 0.4), *[(3, i / 10, 0.0, i / 10 + 0.05, 0.1) for i in range(9)]], f"frame int, {rect}")
+    decided, regions = sessions.with_zones(decisions, findings, zones)
+    assert {(r.frame, r.basis) for r in decided.collect()} == {(1, "FRESH"), (2, "SHIELD_REQUIRED"), (3, "SHIELD_REQUIRED"), (4, "SHIELD_REQUIRED")}
+    assert sorted((r.category, r.confidence, r.left, r.right) for r in regions.collect()) == [("CARD", "UNCERTAIN", 0.1, 0.3), ("CARD", "VALIDATED", 0.0, 0.2), ("PRIVACY_ZONE", "VALIDATED", 0.1, 0.4)]
+
+
+def test_merge_equals_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for k in range(40):
+        rows += [(k, *(lambda x, y, w, h: (x, y, x + w, y + h))(rng.randrange(60), rng.randrange(60), rng.randrange(1, 12), rng.randrange(1, 12))) for _ in range(rng.randrange(1, 25))]
+    wanted = set()
+    for k in {r[0] for r in rows}:
+        left = [r[1:] for r in rows if r[0] == k]
+        while (hit := next(((a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a[0] <= b[2] and a[2] >= b[0] and a[1] <= b[3] and a[3] >= b[1]), None)) is not None:
+            a, b = hit
+            left.remove(a)
+            left.remove(b)
+            left.append((min(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2]), max(a[3], b[3])))
+        wanted |= {(k, *map(float, b)) for b in left}
+    frame = spark.createDataFrame([(r[0], *map(float, r[1:])) for r in rows], "k int, left double, top double, right double, bottom double")
+    assert {tuple(r) for r in relations.merge_boxes(frame, "k", []).collect()} == wanted
+
+
+def test_stream_state_ends_and_goes_to_all_sinks(spark, tmp_path):
+    from veilframe.streaming.stateful import fold_stream, publish
+
+    schema = "session int, at long, over boolean"
+    spark.createDataFrame([(1, 0, False), (1, 1, False), (1, 2, True), (1, 3, False), (2, 5, False)], schema).write.parquet(str(tmp_path / "in"))
+    count = lambda n, row: (n + 1, [(row[0], row[1], n + 1)])
+    stream = fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "session", ["at"], int, count, "session int, at long, n int", end_column="over", ttl_ms=3_600_000)
+    paths = [str(tmp_path / x) for x in "ab"]
+    sinks = [lambda rows, batch, path=path: rows.write.mode("overwrite").parquet(f"{path}/batch={batch}") for path in paths]
+    assert publish(stream, sinks, str(tmp_path / "cp"), once=True).awaitTermination(90)
+    for path in paths:
+        assert sorted((r.session, r.at, r.n) for r in spark.read.parquet(path).collect()) == [(1, 0, 1), (1, 1, 2), (1, 2, 3), (1, 3, 1), (2, 5, 1)]
+
+
 def test_fold_does_not_depend_on_input_order_or_partitions(spark):
     rows = [(k, i) for k in range(5) for i in range(20)]
     step = lambda s, r: (s + r[1], [(r[0], r[1], s + r[1])])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.geometry import Rect
+from veilframe.operators.relations import merge_boxes
 from veilframe.streaming import policies as p
 
 
@@ -56,3 +58,20 @@ def frame_regions(snapshots: DataFrame, tracks: DataFrame, zones: DataFrame) ->
     others = snapshots.where("category <> 'FACE'")
     guarded = tracks.where("policy <> 'HOST_VISIBLE'").drop("policy")
     return faces.unionByName(others).unionByName(guarded).unionByName(zones)
+
+
+def with_zones(decisions: DataFrame, findings: DataFrame, zones: DataFrame, most_zones: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Each frame's decision with its zones, and the regions of the frames that are safe.
+
+    ``decisions`` has frame, basis (of J1) and zones_ok; ``findings`` frame, category, confidence, action and a rectangle; ``zones`` frame and a
+    rectangle. Zones that could not be transformed safely, more than ``most_zones`` of them, and a basis that asks for it shield the frame.
+    Zones count as validated and opaque. Regions of equal category, confidence and action that overlap are united (I6).
+    """
+    counted = decisions.join(zones.groupBy("frame").agg(F.count("*").alias("zones")), "frame", "left").fillna({"zones": 0})
+    shield = ~F.coalesce("zones_ok", F.lit(False)) | (F.col("zones") > most_zones) | (F.col("basis") == "SHIELD_REQUIRED")
+    decided = counted.select("frame", F.when(shield, "SHIELD_REQUIRED").otherwise(F.col("basis")).alias("basis"), "zones")
+    safe = decided.where("basis <> 'SHIELD_REQUIRED'").select("frame")
+    columns = ["frame", "category", "confidence", "action", *Rect._fields]
+    added = zones.select("frame", F.lit("PRIVACY_ZONE").alias("category"), F.lit("VALIDATED").alias("confidence"), F.lit("OPAQUE").alias("action"), *Rect._fields)
+    regions = findings.select(*columns).unionByName(added).join(safe, "frame", "left_semi")
+    return decided, merge_boxes(regions, "frame", ["category", "confidence", "action"])

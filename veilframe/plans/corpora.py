@@ -15,17 +15,20 @@ from veilframe.sources import records as r
 
 
 def _block_lines(spark, sf):
-    """An order's lines written as one block: name, count, rows of ten numbers; a file has the orders of 256 keys in a row."""
+    """An order's lines written as one block: name, count, rows of ten numbers; a file has the orders of 256 keys in a row.
+
+    Some names occur twice, and some blocks are empty, with a row of zeros in place of boxes.
+    """
     t = derive.truth_box(spark, sf)
     n = t.groupBy("frame").agg(F.count("*").alias("n"))
-    name = t.select("frame").distinct().selectExpr("frame", "0L AS k", "concat('f', frame, '.jpg') AS raw")
-    count = n.selectExpr("frame", "1L AS k", "CAST(n AS STRING) AS raw")
-    rows = t.selectExpr("frame", "obj + 1L AS k", "concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, IF(obj = 3, NULL, '1')) AS raw")
+    name = t.select("frame").distinct().selectExpr("frame", "0L AS k", "concat('f', frame - IF(frame % 97 = 0, 1, 0), '.jpg') AS raw")
+    count = n.selectExpr("frame", "1L AS k", "IF(frame % 89 = 0, '0', CAST(n AS STRING)) AS raw")
+    rows = t.where("frame % 89 <> 0 OR obj = 1").selectExpr("frame", "obj + 1L AS k", "IF(frame % 89 = 0, '0 0 0 0 0 0 0 0 0 0', concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, IF(obj = 3, NULL, '1'))) AS raw")
     return name.unionByName(count).unionByName(rows).selectExpr("concat('file', frame div 256) AS file", "frame * 1000 + k AS at", "raw")
 
 
 def a5_blocks(spark, sf):
-    return c.block_text(_block_lines(spark, sf)).select("filename", "declared", "box", "x", "y", "width", "pose")
+    return c.block_text(_block_lines(spark, sf)).select("filename", "block", "declared", "box", "x", "y", "width", "pose")
 
 
 def a5_block_errors(spark, sf):
@@ -183,8 +186,9 @@ ORACLE = {
     "a7_digests": f"WITH {_RAW} SELECT g, sum(length(raw) + 1)::BIGINT AS bytes, sha256(string_agg(raw || chr(10), '' ORDER BY pos)) AS digest FROM l GROUP BY g",
     "a8_jpeg": "SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 11 + 3)::INT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 7 + 1)::INT END AS height FROM part",
     "h4_plan": "SELECT row_number() OVER (ORDER BY path)::INT AS place, path FROM (SELECT 's' || s_nationkey || '/' || s_suppkey || '.png' AS path FROM supplier WHERE s_suppkey <= 13) WHERE (SELECT count(*) FROM supplier WHERE s_suppkey <= 13) = 13",
-    "a5_blocks": sql("SELECT 'f' || frame || '.jpg' AS filename, count(*) OVER (PARTITION BY frame)::INT AS declared, obj::INT AS box, pk::INT AS x, sk::INT AS y, ln::INT AS width, CASE WHEN obj = 3 THEN NULL ELSE 1 END AS pose FROM truth_box", "truth_box"),
-    "a5_block_errors": sql("SELECT 'f' AS file, 'f' || frame || '.jpg' AS filename, 'fields' AS code FROM truth_box WHERE obj = 3", "truth_box"),
+    "a5_blocks": sql("SELECT 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame * 1000 AS block, count(*) OVER (PARTITION BY frame)::INT AS declared, obj::INT AS box, pk::INT AS x, sk::INT AS y, ln::INT AS width, CASE WHEN obj = 3 THEN NULL ELSE 1 END AS pose FROM truth_box WHERE frame % 89 <> 0", "truth_box"),
+    "a5_block_errors": sql("""WITH b AS (SELECT 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame, bool_or(obj = 3) AS short FROM truth_box WHERE frame % 89 <> 0 GROUP BY frame)
+        SELECT 'f' AS file, filename, 'fields' AS code FROM b WHERE short UNION ALL SELECT 'f', filename, 'duplicate' FROM b GROUP BY filename HAVING count(*) > 1""", "truth_box"),
     "a3_findings": sql("SELECT frame, ln, count(*) AS n, count(*) FILTER (pk % 9 = 0) AS without FROM truth_box GROUP BY frame, ln HAVING count(*) > 1 OR count(*) FILTER (pk % 9 = 0) > 0", "truth_box"),
     "a9_records": """SELECT p_partkey AS id, '{"a_size":' || p_size || ',"id":' || p_partkey || ',"name":"' || p_name || '"}' AS line FROM part""",
     "a11_markdown": sql("SELECT category, '| ' || category || ' | ' || count(*) FILTER (ln > 3) || '/' || count(*) || ' | 0/0 |' AS line FROM truth_box GROUP BY category", "truth_box"),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe import derive
+from veilframe.operators import evaluate as e
 from veilframe.operators import sessions as s
 from veilframe.plans.views import sql
 from veilframe.streaming import policies as p
 from veilframe.streaming.folds import fold_sorted
+from veilframe.streaming.stateful import by_lane
 
 DAY = 86_400_000_000_000
 
@@ -84,25 +86,50 @@ def _detections(spark, sf):
     return derive.truth_box(spark, sf).selectExpr("frame % 200 AS session", "frame div 200 AS at", "obj", "left", "top", "right", "bottom", "pk")
 
 
-def j6_tracks(spark, sf):
-    rows = _detections(spark, sf).groupBy("session", "at").agg(F.sort_array(F.collect_list(F.struct("left", "top", "right", "bottom", F.when(F.col("pk") % 3 == 0, F.col("pk") % 5).alias("hint"), "obj"))).alias("b"))
-    rows = rows.select("session", (F.col("at") * 100_000_000).alias("at"), F.transform("b", lambda x: F.array(x["left"], x["top"], x["right"], x["bottom"], x["hint"].cast("double"))).alias("boxes"))
+def _zone_rows(spark, sf):
+    t = derive.truth_box(spark, sf)
+    decisions = t.groupBy("frame").agg(F.min("ln").alias("ln"), F.max("pk").alias("pk")).selectExpr("frame", "IF(frame % 10 = 3, 'SHIELD_REQUIRED', IF(frame % 2 = 0, 'FRESH', 'CARRIED')) AS basis", "pk % 7 <> 0 AS zones_ok")
+    findings = t.selectExpr("frame", "category", "IF(is_blurred, 'UNCERTAIN', 'VALIDATED') AS confidence", "IF(ln > 3, 'BLUR', 'OPAQUE') AS action", "left", "top", "right", "bottom")
+    zones = t.where("obj <= 3").selectExpr("frame", "explode(sequence(0L, pk % 4)) AS z", "left", "top", "right", "bottom", "obj").selectExpr("frame", "least(1D, left + z / 64D) AS left", "top", "least(1D, right + z / 64D) AS right", "bottom")
+    return decisions, findings, zones
 
-    inner = p.track_step()
 
-    def step(state, row):
-        boxes = [(*map(float, b[:4]), None if b[4] is None or b[4] != b[4] else int(b[4])) for b in row[2]]
-        return inner(state, (row[0], row[1], boxes))
+def j5_decisions(spark, sf):
+    return s.with_zones(*_zone_rows(spark, sf))[0]
+
+
+def j5_regions(spark, sf):
+    return s.with_zones(*_zone_rows(spark, sf))[1]
+
+
+def _boxes(spark, sf):
+    rows = _detections(spark, sf).groupBy("session", "at").agg(F.sort_array(F.collect_list(F.struct("left", "top", "right", "bottom", F.when(F.col("pk") % 3 == 0, F.col("pk") % 5).alias("hint"), "obj"))).alias("b"), F.max("pk").alias("pk"))
+    return rows.select("session", (F.col("at") * 100_000_000).alias("at"), "pk", F.transform("b", lambda x: F.array(x["left"], x["top"], x["right"], x["bottom"], x["hint"].cast("double"))).alias("boxes"))
+
+
+def _as_boxes(found):
+    return [(*map(float, b[:4]), None if b[4] is None or b[4] != b[4] else int(b[4])) for b in found]
+
 
-    out = fold_sorted(rows, "session", ["at"], p.tracks_start, step, "session long, at long, track long, left double, top double, right double, bottom double, confidence string")
+def j6_tracks(spark, sf):
+    inner = p.track_step()
+    step = lambda state, row: inner(state, (row[0], row[1], _as_boxes(row[2])))
+    out = fold_sorted(_boxes(spark, sf).drop("pk"), "session", ["at"], p.tracks_start, step, "session long, at long, track long, left double, top double, right double, bottom double, confidence string")
     return out.select("session", "at", "track", F.round("left", 6).alias("left"), "confidence")
 
 
 def j7_tracker(spark, sf):
-    rows = _detections(spark, sf).select("session", F.col("at").alias("frame"), "left", "top", "right", "bottom")
+    rows = _detections(spark, sf).selectExpr("session", "at AS frame", "IF(at % 11 = 5, NULL, left) AS left", "top", "right", "bottom", "IF(pk % 50 = 0, pk, NULL) AS given")
     return fold_sorted(rows, "session", ["frame", "left", "top", "right", "bottom"], dict, p.simple_tracks(), "session long, frame long, left double, top double, right double, bottom double, track long").select("session", "frame", "left", "top", "track")
 
 
+def j10_coordinator(spark, sf):
+    rows = _boxes(spark, sf).selectExpr("session", "at", "IF(pk % 41 = 0, 'TEXT', 'FACE') AS lane", "pk % 43 = 0 AS failed", "boxes", "IF(at div 100000000 % 9 = 8, NULL, session % 3) AS selected")
+    inner = p.coordinator_step()
+    step = lambda state, row: inner(state, (*row[:4], _as_boxes(row[4]), None if row[5] is None else int(row[5])))
+    return fold_sorted(rows, "session", ["at"], p.coordinator_start, step, "session long, at long, status string, host_lost boolean, visible long, protected long")
+
+
 def _track_rows(spark, sf):
     return derive.truth_box(spark, sf).selectExpr("frame AS session", "frame AS at", "pk % 6 AS track", "sk % 6 AS selected", "element_at(array('FRESH', 'PREDICTED', 'AMBIGUOUS'), CAST(ln % 3 + 1 AS INT)) AS confidence", "pk % 10 = 0 AS lost", "sk % 10 = 0 AS expired", "obj")
 
@@ -132,8 +159,12 @@ def j13_release(spark, sf):
 
 
 def j14_publication(spark, sf):
-    rows = _frames(spark, sf).selectExpr("session", "ts_ns AS at", "CASE WHEN frame = 0 OR (event_type = 'error' AND event_id % 2 = 0) THEN 'CONNECT' WHEN event_type = 'error' THEN 'LOST' WHEN event_type = 'signup' THEN 'CONFIG' WHEN event_type = 'purchase' THEN 'KEY' ELSE 'MEDIA' END AS kind")
-    return fold_sorted(rows, "session", ["at"], dict, p.publication_step(), "session long, at long, state string, epoch long, fresh_media boolean")
+    rows = _frames(spark, sf).selectExpr(
+        "session", "ts_ns AS at",
+        "CASE WHEN frame = 0 THEN 'CONNECT' WHEN frame = 1 THEN 'CONNECTED' WHEN event_type = 'error' THEN element_at(array('LOST', 'CONGESTION', 'PUBLISHER', 'CONNECTED', 'CONNECTED', 'QUEUE', 'STOP'), CAST(event_id % 7 + 1 AS INT)) WHEN event_id % 401 = 0 THEN 'CLOSE' WHEN event_id % 3 = 0 THEN 'CONNECTED' ELSE 'PUBLISHED' END AS event",
+        "CASE WHEN event_type = 'error' AND event_id % 7 = 2 THEN IF(event_id % 2 = 0, 'DISCONNECTED', 'AUTHENTICATION_FAILED') WHEN event_type = 'error' AND event_id % 7 = 5 THEN 'OVERFLOW' WHEN event_type = 'signup' THEN 'CONFIG' WHEN event_type = 'purchase' THEN 'KEY' ELSE 'MEDIA' END AS detail",
+    )
+    return fold_sorted(rows, "session", ["at"], dict, p.publication_step(), "session long, at long, state string, failure string, epoch long, fresh_media boolean, accepted boolean")
 
 
 def _states(f):
@@ -145,10 +176,32 @@ def j15_illegal(spark, sf):
 
 
 def j15_machine(spark, sf):
-    rows = _frames(spark, sf).selectExpr("session", "ts_ns AS at", "CASE WHEN frame = 0 THEN 'READY' WHEN event_type = 'error' AND frame > 40 THEN 'FAILED' WHEN event_type = 'signup' THEN 'HOST_LOST' WHEN event_type = 'click' THEN 'LIVE' WHEN event_type = 'view' THEN 'DEGRADED' ELSE 'SHIELDING' END AS event", "true AS host")
+    """Wanted states, lost hosts and the publisher's health."""
+    rows = _frames(spark, sf).selectExpr(
+        "session", "ts_ns AS at",
+        "CASE WHEN frame = 0 THEN 'READY' WHEN event_type = 'error' AND frame > 40 THEN 'FAILED' WHEN event_type = 'signup' THEN 'HOST_LOST' WHEN event_type = 'click' THEN 'LIVE' WHEN event_type = 'view' AND event_id % 3 = 0 THEN 'DEGRADED' WHEN event_type = 'view' THEN 'HEALTH' ELSE 'SHIELDING' END AS event",
+        "event_id % 6 <> 0 AS host",
+        "named_struct('state', CASE WHEN event_id % 113 = 0 THEN 'FAILED' WHEN event_id % 4 = 0 THEN 'RECONNECTING' ELSE 'PUBLISHING' END, 'failure', CASE WHEN event_id % 5 = 0 THEN 'CONGESTION' ELSE 'NONE' END, 'fresh_media', event_id % 8 <> 1, 'safe', event_id % 2 = 1) AS health",
+    )
     return fold_sorted(rows, "session", ["at"], dict, p.session_step(), "session long, at long, state string, accepted boolean, may_emit boolean")
 
 
+def l1_plugged(spark, sf):
+    """A detector that fails on some batches' frames: its faults are rows."""
+    def analyze(batch):
+        return batch.assign(lane="FACE", n=batch["ln"] % 3, failure=None)
+
+    frames = derive.truth_box(spark, sf).select("frame", "obj", "ln")
+    return e.plugged(frames, analyze, "frame long, obj int, lane string, n long, failure string")
+
+
+def l2_lanes(spark, sf):
+    """Each lane's snapshots through its own analyzer."""
+    snaps = derive.snapshots(_frames(spark, sf)).select("session", "lane", "source_ns", "n_findings")
+    twice = lambda f: f.withColumn("n_findings", F.col("n_findings") * 2)
+    return by_lane(snaps, {"FACE": lambda f: f, "TEXT": twice, "BARCODE": lambda f: f.withColumn("n_findings", F.least("n_findings", F.lit(1).cast("bigint")))})
+
+
 def j16_deadline(spark, sf):
     rows = _frames(spark, sf).selectExpr("session", "ts_ns AS at", "CASE WHEN event_id % 13 <> 0 THEN ts_ns + event_id % 120 * 1000000 END AS decided", "event_id % 7 <> 0 AS transform_ok", "event_id % 5 = 0 AS verified", "frame")
     return fold_sorted(rows, "session", ["at"], dict, p.deadline_step(), "session long, frame long, outcome string")
@@ -161,6 +214,10 @@ def j21_zones(spark, sf):
 
 
 ORACLE = {
+    "j5_decisions": sql("""WITH d AS (SELECT frame, max(pk) AS pk, sum(CASE WHEN obj <= 3 THEN pk % 4 + 1 ELSE 0 END)::BIGINT AS zones FROM truth_box GROUP BY frame)
+        SELECT frame, CASE WHEN frame % 10 = 3 OR pk % 7 = 0 OR zones > 8 THEN 'SHIELD_REQUIRED' WHEN frame % 2 = 0 THEN 'FRESH' ELSE 'CARRIED' END AS basis, zones FROM d""", "truth_box"),
+    "l1_plugged": sql("SELECT frame, obj::INT AS obj, 'FACE' AS lane, (ln % 3)::BIGINT AS n, NULL AS failure FROM truth_box", "truth_box"),
+    "l2_lanes": sql("SELECT session, lane, source_ns, CASE lane WHEN 'FACE' THEN n_findings WHEN 'TEXT' THEN n_findings * 2 ELSE least(n_findings, 1) END AS n_findings FROM snapshots", "snapshots"),
     "j3_regions": sql("""WITH a AS (SELECT frame AS session, category FROM truth_box WHERE ln % 2 <> 0 UNION ALL SELECT frame, 'FACE' FROM truth_box WHERE ln % 2 = 0 AND frame % 3 <> 0 UNION ALL SELECT frame, 'FACE' FROM truth_box WHERE frame % 3 = 0 AND obj = 2
         UNION ALL SELECT frame, 'PRIVACY_ZONE' FROM truth_box WHERE obj = 3) SELECT session, category, count(*) AS n FROM a GROUP BY ALL""", "truth_box"),
     "j8_visibility": sql("""SELECT frame AS session, obj, CASE WHEN count(*) OVER (PARTITION BY frame, pk % 6) > 1 THEN 'REFUSED' WHEN pk % 6 = sk % 6 AND ln % 3 = 0 AND pk % 10 <> 0 AND sk % 10 <> 0 THEN 'HOST_VISIBLE' ELSE 'PROTECTED' END AS policy FROM truth_box""", "truth_box"),
@@ -175,4 +232,4 @@ ORACLE = {
     "j21_zones": sql("""WITH n AS (SELECT session, ts_ns AS "at", CASE WHEN event_id % 2 = 0 THEN frame - frame % 5 END AS m, max(CASE WHEN event_type = 'signup' THEN frame END) OVER (PARTITION BY session ORDER BY frame) AS "current" FROM session_frames)
         SELECT session, "at", "current", m IS DISTINCT FROM "current" AS shield FROM n""", "session_frames"),
 }
-QUERIES = {f.__name__: f for f in (j1_carry, j2_guard, j3_regions, j4_composition, j6_tracks, j7_tracker, j8_visibility, j9_continuity, j11_scene, j12_cadence, j13_release, j14_publication, j15_illegal, j15_machine, j16_deadline, j21_zones)}
+QUERIES = {f.__name__: f for f in (j1_carry, j2_guard, j3_regions, j4_composition, j5_decisions, j5_regions, j6_tracks, j7_tracker, j8_visibility, j9_continuity, j10_coordinator, j11_scene, j12_cadence, j13_release, j14_publication, j15_illegal, j15_machine, j16_deadline, j21_zones, l1_plugged, l2_lanes)}

@@ -11,26 +11,36 @@ from veilframe.functions import text as t
 FIELDS = ("x", "y", "width", "height", "blur", "expression", "illumination", "invalid", "occlusion", "pose")
 
 
+#: Lines of a file whose names are looked for together.
+CHUNK = 1 << 16
+
+
 def block_text(lines: DataFrame) -> DataFrame:
-    """Boxes of block files: a name, a count, and rows of ten numbers; a count of 0 has one row of zeros (A5).
+    """Boxes of block files: a name, a count, and rows of ten numbers; a count of 0 has one row of zeros, which is no box (A5).
 
-    ``lines`` has file, at and raw. Out: file, filename, declared, box number and the ten fields. A file's lines are one window, so
-    it scales by files.
+    ``lines`` has file, at and raw; ``at`` ascends in a file. Out: file, filename, block (where its name stands), declared, box number and the
+    ten fields. A line belongs to the last name before it; a file is looked through in chunks, of which only the last names go through one
+    window, so a file of any size is spread.
     """
-    w = Window.partitionBy("file").orderBy("at")
-    named = lines.withColumn("head", F.col("raw").rlike(r"\.jpe?g$").cast("int")).withColumn("block", F.sum("head").over(w))
-    inside = Window.partitionBy("file", "block").orderBy("at")
-    rows = named.withColumns({"k": F.row_number().over(inside), "filename": F.first("raw").over(inside)})
-    rows = rows.withColumn("declared", F.max(F.when(F.col("k") == 2, F.col("raw").try_cast("int"))).over(Window.partitionBy("file", "block")))
+    head = F.when(F.col("raw").rlike(r"\.jpe?g$"), F.struct("at", "raw"))
+    marked = lines.select("file", "at", "raw", F.floor(F.col("at") / CHUNK).alias("__chunk"), head.alias("__head"))
+    lasts = marked.groupBy("file", "__chunk").agg(F.max("__head").alias("__last"))
+    before = F.last("__last", ignorenulls=True).over(Window.partitionBy("file").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1))
+    inside = Window.partitionBy("file", "__chunk").orderBy("at")
+    named = marked.join(lasts.select("file", "__chunk", before.alias("__carried")), ["file", "__chunk"]).withColumn("__h", F.coalesce(F.last("__head", ignorenulls=True).over(inside), "__carried"))
+    rows = named.select("file", "at", "raw", F.col("__h.at").alias("block"), F.col("__h.raw").alias("filename")).where("block IS NOT NULL")
+    own = Window.partitionBy("file", "block")
+    rows = rows.withColumn("k", F.row_number().over(own.orderBy("at"))).withColumn("declared", F.max(F.when(F.col("k") == 2, F.col("raw").try_cast("int"))).over(own))
     boxes = rows.where("k > 2 AND k - 2 <= declared").withColumn("f", F.split(F.trim("raw"), r"\s+"))
-    return boxes.select("file", "filename", "declared", (F.col("k") - 2).alias("box"), *(F.get("f", F.lit(i)).try_cast("int").alias(n) for i, n in enumerate(FIELDS)))
+    return boxes.select("file", "filename", "block", "declared", (F.col("k") - 2).alias("box"), *(F.get("f", F.lit(i)).try_cast("int").alias(n) for i, n in enumerate(FIELDS)))
 
 
 def block_errors(boxes: DataFrame) -> DataFrame:
-    """Files that occur twice, hold fewer boxes than declared, or have a box without ten numbers (A5)."""
-    counted = boxes.groupBy("file", "filename").agg(F.count("*").alias("n"), F.max("declared").alias("declared"), F.count_if(F.col("pose").isNull()).alias("short"))
+    """Names that occur twice, and blocks that hold fewer boxes than declared or a box without ten numbers (A5)."""
+    counted = boxes.groupBy("file", "filename", "block").agg(F.count("*").alias("n"), F.max("declared").alias("declared"), F.count_if(F.col("pose").isNull()).alias("short"))
     code = F.when(F.col("short") > 0, "fields").when(F.col("n") != F.col("declared"), "count")
-    return counted.select("file", "filename", code.alias("code")).where("code IS NOT NULL")
+    twice = counted.groupBy("file", "filename").agg(F.count("*").alias("blocks")).where("blocks > 1").select("file", "filename", F.lit("duplicate").alias("code"))
+    return counted.select("file", "filename", code.alias("code")).where("code IS NOT NULL").unionByName(twice)
 
 
 def coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

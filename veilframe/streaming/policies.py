@@ -187,17 +187,24 @@ def _overlap(a: tuple, b: tuple) -> float:
 
 
 def simple_tracks(least: float = 0.20):
-    """IoU tracker (J7). Rows: (session, frame, left, top, right, bottom), sorted so; out: (session, frame, left, top, right, bottom, track).
+    """IoU tracker (J7). Rows: (session, frame, left, top, right, bottom, given), sorted so; out: (session, frame, left, top, right, bottom, track).
 
-    A detection takes the best unclaimed box of the frame before, ties to the smallest id; else it gets the next id.
+    A detection takes the best unclaimed box of the frame before, ties to the smallest id; else it gets the next id. ``given`` is the
+    detector's own id, which is kept as it is. A row with left null is a frame without detections: nothing comes out, and the
+    next frame finds no box before it.
     """
 
     def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, frame, box = row[0], row[1], row[2:6]
+        session, frame, box, given = row[0], row[1], row[2:6], row[6]
         if state.get("frame") != frame:
             state = {"frame": frame, "before": state.get("now", []), "now": [], "claimed": set(), "next": state.get("next", 0)}
+        if box[0] is None:
+            return state, []
         scored = [(-_overlap(b, box), t) for t, b in state["before"] if t not in state["claimed"] and _overlap(b, box) >= least]
-        if scored:
+        if given is not None:
+            track = int(given)
+            state["next"] = max(state["next"], track + 1)
+        elif scored:
             track = min(scored)[1]
         else:
             track = state["next"]
@@ -395,20 +402,76 @@ def is_legal(source: str, target: str) -> bool:
 
 
 def session_step():
-    """Session machine (J15, J20). Rows: (session, at, event, host); out: (session, at, state, accepted, may_emit).
+    """Session machine (J15, J20). Rows: (session, at, event, host, health); out: (session, at, state, accepted, may_emit).
+
+    ``event`` is a wanted state, HOST_LOST or HEALTH. Losing the host leads from READY back to SETUP, and from LIVE or DEGRADED to SHIELDING.
 
-    ``event`` is a wanted state, HOST_LOST or DEGRADE. Losing the host leads from READY back to SETUP, and from LIVE or DEGRADED to SHIELDING.
+    HEALTH carries the publisher's health as (state, failure, fresh_media, safe) and acts while the session is LIVE or DEGRADED alone: a
+    publisher that has FAILED or STOPPED stops the session; one that connects again, suffers from network or congestion, or has no fresh
+    media degrades it; a session that the publisher has degraded recovers once it publishes fresh media without failure, the session is safe,
+    and it has its host.
     """
 
+    def by_health(state: dict, host: bool, health: tuple) -> tuple[str, bool]:
+        now, (publisher, failure, fresh, safe) = state["state"], health
+        if now not in ("LIVE", "DEGRADED"):
+            return now, state["by_publisher"]
+        if publisher in ("FAILED", "STOPPED"):
+            return "STOPPING", state["by_publisher"]
+        if publisher in ("CONNECTING", "RECONNECTING") or failure in ("NETWORK", "CONGESTION") or not fresh:
+            return "DEGRADED", True
+        if state["by_publisher"] and now == "DEGRADED" and publisher == "PUBLISHING" and failure == "NONE" and safe and host:
+            return "LIVE", False
+        return now, state["by_publisher"]
+
     def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, at, event, host = row
-        now, ok = state.get("state", "SETUP"), True
+        session, at, event, host, health = row
+        state = {"state": "SETUP", "by_publisher": False} | state
+        now, degraded, ok = state["state"], state["by_publisher"], True
         if event == "HOST_LOST":
             now = {"READY": "SETUP", "LIVE": "SHIELDING", "DEGRADED": "SHIELDING"}.get(now, now)
+        elif event == "HEALTH":
+            now, degraded = by_health(state, bool(host), tuple(health.values()) if isinstance(health, dict) else tuple(health))
         else:
             ok = is_legal(now, event) and (event != "READY" or bool(host))
             now = event if ok else now
-        return {"state": now}, [(session, at, now, ok, now in ("LIVE", "DEGRADED", "SHIELDING"))]
+        return {"state": now, "by_publisher": degraded}, [(session, at, now, ok, now in ("LIVE", "DEGRADED", "SHIELDING"))]
+
+    return step
+
+
+def coordinator_start() -> dict:
+    """State of :func:`coordinator_step`."""
+    return {"tracks": tracks_start(), "last": None, "revoked": False}
+
+
+def coordinator_step(**limits):
+    """Face lane of a session (J10, around J6, J8 and J9). Rows: (session, at, lane, failed, boxes, selected); boxes as in :func:`track_step`.
+
+    Out: (session, at, status, host_lost, visible, protected): status FULL_SHIELD or TRACKED, the visible host's track, and how many tracks
+    are protected. A snapshot that is not later than the last accepted one shields and changes nothing. One of another lane, a failed one and
+    one that cannot be associated forget all tracks, and revoke the selection until none is selected.
+    """
+    associate = track_step(**limits)
+
+    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
+        session, at, lane, failed, boxes, selected = row
+        shield = [(session, at, "FULL_SHIELD", selected is not None, None, 0)]
+        if state["last"] is not None and at <= state["last"]:
+            return state, shield
+        if lane != "FACE" or failed:
+            return {"tracks": tracks_start(), "last": state["last"], "revoked": state["revoked"] or selected is not None}, shield
+        revoked = state["revoked"] and selected is not None
+        try:
+            before = set(state["tracks"]["tracks"])
+            tracks, out = associate(state["tracks"], (session, at, boxes))
+        except (ValueError, ZeroDivisionError, TypeError):
+            return {"tracks": tracks_start(), "last": at, "revoked": revoked or selected is not None}, shield
+        wanted = None if revoked else selected
+        expired = before - set(tracks["tracks"])
+        fresh = any(r[2] == wanted and r[7] == "FRESH" and not tracks["tracks"][r[2]]["lost"] for r in out) and wanted not in expired
+        lost = (wanted is not None and not fresh) or revoked
+        return {"tracks": tracks, "last": at, "revoked": revoked}, [(session, at, "TRACKED", lost, wanted if fresh else None, len(out) - int(fresh))]
 
     return step
 
@@ -431,26 +494,64 @@ def deadline_step(budget: int = 100_000_000):
     return step
 
 
+#: What a publisher's failure means for a publication.
+PUBLISHER_FAILURES = {"CONNECTION_FAILED": "CONNECT_FAILED", "AUTHENTICATION_FAILED": "AUTHENTICATION_FAILED", "DISCONNECTED": "NETWORK_DISCONNECTED"}
+#: What a queue's refusal means for a publication.
+QUEUE_FAILURES = {"OVERFLOW": "QUEUE_OVERFLOW", "INVALID_ORDER": "INVALID_PTS_ORDER", "STOPPED": "QUEUE_STOPPED"}
+
+
 def publication_step():
-    """Publication audit (J14). Rows: (session, at, kind); kinds CONFIG, KEY, MEDIA, CONNECT, LOST, STOP; out: (session, at, state, epoch, fresh_media).
+    """Publication audit (J14). Rows: (session, at, event, detail); out: (session, at, state, failure, epoch, fresh_media, accepted).
 
-    A reconnection starts an epoch; media counts as fresh after a configuration and then a key unit of the epoch.
+    Events: CONNECT, CONNECTED, CONNECT_ERROR, PUBLISHER with a publisher's failure, LOST, CONGESTION, QUEUE with a refusal of the queue,
+    PUBLISHED with CONFIG, KEY or MEDIA, PUBLISH_ERROR, STOP, CLOSE. States: IDLE, CONNECTING, PUBLISHING, RECONNECTING, FAILED, STOPPED,
+    CLOSED. A (re)connection starts an epoch; media is fresh after a key unit that follows a configuration in its epoch. A publisher
+    that disconnects while publishing is connected again. What a state does not allow is refused and changes nothing.
     """
 
+    def failed(s: dict, code: str) -> None:
+        s.update(state="FAILED", failure=code, config=False, fresh=False)
+
+    def connect(s: dict, state: str, code: str) -> None:
+        s.update(state=state, failure=code, config=False, fresh=False, epoch=s["epoch"] + 1)
+
     def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, at, kind = row
-        s = {"state": "IDLE", "epoch": 0, "config": False, "key": False} | state
-        if s["state"] != "STOPPED":
-            if kind == "CONNECT":
-                s.update(state="CONNECTED", epoch=s["epoch"] + 1, config=False, key=False)
-            elif kind == "LOST":
-                s.update(state="RECONNECTING" if s["state"] in ("CONNECTED", "PUBLISHING") else s["state"], config=False, key=False)
-            elif kind == "STOP":
-                s["state"] = "STOPPED"
-            elif s["state"] in ("CONNECTED", "PUBLISHING"):
-                s["config"] = s["config"] or kind == "CONFIG"
-                s["key"] = s["key"] or (kind == "KEY" and s["config"])
-                s["state"] = "PUBLISHING" if s["key"] else s["state"]
-        return s, [(session, at, s["state"], s["epoch"], s["state"] == "PUBLISHING" and kind in ("KEY", "MEDIA"))]
+        session, at, event, detail = row
+        s = {"state": "IDLE", "failure": "NONE", "epoch": 0, "config": False, "fresh": False} | state
+        now = s["state"]
+        active, ok = now in ("CONNECTING", "PUBLISHING", "RECONNECTING"), True
+        if event == "CONNECT" and now == "IDLE":
+            connect(s, "CONNECTING", s["failure"])
+        elif event == "STOP" and now not in ("STOPPED", "CLOSED"):
+            s.update(state="STOPPED", fresh=False)
+        elif event == "CLOSE" and now != "CLOSED":
+            s.update(state="CLOSED", fresh=False)
+        elif not active:
+            ok = False
+        elif event == "CONNECTED" and now != "PUBLISHING":
+            s.update(state="PUBLISHING", failure="NONE")
+        elif event == "CONNECT_ERROR":
+            failed(s, "CONNECT_FAILED")
+        elif event == "PUBLISHER":
+            if detail == "DISCONNECTED" and now == "PUBLISHING":
+                connect(s, "RECONNECTING", "NETWORK_DISCONNECTED")
+            else:
+                failed(s, PUBLISHER_FAILURES[detail])
+        elif event == "LOST":
+            connect(s, "RECONNECTING", "NETWORK_DISCONNECTED")
+        elif event == "CONGESTION":
+            connect(s, "RECONNECTING", "CONGESTION")
+        elif event == "QUEUE":
+            failed(s, QUEUE_FAILURES[detail])
+        elif event == "PUBLISH_ERROR":
+            failed(s, "PUBLISH_FAILED")
+        elif event == "PUBLISHED" and now == "PUBLISHING":
+            if detail == "CONFIG":
+                s["config"] = True
+            elif detail == "KEY":
+                s["fresh"] = s["config"]
+        else:
+            ok = False
+        return s, [(session, at, s["state"], s["failure"], s["epoch"], s["fresh"], ok)]
 
     return step
