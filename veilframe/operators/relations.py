@@ -157,11 +157,15 @@ def out_of_order(rows: DataFrame, key: str, position: str, at: str) -> DataFrame
     return rows.withColumn("__seen", F.max(at).over(before)).where(F.col(at) <= F.col("__seen")).drop("__seen")
 
 
-def reading_order(elements: DataFrame, key: str) -> DataFrame:
-    """Offsets of elements in their text, joined by one space from top to bottom and left to right."""
+def reading_order(elements: DataFrame, key: str, most_chars: int | None = None) -> DataFrame:
+    """Offsets of elements in their text, joined by one space from top to bottom and left to right.
+
+    Elements that end behind ``most_chars`` get ``within`` false, where the bound is given.
+    """
     w = Window.partitionBy(key).orderBy("top", "left", "element").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    return elements.withColumns({"start": start, "end": start + F.length("text")})
+    out = elements.withColumns({"start": start, "end": start + F.length("text")})
+    return out if most_chars is None else out.withColumn("within", F.col("end") <= most_chars)
 
 
 def changes(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -292,6 +296,18 @@ def merge_boxes(boxes: DataFrame, key: str, provenance: list[str]) -> DataFrame:
     return merged.select(F.from_json("__g", types).alias("__g"), *Rect._fields).select(*(F.col("__g")[c].alias(c) for c in group), *Rect._fields)
 
 
+def health(units: DataFrame, states: DataFrame, key: str) -> DataFrame:
+    """Per session: the latest state and failure, and counters of what was offered and released, by kind, and dropped.
+
+    ``units`` has the key, kind (CONFIG, KEY or MEDIA), arrival_ns, released_ns (null: not released) and dropped; ``states`` the key, at, state and failure.
+    """
+    released = F.col("released_ns").isNotNull()
+    counts = [F.count_if((F.col("kind") == k) & on).alias(f"{name}_{k.lower()}") for name, on in (("offered", F.lit(True)), ("released", released)) for k in ("CONFIG", "KEY", "MEDIA")]
+    tally = units.groupBy(key).agg(*counts, F.count_if("dropped").alias("dropped"), F.min("released_ns").alias("first_release"), F.max("released_ns").alias("last_release"))
+    latest = states.groupBy(key).agg(F.max_by(F.struct("state", "failure"), "at").alias("s"))
+    return latest.join(tally, key, "full").select(key, "s.state", "s.failure", *(c for c in tally.columns if c != key))
+
+
 def release_statistics(units: DataFrame, key: str) -> DataFrame:
     """Per session: offered and released units by kind, and least, largest and whole mean release delay."""
     delay = F.col("released_ns") - F.col("arrival_ns")

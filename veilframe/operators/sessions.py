@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
 from veilframe.operators.relations import merge_boxes
 from veilframe.streaming import policies as p
@@ -75,3 +76,18 @@ def with_zones(decisions: DataFrame, findings: DataFrame, zones: DataFrame, most
     added = zones.select("frame", F.lit("PRIVACY_ZONE").alias("category"), F.lit("VALIDATED").alias("confidence"), F.lit("OPAQUE").alias("action"), *Rect._fields)
     regions = findings.select(*columns).unionByName(added).join(safe, "frame", "left_semi")
     return decided, merge_boxes(regions, "frame", ["category", "confidence", "action"])
+
+
+def mask_rectangles(regions: DataFrame, transform: Column, padding: float = 0.04, most: int = 32) -> tuple[DataFrame, DataFrame]:
+    """What is painted over each frame (C29): (frame, shield), and the rectangles of the frames that are not shielded.
+
+    ``regions`` has frame, category and a rectangle on the sensor; ``transform`` is the matrix to the output. Rectangles are padded, zones are
+    not. An unsafe transform, or more than ``most`` rectangles, shields the frame.
+    """
+    kept = [c for c in regions.columns if c not in Rect._fields]
+    mapped = regions.withColumn("__r", g.map_rect(transform, Rect.of()))
+    frames = mapped.groupBy("frame").agg(((F.count("*") > most) | F.bool_or(F.col("__r").isNull())).alias("shield"))
+    pad, r = F.when(F.col("category") == "PRIVACY_ZONE", 0.0).otherwise(padding), Rect.from_struct(F.col("__r"))
+    grown = Rect(g.clamp(r.left - pad), g.clamp(r.top - pad), g.clamp(r.right + pad), g.clamp(r.bottom + pad))
+    safe = mapped.join(frames.where("NOT shield").select("frame"), "frame", "left_semi")
+    return frames, safe.select(*kept, *(c.alias(n) for n, c in zip(Rect._fields, grown)))

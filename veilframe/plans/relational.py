@@ -56,7 +56,7 @@ def _elements(spark, sf):
 
 
 def g6_reading_order(spark, sf):
-    return r.reading_order(_elements(spark, sf), "doc_id").groupBy("doc_id").agg(F.count("*").alias("elements"), F.max("end").alias("chars"), F.sum("start").alias("starts"))
+    return r.reading_order(_elements(spark, sf), "doc_id", 16384).groupBy("doc_id").agg(F.count("*").alias("elements"), F.max("end").alias("chars"), F.sum("start").alias("starts"), F.count_if("within").alias("within"))
 
 
 def e6_spans(spark, sf):
@@ -177,6 +177,17 @@ def f11_release(spark, sf):
     return r.release_statistics(_units(_frames(spark, sf)), "session")
 
 
+def f12_health(spark, sf):
+    f = _frames(spark, sf)
+    units = f.selectExpr("session", "CASE event_type WHEN 'signup' THEN 'CONFIG' WHEN 'purchase' THEN 'KEY' ELSE 'MEDIA' END AS kind", "ts_ns AS arrival_ns", "CASE WHEN event_id % 9 <> 0 THEN ts_ns + 2000 END AS released_ns", "event_id % 18 = 0 AS dropped")
+    states = f.where("event_type IN ('error', 'click')").selectExpr("session", "ts_ns AS at", "IF(event_type = 'error', 'FAILED', 'PUBLISHING') AS state", "IF(event_type = 'error', 'CONNECT_FAILED', 'NONE') AS failure")
+    return r.health(units, states, "session")
+
+
+def i5_distinct(spark, sf):
+    return _truth(spark, sf).select("frame", "category").distinct()
+
+
 def f13_telemetry(spark, sf):
     return r.telemetry_snapshot(_frames(spark, sf), "session", 5).withColumn("newest", F.col("newest").cast("string"))
 
@@ -197,7 +208,7 @@ ORACLE = {
         d AS (SELECT session, ts_ns, CASE WHEN event_type = 'error' THEN 'FULL_SHIELD' ELSE 'REGIONAL_SAFE' END AS st FROM f WHERE event_id % 5 <> 0 AND frame >= 4), n AS (SELECT session, max(ts_ns) AS newest FROM d GROUP BY session),
         l AS (SELECT f.session, f.ts_ns, st, CASE WHEN st IS NULL AND frame < 4 AND event_id % 2 = 0 THEN 'EVICTED' WHEN st IS NULL AND newest > f.ts_ns THEN 'FUTURE' WHEN st IS NULL THEN 'MISSING' WHEN event_id % 200 > 100 THEN 'EXPIRED' WHEN event_id % 200 > 90 THEN 'STALE' ELSE 'OK' END AS lookup
           FROM f LEFT JOIN d USING (session, ts_ns) LEFT JOIN n USING (session)) SELECT session, ts_ns, lookup, CASE WHEN lookup = 'OK' THEN st ELSE 'FULL_SHIELD' END AS status FROM l""", "session_frames"),
-    "g6_reading_order": f"WITH {_WORDS} SELECT doc_id, count(*) AS elements, max(s + length(text)) AS chars, sum(s)::BIGINT AS starts FROM o GROUP BY doc_id",
+    "g6_reading_order": f"WITH {_WORDS} SELECT doc_id, count(*) AS elements, max(s + length(text)) AS chars, sum(s)::BIGINT AS starts, count(*) FILTER (s + length(text) <= 16384) AS within FROM o GROUP BY doc_id",
     "e6_spans": f"""WITH {_WORDS}, sp AS (SELECT doc_id, unnest(range(0, n_chars + 101, 97)) AS a FROM documents),
         j AS (SELECT sp.doc_id, a, element FROM sp LEFT JOIN o ON o.doc_id = sp.doc_id AND s < a + 5 AND s + length(text) > a)
         SELECT doc_id, count(element) AS hits, count(*) FILTER (element IS NULL) AS misses, sum(element)::BIGINT AS elements FROM j GROUP BY doc_id""",
@@ -239,7 +250,13 @@ ORACLE = {
     "i7_zones": sql("SELECT frame, count(*) AS regions FROM (SELECT frame FROM truth_box UNION ALL SELECT frame FROM pred_box) GROUP BY frame", "truth_box", "pred_box"),
     "f11_release": sql("""SELECT session, count(*) AS offered, count(*) FILTER (event_type = 'purchase') AS key_units, count(*) FILTER (event_id % 9 <> 0) AS released, min(2000000000 + event_id % 1000) FILTER (event_id % 9 <> 0) AS least_delay,
         max(2000000000 + event_id % 1000) FILTER (event_id % 9 <> 0) AS largest_delay, (sum(2000000000 + event_id % 1000) FILTER (event_id % 9 <> 0))::BIGINT // count(*) FILTER (event_id % 9 <> 0) AS mean_delay FROM session_frames GROUP BY session""", "session_frames"),
+    "f12_health": sql("""WITH u AS (SELECT *, CASE event_type WHEN 'signup' THEN 'CONFIG' WHEN 'purchase' THEN 'KEY' ELSE 'MEDIA' END AS kind, event_id % 9 <> 0 AS out FROM session_frames),
+        t AS (SELECT session, count(*) FILTER (kind = 'CONFIG') AS offered_config, count(*) FILTER (kind = 'KEY') AS offered_key, count(*) FILTER (kind = 'MEDIA') AS offered_media, count(*) FILTER (kind = 'CONFIG' AND out) AS released_config, count(*) FILTER (kind = 'KEY' AND out) AS released_key,
+          count(*) FILTER (kind = 'MEDIA' AND out) AS released_media, count(*) FILTER (event_id % 18 = 0) AS dropped, min(ts_ns + 2000) FILTER (out) AS first_release, max(ts_ns + 2000) FILTER (out) AS last_release FROM u GROUP BY session),
+        s AS (SELECT session, arg_max(event_type, ts_ns) AS e FROM session_frames WHERE event_type IN ('error', 'click') GROUP BY session)
+        SELECT session, CASE e WHEN 'error' THEN 'FAILED' WHEN 'click' THEN 'PUBLISHING' END AS state, CASE e WHEN 'error' THEN 'CONNECT_FAILED' WHEN 'click' THEN 'NONE' END AS failure, t.* EXCLUDE (session) FROM t LEFT JOIN s USING (session)""", "session_frames"),
+    "i5_distinct": sql("SELECT DISTINCT frame, category FROM truth_box", "truth_box"),
     "f13_telemetry": sql("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts_ns DESC, event_id DESC) AS k FROM session_frames)
         SELECT session, count(*) FILTER (event_type = 'purchase') AS decisions, max(value) FILTER (k = 1) AS last_value, max(event_type) FILTER (k = 1) AS last_type, '[' || string_agg(event_id::VARCHAR, ', ' ORDER BY event_id) FILTER (k <= 5) || ']' AS newest FROM k GROUP BY session""", "session_frames"),
 }
-QUERIES = {f.__name__: f for f in (e1_keys, e2_as_of, j18_freshness, e4_nearest, e5_lookup, g6_reading_order, e6_spans, e11_candidates, e12_self_overlaps, e13_pick, e15_members, b22_artifacts, e18_drift, g5_order, g8_changes, g9_jumps, g10_retention, g11_trigger, g12_suffix, h1_choice, h2_order, h3_first, i1_leakage, i2_union, i3_difference, i6_merge, i7_zones, f11_release, f13_telemetry)}
+QUERIES = {f.__name__: f for f in (e1_keys, e2_as_of, j18_freshness, e4_nearest, e5_lookup, g6_reading_order, e6_spans, e11_candidates, e12_self_overlaps, e13_pick, e15_members, b22_artifacts, e18_drift, g5_order, g8_changes, g9_jumps, g10_retention, g11_trigger, g12_suffix, h1_choice, h2_order, h3_first, i1_leakage, i2_union, i3_difference, i6_merge, i7_zones, f11_release, f12_health, f13_telemetry, i5_distinct)}

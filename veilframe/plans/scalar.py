@@ -10,6 +10,7 @@ from veilframe.functions import geometry as g
 from veilframe.functions import text as t
 from veilframe.functions.geometry import Rect
 from veilframe.operators import quality as q
+from veilframe.operators import sessions
 from veilframe.operators import spans as s
 from veilframe.plans.views import sql
 
@@ -91,7 +92,7 @@ def c23_codes(spark, sf):
 
 
 def c24_boxes(spark, sf):
-    v = g.unclipped(F.col("left") * 64, F.col("top") * 64, F.col("ln") + 4.0, F.col("ln") + 2.0, F.lit(0.0), 1.5)
+    v = g.unclipped(F.col("left") * 64, F.col("top") * 64, F.col("ln") + 4.0, F.col("ln") + 2.0, F.col("ln") % 4 * 15.0, 1.5)
     rows = derive.truth_box(spark, sf).select("frame", "obj", "pk", "sk", v.alias("v"))
     src = g.source_bounds(F.col("v"), F.lit(64.0), F.lit(64.0), F.lit(640), F.lit(360))
     return rows.select("frame", "obj", _r(F.col("v")[0][0]).alias("x"), _r(F.col("v")[2][1]).alias("y"), src["left"].alias("s_left"), src["bottom"].alias("s_bottom"), g.fit_within(F.col("pk") + 1, F.col("sk") + 1, 320)["width"].alias("fit_w"), g.fitted_dimensions(F.col("pk") + 1, F.col("sk") + 1, 640)["height"].alias("fit_h"))
@@ -102,11 +103,17 @@ def c27_predicted(spark, sf):
     return derive.truth_box(spark, sf).select("frame", "obj", *(_r(c).alias(n) for n, c in zip(Rect._fields, p)))
 
 
+def _masked(spark, sf):
+    regions = _matrices(spark, sf).select("frame", "obj", F.when(F.col("obj") == 1, "PRIVACY_ZONE").otherwise("FACE").alias("category"), *Rect._fields, "m")
+    return sessions.mask_rectangles(regions, F.col("m"), most=6)
+
+
 def c29_masks(spark, sf):
-    """Padded mask rectangles; a frame with an unsafe or too many rectangles is shielded."""
-    rows = _matrices(spark, sf).withColumn("r", g.map_rect(F.col("m"), Rect.of()))
-    e = g.expand(Rect.from_struct(F.col("r")), 0.04)
-    return rows.groupBy("frame").agg(((F.count("*") > 6) | F.bool_or(F.col("r").isNull())).alias("shield"), F.round(F.sum(g.area(e)), 9).alias("masked"))
+    return _masked(spark, sf)[1].select("frame", "obj", *(_r(c).alias(c) for c in Rect._fields))
+
+
+def c29_shields(spark, sf):
+    return _masked(spark, sf)[0]
 
 
 def _docs(spark, sf):
@@ -418,6 +425,22 @@ ORACLE = {
     "c11_polygons": sql("""SELECT frame, obj, "left" AS x0, bottom AS y1, ("right" - "left") * (bottom - top) / CASE WHEN obj % 3 = 0 THEN 2 ELSE 1 END AS area, NOT (obj % 4 = 1 AND obj % 3 <> 0) AS simple FROM truth_box""", "truth_box"),
     "c14_point_in_polygon": sql("""WITH p AS (SELECT *, "left" + ln / 64e0 + 1 / 128e0 AS x, top + (ln % 4) / 64e0 + 1 / 128e0 AS y FROM truth_box)
         SELECT frame, obj, x < "right" AND y < bottom AND (obj % 3 <> 0 OR (y - top) / (bottom - top) <= (x - "left") / ("right" - "left")) AS inside FROM p""", "truth_box"),
+    "c15_raster": sql("""WITH k AS (SELECT unnest(range(0, 128)) AS i)
+        SELECT frame, obj, count(x.i)::INT AS cells FROM truth_box LEFT JOIN (SELECT x.i AS i, y.i AS j FROM k x CROSS JOIN k y) x ON (x.i + 0.5e0) / 128 >= "left" AND (x.i + 0.5e0) / 128 < "right" AND (x.j + 0.5e0) / 128 >= top AND (x.j + 0.5e0) / 128 < bottom
+          AND (obj % 3 <> 0 OR ((x.i + 0.5e0) / 128 - "left") * (bottom - top) >= ("right" - "left") * ((x.j + 0.5e0) / 128 - top)) GROUP BY ALL""", "truth_box"),
+    "c19_transforms": sql("""WITH c AS (SELECT *, "right" - "left" AS w, bottom - top AS h, obj % 4 AS k, CASE WHEN ln % 2 = 0 THEN -1 ELSE 1 END AS s FROM truth_box),
+        p AS (SELECT *, CASE k WHEN 0 THEN 0.5e0 WHEN 1 THEN 1 WHEN 2 THEN 0.5e0 ELSE 0 END AS x, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 0.5e0 WHEN 2 THEN 1 ELSE 0.5e0 END AS y, CASE k WHEN 0 THEN 1 / w WHEN 2 THEN -1 / w ELSE 0 END AS m0,
+          CASE k WHEN 1 THEN 1 / w WHEN 3 THEN -1 / w ELSE 0 END AS m3, CASE k WHEN 0 THEN 1 / h WHEN 2 THEN -1 / h ELSE 0 END AS m4, CASE k WHEN 0 THEN -top / h WHEN 1 THEN -"left" / w WHEN 2 THEN 1 + top / h ELSE 1 + "left" / w END AS m5 FROM c)
+        SELECT frame, obj, CASE WHEN s < 0 THEN 1 - x ELSE x END AS px, y AS py, round(s * m0 * 2, 9) + 0 AS n0, round((10 * m3 + 20 * m4 + m5) / 240, 9) AS n5 FROM p""", "truth_box"),
+    "c23_codes": sql("""WITH p AS (SELECT *, obj % 5 = 0 AS bad, CASE WHEN ln % 2 = 0 THEN 0.25e0 ELSE 0.2::DOUBLE END AS s FROM truth_box)
+        SELECT frame, obj, CASE WHEN bad THEN 0 ELSE round(greatest(0, "left" - ("right" - "left") * s), 9) END AS "left", CASE WHEN bad THEN 0 ELSE round(greatest(0, top - (bottom - top) * s), 9) END AS top,
+        CASE WHEN bad THEN 1 ELSE round(least(1, "right" + ("right" - "left") * s), 9) END AS "right", CASE WHEN bad THEN 1 ELSE round(least(1, bottom + (bottom - top) * s), 9) END AS bottom FROM p""", "truth_box"),
+    "c24_boxes": sql("""WITH b AS (SELECT *, ln + 4e0 AS w, ln + 2e0 AS h, cos(radians(ln % 4 * 15)) AS c, sin(radians(ln % 4 * 15)) AS s FROM truth_box), u AS (SELECT *, w / 2 + w * h * 1.5::DOUBLE / (2 * (w + h)) AS hw, h / 2 + w * h * 1.5::DOUBLE / (2 * (w + h)) AS hh FROM b)
+        SELECT frame, obj, round("left" * 64 - hw * c + hh * s, 9) AS x, round(top * 64 + hw * s + hh * c, 9) AS y, greatest(0, floor(("left" * 64 - hw * c - hh * s) * 10))::BIGINT AS s_left, least(360, ceil((top * 64 + hw * s + hh * c) * 5.625::DOUBLE))::BIGINT AS s_bottom,
+        greatest(1, floor((pk + 1) * least(1, 320 / greatest(pk + 1, sk + 1)) + 0.5::DOUBLE))::BIGINT AS fit_w, greatest(32, floor((sk + 1) * (640e0 / greatest(pk + 1, sk + 1)) / 32) * 32)::BIGINT AS fit_h FROM u""", "truth_box"),
+    "c29_shields": sql(f"""WITH {_M} SELECT frame, count(*) > 6 OR bool_or(NOT (rl < rr AND rt < rb)) AS shield FROM mm GROUP BY frame""", "truth_box"),
+    "c29_masks": sql(f"""WITH {_M}, f AS (SELECT frame FROM mm GROUP BY frame HAVING NOT (count(*) > 6 OR bool_or(NOT (rl < rr AND rt < rb)))), p AS (SELECT *, CASE WHEN obj = 1 THEN 0 ELSE 0.04::DOUBLE END AS pad FROM mm SEMI JOIN f USING (frame))
+        SELECT frame, obj, round(greatest(0, rl - pad), 9) AS "left", round(greatest(0, rt - pad), 9) AS top, round(least(1, rr + pad), 9) AS "right", round(least(1, rb + pad), 9) AS bottom FROM p""", "truth_box"),
     "c16_matrices": sql(f"""WITH {_M} SELECT frame, obj, round(det, 9) AS det, round(e / det, 9) AS i0, round((b * f - c * e) / det, 9) AS i2, round(px, 9) AS px, round(py, 9) AS py, CASE WHEN rl < rr AND rt < rb THEN round(rl, 9) END AS r_left, CASE WHEN rl < rr AND rt < rb THEN round(rb, 9) END AS r_bottom, 3e0 AS trace FROM mm""", "truth_box"),
     "c22_turned": sql("""WITH p AS (SELECT frame, obj, floor("left" * 64)::BIGINT AS l, floor(top * 64)::BIGINT AS t, floor("right" * 64)::BIGINT AS r, floor(bottom * 64)::BIGINT AS b, obj % 4 AS k FROM truth_box)
         SELECT frame, obj, CASE k WHEN 0 THEN l WHEN 1 THEN t WHEN 2 THEN 100 - r ELSE 100 - b END AS "left", CASE k WHEN 0 THEN t WHEN 1 THEN 80 - r WHEN 2 THEN 80 - b ELSE l END AS top, CASE k WHEN 0 THEN r WHEN 1 THEN b WHEN 2 THEN 100 - l ELSE 100 - t END AS "right", CASE k WHEN 0 THEN b WHEN 1 THEN 80 - l WHEN 2 THEN 80 - t ELSE r END AS bottom FROM p""", "truth_box"),
@@ -465,5 +488,5 @@ ORACLE = {
         SELECT frame AS location, (obj - 1)::INT AS place, 'category' AS code FROM d WHERE ln = 6 UNION ALL SELECT frame, (obj - 1)::INT, 'polygon' FROM d WHERE ln = 2 OR ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame, (obj - 1)::INT, 'visibility' FROM d WHERE ln > 5
         UNION ALL SELECT frame, (obj - 1)::INT, 'objectId' FROM d WHERE oid = '!' OR length(oid) < 3 UNION ALL SELECT frame, (obj - 1)::INT, 'duplicate' FROM d WHERE k > 1 AND length(oid) >= 3 UNION ALL SELECT frame, (obj - 1)::INT, 'role' FROM d WHERE pk % 8 = 0""", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
+QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
     b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
