@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from veilframe import derive
 from veilframe.functions import text as t
 from veilframe.operators import evaluate, spans
-from veilframe.plans import corpora, scalar
+from veilframe.plans import corpora, evaluation, scalar
 
 SF = "/root/testdata/sf0.001"
 
@@ -75,21 +75,25 @@ def test_coverage_matches_greedily(spark):
         assert coverage == pytest.approx(inter / _area(t[frame][i])) and excess == pytest.approx((_area(p[frame][j]) - inter) / _area(p[frame][j]))
 
 
-def _matches(text):
-    """D2 to D5 with another engine's regular expressions, from the rules."""
+def _named(text):
+    """D2 to D5 with their categories, with another engine's regular expressions, from the rules."""
     edge = r"[\p{L}\p{N}._%+-]"
     label = r"[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"
     for m in regex.finditer(rf"(?i)(?<!{edge})[\p{{L}}\p{{N}}.!#$%&'*+/=?^_`{{|}}~-]{{1,64}}@{label}(?:\.{label})+(?!{edge})", text):
         local, domain = m[0].split("@")
         if not re.search(r"^\.|\.$|\.\.", local) and len(domain) <= 253 and max(map(len, domain.split("."))) <= 63 and re.fullmatch("(?i)[a-z]{2,63}", domain.split(".")[-1]):
-            yield m.span()
+            yield "EMAIL", m.span()
     for m in regex.finditer(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)", text):
         digits = [unicodedata.digit(c) for c in m[0] if c.isdigit()][::-1]
         if len(set(digits)) > 1 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0:
-            yield m.span()
+            yield "PAYMENT_CARD", m.span()
     for m in re.finditer(r"(?<![0-9])(?:\+1[ -]?)?\(?[2-9][0-9]{2}\)?[ -][0-9]{3}-[0-9]{4}(?![0-9])", text):
-        yield m.span()
-    yield from _codes(text)
+        yield "PHONE", m.span()
+    yield from (("ONE_TIME_CODE", s) for s in _codes(text))
+
+
+def _matches(text):
+    yield from (span for _, span in _named(text))
 
 
 def _codes(text):
@@ -231,3 +235,93 @@ def test_no_window_holds_the_whole_table(spark):
     assert re.search(r"Window \[row_number\(\) windowspecdefinition\(__b#", manifest)
     assert not re.search(r"windowspecdefinition\((split#\d+, )?specifiedwindowframe", plan(corpora.k2_staging(spark, SF)))
     assert "CROSS" in plan(corpora.k2_staging(spark, SF)).upper()
+
+
+TERMS = ("the", "de la", "und", "er")
+
+
+@pytest.fixture(scope="module")
+def private(spark):
+    """Every span of the documents, by brute force: (doc_id, category, start, end), and the watchlist's (doc_id, term, start, end)."""
+    spans_of, listed = set(), set()
+    docs = derive.table(spark, SF, "documents").select("doc_id", "text").collect()
+    for r in docs:
+        text = r.text or ""
+        units = _clusters(text)
+        spans_of |= {(r.doc_id, name, units[a][1], units[b - 1][2]) for name, (a, b) in _named("".join(u[0] for u in units))}
+        listed |= {(r.doc_id, term, *span) for term in TERMS for span in _occurrences(text, term)}
+    return docs, spans_of, listed
+
+
+@pytest.mark.parametrize(("query", "category"), [("d2_emails", "EMAIL"), ("d4_phones", "PHONE")])
+def test_spans_of_the_documents(spark, private, query, category):
+    got = {(r.doc_id, r.category, r.start, r.end) for r in getattr(scalar, query)(spark, SF).collect()}
+    assert got and got == {x for x in private[1] if x[1] == category}
+
+
+def test_cards_of_the_documents(spark, private):
+    docs, spans_of, _ = private
+    source = {r.doc_id: r.source for r in derive.table(spark, SF, "documents").collect()}
+    wanted = defaultdict(int)
+    for doc_id, name, *_ in spans_of:
+        wanted[source[doc_id]] += name == "PAYMENT_CARD"
+    assert {r.source: r.cards for r in scalar.d3_cards(spark, SF).collect()} == {k: wanted[k] for k in set(source.values())}
+
+
+def test_all_spans_and_refusals_of_the_documents(spark, private):
+    docs, spans_of, listed = private
+    found = defaultdict(set)
+    for doc_id, *span in spans_of:
+        found[doc_id].add(tuple(span))
+    for doc_id, _, start, end in listed:
+        found[doc_id].add(("WATCHLIST_MATCH", start, end))
+    refused = {r.doc_id: "text" if len(r.text or "") > 16384 else "matches" for r in docs if len(r.text or "") > 16384 or len(found[r.doc_id]) > 256}
+    assert {r.doc_id: r.refusal for r in scalar.d7_refused(spark, SF).collect()} == refused and refused
+    got = scalar.d7_all_spans(spark, SF).collect()
+    assert sorted((r.doc_id, r.category, r.start, r.end) for r in got) == sorted((d, *x) for d, xs in found.items() if d not in refused for x in xs)
+
+
+def test_listed_terms_of_the_documents(spark, private):
+    by_term, by_doc = defaultdict(list), defaultdict(list)
+    for doc_id, term, start, end in private[2]:
+        by_term[doc_id, term].append((start, end))
+        by_doc[doc_id].append((start, end))
+    assert {(r.doc_id, r.term): (r.n, r.first, r.last) for r in scalar.d6_watchlist(spark, SF).collect()} == {k: (len(v), min(v)[0], max(e for _, e in v)) for k, v in by_term.items()}
+    digest = lambda v: hashlib.sha256(("[" + ", ".join(f"{{{a}, {b}}}" for a, b in sorted(v)) + "]").encode()).hexdigest()
+    assert {r.doc_id: (r.n, r.digest) for r in scalar.d8_listed(spark, SF).collect()} == {k: (len(v), digest(v)) for k, v in by_doc.items()}
+
+
+def test_normal_form_of_the_documents(spark, private):
+    wanted = {r.doc_id: "".join(u[0] for u in _clusters(r.text or "")) for r in private[0]}
+    assert {r.doc_id: (r.n, r.digest) for r in scalar.d1_normal(spark, SF).collect()} == {k: (len(v), hashlib.sha256(v.encode()).hexdigest()) for k, v in wanted.items()}
+
+
+def _nearest(wanted, decoded, tolerance):
+    """Annotation time to decoded time: the nearest within the tolerance behind the last one taken, the earlier of two."""
+    out, first, decoded = {}, 0, sorted(decoded)
+    for at in sorted(wanted):
+        near = [(abs(d - at), i) for i, d in enumerate(decoded) if i >= first and abs(d - at) <= tolerance]
+        out[at] = decoded[min(near)[1]] if near else None
+        first = min(near)[1] + 1 if near else first
+    return out
+
+
+def test_join_totals_by_brute_force(spark):
+    _, wanted, decoded = evaluation._joined(spark, SF)
+    times = lambda frame: frame.groupBy("episode").agg(F.collect_list("at").alias("at")).collect()
+    seen, out = {r.episode: r.at for r in times(decoded)}, {}
+    for r in times(wanted):
+        taken = _nearest(r.at, seen.get(r.episode, []), 3000)
+        deltas = [abs(a - d) for a, d in taken.items() if d is not None]
+        out[r.episode] = (len(r.at), len(seen.get(r.episode, [])), len(deltas), len(seen.get(r.episode, [])) - len(deltas), max(deltas, default=0))
+    got = evaluation.f8_totals(spark, SF).collect()
+    assert {r.episode: (r.annotated, r.decoded, r.matched, r.unmatched_decoded, r.largest_delta) for r in got} == out
+
+
+def test_face_objects_by_hand(spark):
+    joined = spark.createDataFrame([("e", 0, 1), ("e", 40, 41), ("e", 80, None), ("e", 120, 121)], "episode string, at long, taken long")
+    objects = spark.createDataFrame([("e", t, o, r, True) for t in (0, 40, 80, 120) for o, r in (("a", "UNKNOWN"), ("h", "HOST"))] + [("e", 40, "b", "UNKNOWN", True)], "episode string, at long, object string, role string, protectable boolean")
+    seen = spark.createDataFrame([("e", 1, "a", True, 5), ("e", 41, "a", True, 6), ("e", 121, "a", False, None), ("e", 41, "b", False, 1)], "episode string, at long, object string, fully_protected boolean, track long")
+    got = {r.object: (r.visible, r.guarded, r.switches, r.gap_frames, r.gap_ns) for r in evaluate.object_metrics(objects, joined, seen, 33).collect()}
+    # The last frame of a gap lasts for the nominal duration; the host has no metrics.
+    assert got == {"a": (4, 2, 1, 2, 40 + 33), "b": (1, 0, 0, 1, 40)}

@@ -215,6 +215,22 @@ def test_fold_does_not_depend_on_input_order_or_partitions(spark):
     assert run(rows, 1) == run(rows[::-1], 7)
 
 
+def test_folds_keep_whole_numbers_beside_missing_ones(spark, tmp_path):
+    from veilframe.streaming.stateful import fold_stream
+
+    big = (1 << 60) + 1
+    rows, schema = [("s", 0, None, big), ("s", 1, big + 2, None), ("s", 2, big + 4, big + 6)], "k string, at long, a long, b long"
+    step = lambda s, row: (row[2], [(row[0], s, row[3])])
+    wanted = [("s", None, big), ("s", None, None), ("s", big + 2, big + 6)]
+    frame = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in fold_sorted(frame, "k", ["at"], lambda: None, step, "k string, before long, b long").collect()] == wanted
+    frame.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "k", ["at"], lambda: None, step, "k string, before long, b long")
+    query = stream.writeStream.format("memory").queryName("whole").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
+    assert sorted(map(tuple, spark.table("whole").collect()), key=str) == sorted(wanted, key=str)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from veilframe.streaming.stateful import fold_stream
 

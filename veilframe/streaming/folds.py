@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 Step = Callable[[Any, tuple], tuple[Any, list[tuple]]]
 
@@ -16,22 +17,21 @@ def fold_sorted(rows: DataFrame, key: str, order: list[str | Column], start: Cal
     """``step(state, row)`` over each key's rows in order gives the next state and what comes out.
 
     Rows are dealt by key and sorted there, and pass in batches: a key with many rows needs the memory of its state, not of
-    its rows. ``row`` is a tuple in the order of the columns; missing values are None.
+    its rows. ``row`` is a tuple in the order of the columns, of Python's own values: whole numbers stay exact, missing values are None.
     """
-    fields = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fieldNames()
+    wanted = to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
     at = rows.columns.index(key)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = object(), None
         for batch in batches:
             out: list[tuple] = []
-            columns = [c.astype(object).where(c.notna(), None).tolist() for _, c in batch.items()]
-            for row in zip(*columns):
+            for row in zip(*(column.to_pylist() for column in batch.columns)):
                 if row[at] != now:
                     now, state = row[at], start()
                 state, made = step(state, row)
                 out += made
-            frame = pd.DataFrame(out, columns=fields)
-            yield frame.convert_dtypes() if len(frame) else frame
+            columns = zip(*out) if out else [()] * len(wanted)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, wanted)], schema=wanted)
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -20,8 +20,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 class FoldProcessor(StatefulProcessor):
     """Runs a step function; a row with ``end_column`` true clears its key's state, and so does ``ttl_ms`` without a row."""
 
-    def __init__(self, columns: list[str], order: list[str], start: Callable[[], Any], step: Callable, fields: list[str], end_column: str | None, ttl_ms: int | None) -> None:
-        self.columns, self.order, self.start, self.step, self.fields, self.end, self.ttl = columns, order, start, step, fields, end_column, ttl_ms
+    def __init__(self, columns: list[str], order: list[str], start: Callable[[], Any], step: Callable, fields: list[str], end_column: str | None, ttl_ms: int | None, whole: list[str]) -> None:
+        self.columns, self.order, self.start, self.step, self.fields, self.end, self.ttl, self.whole = columns, order, start, step, fields, end_column, ttl_ms, whole
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         """Declares the state: one binary value."""
@@ -31,7 +31,10 @@ class FoldProcessor(StatefulProcessor):
         """Folds a key's rows of this batch, in order."""
         held = self.state.get() if self.state.exists() else None
         state, out, ended = pickle.loads(bytes(held[0])) if held else self.start(), [], False
-        for row in pd.concat(list(rows)).sort_values(self.order).itertuples(index=False):
+        batch = pd.concat(list(rows))
+        for name in self.whole:
+            batch[name] = pd.Series([None if v is None or v != v else int(v) for v in batch[name]], index=batch.index, dtype=object)
+        for row in batch.sort_values(self.order).itertuples(index=False):
             values = tuple(None if not isinstance(v, (list, tuple)) and pd.isna(v) else v for v in (getattr(row, c) for c in self.columns))
             state, made = self.step(state, values)
             out += made
@@ -42,8 +45,7 @@ class FoldProcessor(StatefulProcessor):
             self.state.clear()
         else:
             self.state.update((pickle.dumps(state),))
-        frame = pd.DataFrame(out, columns=self.fields)
-        yield frame.convert_dtypes() if len(frame) else frame
+        yield pd.DataFrame(out, columns=self.fields, dtype=object)
 
     def close(self) -> None:
         """Nothing to close."""
@@ -57,8 +59,10 @@ def fold_stream(rows: DataFrame, key: str, order: list[str], start: Callable[[],
     """
     fields = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fieldNames()
     columns = [c for c in rows.columns if c != end_column]
-    processor = FoldProcessor(columns, order, start, step, fields, end_column, ttl_ms)
-    return rows.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
+    # As text, whole numbers beside missing values do not become floating-point numbers on their way.
+    whole = [f.name for f in rows.schema if isinstance(f.dataType, T.LongType) and f.name != key]
+    processor = FoldProcessor(columns, order, start, step, fields, end_column, ttl_ms, whole)
+    return rows.withColumns({c: F.col(c).cast("string") for c in whole}).groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="processingTime" if ttl_ms else "none")
 
 
 def by_lane(frames: DataFrame, lanes: dict[str, Callable[[DataFrame], DataFrame]], lane: str = "lane") -> DataFrame:
