@@ -252,6 +252,10 @@ ORACLE = {
     "f6_episodes": sql(f"WITH {_RUNS} SELECT episode, visible, guarded, fragments, switches, gap_frames, gap_ns, round(coverage, 9) AS coverage FROM em", "episode_frames"),
     "f7_summary": sql(f"""WITH {_RUNS} SELECT round(sum(guarded) / sum(visible), 9) AS micro, round(avg(coverage), 9) AS macro, max(gap_frames) AS gap_frames, max(gap_ns) AS gap_ns, sum(fragments)::BIGINT AS fragments,
         sum(switches)::BIGINT AS switches, count(*) FILTER (gap_frames > 0) AS with_gap FROM em""", "episode_frames"),
+    "f8_totals": sql("""SELECT session AS episode, count(*) AS annotated, count(*) FILTER (event_id % 11 <> 0) AS decoded, count(*) FILTER (event_id % 11 <> 0) AS matched, 0 AS unmatched_decoded, coalesce(max(abs(event_id % 7 - 3) * 1000) FILTER (event_id % 11 <> 0), 0) AS largest_delta FROM session_frames GROUP BY session""", "session_frames"),
+    "f8_objects": sql("""WITH o AS (SELECT session AS episode, 1 + k.k AS object, frame, ts_ns, k.k = 0 OR event_type <> 'signup' AS visible, (k.k = 0 OR event_type <> 'signup') AND event_id % 11 <> 0 AND event_id % (k.k + 3) <> 0 AS guarded,
+          CASE WHEN (k.k = 0 OR event_type <> 'signup') AND event_id % 11 <> 0 THEN event_id % 13 % (k.k + 2) END AS track FROM session_frames CROSS JOIN (SELECT unnest([0, 1]) AS k) k),
+        episode_frames AS (SELECT episode * 10 + object AS episode, frame, ts_ns, visible, guarded, track FROM o), """ + _RUNS + """ SELECT episode // 10 AS episode, (episode % 10)::INT AS object, visible, guarded, fragments, switches, gap_frames, gap_ns, round(coverage, 9) AS coverage FROM em""", "session_frames"),
     "f19_acceptance": sql(f"WITH {_RUNS} SELECT episode, coalesce(coverage, 1) >= 0.75::DOUBLE AND gap_ns <= 2000000000000000 AS accepted FROM em", "episode_frames"),
     "f9_pixels": """WITH p AS (SELECT l_orderkey % 100 AS fixture, l_orderkey AS frame, abs(l_partkey % 40 - 10) <= 12 AND abs(l_suppkey % 40 - 12) <= 12 AND abs(l_linenumber - 4) <= 12 AS r,
         abs(l_partkey % 40 - 20) <= 28 AND abs(l_suppkey % 40 - 20) <= 28 AND abs(l_linenumber - 4) <= 28 AS m FROM lineitem),

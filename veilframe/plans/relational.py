@@ -204,6 +204,7 @@ ORACLE = {
         SELECT frame, obj, CASE WHEN a.frame IS NULL THEN 'EXTRA' WHEN b.frame IS NULL THEN 'MISSING' ELSE 'MATCHED' END AS status FROM a FULL JOIN b USING (frame, obj)""", "truth_box", "pred_box"),
     "e2_as_of": sql(f"WITH {_ASOF} SELECT session, frame, lane, CASE WHEN source_ns IS NOT NULL THEN 'FOUND' WHEN newest > ts_ns THEN 'FUTURE' ELSE 'MISSING' END AS basis, source_ns, failed FROM ao LEFT JOIN mx USING (session, lane)", "snapshots"),
     "j18_freshness": sql(f"WITH {_ASOF} SELECT session, frame, lane, coalesce(NOT failed AND ts_ns <= valid_until_ns AND ts_ns - source_ns <= 3600000000000000, false) AS fresh FROM ao", "snapshots"),
+    "e4_nearest": sql("SELECT session, ts_ns AS \"at\", CASE WHEN event_id % 11 <> 0 THEN ts_ns + (event_id % 7 - 3) * 1000 END AS taken FROM session_frames", "session_frames"),
     "e5_lookup": sql("""WITH f AS (SELECT session, ts_ns, frame, event_id, event_type, ts_ns + event_id % 200 AS now_ns FROM session_frames),
         d AS (SELECT session, ts_ns, CASE WHEN event_type = 'error' THEN 'FULL_SHIELD' ELSE 'REGIONAL_SAFE' END AS st FROM f WHERE event_id % 5 <> 0 AND frame >= 4), n AS (SELECT session, max(ts_ns) AS newest FROM d GROUP BY session),
         l AS (SELECT f.session, f.ts_ns, st, CASE WHEN st IS NULL AND frame < 4 AND event_id % 2 = 0 THEN 'EVICTED' WHEN st IS NULL AND newest > f.ts_ns THEN 'FUTURE' WHEN st IS NULL THEN 'MISSING' WHEN event_id % 200 > 100 THEN 'EXPIRED' WHEN event_id % 200 > 90 THEN 'STALE' ELSE 'OK' END AS lookup
