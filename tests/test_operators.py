@@ -61,6 +61,20 @@ def test_merge_reaches_boxes_that_no_member_touched(spark):
     assert {(r.category, r.left, r.top, r.right, r.bottom) for r in out} == {("a", 0.0, 0.0, 0.5, 0.6), ("b", 0.0, 0.0, 0.1, 0.1)}
 
 
+def test_crowded_frames_lose_no_pair(spark):
+    import random
+
+    rng = random.Random(11)
+    box = lambda: (lambda x, y: (x, y, x + rng.random() / 8, y + rng.random() / 8))(rng.random() * 0.9, rng.random() * 0.9)
+    a, b = [(k, i, *box()) for k in (1, 2) for i in range(150)], [(k, i, *box()) for k in (1, 2) for i in range(150)]
+    names = lambda p: ", ".join(f"{p}{c} double" for c in ("left", "top", "right", "bottom"))
+    left, right = spark.createDataFrame(a, f"k int, i int, {names('')}"), spark.createDataFrame(b, f"k int, j int, {names('p_')}")
+    wanted = sorted((x[0], x[1], y[1]) for x in a for y in b if x[0] == y[0] and x[2] <= y[4] and x[4] >= y[2] and x[3] <= y[5] and x[5] >= y[3])
+    for crowd in (1, 4, 1000):
+        pairs = relations.meeting(left, right, "k", Rect.of(), Rect.of("p_"), crowd=crowd)
+        assert sorted(map(tuple, pairs.where(g.overlaps(Rect.of(), Rect.of("p_"))).select("k", "i", "j").collect())) == wanted
+
+
 def test_nearest_is_monotonic(spark):
     wanted = spark.createDataFrame([("s", 10), ("s", 12), ("s", 30)], "k string, at long")
     decoded = spark.createDataFrame([("s", 9), ("s", 11), ("s", 26)], "k string, at long")

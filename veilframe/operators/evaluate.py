@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
-from veilframe.operators.relations import nearest_monotonic
+from veilframe.operators.relations import meeting, nearest_monotonic
 from veilframe.streaming.folds import fold_sorted
 
 
@@ -25,7 +25,7 @@ def slice_labels(small: Column, blurred: Column, occluded: Column, difficult: Co
 def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, padding: float = 0.25) -> DataFrame:
     """Pairs in one frame whose overlap is enough or whose padded prediction holds the truth."""
     t, p = Rect.of(), Rect.of("p_")
-    both = truth.join(preds, "frame").withColumns({"iou": g.iou(t, p), "contained": g.contains_rect(g.expand(p, padding), t)})
+    both = meeting(truth, preds, "frame", t, g.expand(p, padding)).withColumns({"iou": g.iou(t, p), "contained": g.contains_rect(g.expand(p, padding), t)})
     return both.where((F.col("iou") >= least_iou) | F.col("contained"))
 
 
@@ -77,7 +77,7 @@ def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
 def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs by intersection area, with the share of truth covered and of prediction in excess."""
     t, p = Rect.of(), Rect.of("p_")
-    both = truth.join(preds, "frame").withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
+    both = meeting(truth, preds, "frame", t, p).withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
     best = greedy_pairs(both, "frame", "obj", "pred", "inter", "t_area", "p_area")
     return best.select("frame", "obj", "pred", (F.col("inter") / F.col("t_area")).alias("coverage"), ((F.col("p_area") - F.col("inter")) / F.col("p_area")).alias("excess"))
 
@@ -262,16 +262,17 @@ def pixel_oracle(pixels: DataFrame, raw_tolerance: int = 12, mask_tolerance: int
 
 def coverage_gate(regions: DataFrame, pixels: DataFrame, mask: tuple[int, int, int], padding: float = 0.02, tolerance: int = 28, least: float = 0.90) -> DataFrame:
     """Per frame CERTIFIED or ESCALATE: enough pixels of each padded region show the mask; a pixel counts once per region."""
-    r = Rect.of()
-    inside = g.contains_point(Rect(g.clamp(r.left - padding), g.clamp(r.top - padding), g.clamp(r.right + padding), g.clamp(r.bottom + padding)), F.col("x"), F.col("y"))
+    r, x, y = Rect.of(), F.col("x"), F.col("y")
+    padded = Rect(g.clamp(r.left - padding), g.clamp(r.top - padding), g.clamp(r.right + padding), g.clamp(r.bottom + padding))
     near = F.forall(F.zip_with(F.col("seen"), F.lit(list(mask)), lambda a, b: F.abs(a - b) <= tolerance), lambda ok: ok)
-    share = regions.join(pixels, "frame").where(inside).groupBy("frame").agg(F.avg(near.cast("int")).alias("share"))
+    share = meeting(regions, pixels, "frame", padded, Rect(x, y, x, y)).where(g.contains_point(padded, x, y)).groupBy("frame").agg(F.avg(near.cast("int")).alias("share"))
     return regions.select("frame").distinct().join(share, "frame", "left").select("frame", F.coalesce("share", F.lit(0.0)).alias("share"), F.when(F.col("share") >= least, "CERTIFIED").otherwise("ESCALATE").alias("verdict"))
 
 
 def polygon_mean(polygons: DataFrame, scores: DataFrame) -> DataFrame:
     """The mean score of the cells in each polygon, 0 where none is inside (F17). ``scores`` has frame, x, y and score."""
-    inside = polygons.join(scores, "frame").where(g.point_in_polygon(F.col("x"), F.col("y"), F.col("poly")))
+    x, y = F.col("x"), F.col("y")
+    inside = meeting(polygons, scores, "frame", g.polygon_bounds(F.col("poly")), Rect(x, y, x, y)).where(g.point_in_polygon(x, y, F.col("poly")))
     means = inside.groupBy("frame", "obj").agg(F.avg("score").alias("mean_score"))
     return polygons.select("frame", "obj").join(means, ["frame", "obj"], "left").fillna({"mean_score": 0.0})
 

@@ -11,6 +11,29 @@ from veilframe.shared import cut, scratch
 from veilframe.streaming.folds import fold_sorted
 
 
+#: Boxes of a key that one cell holds on average, before the frame is cut into more cells.
+CROWD = 64
+
+
+def meeting(a: DataFrame, b: DataFrame, key: str, reach_a: Rect, reach_b: Rect, crowd: int = CROWD) -> DataFrame:
+    """Pairs of rows of ``a`` and ``b`` of one key whose reaches may meet; what the caller asks for is a condition on these.
+
+    A frame with many boxes is cut into a grid, as fine as it is crowded, and only rows of one cell are paired; a pair comes from the
+    first cell that both reach. So a crowded frame neither pairs everything with everything nor stays in one task.
+    """
+    counts = a.select(key).unionAll(b.select(key)).groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / crowd))).cast("int").alias("__g"))
+
+    def placed(rows: DataFrame, reach: Rect, side: str) -> DataFrame:
+        cell = lambda v: F.greatest(F.lit(0), F.least(F.col("__g") - 1, F.floor(v * F.col("__g")).cast("int")))
+        first = rows.join(counts, key).withColumns({f"__{side}x": cell(reach.left), f"__{side}y": cell(reach.top), "__r": cell(reach.right), "__b": cell(reach.bottom)})
+        across = first.withColumn("__x", F.explode(F.sequence(f"__{side}x", F.greatest(f"__{side}x", "__r"))))
+        return across.withColumn("__y", F.explode(F.sequence(f"__{side}y", F.greatest(f"__{side}y", "__b")))).drop("__g", "__r", "__b")
+
+    pairs = placed(a, reach_a, "a").join(placed(b, reach_b, "b"), [key, "__x", "__y"])
+    once = (F.col("__x") == F.greatest("__ax", "__bx")) & (F.col("__y") == F.greatest("__ay", "__by"))
+    return pairs.where(once).drop("__x", "__y", "__ax", "__ay", "__bx", "__by")
+
+
 def matched_and_extra(truth: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     """Each key's status: MATCHED, MISSING (truth alone) or EXTRA (observation alone)."""
     a, b = truth.select(*keys).distinct().withColumn("__t", F.lit(1)), seen.select(*keys).distinct().withColumn("__s", F.lit(1))
@@ -103,7 +126,13 @@ def span_elements(elements: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 def track_candidates(tracks: DataFrame, seen: DataFrame, key: str, least_iou: float = 0.10, most_scale: float = 2.0, most_distance: float = 0.30) -> DataFrame:
     """Pairs that may be one object, with their score: overlap and nearness, and 2 more where the detector's hint agrees."""
     a, b = Rect.of(), Rect.of("p_")
-    both = tracks.join(seen, key).withColumns({"iou": g.iou(a, b), "distance": g.center_distance(a, b), "scale": g.scale_ratio(a, b)})
+
+    def reach(r: Rect) -> Rect:
+        # Half the distance around the center, and the box itself.
+        x, y, half = (r.left + r.right) / 2, (r.top + r.bottom) / 2, most_distance / 2 + 1e-9
+        return Rect(F.least(r.left, x - half), F.least(r.top, y - half), F.greatest(r.right, x + half), F.greatest(r.bottom, y + half))
+
+    both = meeting(tracks, seen, key, reach(a), reach(b)).withColumns({"iou": g.iou(a, b), "distance": g.center_distance(a, b), "scale": g.scale_ratio(a, b)})
     kept = both.where((F.col("iou") >= least_iou) | ((F.col("scale") <= most_scale) & (F.col("distance") <= most_distance)))
     bonus = F.when(F.col("hint") == F.col("p_hint"), 2.0).otherwise(0.0) if {"hint", "p_hint"} <= set(both.columns) else F.lit(0.0)
     return kept.withColumn("score", bonus + F.col("iou") + 1 - F.least(F.lit(1.0), F.col("distance") / most_distance))
@@ -111,9 +140,8 @@ def track_candidates(tracks: DataFrame, seen: DataFrame, key: str, least_iou: fl
 
 def self_overlaps(boxes: DataFrame, key: str, item: str, least_iou: float = 0.30) -> DataFrame:
     """Pairs of one frame's boxes that overlap so much that tracks become ambiguous."""
-    cols = [key, item, *Rect._fields]
     other = boxes.select(F.col(key), F.col(item).alias("other"), *(F.col(c).alias(f"p_{c}") for c in Rect._fields))
-    pairs = boxes.select(*cols).join(other, key).where(F.col(item) < F.col("other"))
+    pairs = meeting(boxes.select(key, item, *Rect._fields), other, key, Rect.of(), Rect.of("p_")).where(F.col(item) < F.col("other"))
     return pairs.where(g.iou(Rect.of(), Rect.of("p_")) >= least_iou).select(key, item, "other")
 
 
