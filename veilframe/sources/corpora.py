@@ -79,10 +79,10 @@ def staging_plan(items: DataFrame, found: DataFrame, split: str, expected: int)
     """The items of one split in order, with what forbids staging them: digest, repeated file name, or another number of items than expected (H4, K2)."""
     chosen = items.where(F.col("split") == split).join(found.select("path", F.col("digest").alias("f_digest")), "path", "left")
     name = F.element_at(F.split("path", "/"), -1)
-    total = F.broadcast(items.where(F.col("split") == split).agg(F.count("*").alias("items")))
+    total = items.where(F.col("split") == split).groupBy("split").agg(F.count("*").alias("items"))
     same = F.count("*").over(Window.partitionBy("split", name))
     problem = F.when(~F.col("digest").eqNullSafe(F.col("f_digest")), "digest").when(same > 1, "name").when(F.col("items") != expected, "number")
-    return chosen.crossJoin(total).select("path", problem.alias("problem"))
+    return chosen.join(F.broadcast(total), "split").select("path", problem.alias("problem"))
 
 
 def retention_audit(ledger: DataFrame, deletions: DataFrame, as_of: str) -> DataFrame:

@@ -190,7 +190,7 @@ def simple_tracks(least: float = 0.20):
     """IoU tracker (J7). Rows: (session, frame, left, top, right, bottom, given), sorted so; out: (session, frame, left, top, right, bottom, track).
 
     A detection takes the best unclaimed box of the frame before, ties to the smallest id; else it gets the next id. ``given`` is the
-    detector's own id, which is kept as it is. A row with left null is a frame without detections: nothing comes out, and the
+    detector's own id, which is kept as it is and does not move the next id on. A row with left null is a frame without detections: nothing comes out, and the
     next frame finds no box before it.
     """
 
@@ -203,7 +203,6 @@ def simple_tracks(least: float = 0.20):
         scored = [(-_overlap(b, box), t) for t, b in state["before"] if t not in state["claimed"] and _overlap(b, box) >= least]
         if given is not None:
             track = int(given)
-            state["next"] = max(state["next"], track + 1)
         elif scored:
             track = min(scored)[1]
         else:
