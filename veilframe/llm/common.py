@@ -14,8 +14,9 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole table of documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The whole table of documents; a table of fewer parts than there are cores is dealt to all of them."""
+    docs, cores = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
 def bucket_count(spark: SparkSession, least: int = 64, times: int = 4) -> int:

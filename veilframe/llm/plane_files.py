@@ -18,12 +18,15 @@ are ignored. Texts of any length are encoded whole.
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,19 +39,24 @@ END = 0
 BLOCK = 1 << 14
 #: Ids after which a chunk is closed.
 CHUNK_IDS = 1 << 20
-#: Pieces of text whose ids a worker remembers; then they become the older half, of which those seen again stay.
-REMEMBERED = 600_000
+#: Characters of text whose different pieces are encoded together.
+SLICE = 16 << 20
+#: Pieces that go to the tokenizer at once.
+MANY = 20_000
+#: White space besides spaces and newlines.
+_OTHER = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 MAGIC = b"VPL1"
 CHUNKS = "shard int, chunk int, first_doc long, last_doc long, n_docs long, n_ids long, payload binary"
 NULL_ID = -1 << 63
 
+
 class Encoder:
     """The tokenizer's ids of whole texts.
 
-    The vocabulary's pattern never joins what stands on both sides of a single space or newline between two words, nor a
-    letter and the comma or stop behind it, so the ids of such pieces can be remembered. Texts with any other white
-    space go to the tokenizer whole. Pieces that are new go to it many at a time: behind each other with their spaces,
-    or, where none stands before them, between newlines; the ids say where a piece begins.
+    The vocabulary's pattern never joins what stands on both sides of a single space or newline between two words, so many texts
+    are cut there and each different piece is encoded once. Pieces go to the tokenizer many at a time: behind each other with their
+    spaces, or, where none stands before them, between newlines; the ids say where a piece begins. Texts with any other white space,
+    or with an added token, go to the tokenizer whole.
     """
 
     _kept: dict[str, Encoder] = {}
@@ -56,14 +64,11 @@ class Encoder:
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         #: Texts that hold an added token go to the tokenizer whole, as only it knows what surrounds one.
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([*added, f"[{_OTHER}]", r"[ \n][ \n]", r"^[ \n]", r"[ \n]$"])
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.spaced = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         (self.newline,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.mark = {m: self._whole(m) for m in ",.\n"}
-        self.inner: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {"": b""}
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -77,6 +82,8 @@ class Encoder:
 
     def _many(self, words: list[str], spaced: bool) -> list[bytes]:
         """The ids of words that have no white space, with a space before each or nothing."""
+        if len(words) > MANY:  # what the library hands back is much larger than ids
+            return [ids for k in range(0, len(words), MANY) for ids in self._many(words[k : k + MANY], spaced)]
         groups = [words[k : k + 200] for k in range(0, len(words), 200)]
         texts = [f" {' '.join(g)}" if spaced else "\n".join(g) for g in groups]
         out = []
@@ -91,39 +98,42 @@ class Encoder:
                 out += [raw[a:b] for a, b in zip([0, *(g + 4 for g in gaps)], [*gaps, len(raw)])]
         return out
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers new pieces; those that begin with a newline have no space before them."""
-        parts: list[tuple[str, str, str]] = []
-        for p in pieces:
-            if (known := self.older.get(p)) is not None:
-                self.inner[p] = known
-                continue
-            mark = p[-1] if len(p) > 1 and p[-1] in ",." and p[-2].isalpha() else ""
-            parts.append((p, p[:-1] if mark else p, mark))
-        inner = list({b for _, b, _ in parts if b[0] != "\n" and b not in self.inner})
-        heads = list({b[1:] for _, b, _ in parts if b[0] == "\n" and b[1:] not in self.heads})
-        self.inner.update(zip(inner, self._many(inner, True)))
-        self.heads.update(zip(heads, self._many(heads, False)))
-        for p, b, mark in parts:
-            ids = self.mark["\n"] + self.heads[b[1:]] if b[0] == "\n" else self.inner[b]
-            self.inner[p] = ids + self.mark[mark] if mark else ids
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if " ".join(text.split()) != text.replace("\n", " ") or any(a in text for a in self.added):
-            return self._whole(text)
-        if len(self.inner) > REMEMBERED:
-            self.inner, self.older = {}, self.inner
-        if len(self.heads) > REMEMBERED // 4:
-            self.heads = {"": b""}
-        head, *rest = text.replace("\n", " \n").split(" ")
-        if head not in self.heads:
-            self.heads[head] = self._whole(head)
-        out = list(map(self.inner.get, rest))
-        if None in out:
-            self._learn(list({p for p, ids in zip(rest, out) if ids is None}))
-            out = list(map(self.inner.get, rest))
-        return self.heads[head] + b"".join(out)
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text. A piece is looked up once, however often the texts hold it."""
+        all_texts = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(all_texts, self.odd).to_numpy(zero_copy_only=False)
+        out = [self._whole(t) if o else b"" for t, o in zip(texts, odd.tolist())]
+        plain = np.flatnonzero(~odd)
+        if not len(plain):
+            return out
+        # A newline is the first character of the piece behind it; a text's first piece has nothing before it.
+        split = pc.split_pattern(pc.replace_substring(all_texts.filter(pa.array(~odd)), "\n", " \n"), " ")
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        codes, pieces = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
+        heads, which = np.unique(codes[ends[:-1]], return_inverse=True)
+        inside = np.ones(len(codes), dtype=bool)
+        inside[ends[:-1]] = False
+        used = np.unique(codes[inside]).tolist()
+        spaced = [i for i in used if pieces[i][0] != "\n"]
+        lines = [i for i in used if pieces[i][0] == "\n"]
+        first = [pieces[i] for i in heads.tolist()]
+        ids: list[bytes] = [b""] * (len(pieces) + len(first))
+        for i, found in zip(spaced, self._many([pieces[i] for i in spaced], True)):
+            ids[i] = found
+        unspaced = self._many([*(pieces[i][1:] for i in lines), *filter(None, first)], False)
+        newline = self.newline.to_bytes(4, "little")
+        for i, found in zip([*lines, *(len(pieces) + k for k, h in enumerate(first) if h)], unspaced):
+            ids[i] = newline + found if i < len(pieces) else found
+        codes[ends[:-1]] = len(pieces) + which
+        n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        flat, each = np.frombuffer(b"".join(ids), dtype="<u4"), n[codes]
+        past = np.concatenate(([0], np.cumsum(each)))
+        raw = flat[np.repeat((np.cumsum(n) - n)[codes] - past[:-1], each) + np.arange(past[-1])].tobytes()
+        cuts = (4 * past[ends]).tolist()
+        for i, a, b in zip(plain.tolist(), cuts, cuts[1:]):
+            out[i] = raw[a:b]
+        return out
 
 
 def _planes(ids: np.ndarray, bits: bool) -> list[bytes]:
@@ -198,14 +208,18 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end: int | N
             return pd.DataFrame([(shard, chunk, names[0], names[-1], len(names), len(ids), payload)], columns=[c.split()[0] for c in CHUNKS.split(", ")])
 
         for batch in batches:
-            shard = int(batch["shard"].iat[0]) if len(batch) else 0
-            for doc_id, text in zip(batch["doc_id"].fillna(NULL_ID).astype("int64"), batch["text"]):
-                names.append(doc_id)
-                coded.append(encoder.encode(text) + tail)
-                held += len(coded[-1]) // 4
-                if held >= CHUNK_IDS:
-                    yield close()
-                    chunk, names, coded, held = chunk + 1, [], [], 0
+            shard, texts = int(batch["shard"].iat[0]) if len(batch) else 0, batch["text"].tolist()
+            ids, ends, at = batch["doc_id"].fillna(NULL_ID).astype("int64").tolist(), np.cumsum([len(t) for t in texts]), 0
+            while at < len(texts):  # a few texts at a time
+                past = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                for doc_id, mine in zip(ids[at:past], encoder.encode_many(texts[at:past])):
+                    names.append(doc_id)
+                    coded.append(mine + tail)
+                    held += len(coded[-1]) // 4
+                    if held >= CHUNK_IDS:
+                        yield close()
+                        chunk, names, coded, held = chunk + 1, [], [], 0
+                at = past
         if names:
             yield close()
 
