@@ -309,8 +309,11 @@ def blocks(rows: DataFrame, path: str, size: int = BLOCK, pattern: str = public_
                 if block.size >= size:
                     yield block.row(lambda: shared.value)
                     block = _Block(pattern)
+                    pa.default_memory_pool().release_unused()
         if block.names:
             yield block.row(lambda: shared.value)
+        del block
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, _BLOCKS)
 
