@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from veilframe.llm import byte_bpe, decontamination, language_id, plane_files, quality_model, quality_rules, simhash, substring_dedup, suffix_dedup, toxicity
+from veilframe.llm import (
+    byte_bpe,
+    collocations,
+    decontamination,
+    language_id,
+    merkle,
+    plane_files,
+    quality_model,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -21,6 +35,9 @@ def queries() -> dict:
         "op8_simhash": simhash.op8,
         "op9_decontamination": decontamination.op9,
         "op10_quality_rules": quality_rules.op10,
+        "op11_merkle_manifest": merkle.op11,
+        "op12_collocations": collocations.op12,
+        "op13_virtual_slots": sharding.op13,
     }
 
 
@@ -30,4 +47,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_substring_dedup": substring_dedup.OP5_SQL,
         "op9_decontamination": decontamination.OP9_SQL,
         "op10_quality_rules": quality_rules.OP10_SQL,
+        "op11_merkle_manifest": merkle.OP11_SQL,
+        "op12_collocations": collocations.OP12_SQL,
     }
