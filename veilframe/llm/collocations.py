@@ -35,7 +35,7 @@ from veilframe.llm.ordinals import placed
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Ids a side of a tile; head tiles that may be dense; cells for each occurrence up to which a tile is counted densely.
 SIDE_BITS, HEAD, SPARE = 8, 16, 16
-CHUNK, PART, FAN = 16 << 20, 4 << 20, 64
+CHUNK, PART, FAN = 16 << 20, 4 << 20, 256
 #: Ends of pieces become a byte that UTF-8 never has; tabs become spaces.
 _GAP = b"\xff"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
@@ -234,9 +234,9 @@ def _told(levels: list[tuple[DataFrame, int, int]], frequent: DataFrame) -> Data
             order = np.argsort(code)
             code, ids = code[order], ids[order]
             for lang, bucket, node, own in rows[["lang", "bucket", "node", "code"]].itertuples(index=False):
-                at, hit = looked_up(code, unpack_sorted(own))
+                _, hit = looked_up(unpack_sorted(own), code)  # few are frequent, so these are sought among the node's own
                 if hit.any():
-                    out.append((lang, int(bucket), int(node), pack_sorted(code[at[hit]]), pack(ids[at[hit]])))
+                    out.append((lang, int(bucket), int(node), pack_sorted(code[hit]), pack(ids[hit])))
         return pd.DataFrame(out, columns=["lang", "bucket", "node", "code", "n"])
 
     answers = frequent.groupBy("lang", "bucket").applyInPandas(packed, SENT)
@@ -255,10 +255,20 @@ def looked_up(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at, keys[at] == wanted
 
 
-def _word_states(made: DataFrame, frequent: DataFrame) -> DataFrame:
+def _often(made: DataFrame, least: int) -> DataFrame:
+    """(lang, word, n, chunk, local) of every chunk's words that occur ``least`` times in all chunks.
+
+    One shuffle of a row for each word of a chunk; a word's rows are at most as many as there are chunks.
+    """
+    each = made.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("local", "w"))
+    each = each.select("lang", F.col("w.words").alias("word"), F.col("w.counts").alias("own"), "chunk", "local")
+    whole = F.sum("own").over(Window.partitionBy("lang", "word"))
+    return _written(each.withColumn("n", whole).where(F.col("n") >= least).drop("own"), "words")
+
+
+def _word_states(made: DataFrame, often: DataFrame, ranked: DataFrame) -> DataFrame:
     """STATE rows: where the frequent words of each chunk stand, and their ids."""
-    each = made.select("chunk", "lang", F.posexplode("words").alias("local", "word"))
-    ids = each.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("id"))
+    ids = often.join(ranked.select("lang", "word", "id"), ["lang", "word"]).groupBy("chunk").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("id"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -317,24 +327,24 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     made = _written(chunks(docs, size), "chunks")
     nodes = made.count()
     totals = made.groupBy("lang").agg(F.sum("total").alias("n"))
-    each = made.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word")).agg(F.sum("w.counts").alias("n"))
-    words = placed(each.where(F.col("n") >= least).withColumn("rare", -F.col("n")), "lang", ["rare", "word"]).select("lang", "word", F.col("place").alias("id"), "n")
+    often = _often(made, least)
+    words = placed(often.select("lang", "word", (-F.col("n")).alias("rare")).distinct(), "lang", ["rare", "word"]).select("lang", "word", F.col("place").alias("id"), (-F.col("rare")).alias("n"))
     text = F.col("word").cast("string")
     known = [words.select("lang", "id", text.alias("phrase"), text.alias("last"), F.lit(1).alias("words"), "n")]
-    states = _written(_word_states(made, words), "word-states")
+    states = _written(_word_states(made, often, words), "word-states")
     for k in range(2, longest + 1):
         if (known[-1].agg(F.max("id")).first()[0] or 0) >= 1 << 32:
             raise ValueError("more than 2^32 frequent phrases of a language")
         levels = _totals(_written(_sent(states, buckets), "pairs"), nodes, buckets, fan)
 
-        def often(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def enough(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
                 for lang, bucket, code, n in rows[["lang", "bucket", "code", "n"]].itertuples(index=False):
                     code, n = unpack_sorted(code), unpack(n).astype(np.int64)
                     a, b = pair_of(code := code[n >= least])
                     yield pd.DataFrame({"lang": lang, "bucket": bucket, "code": code.view(np.int64), "a": a.astype(np.int64), "b": b.astype(np.int64), "n": n[n >= least]})
 
-        pairs = levels[-1][0].mapInPandas(often, "lang string, bucket long, code long, a long, b long, n long")
+        pairs = levels[-1][0].mapInPandas(enough, "lang string, bucket long, code long, a long, b long, n long")
         ranked = placed(pairs.withColumn("rare", -F.col("n")), "lang", ["rare", "code"]).withColumn("id", F.col("place"))
         first, second = known[-1].select("lang", F.col("id").alias("a"), "phrase"), known[-1].select("lang", F.col("id").alias("b"), "last")
         longer = ranked.join(first, ["lang", "a"]).join(second, ["lang", "b"])
