@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -97,9 +98,13 @@ def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by:
     return fold_sorted(kept, frame, [target, F.desc(by), F.desc(finding)], lambda: (set(), set()), take, kept.schema)
 
 
-def _cells(objects: DataFrame, grid: int, *keep: str) -> DataFrame:
-    """A row for each grid cell of each object; an object's corners must be in the unit square."""
-    return objects.select("frame", *keep, F.explode(g.cells(F.col("poly"), grid)).alias("cell"))
+def _bit_rows(objects: DataFrame, grid: int, *keep: str) -> DataFrame:
+    """A row for each grid row of each object, its cells as words of bits; an object's corners must be in the unit square."""
+    return objects.select("frame", *keep, F.explode(g.bit_rows(F.col("poly"), grid)).alias("__r")).select("frame", *keep, F.col("__r.y").alias("y"), F.col("__r.words").alias("words"))
+
+
+def _both(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
 
 
 def cell_matches(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
@@ -107,23 +112,43 @@ def cell_matches(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) ->
 
     ``targets`` has frame, obj, category and poly; ``findings`` frame, pred, p_category and poly.
     """
-    t, p = _cells(targets, grid, "obj", "category"), _cells(findings, grid, "pred", "p_category")
-    shared = t.join(p, ["frame", "cell"]).where("category = p_category").groupBy("frame", "obj", "pred").agg(F.count("*").alias("cells"))
-    return sequential_best(shared, "frame", "obj", "pred", "cells")
+    t, p = _bit_rows(targets, grid, "obj", "category"), _bit_rows(findings, grid, "pred", "p_category").withColumnsRenamed({"words": "p_words", "p_category": "category"})
+    met = t.join(p, ["frame", "y", "category"]).select("frame", "obj", "pred", g.bits(_both(F.col("words"), F.col("p_words"))).alias("n"))
+    return sequential_best(met.where("n > 0").groupBy("frame", "obj", "pred").agg(F.sum("n").alias("cells")), "frame", "obj", "pred", "cells")
+
+
+def mask_rows(masks: dict[str, DataFrame], grid: int = g.GRID) -> DataFrame:
+    """(frame, y) and, for each named mask, the union of its objects' cells in that row as words (I4).
+
+    ``masks`` has rows (frame, y, words). Words are or-ed map-side, so a crowded frame sends a row for each grid row.
+    """
+    n, zero = -(-grid // 64), F.lit(0).cast("bigint")
+    each = [rows.select("frame", "y", *((F.get("words", i) if own == name else zero).alias(f"{name}_{i}") for name in masks for i in range(n))) for own, rows in masks.items()]
+    joined = reduce(DataFrame.unionByName, each).groupBy("frame", "y").agg(*(F.bit_or(f"{name}_{i}").alias(f"{name}_{i}") for name in masks for i in range(n)))
+    return joined.select("frame", "y", *(F.array(*(F.col(f"{name}_{i}") for i in range(n))).alias(name) for name in masks))
+
+
+def mask_sets(a: DataFrame, b: DataFrame, grid: int = g.GRID) -> DataFrame:
+    """Per frame, the cells of the union, the intersection and the differences of two masks, each the union of its objects (I4).
+
+    ``a`` and ``b`` have frame and poly.
+    """
+    rows = mask_rows({"a": _bit_rows(a, grid), "b": _bit_rows(b, grid)}, grid)
+    counts = rows.groupBy("frame").agg(*(F.sum(g.bits(F.col(x))).alias(x) for x in ("a", "b")), F.sum(g.bits(_both(F.col("a"), F.col("b")))).alias("both"))
+    return counts.select("frame", (F.col("a") + F.col("b") - F.col("both")).alias("union_cells"), F.col("both").alias("shared_cells"), (F.col("a") - F.col("both")).alias("only_a"), (F.col("b") - F.col("both")).alias("only_b"))
 
 
 def raster_counts(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
     """Per frame: targets, recalled ones, findings, false positives, and the cells of truth, of predictions, covered and in excess.
 
-    Covered is the union of what the matched pairs share. Cells are rows, so a crowded frame is many rows, not one long array.
+    Covered is the union of what the matched pairs share. Cells are bits of grid rows, and no plan has a row for each cell.
     """
     taken = cell_matches(targets, findings, grid)
-    t, p = _cells(targets, grid, "obj"), _cells(findings, grid, "pred")
-    flag = lambda df, at: df.select("frame", "cell", *((F.lit(at == f)).alias(f) for f in ("t", "p", "c")))
-    covered = taken.select("frame", "obj", "pred").join(t, ["frame", "obj"]).join(p, ["frame", "pred", "cell"])
-    cells = flag(t, "t").unionByName(flag(p, "p")).unionByName(flag(covered, "c")).groupBy("frame", "cell").agg(*(F.bool_or(f).alias(f) for f in ("t", "p", "c")))
-    n, is_t, is_p = F.count_if, F.col("t"), F.col("p")
-    counts = cells.groupBy("frame").agg(n(is_t).alias("truth_cells"), n("c").alias("covered_cells"), n(is_p).alias("predicted_cells"), n(is_p & ~is_t).alias("excess_cells"))
+    t, p = _bit_rows(targets, grid, "obj"), _bit_rows(findings, grid, "pred")
+    covered = taken.select("frame", "obj", "pred").join(t, ["frame", "obj"]).join(p.withColumnRenamed("words", "p_words"), ["frame", "pred", "y"]).select("frame", "y", _both(F.col("words"), F.col("p_words")).alias("words"))
+    rows = mask_rows({"t": t, "p": p, "c": covered}, grid)
+    n = lambda words: F.sum(g.bits(words))
+    counts = rows.groupBy("frame").agg(n(F.col("t")).alias("truth_cells"), n(F.col("c")).alias("covered_cells"), n(F.col("p")).alias("predicted_cells"), n(_both(F.col("p"), F.transform("t", F.bitwise_not))).alias("excess_cells"))
     tally = lambda df, name: df.groupBy("frame").agg(F.count("*").alias(name))
     out = tally(targets, "targets").join(tally(findings, "findings"), "frame", "full").join(tally(taken, "recalled"), "frame", "left").join(counts, "frame", "full")
     names = ("targets", "recalled", "truth_cells", "covered_cells", "predicted_cells", "excess_cells", "findings")
@@ -148,7 +173,7 @@ def lane_targets(objects: DataFrame, lane: Column, grid: int = g.GRID) -> DataFr
 
     ``objects`` has frame, obj, poly and protectable.
     """
-    at = objects.where("protectable").withColumns({"__zone": lane == "CONFIGURED_ZONE", "__n": F.size(g.cells(F.col("poly"), grid))})
+    at = objects.where("protectable").withColumns({"__zone": lane == "CONFIGURED_ZONE", "__n": g.cell_count(F.col("poly"), grid)})
     k = F.row_number().over(Window.partitionBy("frame").orderBy(F.desc("__n"), "obj"))
     return at.withColumn("__k", k).where("NOT __zone OR __k = 1").drop("__zone", "__n", "__k")
 

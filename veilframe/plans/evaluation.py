@@ -71,6 +71,11 @@ def f1_raster(spark, sf):
     return e.raster_counts(_targets(spark, sf), _findings(spark, sf), GRID)
 
 
+def i4_masks(spark, sf):
+    """What truth and predictions share and have alone in each frame."""
+    return e.mask_sets(_targets(spark, sf), _findings(spark, sf), GRID)
+
+
 def suite(spark, sf):
     """The report of frames of one category, as the suite asks."""
     targets = e.lane_targets(_targets(spark, sf), F.expr(LANE), GRID)
@@ -245,6 +250,8 @@ ORACLE = {
     "e9_coverage": sql(f"""WITH RECURSIVE q AS (SELECT * FROM (SELECT t.*, p.*, greatest(0, least("right", p_right) - greatest("left", p_left)) * greatest(0, least(bottom, p_bottom) - greatest(top, p_top)) AS inter FROM truth_box t JOIN pred_box p USING (frame)) WHERE inter > 0), {_assigned('q', 'inter DESC, obj, pred')}
         SELECT frame, obj, pred, round(inter / (("right" - "left") * (bottom - top)), 9) AS coverage, round(((p_right - p_left) * (p_bottom - p_top) - inter) / ((p_right - p_left) * (p_bottom - p_top)), 9) AS excess FROM m""", "truth_box", "pred_box"),
     "f1_raster": sql(f"WITH RECURSIVE {_CELLS.format(t='truth_box')}, {_COUNTS.format(t='truth_box')} SELECT * FROM rc", "truth_box", "pred_box"),
+    "i4_masks": sql(f"""WITH RECURSIVE {_CELLS.format(t='truth_box')}, b AS (SELECT frame, cell, bool_or(t) AS t, bool_or(p) AS p FROM (SELECT frame, cell, true AS t, false AS p FROM tc UNION ALL SELECT frame, cell, false, true FROM pc) GROUP BY ALL)
+        SELECT frame, count(*) AS union_cells, count(*) FILTER (t AND p) AS shared_cells, count(*) FILTER (t AND NOT p) AS only_a, count(*) FILTER (p AND NOT t) AS only_b FROM b GROUP BY frame""", "truth_box", "pred_box"),
     "f2_suite": sql(f"""{_SUITE} SELECT *, round(recalled / targets, 9) AS recall, round(covered_cells / truth_cells, 9) AS coverage, round(excess_cells / (frames * 4096), 9) AS excess_share, round(false_positives / findings, 9) AS false_share FROM s""", "truth_box", "pred_box"),
     "f3_category_sets": sql("""WITH f AS (SELECT CASE WHEN frame % 2 = 0 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split, category FROM truth_box WHERE NOT (category = 'CARD' AND frame % 2 = 0))
         SELECT category, split AS missing_split FROM (SELECT DISTINCT category FROM f) CROSS JOIN (SELECT DISTINCT split FROM f) EXCEPT SELECT category, split FROM f""", "truth_box"),
@@ -276,4 +283,4 @@ ORACLE = {
     "f20_zone": sql('SELECT category, min("left") AS "left", min(top) AS top, max("right") AS "right", max(bottom) AS bottom FROM truth_box GROUP BY category', "truth_box"),
     "g7_largest": sql(f"WITH {_TARGET} SELECT frame, obj, category FROM tg", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (f5_slice_totals, e7_overlap_pairs, e8_greedy, e8_mutual_best, e9_coverage, e10_sequential, f1_raster, f2_suite, f3_category_sets, f4_mixed_frames, f6_episodes, f7_summary, f8_totals, f8_objects, f19_acceptance, f9_pixels, f10_gate, f14_expected, f15_exactly_one, f16_recognition, f17_polygon_mean, f18_dispatch, f20_zone, g7_largest)}
+QUERIES = {f.__name__: f for f in (f5_slice_totals, e7_overlap_pairs, e8_greedy, e8_mutual_best, e9_coverage, e10_sequential, f1_raster, i4_masks, f2_suite, f3_category_sets, f4_mixed_frames, f6_episodes, f7_summary, f8_totals, f8_objects, f19_acceptance, f9_pixels, f10_gate, f14_expected, f15_exactly_one, f16_recognition, f17_polygon_mean, f18_dispatch, f20_zone, g7_largest)}
