@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilframe import derive
@@ -10,6 +12,7 @@ from veilframe.functions.geometry import Rect
 from veilframe.plans import evaluation
 from veilframe.plans.views import sql
 from veilframe.shared import scratch
+from veilframe.sources import blocks as b
 from veilframe.sources import corpora as c
 from veilframe.sources import records as r
 
@@ -28,11 +31,25 @@ def _block_lines(spark, sf):
 
 
 def a5_blocks(spark, sf):
-    return c.block_text(_block_lines(spark, sf)).select("filename", "block", "declared", "box", "x", "y", "width", "pose")
+    return b.block_text(_block_lines(spark, sf)).select("filename", "block", "declared", "box", "x", "y", "width", "pose")
+
+
+def _broken_lines(spark, sf):
+    """Files of one order each, written as blocks, with one thing wrong in many of them, by the order's key."""
+    t = derive.truth_box(spark, sf)
+    n = t.groupBy("frame").agg(F.count("*").alias("n"))
+    name = n.selectExpr("frame", "0L AS k", "CASE frame % 16 WHEN 1 THEN '../up.jpg' WHEN 2 THEN '/top.jpg' ELSE concat('d//f', frame, '.jpg') END AS raw")
+    count = n.where("frame % 16 <> 3").selectExpr("frame", "1L AS k", "CASE frame % 16 WHEN 4 THEN 'many' WHEN 5 THEN '-1' WHEN 6 THEN CAST(n + 1 AS STRING) WHEN 7 THEN '0' WHEN 8 THEN '0' ELSE CAST(n AS STRING) END AS raw")
+    rows = t.where("frame % 16 NOT IN (3, 7, 8)").selectExpr("frame", "obj + 1L AS k", "CASE WHEN frame % 16 = 9 AND obj = 2 THEN '1 2 3' WHEN frame % 16 = 10 AND obj = 2 THEN '1 2 3 4 5 6 7 8 9 x' ELSE concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, 1) END AS raw")
+    zeros = n.where("frame % 16 = 8").selectExpr("frame", "2L AS k", "'9 9 9 9 9 9 9 9 9 9' AS raw")
+    twice = n.where("frame % 16 = 11").select("frame", F.explode(F.expr("array(named_struct('k', n + 2, 'raw', ''), named_struct('k', n + 3, 'raw', concat('d/f', frame, '.jpg')), named_struct('k', n + 4, 'raw', '0'), named_struct('k', n + 5, 'raw', '0 0 0 0 0 0 0 0 0 0'))")).alias("x")).select("frame", "x.*")
+    return reduce(DataFrame.unionByName, (name, count, rows, zeros, twice)).selectExpr("CAST(frame AS STRING) AS file", "k AS at", "raw")
 
 
 def a5_block_errors(spark, sf):
-    return c.block_errors(a5_blocks(spark, sf).withColumn("file", F.lit("f")))
+    """Every error of block files: those of the blocks above, and those of files with one thing wrong each."""
+    found = [b.block_errors(b.block_lines(lines)) for lines in (_block_lines(spark, sf), _broken_lines(spark, sf))]
+    return found[0].unionByName(found[1])
 
 
 def a3_findings(spark, sf):
@@ -187,8 +204,20 @@ ORACLE = {
     "a8_jpeg": "SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 11 + 3)::INT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 7 + 1)::INT END AS height FROM part",
     "h4_plan": "SELECT row_number() OVER (ORDER BY path)::INT AS place, path FROM (SELECT 's' || s_nationkey || '/' || s_suppkey || '.png' AS path FROM supplier WHERE s_suppkey <= 13) WHERE (SELECT count(*) FROM supplier WHERE s_suppkey <= 13) = 13",
     "a5_blocks": sql("SELECT 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame * 1000 AS block, count(*) OVER (PARTITION BY frame)::INT AS declared, obj::INT AS box, pk::INT AS x, sk::INT AS y, ln::INT AS width, CASE WHEN obj = 3 THEN NULL ELSE 1 END AS pose FROM truth_box WHERE frame % 89 <> 0", "truth_box"),
-    "a5_block_errors": sql("""WITH b AS (SELECT 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame, bool_or(obj = 3) AS short FROM truth_box WHERE frame % 89 <> 0 GROUP BY frame)
-        SELECT 'f' AS file, filename, 'fields' AS code FROM b WHERE short UNION ALL SELECT 'f', filename, 'duplicate' FROM b GROUP BY filename HAVING count(*) > 1""", "truth_box"),
+    "a5_block_errors": sql("""WITH t AS (SELECT *, count(*) OVER (PARTITION BY frame) AS n, frame % 16 AS m FROM truth_box),
+        b AS (SELECT 'file' || frame // 256 AS file, 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame * 1000 AS "at", frame FROM truth_box WHERE obj = 1),
+        o AS (SELECT frame, obj, n, m, frame::VARCHAR AS file, CASE m WHEN 1 THEN '../up.jpg' WHEN 2 THEN '/top.jpg' ELSE 'd/f' || frame || '.jpg' END AS filename FROM t),
+        f AS (SELECT * FROM o WHERE obj = 1)
+        SELECT 'file' || frame // 256 AS file, 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame * 1000 + obj + 1 AS "at", 'fields' AS code FROM truth_box WHERE obj = 3 AND frame % 89 <> 0
+        UNION ALL SELECT file, filename, "at", 'duplicate' FROM b QUALIFY row_number() OVER (PARTITION BY file, filename ORDER BY "at") > 1
+        UNION ALL SELECT file, filename, 0, 'name' FROM f WHERE m IN (1, 2)
+        UNION ALL SELECT file, filename, 0, 'no_count' FROM f WHERE m = 3
+        UNION ALL SELECT file, filename, 1, CASE m WHEN 4 THEN 'count' ELSE 'negative' END FROM f WHERE m IN (4, 5)
+        UNION ALL SELECT file, filename, n + 1, 'truncated' FROM f WHERE m = 6
+        UNION ALL SELECT file, filename, 1, 'no_placeholder' FROM f WHERE m = 7
+        UNION ALL SELECT file, filename, 2, 'placeholder' FROM f WHERE m = 8
+        UNION ALL SELECT file, filename, obj + 1, CASE m WHEN 9 THEN 'fields' ELSE 'integer' END FROM o WHERE m IN (9, 10) AND obj = 2
+        UNION ALL SELECT file, filename, n + 3, 'duplicate' FROM f WHERE m = 11""", "truth_box"),
     "a3_findings": sql("SELECT frame, ln, count(*) AS n, count(*) FILTER (pk % 9 = 0) AS without FROM truth_box GROUP BY frame, ln HAVING count(*) > 1 OR count(*) FILTER (pk % 9 = 0) > 0", "truth_box"),
     "a9_records": """SELECT p_partkey AS id, '{"a_size":' || p_size || ',"id":' || p_partkey || ',"name":"' || p_name || '"}' AS line FROM part""",
     "a11_markdown": sql("SELECT category, '| ' || category || ' | ' || count(*) FILTER (ln > 3) || '/' || count(*) || ' | 0/0 |' AS line FROM truth_box GROUP BY category", "truth_box"),
