@@ -131,18 +131,6 @@ def test_tracks_keep_ids_and_refuse_late_rows():
     assert [(r[1], r[2], r[7]) for r in out] == [(0, 0, "FRESH"), (0, 1, "FRESH"), (100, 0, "FRESH"), (100, 1, "FRESH"), (50, None, "REJECTED"), (200, 0, "FRESH"), (200, 1, "PREDICTED")]
 
 
-def test_cadence_by_hand():
-    rows = [("s", at, done, thermal, scene, i) for i, (at, done, thermal, scene) in enumerate([(0, 5, "NOMINAL", False), (3, 9, "NOMINAL", False), (6, 8, "NOMINAL", False), (8, 9, "NOMINAL", True), (20, 40, "NOMINAL", False), (30, 31, "SEVERE", False), (41, 42, "WARNING", False), (45, 46, "WARNING", False), (62, 63, "WARNING", False)])]
-    got = [r[2] for r in _run(p.cadence_step(10, 20, 15), {}, rows)]
-    assert got == ["STARTED", "BUSY", "SKIPPED", "STARTED", "LATE", "DISABLED", "STARTED", "SKIPPED", "STARTED"]
-
-
-def test_release_waits_for_configuration_and_key():
-    step = p.release_step(delay_ns=100, most_bytes=50, most_us=10)
-    units = [("s", 0, 0, 5, False, True, 0), ("s", 1, 0, 5, True, False, 1), ("s", 2, 0, 5, False, False, 2), ("s", 3, 1, 5, False, True, 3), ("s", 4, 2, 60, False, False, 4), ("s", 5, 3, 1, False, False, 5)]
-    assert [r[2] for r in _run(step, p.release_start(), units)] == ["AWAITING_CONFIGURATION", "ACCEPTED", "AWAITING_KEY", "ACCEPTED", "OVERFLOW", "STOPPED"]
-
-
 def test_scene_needs_confirmation():
     step = p.scene_step()
     assert [r[2] for r in _run(step, {}, [("s", i, x) for i, x in enumerate([0, -1, -1, -1, -1])])] == ["STABLE", "STABLE", "STABLE", "CHANGED", "STABLE"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.functions import geometry as g
 from veilframe.operators import evaluate as e
 from veilframe.sources import blocks as b
+from veilframe.streaming import timed
 
 
 def _polygons(n, seed):
@@ -113,3 +114,112 @@ def test_block_files_however_they_are_cut(spark):
         assert {f: (sorted(x, key=str), sorted(y)) for f, (x, y) in got.items() if f != "huge"} == {f: (sorted(x, key=str), sorted(y)) for f, (x, y) in wanted.items()}
         assert got["huge"][1] == [(2, "fields"), (2, "truncated")]
     assert b.block_errors(b.block_lines(lines.limit(0))).count() == 0
+
+
+def _outcomes(policy, rows):
+    state, out = policy.start(), []
+    for row in rows:
+        state, made = policy.row(state, row)
+        out += made
+    return [r[1:] for r in out + policy.rest(rows[-1][0], state)]
+
+
+def _frame(at, frame, thermal="NOMINAL", scene=False):
+    return ("s", at, "FRAME", frame, thermal, scene, None)
+
+
+def _done(at, frame, until):
+    return ("s", at, "DONE", frame, None, None, until)
+
+
+def test_schedule_by_hand():
+    lane = timed.schedule(10, 20, 15, 30)
+    # A start, a busy drop, an end, a cadence skip, a start at a changed scene.
+    rows = [_frame(0, 0), _frame(3, 1), _done(5, 0, 9), _frame(6, 2), _frame(8, 3, scene=True), _done(9, 3, 20)]
+    assert _outcomes(lane, rows) == [(0, "STARTED"), (1, "BUSY"), (0, "COMPLETED"), (2, "SKIPPED"), (3, "STARTED"), (3, "COMPLETED")]
+    # A changed scene revokes what runs and starts the next; the revoked result is ignored.
+    rows = [_frame(0, 0), _frame(2, 1, scene=True), _done(3, 0, 9), _done(4, 1, 9)]
+    assert _outcomes(lane, rows) == [(0, "STARTED"), (0, "SCENE_REVOKED"), (1, "STARTED"), (0, "IGNORED"), (1, "COMPLETED")]
+    # Severe heat revokes and disables; a warning makes the interval longer.
+    rows = [_frame(0, 0), _frame(2, 1, "SEVERE"), _frame(4, 2, "SEVERE"), _frame(12, 3, "WARNING"), _frame(20, 4, "WARNING")]
+    assert _outcomes(lane, rows) == [(0, "STARTED"), (0, "HEAT_REVOKED"), (1, "DISABLED"), (2, "DISABLED"), (3, "SKIPPED"), (4, "STARTED")]
+    # Not later than the last frame; results that are stale at the latest frame, too long, or failed.
+    rows = [_frame(5, 0), _frame(5, 1), _frame(4, 2), _frame(9, 3), _done(10, 0, 8), _frame(20, 4), _done(21, 4, 51), _frame(40, 5), _done(41, 5, None)]
+    assert _outcomes(lane, rows) == [(0, "STARTED"), (1, "STALE"), (2, "STALE"), (3, "BUSY"), (0, "INVALID"), (4, "STARTED"), (4, "INVALID"), (5, "STARTED"), (5, "FAILED")]
+    # A mandatory lane past its deadline is revoked and may start at once; scenes and heat do not touch it.
+    face = timed.schedule(10, 20, 15, 30, optional=False)
+    rows = [_frame(0, 0), _frame(14, 1, "SEVERE", True), _frame(15, 2), _done(16, 0, 20), _frame(17, 3, scene=True)]
+    assert _outcomes(face, rows) == [(0, "STARTED"), (1, "BUSY"), (0, "DEADLINE_REVOKED"), (2, "STARTED"), (0, "IGNORED"), (3, "BUSY")]
+
+
+def _unit(arrival, pts, size, unit, kind="media", event=None):
+    return ("s", arrival, pts, size, kind in ("config", "both"), kind in ("key", "both"), unit, event)
+
+
+def test_release_by_hand():
+    # The case of the review: the configuration's bytes are given back when it leaves, so later media fits.
+    policy = timed.release(delay_ns=1000, most_bytes=100, most_us=10)
+    rows = [_unit(0, 0, 5, 0, "key"), _unit(1, 0, 60, 1, "config"), _unit(2, 0, 5, 2), _unit(3, 1, 30, 3, "key"), _unit(5000, 5, 60, 4)]
+    assert _outcomes(policy, rows) == [(0, "AWAITING_CONFIGURATION", None), (1, "ACCEPTED", None), (2, "AWAITING_KEY", None), (3, "ACCEPTED", 2000), (1, "RELEASED", 2000), (3, "RELEASED", 2000), (4, "ACCEPTED", 6000), (4, "RELEASED", 6000)]
+    # A configuration above the bound, and media beyond bytes or span, stop the session; what waited is cleared.
+    assert _outcomes(policy, [_unit(0, 0, 500, 0, "config"), _unit(1, 0, 1, 1)]) == [(0, "OVERFLOW", None), (1, "STOPPED", None)]
+    start = [_unit(0, 0, 10, 0, "config"), _unit(1, 0, 10, 1, "key")]
+    assert _outcomes(policy, [*start, _unit(2, 11, 1, 2)])[2:] == [(0, "CLEARED", None), (1, "CLEARED", None), (2, "OVERFLOW", None)]
+    assert _outcomes(policy, [*start, _unit(2, 1, 81, 2)])[-1] == (2, "OVERFLOW", None)
+    assert _outcomes(policy, [*start, _unit(2, 5, 1, 2), _unit(3, 4, 1, 3)])[-1] == (3, "INVALID_ORDER", None)
+    # Once all has left, the order is checked anew, and so is the span.
+    assert _outcomes(policy, [*start, _unit(9000, 0, 1, 2)])[-2:] == [(2, "ACCEPTED", 1000), (2, "RELEASED", 1000)]
+    # A reconnect drops the queue and waits for a configuration; a new configuration clears; a stop ends it.
+    assert _outcomes(policy, [*start, _unit(2, 0, 0, None, event="RECONNECT"), _unit(3, 1, 1, 2)])[2:] == [(0, "CLEARED", None), (1, "CLEARED", None), (2, "AWAITING_CONFIGURATION", None)]
+    assert _outcomes(policy, [*start, _unit(2, 0, 1, 2, "both")])[2:] == [(0, "CLEARED", None), (1, "CLEARED", None), (2, "ACCEPTED", None)]
+    assert _outcomes(policy, [*start, _unit(2, 0, 0, None, event="STOP"), _unit(3, 0, 1, 3, "config")])[-1] == (3, "STOPPED", None)
+
+
+def _wait(at, kind, frame=None, of=None, ready=True, shield=False, basis="FRESH"):
+    return ("s", at, kind, frame, of, ready, shield, basis)
+
+
+def test_waiting_frames_by_hand():
+    policy = timed.waiting(budget=100, capacity=4)
+    # A decision on the second frame does not let it pass the first; both leave in order, the deadline included.
+    assert _outcomes(policy, [_wait(0, "FRAME", 0), _wait(10, "FRAME", 1), _wait(20, "DECISION", of=10), _wait(100, "DECISION", of=0)]) == [(0, "RELEASED"), (1, "RELEASED")]
+    # None by the deadline: all that wait are shielded, and so is what follows until recovery is verified.
+    rows = [_wait(0, "FRAME", 0), _wait(10, "FRAME", 1), _wait(20, "DECISION", of=10), _wait(101, "FRAME", 2), _wait(102, "VERIFY"), _wait(103, "FRAME", 3), _wait(104, "DECISION", of=103)]
+    assert _outcomes(policy, rows) == [(0, "TIMEOUT_SHIELD"), (1, "TIMEOUT_SHIELD"), (2, "ERROR_SHIELD"), (3, "RELEASED")]
+    # A full queue shields the frame that fills it too.
+    assert _outcomes(policy, [_wait(i, "FRAME", i) for i in range(5)]) == [*((i, "TIMEOUT_SHIELD") for i in range(4)), (4, "ERROR_SHIELD")]
+    # An unsafe basis latches, a safe shield does not; a frame that was not ready is shielded alone; a latch is not hidden by it.
+    rows = [_wait(0, "FRAME", 0), _wait(1, "FRAME", 1, ready=False), _wait(2, "FRAME", 2), _wait(3, "DECISION", of=0, shield=True, basis="CARRIED"), _wait(4, "DECISION", of=1), _wait(5, "DECISION", of=2, shield=True, basis="STALE"), _wait(6, "FRAME", 3, ready=False)]
+    assert _outcomes(policy, rows) == [(0, "CARRIED_SHIELD"), (1, "UNREADY_SHIELD"), (2, "STALE_SHIELD"), (3, "ERROR_SHIELD")]
+    # A fault shields all; a decision may come before its frame; without any further row the deadline still comes.
+    assert _outcomes(policy, [_wait(0, "FRAME", 0), _wait(1, "FAIL"), _wait(2, "FRAME", 1)]) == [(0, "ERROR_SHIELD"), (1, "ERROR_SHIELD")]
+    assert _outcomes(policy, [_wait(0, "DECISION", of=5), _wait(5, "FRAME", 0), _wait(6, "FRAME", 1)]) == [(0, "RELEASED"), (1, "TIMEOUT_SHIELD")]
+
+
+def test_timers_in_a_stream_give_the_rows_of_the_batch(spark, tmp_path):
+    ms, rng = 1_000_000, random.Random(5)
+    rows = []
+    for session in range(4):
+        for i in range(40):
+            at = (1_000_000 + i * 30 + session) * ms
+            rows.append((session, at, "FRAME", i, None, rng.random() < 0.9, None, None))
+            if rng.random() < 0.9:
+                rows.append((session, at + rng.randint(1, 110) * ms, "DECISION", i, at, None, rng.random() < 0.1, rng.choice(["CARRIED", "STALE"])))
+            if rng.random() < 0.2:
+                rows.append((session, at + 7 * ms, "VERIFY", None, None, None, None, None))
+    schema = "session long, at long, kind string, frame long, of long, ready boolean, shield boolean, basis string"
+    out, order, policy = "session long, frame long, outcome string", ["at", "kind", "frame"], timed.waiting(capacity=6)
+    batch = sorted(map(tuple, timed.timed_fold(spark.createDataFrame(rows, schema), "session", order, policy, out).collect()))
+    # Each file's rows in any order, and some rows in the file after theirs: late, but within the watermark.
+    rows.sort(key=lambda r: r[1])
+    for k in range(4):
+        part = [r for i, r in enumerate(rows) if (i + (5 if i % 11 == 0 else 0)) // (len(rows) // 4 + 1) == k]
+        rng.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    far = [(s, 1_060_000 * ms, "VERIFY", None, None, None, None, None) for s in (99,)]
+    spark.createDataFrame(far, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = timed.timed_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "session", order, policy, out, late="2 seconds")
+    query = stream.writeStream.format("memory").queryName("timed_rows").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert sorted(map(tuple, spark.table("timed_rows").collect())) == batch
+    assert {r[2] for r in batch} >= {"RELEASED", "TIMEOUT_SHIELD", "ERROR_SHIELD"}

@@ -9,8 +9,10 @@ from veilframe.operators import evaluate as e
 from veilframe.operators import sessions as s
 from veilframe.plans.views import sql
 from veilframe.streaming import policies as p
+from veilframe.streaming import timed
 from veilframe.streaming.folds import fold_sorted
 from veilframe.streaming.stateful import by_lane
+from veilframe.streaming.timed import timed_fold
 
 DAY = 86_400_000_000_000
 
@@ -149,13 +151,21 @@ def j11_scene(spark, sf):
 
 
 def j12_cadence(spark, sf):
-    rows = _frames(spark, sf).selectExpr("session", "ts_ns AS at", "ts_ns + CAST(value * 864000000000 AS BIGINT) AS done_at", "CASE WHEN value > 490 THEN 'SEVERE' WHEN value > 400 THEN 'WARNING' ELSE 'NOMINAL' END AS thermal", "event_type = 'signup' AS scene", "frame")
-    return fold_sorted(rows, "session", ["at"], dict, p.cadence_step(DAY // 2, DAY, 3 * DAY), "session long, frame long, outcome string")
+    """Frames of an optional lane and the ends of their runs, two streams by time."""
+    f = _frames(spark, sf)
+    heat = "CASE WHEN value > 490 THEN 'SEVERE' WHEN value > 400 THEN 'WARNING' ELSE 'NOMINAL' END AS thermal"
+    frames = f.selectExpr("session", "ts_ns - CAST(event_id % 31 = 0 AS INT) * 864000000000000 AS at", "'FRAME' AS kind", "frame", heat, "event_type = 'signup' AS scene", "CAST(NULL AS BIGINT) AS valid_until")
+    ends = f.selectExpr("session", "ts_ns + CAST(value * 864000000000 AS BIGINT) AS at", "'DONE' AS kind", "frame", "NULL AS thermal", "NULL AS scene", "IF(event_id % 9 = 0, NULL, ts_ns + event_id % 5 * 432000000000000) AS valid_until")
+    return timed_fold(frames.unionByName(ends), "session", ["at", "kind", "frame"], timed.schedule(DAY // 2, DAY, 3 * DAY, 2 * DAY), "session long, frame long, outcome string")
 
 
 def j13_release(spark, sf):
-    rows = _frames(spark, sf).selectExpr("session", "ts_ns AS arrival", "frame * 33000 - CAST(event_id % 97 = 0 AS INT) * 70000 AS pts", "CAST(floor(value * 10) AS BIGINT) AS bytes", "event_type = 'signup' AS is_config", "event_type = 'purchase' AS is_key", "event_id AS unit")
-    return fold_sorted(rows, "session", ["arrival"], p.release_start, p.release_step(), "session long, unit long, outcome string, release_ns long")
+    """A session's units as they are offered, and when each leaves."""
+    rows = _frames(spark, sf).selectExpr(
+        "session", "frame * 40000000 AS arrival", "frame * 33000 - CAST(event_id % 97 = 0 AS INT) * 70000 AS pts", "CAST(floor(value * 10) AS BIGINT) AS bytes", "event_type = 'signup' AS is_config", "event_type = 'purchase' AS is_key", "event_id AS unit",
+        "CASE WHEN event_id % 41 = 0 THEN 'RECONNECT' END AS event",
+    )
+    return timed_fold(rows, "session", ["arrival", "unit"], timed.release(most_bytes=1 << 15), "session long, unit long, outcome string, at long")
 
 
 def j14_publication(spark, sf):
@@ -203,8 +213,14 @@ def l2_lanes(spark, sf):
 
 
 def j16_deadline(spark, sf):
-    rows = _frames(spark, sf).selectExpr("session", "ts_ns AS at", "CASE WHEN event_id % 13 <> 0 THEN ts_ns + event_id % 120 * 1000000 END AS decided", "event_id % 7 <> 0 AS transform_ok", "event_id % 5 = 0 AS verified", "frame")
-    return fold_sorted(rows, "session", ["at"], dict, p.deadline_step(), "session long, frame long, outcome string")
+    """Frames, the decisions on them and verified recoveries, three streams by time."""
+    f = _frames(spark, sf)
+    none = "CAST(NULL AS BIGINT) AS of", "CAST(NULL AS BOOLEAN) AS ready", "CAST(NULL AS BOOLEAN) AS shield", "CAST(NULL AS STRING) AS basis"
+    frames = f.selectExpr("session", "ts_ns AS at", "'FRAME' AS kind", "frame", none[0], "event_id % 7 <> 0 AS ready", *none[2:])
+    decisions = f.where("event_id % 13 <> 0").selectExpr("session", "ts_ns + event_id % 120 * 1000000 AS at", "'DECISION' AS kind", "frame", "ts_ns AS of", none[1], "event_id % 17 = 0 AS shield", "IF(event_id % 17 = 0, 'STALE', 'FRESH') AS basis")
+    verified = f.where("event_id % 5 = 0").selectExpr("session", "ts_ns - 1 AS at", "'VERIFY' AS kind", "frame", *none)
+    rows = frames.unionByName(decisions).unionByName(verified)
+    return timed_fold(rows, "session", ["at", "kind", "frame"], timed.waiting(), "session long, frame long, outcome string")
 
 
 def j21_zones(spark, sf):
@@ -226,9 +242,9 @@ ORACLE = {
     "j15_illegal": sql("""WITH e AS (SELECT session, ts_ns AS "at", CASE event_type WHEN 'click' THEN 'LIVE' WHEN 'view' THEN CASE WHEN value > 250 THEN 'DEGRADED' ELSE 'READY' END WHEN 'purchase' THEN 'SHIELDING' WHEN 'signup' THEN 'STOPPING' ELSE 'FAILED' END AS to_state FROM session_frames),
         l AS (SELECT *, lag(to_state) OVER (PARTITION BY session ORDER BY "at") AS from_state FROM e)
         SELECT session, "at", from_state, to_state FROM l WHERE from_state IS NOT NULL AND NOT (from_state <> to_state AND (to_state IN ('FAILED', 'STOPPING') OR (from_state, to_state) IN (('READY', 'LIVE'), ('LIVE', 'DEGRADED'), ('LIVE', 'SHIELDING'), ('DEGRADED', 'LIVE'), ('DEGRADED', 'SHIELDING'), ('SHIELDING', 'LIVE'))))""", "session_frames"),
-    "j16_deadline": sql("""WITH f AS (SELECT *, event_id % 13 = 0 OR event_id % 120 > 100 AS late, event_id % 5 = 0 AS ver FROM session_frames),
-        c AS (SELECT *, max(CASE WHEN late THEN frame END) OVER w AS l, max(CASE WHEN ver AND NOT late THEN frame END) OVER w AS v FROM f WINDOW w AS (PARTITION BY session ORDER BY frame))
-        SELECT session, frame, CASE WHEN late THEN 'TIMEOUT_SHIELD' WHEN event_id % 7 = 0 THEN 'UNREADY_SHIELD' WHEN l IS NOT NULL AND (v IS NULL OR v < l) THEN 'LATCHED_SHIELD' ELSE 'RELEASED' END AS outcome FROM c""", "session_frames"),
+    "j16_deadline": sql("""WITH f AS (SELECT *, event_id % 13 = 0 OR event_id % 120 > 100 AS late, event_id % 13 <> 0 AND event_id % 17 = 0 AS stale, event_id % 5 = 0 AS ver FROM session_frames),
+        c AS (SELECT *, max(CASE WHEN late OR stale THEN frame END) OVER (PARTITION BY session ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS l, max(CASE WHEN ver THEN frame END) OVER (PARTITION BY session ORDER BY frame) AS v FROM f)
+        SELECT session, frame, CASE WHEN l IS NOT NULL AND (v IS NULL OR l >= v) THEN 'ERROR_SHIELD' WHEN late THEN 'TIMEOUT_SHIELD' WHEN stale THEN 'STALE_SHIELD' WHEN event_id % 7 = 0 THEN 'UNREADY_SHIELD' ELSE 'RELEASED' END AS outcome FROM c""", "session_frames"),
     "j21_zones": sql("""WITH n AS (SELECT session, ts_ns AS "at", CASE WHEN event_id % 2 = 0 THEN frame - frame % 5 END AS m, max(CASE WHEN event_type = 'signup' THEN frame END) OVER (PARTITION BY session ORDER BY frame) AS "current" FROM session_frames)
         SELECT session, "at", "current", m IS DISTINCT FROM "current" AS shield FROM n""", "session_frames"),
 }

@@ -13,25 +13,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 Step = Callable[[Any, tuple], tuple[Any, list[tuple]]]
 
 
-def fold_sorted(rows: DataFrame, key: str, order: list[str | Column], start: Callable[[], Any], step: Step, schema: T.StructType | str) -> DataFrame:
+def fold_sorted(rows: DataFrame, key: str, order: list[str | Column], start: Callable[[], Any], step: Step, schema: T.StructType | str, finish: Callable[[Any, Any], list[tuple]] | None = None) -> DataFrame:
     """``step(state, row)`` over each key's rows in order gives the next state and what comes out.
 
     Rows are dealt by key and sorted there, and pass in batches: a key with many rows needs the memory of its state, not of
     its rows. ``row`` is a tuple in the order of the columns, of Python's own values: whole numbers stay exact, missing values are None.
+    ``finish(key, state)`` gives what comes out behind a key's last row.
     """
     wanted = to_arrow_schema(schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema))
     at = rows.columns.index(key)
 
+    def made_of(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else [()] * len(wanted)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, wanted)], schema=wanted)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = object(), None
+        now, state, begun = object(), None, False
         for batch in batches:
             out: list[tuple] = []
             for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if row[at] != now:
-                    now, state = row[at], start()
+                if not begun or row[at] != now:
+                    out += finish(now, state) if finish and begun else []
+                    now, state, begun = row[at], start(), True
                 state, made = step(state, row)
                 out += made
-            columns = zip(*out) if out else [()] * len(wanted)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, wanted)], schema=wanted)
+            yield made_of(out)
+        if finish and begun:
+            yield made_of(finish(now, state))
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

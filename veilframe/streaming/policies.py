@@ -324,69 +324,6 @@ def scene_step(changed_bits: int = 24, settled_bits: int = 8, confirmations: int
     return step
 
 
-def cadence_step(interval: int, degraded: int, deadline: int, optional: bool = True):
-    """Cadence sampler of one lane (J12). Rows: (session, at, done_at, thermal, scene_changed, frame); out: (session, frame, outcome).
-
-    A frame starts if the interval since the last start has run out, or at a changed scene in an optional lane; while another is in flight it is dropped.
-    """
-
-    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, at, done_at, thermal, scene, frame = row
-        if optional and thermal == "SEVERE":
-            return state, [(session, frame, "DISABLED")]
-        if state.get("busy", -1) > at:
-            return state, [(session, frame, "BUSY")]
-        wait = degraded if thermal == "WARNING" else interval
-        if "started" in state and at - state["started"] < wait and not (scene and optional):
-            return state, [(session, frame, "SKIPPED")]
-        state = {"started": at, "busy": done_at}
-        return state, [(session, frame, "STARTED" if done_at - at <= deadline else "LATE")]
-
-    return step
-
-
-def release_start() -> dict:
-    """State of :func:`release_step`."""
-    return {"state": "CONFIG", "bytes": 0, "first": None, "last": None, "queue": []}
-
-
-def release_step(delay_ns: int = 2_000_000_000, most_bytes: int = 8 << 20, most_us: int = 2_000_000):
-    """Delayed release (J13). Rows: (session, arrival_ns, pts_us, bytes, is_config, is_key, unit); out: (session, unit, outcome, release_ns).
-
-    Units due before an arrival have left the queue by then. Configuration clears the queue and leaves with the first media unit.
-    """
-
-    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, arrival, pts, size, config, key, unit = row
-        if state["state"] == "FAILED":
-            return state, [(session, unit, "STOPPED", None)]
-        while state["queue"] and state["queue"][0][1] <= arrival and state["state"] == "BUFFERING":
-            state["bytes"] -= state["queue"].pop(0)[0]
-            state["first"] = state["queue"][0][2] if state["queue"] else None
-        if state["state"] == "CONFIG" and not config:
-            return state, [(session, unit, "AWAITING_CONFIGURATION", None)]
-        if config:
-            state.update(queue=[], bytes=size, first=None, last=None, state="BUFFERING" if key else "KEY")
-            return state, [(session, unit, "ACCEPTED", None)]
-        if state["state"] == "KEY" and not key:
-            return state, [(session, unit, "AWAITING_KEY", None)]
-        if state["last"] is not None and pts < state["last"]:
-            state["state"] = "FAILED"
-            return state, [(session, unit, "INVALID_ORDER", None)]
-        first = pts if state["first"] is None else state["first"]
-        if state["bytes"] + size > most_bytes or not 0 <= pts - first <= most_us:
-            state["state"] = "FAILED"
-            return state, [(session, unit, "OVERFLOW", None)]
-        release = pts * 1000 + delay_ns
-        state["queue"].append((size, release, pts))
-        state.update(bytes=state["bytes"] + size, first=first, last=pts)
-        if key:
-            state["state"] = "BUFFERING"
-        return state, [(session, unit, "ACCEPTED", release)]
-
-    return step
-
-
 #: The legal steps of a session besides those to FAILED and STOPPING.
 LEGAL = {"SETUP": ("READY",), "READY": ("LIVE",), "LIVE": ("DEGRADED", "SHIELDING"), "DEGRADED": ("LIVE", "SHIELDING"), "SHIELDING": ("LIVE",), "STOPPING": ("ENDED",), "ENDED": (), "FAILED": ()}
 
@@ -475,24 +412,6 @@ def coordinator_step(**limits):
     return step
 
 
-def deadline_step(budget: int = 100_000_000):
-    """Frames that wait for a decision (J16). Rows: (session, at, decided_at or None, transform_ok, verified, frame); out: (session, frame, outcome).
-
-    A decision after the deadline, or none, shields and latches until a frame is verified.
-    """
-
-    def step(state: dict, row: tuple) -> tuple[dict, list[tuple]]:
-        session, at, decided, transform_ok, verified, frame = row
-        latched = state.get("latched", False) and not verified
-        if decided is None or decided - at > budget:
-            return {"latched": True}, [(session, frame, "TIMEOUT_SHIELD")]
-        if not transform_ok:
-            return {"latched": latched}, [(session, frame, "UNREADY_SHIELD")]
-        return {"latched": latched}, [(session, frame, "LATCHED_SHIELD" if latched else "RELEASED")]
-
-    return step
-
-
 #: What a publisher's failure means for a publication.
 PUBLISHER_FAILURES = {"CONNECTION_FAILED": "CONNECT_FAILED", "AUTHENTICATION_FAILED": "AUTHENTICATION_FAILED", "DISCONNECTED": "NETWORK_DISCONNECTED"}
 #: What a queue's refusal means for a publication.
