@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as g
 from veilframe.operators import evaluate as e
+from veilframe.operators import relations as r
+from veilframe.operators import spans
 from veilframe.sources import blocks as b
 from veilframe.streaming import timed
 
@@ -223,3 +225,41 @@ def test_timers_in_a_stream_give_the_rows_of_the_batch(spark, tmp_path):
     query.awaitTermination(300)
     assert sorted(map(tuple, spark.table("timed_rows").collect())) == batch
     assert {r[2] for r in batch} >= {"RELEASED", "TIMEOUT_SHIELD", "ERROR_SHIELD"}
+
+
+def test_watchlist_by_one_pass(spark):
+    rng = random.Random(9)
+    texts = [None, "", "aaaa aa", "de la dela de la", "x" * 300_000 + " ab", "𝒜b ａb 😀ab😀 ab_ _ab", "ﬁab ab"] + ["".join(rng.choices("ab _-😀é", k=rng.randint(0, 60))) for _ in range(120)]
+    terms = sorted({"".join(rng.choices("ab _é-", k=rng.randint(1, 4))).strip() for _ in range(60)} - {""})[:28] + ["de la", "dela", "😀ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    word = lambda c: c == "_" or c.isalnum()
+    normal = {r.doc_id: r.t for r in docs.select("doc_id", spans.nfkc("text")["text"].alias("t")).collect()}
+    for some in (terms[:1], terms):
+        listed = {" ".join(x.split()) for x in some}
+        wanted = []
+        for i, text in normal.items():
+            for term in listed:
+                at = (text or "").find(term)
+                while at >= 0:
+                    end = at + len(term)
+                    if not (word(term[0]) and at and word(text[at - 1])) and not (word(term[-1]) and end < len(text) and word(text[end])):
+                        wanted.append((i, term, end - at))
+                    at = text.find(term, at + 1)
+        frame = spark.createDataFrame([(x,) for x in some], "term string")
+        got = spans.watchlist_spans(docs, "doc_id", "text", frame)
+        assert sorted((r.doc_id, r.term) for r in got.collect()) == sorted((i, term) for i, term, _ in wanted)
+        assert "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_binned_interval_join(spark):
+    rng = random.Random(11)
+    interval = lambda most: (s := rng.randint(-50, 2000), s + rng.choice([0, 1, 5, rng.randint(0, most)]))
+    elements = [(rng.randint(0, 2), i, *interval(900)) for i in range(300)]
+    wanted_spans = [(rng.randint(0, 3), *interval(1500)) for _ in range(150)]
+    wanted_spans += wanted_spans[:5]
+    got = r.span_elements(spark.createDataFrame(elements, "k int, element int, start long, end long"), spark.createDataFrame(wanted_spans, "k int, start long, end long"), "k", width=64)
+    wanted = []
+    for k, a, z in wanted_spans:
+        hits = [(k, a, z, e) for own, e, s, t in elements if own == k and s < z and t > a]
+        wanted += hits or [(k, a, z, None)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(wanted, key=str)

@@ -116,11 +116,23 @@ def decision_lookup(frames: DataFrame, decisions: DataFrame, forgotten: DataFram
     return joined.select("session", "ts_ns", F.coalesce(reason, F.lit("OK")).alias("lookup"), F.when(reason.isNull(), F.col("status")).otherwise("FULL_SHIELD").alias("status"))
 
 
-def span_elements(elements: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Elements that a half-open span overlaps, and spans without one (element null), which are errors."""
-    e, s = elements.alias("e"), spans.alias("s")
-    on = (F.col(f"e.{key}") == F.col(f"s.{key}")) & (F.col("e.start") < F.col("s.end")) & (F.col("e.end") > F.col("s.start"))
-    return s.join(e, on, "left").select(F.col(f"s.{key}").alias(key), F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("e.element").alias("element"))
+def span_elements(elements: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+    """Elements that a half-open span overlaps, and spans without one (element null), which are errors.
+
+    Intervals are cut at multiples of ``width`` and meet by (key, bin), so a key with very many elements and spans is spread, and no two
+    meet that are far apart. A pair that shares several bins is taken from the first.
+    """
+
+    def binned(rows: DataFrame) -> DataFrame:
+        at = lambda c: F.floor(c / width)
+        first, last = at(F.col("start")), at(F.greatest(F.col("end") - 1, F.col("start")))
+        return rows.select("*", first.alias("first"), F.explode(F.sequence(first, last)).alias("bin"))
+
+    e = binned(elements.select(key, "element", "start", "end")).select(key, "bin", "element", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("first").alias("e_first"))
+    met = binned(spans.select(key, "start", "end")).join(e, [key, "bin"])
+    hits = met.where((F.col("bin") == F.greatest("first", "e_first")) & (F.col("e_start") < F.col("end")) & (F.col("e_end") > F.col("start"))).select(key, "start", "end", "element")
+    missed = spans.select(key, "start", "end").join(hits, [key, "start", "end"], "left_anti")
+    return hits.unionByName(missed.withColumn("element", F.lit(None).cast(elements.schema["element"].dataType)))
 
 
 def track_candidates(tracks: DataFrame, seen: DataFrame, key: str, least_iou: float = 0.10, most_scale: float = 2.0, most_distance: float = 0.30) -> DataFrame:

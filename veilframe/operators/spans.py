@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -131,34 +133,58 @@ def in_source(found: Column, n: Column) -> Column:
     return F.transform(found, ends)
 
 
+def _listed(terms: DataFrame) -> list[str]:
+    """The different terms in the form of D1; more than MOST_TERMS are refused, so the list is a literal of bounded size."""
+    found = [r[0] for r in terms.select(nfkc("term")["text"].alias("term")).where("term <> ''").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"At most {MOST_TERMS} watchlist terms are supported")
+    return sorted(found)
+
+
+def _is_word(ch: str) -> bool:
+    return ch == "_" or unicodedata.category(ch)[0] in "LN"
+
+
+def occurrences(terms: list[str]) -> Callable[[Column], Column]:
+    """A function of a text: all places of all terms, overlapping ones too, as (category: the term, start, end), by one pass of an automaton.
+
+    A term counts where no word character stands before or behind it if its own edge is one. The automaton of goto and failure links is made
+    once per task from the literal list; a text takes a time that does not grow with the number of terms.
+    """
+
+    @F.pandas_udf("array<struct<category:string,start:int,end:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = ahocorasick.Automaton()
+        for term in terms:
+            automaton.add_word(term, (term, _is_word(term[0]), _is_word(term[-1])))
+        automaton.make_automaton()
+
+        def found(text: str | None) -> list[dict] | None:
+            if text is None or not terms:
+                return None if text is None else []
+            out = []
+            for last, (term, from_word, to_word) in automaton.iter(text):
+                start, end = last + 1 - len(term), last + 1
+                if not (from_word and start and _is_word(text[start - 1])) and not (to_word and end < len(text) and _is_word(text[end])):
+                    out.append({"category": term, "start": start, "end": end})
+            return out
+
+        for texts in batches:
+            yield texts.map(found)
+
+    return run
+
+
 def watchlist_spans(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
     """Every occurrence of every term, overlapping ones too, with a word boundary where the term's edge is a word character.
 
-    ``terms`` has term; more than MOST_TERMS fail the query, so they travel as a broadcast. Both sides are matched in the form of
-    D1, and spans are places in the source. Positions come from one regular-expression free pass: a term's occurrences are the
-    places where a cut of the text equals it.
+    ``terms`` has term; more than MOST_TERMS are refused. Both sides are matched in the form of D1, and spans are places in the source.
+    A text is read once for all terms, and nothing is joined.
     """
-    listed = terms.select(nfkc("term")["text"].alias("term")).distinct().limit(MOST_TERMS + 1).agg(F.collect_list("term").alias("ts"))
-    refused = F.raise_error(F.lit(f"At most {MOST_TERMS} watchlist terms are supported"))
-    small = F.broadcast(listed.select(F.explode(F.when(F.size("ts") <= MOST_TERMS, F.col("ts")).otherwise(refused.cast("array<string>"))).alias("term")))
     normal = docs.select(key, nfkc(text).alias("__n"))
-    pairs = normal.join(small, F.contains(F.col("__n.text"), F.col("term")))
-    whole, n = F.col("__n.text"), F.length("term")
-    parts = F.split(whole, F.concat(F.lit("(?="), F.regexp_replace("term", r"([\\\[\](){}.*+?^$|])", r"\\$1"), F.lit(")")), -1)
-    word = lambda c: c.rlike(r"^[\p{L}\p{N}_]$")
-    from_word, to_word = word(F.substring("term", 1, 1)), word(F.substring("term", -1, 1))
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("before"), F.array().cast("array<int>").alias("starts"))
-
-    def step(acc: Column, part: Column) -> Column:
-        opens = F.startswith(part, F.substring("term", 1, 1)) & ~(from_word & word(acc["before"]))
-        starts = F.when(opens, F.concat(acc["starts"], F.array(acc["at"]))).otherwise(acc["starts"])
-        return F.struct((acc["at"] + F.length(part)).alias("at"), F.coalesce(F.substring(part, -1, 1), acc["before"]).alias("before"), starts.alias("starts"))
-
-    starts = F.aggregate(parts, begin, step, lambda acc: acc["starts"])
-    whole_term = lambda s: (F.substring(whole, s + 1, n) == F.col("term")) & ~(to_word & word(F.substring(whole, s + n + 1, F.lit(1))))
-    found = F.transform(F.filter(starts, whole_term), lambda s: F.struct(F.lit("WATCHLIST_MATCH").alias("category"), s.alias("start"), (s + n).alias("end")))
-    spans = pairs.select(key, "term", F.explode(in_source(found, F.col("__n"))).alias("s"))
-    return spans.select(key, "term", F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
+    found = in_source(occurrences(_listed(terms))(F.col("__n.text")), F.col("__n"))
+    spans = normal.select(key, F.explode(found).alias("s"))
+    return spans.select(key, F.col("s.category").alias("term"), F.col("s.start").cast("long").alias("start"), F.col("s.end").cast("long").alias("end"))
 
 
 def private_spans(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
@@ -175,12 +201,14 @@ def refused_texts(docs: DataFrame, key: str, text: str, terms: DataFrame) -> Dat
 
 
 def _all(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
-    """(key, found, refusal): a document's spans in order."""
-    listed = watchlist_spans(docs, key, text, terms).groupBy(key).agg(F.collect_list(F.struct(F.lit("WATCHLIST_MATCH").alias("category"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("__listed"))
-    own = docs.select(key, F.col(text).alias("__text"), nfkc(text).alias("__n"))
-    structured = in_source(t.structured_spans(F.col("__n.text")), F.col("__n"))
+    """(key, found, refusal): a document's spans in order, from one pass over its normal form; nothing is shuffled."""
+    n = F.col("__n")
+    normal = docs.select(key, F.col(text).alias("__text"), nfkc(text).alias("__n"))
+    matched = normal.select(key, "__text", "__n", occurrences(_listed(terms))(n["text"]).alias("__listed"))
+    named = F.transform("__listed", lambda s: F.struct(F.lit("WATCHLIST_MATCH").alias("category"), s["start"].alias("start"), s["end"].alias("end")))
     none = F.array().cast("array<struct<category:string,start:int,end:int>>")
-    both = own.join(listed, key, "left").select(key, "__text", F.concat(F.coalesce(structured, none), F.coalesce("__listed", none)).alias("__found"))
+    found = F.concat(*(F.coalesce(in_source(x, n), none) for x in (t.structured_spans(n["text"]), named)))
+    both = matched.select(key, "__text", found.alias("__found"))
     return both.select(key, t.in_order(F.col("__found")).alias("found"), t.span_refusal(F.col("__text"), F.col("__found")).alias("refusal"))
 
 
