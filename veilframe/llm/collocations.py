@@ -19,7 +19,7 @@ chunk closes at ``CHUNK`` bytes; one longer text makes one longer chunk. Ids mus
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from veilframe.llm.ordinals import placed
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Ids a side of a tile; head tiles that may be dense; cells for each occurrence up to which a tile is counted densely.
 SIDE_BITS, HEAD, SPARE = 8, 16, 16
-CHUNK, PART, FAN = 16 << 20, 4 << 20, 256
+CHUNK, PART, FAN = 16 << 20, 4 << 20, 1024
 #: Ends of pieces become a byte that UTF-8 never has; tabs become spaces.
 _GAP = b"\xff"
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c for c in range(256))
@@ -43,15 +43,25 @@ SENT = "lang string, bucket long, node long, code binary, n binary"
 STATE = "chunk long, lang string, at binary, ids binary"
 
 
+@cache
+def _packer() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)  # one a worker: to make one takes longer than most rows
+
+
+@cache
+def _unpacker() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
 def pack(values: np.ndarray) -> bytes:
     """Whole numbers as compressed byte planes."""
     values = np.ascontiguousarray(values, dtype="<u8")
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
+    return _packer().compress(values.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
     """What :func:`pack` packed."""
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    planes = np.frombuffer(_unpacker().decompress(data), dtype=np.uint8).reshape(8, -1)
     return np.ascontiguousarray(planes.T).view("<u8").reshape(-1)
 
 
