@@ -5,6 +5,7 @@ Spans are arrays of struct<category, start, end>, in code points, end exclusive;
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 from functools import cache
@@ -22,14 +23,13 @@ CODE_BEFORE = r"(?:verification(?: code)?|verify|otp|one[ -]?time(?: code| passw
 CODE_AFTER = r"(?:is )?(?:your )?(?:verification code|otp|one[ -]?time code|passcode|security code)\b"
 CODE_GAP = r"[ :#=\-]{0,12}"
 
-#: No letter, digit or mark of an address may touch one.
-_EDGE = r"[\p{L}\p{N}._%+-]"
-#: A label of a domain: at most 63 letters, digits and inner hyphens, in ASCII.
-_LABEL = r"[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?"
-_EMAIL = rf"(?iu)(?<!{_EDGE})[\p{{L}}\p{{N}}.!#$%&'*+/=?^_`{{|}}~-]{{1,64}}@{_LABEL}(?:\.{_LABEL})+(?!{_EDGE})"
-#: Thirteen to nineteen digits, with one space or hyphen between two of them at most.
-_CARD = r"(?<!\p{Nd})\p{Nd}(?:[ -]?\p{Nd}){12,18}(?!\p{Nd})"
-_CODE = r"(?<!\p{Nd})\p{Nd}{4,8}(?!\p{Nd})"
+# The marks of a local part besides letters and digits, and the most characters of its parts.
+LOCAL_MARKS, MOST_LOCAL, MOST_DOMAIN, MOST_LABEL = ".!#$%&'*+/=?^_`{|}~-", 64, 253, 63
+# The digits of a card number and of a one-time code.
+CARD_DIGITS, CODE_DIGITS = (13, 19), (4, 8)
+
+#: What a local part is made of, and what may not stand right before or behind an address.
+_LOCAL, _TOUCHING = r"\p{L}\p{N}" + re.sub(r"([^\w])", r"\\\1", LOCAL_MARKS), r"\p{L}\p{N}._%+\-"
 #: North American numbers; other numbering plans are outside this subset.
 _PHONE = r"(?<!\d)(?:\+1[ -]?)?\(?[2-9]\d{2}\)?[ -]\d{3}-\d{4}(?!\d)"
 _OPEN, _CLOSE = "\x01", "\x02"
@@ -58,15 +58,51 @@ def _cut(text: Column, s: Column) -> Column:
     return F.substring(text, s["start"] + 1, s["end"] - s["start"])
 
 
-def email_spans(text: Column) -> Column:
-    """Addresses, strictly: no dot first, last or twice in the local part, a domain of at most 253, a last label of 2 to 63 letters."""
+_SPAN = "struct<category:string,start:int,end:int>"
+
+
+def _is_domain(run: Column, behind: Column) -> Column:
+    """Two labels or more, each of 1 to 63 letters, digits and inner hyphens; ``behind`` is the character after the run."""
+    labels = F.split(run, r"\.", -1)
+    fits = F.forall(labels, lambda x: F.length(x).between(1, MOST_LABEL) & ~x.startswith("-") & ~x.endswith("-"))
+    return (F.size(labels) >= 2) & fits & ~behind.rlike(f"[{_TOUCHING}]")
+
+
+def _is_strict(local: Column, domain: Column) -> Column:
+    """No dot first, last or twice in the local part, a domain of at most 253, a last label of 2 to 63 letters."""
+    dots = local.startswith(".") | local.endswith(".") | F.contains(local, F.lit(".."))
+    return ~dots & (F.length(domain) <= MOST_DOMAIN) & F.substring_index(domain, ".", -1).rlike(rf"^[A-Za-z]{{2,{MOST_LABEL}}}$")
+
 
-    def strict(s: Column) -> Column:
-        address = _cut(text, s)
-        local, domain = F.substring_index(address, "@", 1), F.substring_index(address, "@", -1)
-        return ~local.rlike(r"^\.|\.$|\.\.") & (F.length(domain) <= 253) & F.substring_index(domain, ".", -1).rlike(r"^[A-Za-z]{2,63}$")
+def email_spans(text: Column) -> Column:
+    """Addresses, strictly: no dot first, last or twice in the local part, a domain of at most 253, a last label of 2 to 63 letters.
 
-    return F.filter(spans(text, _EMAIL, "EMAIL"), strict)
+    The text is cut at its @ signs. The local part is the longest end of the piece before one, of at most 64 characters, and the domain
+    the run of letters, digits, dots and hyphens behind it; an address ends before the next begins.
+    """
+    pieces = F.split(F.coalesce(text, F.lit("")), "@", -1)
+    # at: where the piece of the state begins; free: how far its characters belong to the address before.
+    first = F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.lit("").alias("piece"), F.lit(True).alias("first"), F.array().cast(f"array<{_SPAN}>").alias("found"))
+    longest = rf"[{_LOCAL}]{{1,{MOST_LOCAL}}}\z"
+
+    def step(acc: Column, piece: Column) -> Column:
+        before, n = acc["piece"], F.length(acc["piece"])
+        begin = F.greatest(acc["free"], n - MOST_LOCAL)
+        # Behind other characters, one of them is looked at but not taken.
+        inner = F.regexp_extract(F.right(before, n - begin + 1), rf"(?<=[^{_TOUCHING}]){longest}", 0)
+        local = F.when(begin > 0, inner).otherwise(F.regexp_extract(before, rf"(?<![{_TOUCHING}]){longest}", 0))
+        parts = F.struct(local.alias("local"), F.regexp_extract(piece, r"^[A-Za-z0-9.\-]+", 0).alias("domain"))
+        return let(parts, lambda c: added(acc, piece, n, c["local"], c["domain"]))
+
+    def added(acc: Column, piece: Column, n: Column, local: Column, domain: Column) -> Column:
+        start, behind = acc["at"] + n, F.substring(piece, F.length(domain) + 1, 1)
+        loose = ~acc["first"] & (F.length(local) > 0) & _is_domain(domain, behind)
+        one = F.array(F.struct(F.lit("EMAIL").alias("category"), (start - F.length(local)).alias("start"), (start + 1 + F.length(domain)).alias("end")))
+        found = F.when(loose & _is_strict(local, domain), F.concat(acc["found"], one)).otherwise(acc["found"])
+        at = F.when(acc["first"], 0).otherwise(start + 1)
+        return F.struct(at.alias("at"), F.when(loose, F.length(domain)).otherwise(0).alias("free"), piece.alias("piece"), F.lit(False).alias("first"), found.alias("found"))
+
+    return F.aggregate(pieces, first, step, lambda acc: acc["found"])
 
 
 @cache
@@ -88,9 +124,59 @@ def passes_luhn(number: Column) -> Column:
     return let(digits, total)
 
 
+def digit_runs(text: Column) -> Column:
+    """Maximal runs of digits: (start, end, digits, follows), where ``follows`` says that one space or hyphen alone parts it from the run before."""
+    clean = F.translate(F.coalesce(text, F.lit("")), _OPEN + _CLOSE, "  ")
+    parts = F.split(F.regexp_replace(clean, r"\p{Nd}+", f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    kind = "struct<start:int,end:int,digits:string,follows:boolean>"
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"), F.lit(False).alias("inside"), F.lit(False).alias("follows"))
+
+    def step(acc: Column, part: Column) -> Column:
+        end = acc["at"] + F.length(part)
+        one = F.struct(acc["at"].alias("start"), end.alias("end"), part.alias("digits"), acc["follows"].alias("follows"))
+        found = F.when(acc["inside"], F.concat(acc["found"], F.array(one))).otherwise(acc["found"])
+        return F.struct(end.alias("at"), found.alias("found"), (~acc["inside"]).alias("inside"), (~acc["inside"] & part.isin(" ", "-") & (F.size(acc["found"]) > 0)).alias("follows"))
+
+    return F.aggregate(parts, start, step, lambda acc: acc["found"])
+
+
 def card_spans(text: Column) -> Column:
-    """Thirteen to nineteen digits, singly spaced or hyphened, that pass Luhn (D3)."""
-    return F.filter(spans(text, _CARD, "PAYMENT_CARD"), lambda s: passes_luhn(_cut(text, s)))
+    """Thirteen to nineteen digits, singly spaced or hyphened, that pass Luhn (D3).
+
+    From each free run of digits on, the most runs that make up so many digits are one number; it is used up whether or not it passes.
+    """
+    least, most = CARD_DIGITS
+
+    def numbers(runs: Column) -> Column:
+        kind = f"struct<free:int,found:array<{_SPAN}>>"
+        none = F.struct(F.lit(0).alias("free"), F.array().cast(f"array<{_SPAN}>").alias("found")).cast(kind)
+
+        def reach(i: Column) -> Column:
+            """The digits and the end of the longest number that begins at run i."""
+            begin = F.struct(F.lit(0).alias("n"), F.lit("").alias("digits"), F.lit(True).alias("on"), F.lit("").alias("best"), F.lit(0).alias("end"))
+
+            def join(acc: Column, r: Column) -> Column:
+                n = acc["n"] + F.length(r["digits"])
+                on = acc["on"] & ((acc["n"] == 0) | r["follows"]) & (n <= most)
+                digits = F.concat(acc["digits"], r["digits"])
+                whole = on & (n >= least)
+                return F.when(on, F.struct(n.alias("n"), digits.alias("digits"), on.alias("on"), F.when(whole, digits).otherwise(acc["best"]).alias("best"), F.when(whole, r["end"]).otherwise(acc["end"]).alias("end"))).otherwise(F.struct(acc["n"].alias("n"), acc["digits"].alias("digits"), F.lit(False).alias("on"), acc["best"].alias("best"), acc["end"].alias("end")))
+
+            return F.aggregate(F.slice(runs, i + 1, most), begin, join)
+
+        def step(acc: Column, i: Column) -> Column:
+            run = F.get(runs, i)
+
+            def used(best: Column) -> Column:
+                one = F.array(F.struct(F.lit("PAYMENT_CARD").alias("category"), run["start"].alias("start"), best["end"].alias("end")))
+                found = F.when(passes_luhn(best["best"]), F.concat(acc["found"], one)).otherwise(acc["found"])
+                return F.when(best["end"] > 0, F.struct(best["end"].alias("free"), found.alias("found")).cast(kind)).otherwise(acc)
+
+            return F.when(run["start"] >= acc["free"], let(reach(i), used)).otherwise(acc)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(runs) - 1), none, step, lambda acc: acc["found"])
+
+    return let(digit_runs(text), lambda runs: F.when(F.size(runs) == 0, F.array().cast(f"array<{_SPAN}>")).otherwise(numbers(runs)))
 
 
 def phone_spans(text: Column) -> Column:
@@ -106,7 +192,7 @@ def code_spans(text: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - 63), F.least(s["start"], F.lit(64)))
         return F.rlike(before, behind) | F.rlike(F.substring(text, s["end"] + 1, F.lit(48)), ahead)
 
-    return F.filter(spans(text, _CODE, "ONE_TIME_CODE"), announced)
+    return F.filter(spans(text, r"\p{Nd}+", "ONE_TIME_CODE"), lambda s: (s["end"] - s["start"]).between(*CODE_DIGITS) & announced(s))
 
 
 def structured_spans(text: Column) -> Column:
