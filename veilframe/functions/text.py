@@ -8,10 +8,13 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.functions.geometry import let
 
@@ -180,7 +183,7 @@ def card_spans(text: Column) -> Column:
 
 
 def phone_spans(text: Column) -> Column:
-    """North American telephone numbers (the stated subset of D4)."""
+    """North American telephone numbers; :mod:`veilframe.functions.phones` has those of more plans."""
     return spans(text, _PHONE, "PHONE")
 
 
@@ -195,9 +198,9 @@ def code_spans(text: Column) -> Column:
     return F.filter(spans(text, r"\p{Nd}+", "ONE_TIME_CODE"), lambda s: (s["end"] - s["start"]).between(*CODE_DIGITS) & announced(s))
 
 
-def structured_spans(text: Column) -> Column:
-    """The spans of D2 to D5 one after the other, at any length of the text."""
-    return F.concat(email_spans(text), card_spans(text), phone_spans(text), code_spans(text))
+def structured_spans(text: Column, phones: Callable[[Column], Column] = phone_spans) -> Column:
+    """The spans of D2 to D5 one after the other, at any length of the text; ``phones`` may be those of more numbering plans."""
+    return F.concat(email_spans(text), card_spans(text), phones(text), code_spans(text))
 
 
 def in_order(found: Column) -> Column:
@@ -235,9 +238,16 @@ def edit_distance(a: Column, b: Column) -> Column:
     return F.when((F.length(a) == 0) & (F.length(b) == 0), 0.0).otherwise(F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b)))
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
+
+
 def diagnostic(text: Column) -> Column:
-    """Upper case, single spaces, none at the ends."""
-    return F.trim(F.regexp_replace(F.upper(text), r"\s+", " "))
+    """NFKC, upper case, single spaces, none at the ends (D13). Texts in ASCII stay in the JVM; null stays null."""
+    ascii_only = text.rlike(r"\A\p{ASCII}*\z")
+    plain = F.when(ascii_only, text).otherwise(_compatible(F.when(~ascii_only, text)))
+    return F.trim(F.regexp_replace(F.upper(plain), r"(?U)\s+", " "))
 
 
 def selection_hash(seed: str, name: Column) -> Column:

@@ -13,8 +13,12 @@ from pyspark.sql import types as T
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
 from veilframe.operators.relations import meeting, nearest_monotonic
+from veilframe.shared import cut
 from veilframe.streaming.folds import fold_sorted
 
+#: A frame that may have more pairs than this is matched by rounds over many tasks.
+MOST_PAIRS = 1 << 20
+
 
 def slice_labels(small: Column, blurred: Column, occluded: Column, difficult: Column) -> Column:
     """The slices that an object is in, or the baseline."""
@@ -23,6 +27,27 @@ def slice_labels(small: Column, blurred: Column, occluded: Column, difficult: Co
     return F.when(F.size(labels) == 0, F.array(F.lit("baseline"))).otherwise(labels)
 
 
+# Sides of at most so many pixels are small; levels of blur and occlusion from which they are heavy.
+SMALL_SIDE, HEAVY_BLUR, HEAVY_OCCLUSION = 20, 2, 2
+
+
+def slice_flags(width: Column, height: Column, blur: Column, occlusion: Column, illumination: Column, pose: Column) -> tuple[Column, Column, Column, Column]:
+    """An annotated object's small, heavy_blur, heavy_occlusion and difficult_capture flags for :func:`slice_labels`; unknown is false."""
+    known = lambda c: F.coalesce(c, F.lit(False))
+    small = known(width <= SMALL_SIDE) | known(height <= SMALL_SIDE)
+    return small, known(blur == HEAVY_BLUR), known(occlusion == HEAVY_OCCLUSION), known(illumination > 0) | known(pose > 0)
+
+
+def image_slices(objects: DataFrame, image: str) -> DataFrame:
+    """(image, slice): every slice that an object of the image is in, or the baseline.
+
+    ``objects`` has width, height, blur, occlusion, illumination and pose; one aggregation by image, with partial results map-side.
+    """
+    flags = slice_flags(*(F.col(c) for c in ("width", "height", "blur", "occlusion", "illumination", "pose")))
+    each = objects.groupBy(image).agg(*(F.bool_or(f).alias(f"__{i}") for i, f in enumerate(flags)))
+    return each.select(image, F.explode(slice_labels(*(F.col(f"__{i}") for i in range(4)))).alias("slice"))
+
+
 def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, padding: float = 0.25) -> DataFrame:
     """Pairs in one frame whose overlap is enough or whose padded prediction holds the truth."""
     t, p = Rect.of(), Rect.of("p_")
@@ -48,6 +73,43 @@ def greedy_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str, *
     return fold_sorted(kept, frame, [F.desc(by), truth, pred], lambda: (set(), set()), take, kept.schema)
 
 
+def dominant_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str, *more: str, least_share: float = 0.2) -> DataFrame:
+    """The rows of :func:`greedy_pairs` by rounds that spread a frame over tasks.
+
+    A pair that is the best of its truth and of its prediction is one that the greedy order takes, as nothing before it can use either.
+    A round takes all of these and drops what they use; it aggregates by (frame, truth) and (frame, prediction), with partial results
+    map-side. Where a round uses up less than ``least_share`` of what is left, as with long rows of ties, the fold takes the rest in order;
+    it holds a frame's used numbers and none of its pairs. So the rounds grow with the logarithm of the pairs.
+    """
+    kept = pairs.select(frame, truth, pred, by, *more)
+    order = F.struct((-F.col(by)).alias("__by"), truth, pred, by, *more)
+    left = cut(kept)
+    size, taken = left.count(), []
+    while size:
+        of_truth = left.groupBy(frame, truth).agg(F.min(order).alias("__b")).select(frame, *(F.col(f"__b.{c}").alias(c) for c in (truth, pred, by, *more)))
+        of_pred = left.groupBy(frame, pred).agg(F.min(order).alias("__b")).select(frame, F.col(f"__b.{truth}").alias(truth), pred)
+        best = cut(of_truth.join(of_pred, [frame, truth, pred], "left_semi"))
+        taken.append(best)
+        left = cut(left.join(best.select(frame, truth), [frame, truth], "left_anti").join(best.select(frame, pred), [frame, pred], "left_anti"))
+        before, size = size, left.count()
+        if size > (1 - least_share) * before:
+            return reduce(DataFrame.unionByName, taken, greedy_pairs(left, frame, truth, pred, by, *more))
+    return reduce(DataFrame.unionByName, taken) if taken else left
+
+
+def one_to_one(truth: DataFrame, preds: DataFrame, pairs: DataFrame, by: str, *more: str, most: int = MOST_PAIRS) -> DataFrame:
+    """Greedy pairs of boxes: frames that may have more than ``most`` pairs go by rounds, all others by the fold, with equal rows.
+
+    How many pairs a frame may have is told by its boxes, which takes one aggregation and no pairs.
+    """
+    boxes = truth.select("frame", F.lit(1).alias("t"), F.lit(0).alias("p")).unionAll(preds.select("frame", F.lit(0), F.lit(1)))
+    crowded = cut(boxes.groupBy("frame").agg(F.sum("t").alias("t"), F.sum("p").alias("p")).where(F.col("t") * F.col("p") > most).select("frame"))
+    names = ("frame", "obj", "pred", by, *more)
+    if crowded.isEmpty():
+        return greedy_pairs(pairs, *names)
+    return greedy_pairs(pairs.join(crowded, "frame", "left_anti"), *names).unionByName(dominant_pairs(pairs.join(crowded, "frame", "left_semi"), *names))
+
+
 def mutual_best(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -> DataFrame:
     """The first round of :func:`greedy_pairs` in plain DataFrame form: pairs that are best for both sides."""
     order = [F.desc(by), truth, pred]
@@ -64,7 +126,7 @@ def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
     An image is in every slice that one of its objects is in; contained counts matched pairs alone; a prediction without a
     match is a false positive. Images with predictions alone count as baseline.
     """
-    matched = greedy_pairs(overlap_pairs(truth, preds), "frame", "obj", "pred", "iou", "contained")
+    matched = one_to_one(truth, preds, overlap_pairs(truth, preds), "iou", "contained")
     hits = matched.groupBy("frame").agg(F.count("*").alias("matched"), F.count_if("contained").alias("contained"), F.sum("iou").alias("iou_sum"))
     flags = ("is_small", "is_blurred", "is_occluded", "is_difficult")
     images = truth.groupBy("frame").agg(F.count("*").alias("objects"), *(F.bool_or(c).alias(c) for c in flags))
@@ -79,7 +141,7 @@ def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs by intersection area, with the share of truth covered and of prediction in excess."""
     t, p = Rect.of(), Rect.of("p_")
     both = meeting(truth, preds, "frame", t, p).withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
-    best = greedy_pairs(both, "frame", "obj", "pred", "inter", "t_area", "p_area")
+    best = one_to_one(truth, preds, both, "inter", "t_area", "p_area")
     return best.select("frame", "obj", "pred", (F.col("inter") / F.col("t_area")).alias("coverage"), ((F.col("p_area") - F.col("inter")) / F.col("p_area")).alias("excess"))
 
 
@@ -337,7 +399,9 @@ def largest_object(objects: DataFrame, size: Column, frame: str = "frame", posit
 def plugged(frames: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str) -> DataFrame:
     """A user's detector over batches of frames (L1): rows of a fixed schema; an error becomes a row with a failure.
 
-    ``schema`` names the frame's key columns first and ends with ``failure string``.
+    A batch that fails is halved until single frames fail, so what fails does not depend on how rows fall into batches; of n frames
+    with k faults about k * log2(n) parts are tried again. ``schema`` names the frame's key columns first and ends with
+    ``failure string``.
     """
     fields = (schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)).fieldNames()
 
@@ -347,10 +411,17 @@ def plugged(frames: DataFrame, analyze: Callable[[pd.DataFrame], pd.DataFrame],
 
     def run(batches):
         for batch in batches:
-            try:
-                yield shaped(analyze(batch))
-            except Exception as error:  # a detector's fault is data here
-                keys = batch[[c for c in fields if c in batch.columns]].copy()
-                yield shaped(keys.assign(failure=type(error).__name__))
+            waiting = [batch]
+            while waiting:
+                part = waiting.pop()
+                try:
+                    yield shaped(analyze(part.copy()))
+                except Exception as error:  # a detector's fault is data here
+                    half = len(part) // 2
+                    if half:
+                        waiting += [part.iloc[half:].reset_index(drop=True), part.iloc[:half].reset_index(drop=True)]
+                    elif len(part):
+                        keys = part[[c for c in fields if c in part.columns]].copy()
+                        yield shaped(keys.assign(failure=type(error).__name__))
 
     return frames.mapInPandas(run, schema)

@@ -125,6 +125,17 @@ def a8_jpeg(spark, sf):
     return r.jpeg_sizes(files)
 
 
+def a8_long_headers(spark, sf):
+    """JPEG files with one to five segments before the size, one file in twenty with up to 300 KB of them; some end inside a segment."""
+    two = lambda n: F.unhex(F.lpad(F.hex(n), 4, "0"))
+    p, n = derive.table(spark, sf, "part"), F.col("p_size").cast("long")
+    length = F.when(F.col("p_partkey") % 20 == 0, 20000 + n * 800).otherwise(n + 2)
+    segments = F.aggregate(F.sequence(F.lit(1), (F.col("p_partkey") % 7 % 5).cast("int") + 1), F.unhex(F.lit("FFD8")), lambda a, i: F.concat(a, F.unhex(F.lit("FFE1")), two(length), F.unhex(F.repeat(F.lit("FF"), (length - 2).cast("int")))))
+    whole = F.concat(segments, F.unhex(F.lit("FFC2001108")), two(n * 7 + 1), two(n * 11 + 3), F.unhex(F.lit("0301")))
+    content = F.when(F.col("p_partkey") % 180 == 0, F.substring(whole, F.lit(1), F.octet_length(whole) - 6)).otherwise(whole)
+    return r.jpeg_sizes(p.select(F.col("p_partkey").cast("string").alias("path"), content.alias("content")))
+
+
 def h4_plan(spark, sf):
     """The plan of the thirteen fixtures of one split, in order of path."""
     items = derive.table(spark, sf, "supplier").selectExpr("concat('s', s_nationkey, '/', s_suppkey, '.png') AS path", "sha2(s_name, 256) AS digest", "CASE WHEN s_suppkey <= 13 THEN 'DEVELOPMENT' ELSE 'HOLDOUT' END AS split")
@@ -201,6 +212,7 @@ ORACLE = {
     "a6_coco": sql("""SELECT frame * 100 + obj AS id, CASE WHEN frame % 10 <> 0 THEN frame || '.jpg' END AS file_name, CASE obj % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS category, CASE WHEN frame % 10 = 0 THEN 'image' WHEN obj % 3 = 2 THEN 'category' END AS error,
         CASE WHEN frame % 10 <> 0 AND obj % 3 <> 2 THEN round(least(1, "right"), 9) END AS x1 FROM truth_box""", "truth_box"),
     "a7_digests": f"WITH {_RAW} SELECT g, sum(length(raw) + 1)::BIGINT AS bytes, sha256(string_agg(raw || chr(10), '' ORDER BY pos)) AS digest FROM l GROUP BY g",
+    "a8_long_headers": "SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 180 <> 0 THEN (p_size * 11 + 3)::INT END AS width, CASE WHEN p_partkey % 180 <> 0 THEN (p_size * 7 + 1)::INT END AS height FROM part",
     "a8_jpeg": "SELECT p_partkey::VARCHAR AS path, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 11 + 3)::INT END AS width, CASE WHEN p_partkey % 9 <> 0 THEN (p_size * 7 + 1)::INT END AS height FROM part",
     "h4_plan": "SELECT row_number() OVER (ORDER BY path)::INT AS place, path FROM (SELECT 's' || s_nationkey || '/' || s_suppkey || '.png' AS path FROM supplier WHERE s_suppkey <= 13) WHERE (SELECT count(*) FROM supplier WHERE s_suppkey <= 13) = 13",
     "a5_blocks": sql("SELECT 'f' || (frame - (frame % 97 = 0)::INT) || '.jpg' AS filename, frame * 1000 AS block, count(*) OVER (PARTITION BY frame)::INT AS declared, obj::INT AS box, pk::INT AS x, sk::INT AS y, ln::INT AS width, CASE WHEN obj = 3 THEN NULL ELSE 1 END AS pose FROM truth_box WHERE frame % 89 <> 0", "truth_box"),
@@ -232,4 +244,4 @@ ORACLE = {
     "k3_retention": "SELECT o_orderkey AS asset FROM orders WHERE o_orderdate::DATE < DATE '1996-01-01' AND o_orderstatus <> 'F'",
     "a10_report": evaluation.REPORT_SQL,
 }
-QUERIES = {f.__name__: f for f in (a1_lines, a2_records, a4_truth, a6_coco, a7_digests, a8_jpeg, h4_plan, a3_findings, a5_blocks, a5_block_errors, a9_records, a10_report, a11_markdown, a12_locks, a13_event_lines, e14_coco, k1_manifest, k2_staging, k3_retention)}
+QUERIES = {f.__name__: f for f in (a1_lines, a2_records, a4_truth, a6_coco, a7_digests, a8_jpeg, a8_long_headers, h4_plan, a3_findings, a5_blocks, a5_block_errors, a9_records, a10_report, a11_markdown, a12_locks, a13_event_lines, e14_coco, k1_manifest, k2_staging, k3_retention)}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from veilframe import derive
 from veilframe.functions import geometry as g
+from veilframe.functions import phones, tables
 from veilframe.functions import text as t
 from veilframe.functions.geometry import Rect
+from veilframe.operators import evaluate
 from veilframe.operators import quality as q
 from veilframe.operators import sessions
 from veilframe.operators import spans as s
@@ -60,6 +62,12 @@ def c15_raster(spark, sf):
     return _poly(spark, sf).select("frame", "obj", F.size(g.cells(F.col("poly"), 128)).alias("cells"))
 
 
+def l6_cells(spark, sf):
+    """Cells of polygons by a table function in SQL: how many, and the first and last column."""
+    tables.register(spark)
+    return spark.sql(f"SELECT frame, obj, count(*) AS cells, min(c.x) AS first_x, max(c.x) AS last_x FROM {{p}} AS p, LATERAL {tables.CELLS}(p.poly, 64) AS c GROUP BY frame, obj", p=_poly(spark, sf).select("frame", "obj", "poly"))
+
+
 def _matrices(spark, sf):
     m = F.array(*(c.cast("double") for c in (1 + F.col("ln") / 8, F.col("pk") % 3 / 8, F.col("left") / 4, F.col("sk") % 3 / 8, 1 + F.col("obj") % 4 / 8, F.col("top") / 4, F.lit(0), F.lit(0), F.lit(1))))
     return derive.truth_box(spark, sf).select("*", m.alias("m"))
@@ -142,6 +150,21 @@ def d4_phones(spark, sf):
     return _normal(_docs(spark, sf)).select("doc_id", F.explode(_found(t.phone_spans)).alias("s")).select("doc_id", "s.*")
 
 
+def d4_numbers(spark, sf):
+    """Telephone numbers of all listed plans in whole texts, each with a planted number behind it, at home in Britain."""
+    n = F.col("doc_id")
+    digits = F.lpad((n * 7919 % 100000000).cast("string"), 8, "0")
+    forms = ("+49 30 ", "+1 415 2", "020 7", "(0161) 2", "+351 2", "+999 1", "+81-3-", "07 ", "+41 (0)44-2", "+39 06 ")
+    planted = F.concat(F.coalesce("text", F.lit("")), F.lit(" tel "), F.element_at(F.lit(list(forms)), (n % len(forms) + 1).cast("int")), digits, F.lit("."))
+    return _normal(_docs(spark, sf), planted).select("doc_id", F.explode(_found(lambda x: phones.number_spans(x, "GB"))).alias("s")).select("doc_id", "s.*")
+
+
+def d20_slices(spark, sf):
+    """Slices of images from their objects' sizes in pixels and levels."""
+    rows = derive.table(spark, sf, "lineitem").selectExpr("l_orderkey AS image", "l_partkey % 90 + 10 AS width", "l_suppkey % 90 + 12 AS height", "CAST(round(l_tax * 100) AS INT) % 3 AS blur", "CAST(round(l_discount * 100) AS INT) % 5 AS occlusion", "IF(l_linenumber = 6, 1, 0) AS illumination", "IF(l_linenumber = 7, NULL, l_linenumber div 5) AS pose")
+    return evaluate.image_slices(rows, "image")
+
+
 def _announcement():
     return F.concat(F.when(F.col("doc_id") % 3 == 0, "Your security code is ").otherwise("Room "), F.lpad((F.col("doc_id") * 7919 % 1000000).cast("string"), 6, "0"), F.lit(" today"))
 
@@ -428,6 +451,9 @@ ORACLE = {
     "c15_raster": sql("""WITH k AS (SELECT unnest(range(0, 128)) AS i)
         SELECT frame, obj, count(x.i)::INT AS cells FROM truth_box LEFT JOIN (SELECT x.i AS i, y.i AS j FROM k x CROSS JOIN k y) x ON (x.i + 0.5e0) / 128 >= "left" AND (x.i + 0.5e0) / 128 < "right" AND (x.j + 0.5e0) / 128 >= top AND (x.j + 0.5e0) / 128 < bottom
           AND (obj % 3 <> 0 OR ((x.i + 0.5e0) / 128 - "left") * (bottom - top) >= ("right" - "left") * ((x.j + 0.5e0) / 128 - top)) GROUP BY ALL""", "truth_box"),
+    "l6_cells": sql("""WITH k AS (SELECT unnest(range(0, 64)) AS i)
+        SELECT frame, obj, count(*) AS cells, min(x.i)::INT AS first_x, max(x.i)::INT AS last_x FROM truth_box JOIN k x ON (x.i + 0.5e0) / 64 >= "left" AND (x.i + 0.5e0) / 64 < "right" JOIN k y ON (y.i + 0.5e0) / 64 >= top AND (y.i + 0.5e0) / 64 < bottom
+          AND (obj % 3 <> 0 OR ((x.i + 0.5e0) / 64 - "left") * (bottom - top) >= ("right" - "left") * ((y.i + 0.5e0) / 64 - top)) GROUP BY ALL""", "truth_box"),
     "c19_transforms": sql("""WITH c AS (SELECT *, "right" - "left" AS w, bottom - top AS h, obj % 4 AS k, CASE WHEN ln % 2 = 0 THEN -1 ELSE 1 END AS s FROM truth_box),
         p AS (SELECT *, CASE k WHEN 0 THEN 0.5e0 WHEN 1 THEN 1 WHEN 2 THEN 0.5e0 ELSE 0 END AS x, CASE k WHEN 0 THEN 0e0 WHEN 1 THEN 0.5e0 WHEN 2 THEN 1 ELSE 0.5e0 END AS y, CASE k WHEN 0 THEN 1 / w WHEN 2 THEN -1 / w ELSE 0 END AS m0,
           CASE k WHEN 1 THEN 1 / w WHEN 3 THEN -1 / w ELSE 0 END AS m3, CASE k WHEN 0 THEN 1 / h WHEN 2 THEN -1 / h ELSE 0 END AS m4, CASE k WHEN 0 THEN -top / h WHEN 1 THEN -"left" / w WHEN 2 THEN 1 + top / h ELSE 1 + "left" / w END AS m5 FROM c)
@@ -448,6 +474,10 @@ ORACLE = {
         s AS (SELECT *, greatest(0, least(1 - w, ("left" + "right") / 2 + ln / 640e0 * el - w / 2)) AS l, greatest(0, least(1 - h, (top + bottom) / 2 + obj / 640e0 * el - h / 2)) AS t FROM q) SELECT frame, obj, round(l, 9) AS "left", round(t, 9) AS top, round(l + w, 9) AS "right", round(t + h, 9) AS bottom FROM s""", "truth_box"),
     "d5_codes": """SELECT doc_id, 'ONE_TIME_CODE' AS category, 22 AS start, 28 AS "end" FROM documents WHERE doc_id % 3 = 0""",
     "d9_terms": "SELECT DISTINCT lower(trim(p_name)) || ' x' AS term FROM part",
+    "d20_slices": """WITH f AS (SELECT l_orderkey AS image, bool_or(l_partkey % 90 + 10 <= 20 OR l_suppkey % 90 + 12 <= 20) AS s, bool_or(round(l_tax * 100)::INT % 3 = 2) AS b, bool_or(round(l_discount * 100)::INT % 5 = 2) AS o,
+            bool_or(l_linenumber = 6 OR (l_linenumber <> 7 AND l_linenumber // 5 > 0)) AS d FROM lineitem GROUP BY ALL)
+        SELECT image, 'small' AS slice FROM f WHERE s UNION ALL SELECT image, 'heavy_blur' FROM f WHERE b UNION ALL SELECT image, 'heavy_occlusion' FROM f WHERE o UNION ALL SELECT image, 'difficult_capture' FROM f WHERE d
+        UNION ALL SELECT image, 'baseline' FROM f WHERE NOT (s OR b OR o OR d)""",
     "d12_strings": r"""SELECT p_partkey, round(levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 9) AS distance, 'A ' || upper(p_name) AS plain, 'a ' || lower(p_name) AS lower_plain, sha256('s' || p_name) AS lot, sha256(p_name)[1:20] AS gid,
         CASE WHEN p_size % 4 <= 1 THEN 'NOMINAL' WHEN p_size % 4 = 2 THEN 'WARNING' ELSE 'SEVERE' END AS severity, p_size % 10 <> 0 AS is_date, CASE WHEN p_size % 7 = 0 THEN 'BIV_SMOKE' WHEN p_size % 3 <> 0 THEN CASE WHEN p_size % 2 = 0 THEN 'AUTOMATIC_PATTERN' ELSE 'CONFIGURED_WATCHLIST' END END AS lane,
         (p_size % 5)::BIGINT AS ratio_numerator, (p_size % 4)::BIGINT AS ratio_denominator, CASE WHEN p_size % 4 > 0 THEN round((p_size % 5) / (p_size % 4), 9) END AS ratio,
@@ -488,5 +518,5 @@ ORACLE = {
         SELECT frame AS location, (obj - 1)::INT AS place, 'category' AS code FROM d WHERE ln = 6 UNION ALL SELECT frame, (obj - 1)::INT, 'polygon' FROM d WHERE ln = 2 OR ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame, (obj - 1)::INT, 'visibility' FROM d WHERE ln > 5
         UNION ALL SELECT frame, (obj - 1)::INT, 'objectId' FROM d WHERE oid = '!' OR length(oid) < 3 UNION ALL SELECT frame, (obj - 1)::INT, 'duplicate' FROM d WHERE k > 1 AND length(oid) >= 3 UNION ALL SELECT frame, (obj - 1)::INT, 'role' FROM d WHERE pk % 8 = 0""", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
+QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, l6_cells, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d4_numbers, d20_slices, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
     b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}

@@ -78,35 +78,92 @@ def against_locks(found: DataFrame, locks: DataFrame) -> DataFrame:
     return joined.select("name", status.alias("status"))
 
 
-def jpeg_size(head: bytes) -> tuple[int | None, int | None]:
-    """Width and height from the markers of a JPEG file; none if it is not one."""
-    at = 2
-    if head[:2] != b"\xff\xd8":
-        return None, None
-    while at + 9 <= len(head):
-        if head[at] != 0xFF:
-            return None, None
-        marker = head[at + 1]
+class _Markers:
+    """Walks the segments of one JPEG file, of which the bytes come in pieces; keeps the few bytes of a segment's head alone."""
+
+    def __init__(self) -> None:
+        self.began, self.done, self.size = False, False, (None, None)
+        self.skip, self.held = 0, b""
+
+    def feed(self, piece: bytes) -> None:
+        """The next bytes; those before the next segment are passed over."""
+        if self.skip >= len(piece):
+            self.skip -= len(piece)
+            return
+        held, at = self.held + piece[self.skip :], 0
+        self.skip = 0
+        while not self.done:
+            step = self._step(held[at : at + 9])
+            if step is None:
+                break
+            self.began = True
+            at += step
+        self.skip, self.held = max(0, at - len(held)), held[at:]
+
+    def _step(self, head: bytes) -> int | None:
+        """How far the next segment begins; None where more bytes are needed or the walk ends."""
+        if not self.began:
+            if len(head) < 2:
+                return None
+            self.done = head[:2] != b"\xff\xd8"
+            return None if self.done else 2
+        if len(head) < 9:
+            return None
+        marker = head[1]
+        if head[0] != 0xFF:
+            self.done = True
+            return None
         if marker == 0xFF:
-            at += 1
-            continue
+            return 1
         if 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            height, width = struct.unpack(">HH", head[at + 5 : at + 9])
-            return width, height
-        at += 2 if marker in (0x01, *range(0xD0, 0xD8)) else 2 + struct.unpack(">H", head[at + 2 : at + 4])[0]
-    return None, None
+            height, width = struct.unpack(">HH", head[5:9])
+            self.done, self.size = True, (width, height)
+            return None
+        return 2 if marker in (0x01, *range(0xD0, 0xD8)) else 2 + struct.unpack(">H", head[2:4])[0]
+
+
+def jpeg_size(content: bytes) -> tuple[int | None, int | None]:
+    """Width and height from the markers of a JPEG file; none if it is not one."""
+    walk = _Markers()
+    walk.feed(content)
+    return walk.size
 
 
-def jpeg_sizes(files: DataFrame, header_bytes: int = 1 << 16) -> DataFrame:
-    """Path, width and height of images; only the first bytes of each go to Python."""
+def jpeg_sizes(files: DataFrame, piece_bytes: int = 1 << 16) -> DataFrame:
+    """Path, width and height of images (A8), null where the content is null or no JPEG.
+
+    The first bytes of each file go to Python; the files whose size these do not show send the rest too, in pieces that follow each other
+    in the task, so that a batch holds pieces and not whole files. Segments before the size may be of any number and length.
+    """
+
+    @F.pandas_udf("struct<width:int,height:int,open:boolean>")
+    def first(heads: pd.Series) -> pd.DataFrame:
+        walks = []
+        for head in heads:
+            walks.append(_Markers())
+            walks[-1].feed(bytes(head or b""))
+        sizes = {c: pd.array([w.size[i] for w in walks], dtype="Int32") for i, c in enumerate(("width", "height"))}
+        return pd.DataFrame({**sizes, "open": [not w.done for w in walks]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        walk = _Markers()
         for batch in batches:
-            sizes = [jpeg_size(bytes(h)) for h in batch["head"]]
-            yield pd.DataFrame({"path": batch["path"], "width": pd.array([s[0] for s in sizes], dtype="Int32"), "height": pd.array([s[1] for s in sizes], dtype="Int32")})
-
-    head = F.substring(F.col("content"), 1, header_bytes)
-    return files.select("path", head.alias("head")).mapInPandas(run, "path string, width int, height int")
+            out = []
+            for path, width, height, i, last, piece in zip(*(batch[c] for c in ("path", "width", "height", "i", "last", "piece"))):
+                if piece is not None:
+                    walk = _Markers() if i == 0 else walk
+                    walk.feed(bytes(piece)) if not walk.done else None
+                    width, height = walk.size
+                if i == last:
+                    out.append((path, width, height))
+            yield pd.DataFrame({"path": pd.Series([o[0] for o in out], dtype=object), **{c: pd.array([None if pd.isna(o[k]) else int(o[k]) for o in out], dtype="Int32") for k, c in ((1, "width"), (2, "height"))}})
+
+    n = F.octet_length("content")
+    told = files.select("path", "content", first(F.substring(F.col("content"), 1, piece_bytes)).alias("h"))
+    last = F.when(F.col("h.open") & (n > piece_bytes), F.ceil(n / piece_bytes).cast("int") - 1).otherwise(0)
+    parts = told.select("path", "content", "h", last.alias("last")).select("*", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
+    piece = F.when(F.col("last") > 0, F.substring(F.col("content"), F.col("i") * piece_bytes + 1, F.lit(piece_bytes)))
+    return parts.select("path", "h.width", "h.height", "i", "last", piece.alias("piece")).mapInPandas(run, "path string, width int, height int")
 
 
 def sorted_json(row_columns: list[str]) -> Column:
