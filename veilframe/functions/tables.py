@@ -15,7 +15,9 @@ CELLS = "veilframe_cells"
 
 
 class Cells:
-    """(y, x) of the cells whose center lies in a polygon, row by row: ``LATERAL veilframe_cells(polygon, grid)``.
+    """Runs of cells whose center lies in a polygon, row by row, as (y, first, last): ``LATERAL veilframe_cells(polygon, grid)``.
+
+    A run is a row, so that a polygon sends as many rows as it is high and not as it is large; ``explode(sequence(first, last))`` makes cells.
 
     A polygon is an array of points, each an array of two numbers of the unit square. A null polygon, or one of fewer than two points, has
     no cells; a grid that is no positive constant is refused when the query is analyzed.
@@ -28,9 +30,9 @@ class Cells:
             raise ValueError("a polygon is an array of points, each an array of two numbers")
         if not (grid.isConstantExpression and isinstance(grid.value, int) and grid.value > 0):
             raise ValueError("the grid is a positive whole constant")
-        return AnalyzeResult(T.StructType([T.StructField("y", T.IntegerType()), T.StructField("x", T.IntegerType())]))
+        return AnalyzeResult(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "first", "last")]))
 
-    def eval(self, polygon: list[list[float]] | None, grid: int) -> Iterator[tuple[int, int]]:
+    def eval(self, polygon: list[list[float]] | None, grid: int) -> Iterator[tuple[int, int, int]]:
         if polygon is None or len(polygon) < 2:
             return
         edges = list(zip(polygon, polygon[1:] + polygon[:1]))
@@ -39,8 +41,9 @@ class Cells:
             at = (y + 0.5) / grid
             crossed = sorted((b[0] - a[0]) * (at - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges if (a[1] > at) != (b[1] > at))
             for left, right in zip(crossed[::2], crossed[1::2]):
-                for x in range(max(0, math.ceil(left * grid - 0.5)), min(grid, math.ceil(right * grid - 0.5))):
-                    yield y, x
+                first, behind = max(0, math.ceil(left * grid - 0.5)), min(grid, math.ceil(right * grid - 0.5))
+                if first < behind:
+                    yield y, first, behind - 1
 
 
 def register(spark: SparkSession) -> None:

@@ -208,7 +208,7 @@ def l1_plugged(spark, sf):
 def l1_faults(spark, sf):
     """A detector that fails on every batch with some frames in it: these frames alone are failures, however rows fall into batches."""
     def analyze(batch):
-        if (batch["pk"] % 97 == 0).any():
+        if (batch["pk"] % 197 == 0).any():
             raise ValueError("a frame that the detector refuses")
         return batch.assign(lane="TEXT", n=batch["ln"] * 2)
 
@@ -244,7 +244,7 @@ ORACLE = {
     "j5_decisions": sql("""WITH d AS (SELECT frame, max(pk) AS pk, sum(CASE WHEN obj <= 3 THEN pk % 4 + 1 ELSE 0 END)::BIGINT AS zones FROM truth_box GROUP BY frame)
         SELECT frame, CASE WHEN frame % 10 = 3 OR pk % 7 = 0 OR zones > 8 THEN 'SHIELD_REQUIRED' WHEN frame % 2 = 0 THEN 'FRESH' ELSE 'CARRIED' END AS basis, zones FROM d""", "truth_box"),
     "l1_plugged": sql("SELECT frame, obj::INT AS obj, 'FACE' AS lane, (ln % 3)::BIGINT AS n, NULL AS failure FROM truth_box", "truth_box"),
-    "l1_faults": sql("SELECT frame, obj::INT AS obj, CASE WHEN pk % 97 <> 0 THEN 'TEXT' END AS lane, CASE WHEN pk % 97 <> 0 THEN ln * 2 END::BIGINT AS n, CASE WHEN pk % 97 = 0 THEN 'ValueError' END AS failure FROM truth_box", "truth_box"),
+    "l1_faults": sql("SELECT frame, obj::INT AS obj, CASE WHEN pk % 197 <> 0 THEN 'TEXT' END AS lane, CASE WHEN pk % 197 <> 0 THEN ln * 2 END::BIGINT AS n, CASE WHEN pk % 197 = 0 THEN 'ValueError' END AS failure FROM truth_box", "truth_box"),
     "l2_lanes": sql("SELECT session, lane, source_ns, CASE lane WHEN 'FACE' THEN n_findings WHEN 'TEXT' THEN n_findings * 2 ELSE least(n_findings, 1) END AS n_findings FROM snapshots", "snapshots"),
     "j3_regions": sql("""WITH a AS (SELECT frame AS session, category FROM truth_box WHERE ln % 2 <> 0 UNION ALL SELECT frame, 'FACE' FROM truth_box WHERE ln % 2 = 0 AND frame % 3 <> 0 UNION ALL SELECT frame, 'FACE' FROM truth_box WHERE frame % 3 = 0 AND obj = 2
         UNION ALL SELECT frame, 'PRIVACY_ZONE' FROM truth_box WHERE obj = 3) SELECT session, category, count(*) AS n FROM a GROUP BY ALL""", "truth_box"),
