@@ -10,7 +10,8 @@ less than k shingles keeps all. A document that holds THRESHOLD of the item miss
 holds one of the sketch: candidates miss nothing. Documents with too few shingles for a partition's least size are not
 its candidates. A candidate's shingles are then compared as words, not as hashes.
 
-Benchmarks are sent to executors in blocks of at most BLOCK_BYTES of text (or one item), one pass for each block.
+Benchmarks are sent to executors in blocks of at most BLOCK_BYTES of text, or more only where one text is longer than half of that, one
+pass for each block. A repeated item is looked for once.
 
 Null and empty texts have no shingle: such items match nothing and such documents hold nothing. Repeated rows are
 judged one by one; empty tables give no rows; columns other than doc_id and text, item_id and text are ignored.
@@ -25,11 +26,11 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import documents
+from veilframe.llm.common import cut, documents
 from veilframe.llm.exchange import mixed, rolling
 
 SHINGLE = 5
@@ -61,7 +62,7 @@ def _hashes(lists: list[list[bytes]]) -> np.ndarray:
 class Sketches:
     """The items of one block, partitioned by size, with their bottom-k sketches."""
 
-    def __init__(self, items: list[tuple[int, str | None]], shingle: int = SHINGLE, threshold: float = THRESHOLD) -> None:
+    def __init__(self, items: list[Item], shingle: int = SHINGLE, threshold: float = THRESHOLD) -> None:
         self.items, self.sets, self.widths, self.threshold = [], [], [], threshold
         by_width: dict[int, list[tuple[int, int, int]]] = {}
         for item_id, text in items:
@@ -100,8 +101,8 @@ class Sketches:
                     k += 1
         return found
 
-    def matches(self, texts: list[str | None]) -> list[tuple[int, int, int, int]]:
-        """(place of the text, item_id, the item's shingles, shared shingles) of every contaminated text."""
+    def matches(self, texts: list[str | None]) -> list[tuple[int, tuple[int | None, int], int, int]]:
+        """(place of the text, the item's id and number, its shingles, shared shingles) of every contaminated text."""
         out, at = [], 0
         while at < len(texts):
             past, size = at, 0
@@ -121,30 +122,45 @@ class Sketches:
         return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
-    """The benchmark in blocks of bounded size, one at a time: the driver holds one block. Each block is a pass over the documents."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = math.ceil(size / BLOCK_BYTES) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
-        yield [(r["item_id"], r["text"]) for r in rows.where(part == k).collect()]
+#: An item as a block holds it: its id and how often it is there, and its text.
+Item = tuple[tuple[int | None, int], str]
+
+
+def _blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[Item]]:
+    """The benchmark in blocks of at most ``most`` bytes, one at a time: the driver holds one block. Each block is a pass over the documents.
+
+    Repeated items are one item and a number. Items are dealt by a running sum of their bytes: a block takes those that begin in a stretch
+    of half its size, so it is larger only where its last text alone is longer than the other half. The sums run inside parts that
+    hashing makes even, as no item is there twice.
+    """
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").groupBy("item_id", "text").agg(F.count("*").alias("n"))
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= most:
+        blocks = [items]
+    else:
+        dealt = items.withColumn("__h", F.xxhash64("item_id", "text")).withColumn("__part", F.pmod("__h", F.lit(math.ceil(size / most))))
+        before = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy("__part").orderBy("__h", "item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+        placed = cut(dealt.withColumn("__block", F.floor(F.coalesce(before, F.lit(0)) / F.lit(max(1, most // 2)))))
+        names = placed.select("__part", "__block").distinct().orderBy("__part", "__block").collect()
+        blocks = (placed.where((F.col("__part") == k["__part"]) & (F.col("__block") == k["__block"])) for k in names)
+    for block in blocks:
+        yield [((r["item_id"], r["n"]), r["text"]) for r in block.select("item_id", "n", "text").collect()]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared, containment) of every contaminated row and item."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def one(block: list[tuple[int, str | None]]) -> DataFrame:
+    def one(block: list[Item]) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sketches = Sketches(sent.value, shingle, threshold)
             for batch in batches:
-                found = sketches.matches(batch["text"].tolist())
+                found = [f for f in sketches.matches(batch["text"].tolist()) for _ in range(f[1][1])]
                 yield pd.DataFrame({
                     "doc_id": batch["doc_id"].iloc[[f[0] for f in found]].astype("Int64").to_numpy(),
-                    "item_id": pd.array([f[1] for f in found], dtype="Int64"),
+                    "item_id": pd.array([f[1][0] for f in found], dtype="Int64"),
                     "n_shingles": [f[2] for f in found],
                     "n_shared": [f[3] for f in found],
                     "containment": [f[3] / f[2] for f in found],
@@ -159,7 +175,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, shingle: int = SHINGLE, thresho
     """The rows that no item contaminates, with all their columns."""
     flagged = docs
 
-    def judge(block: list[tuple[int, str | None]]):
+    def judge(block: list[Item]):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
