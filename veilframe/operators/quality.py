@@ -59,16 +59,21 @@ def errors(rows: DataFrame, location: Column, rules: dict[str, Column]) -> DataF
     return rows.select(location.alias("location"), F.explode(codes).alias("code"))
 
 
+def key_codes(json: Column, required: list[str], allowed: list[str], prefix: str = "") -> Column:
+    """Missing and unknown keys of a JSON object as codes; null where the text is no object (B1)."""
+    keys = F.json_object_keys(json)
+    missing = F.transform(F.array_except(F.lit(required), keys), lambda k: F.concat(F.lit(f"{prefix}missing:"), k))
+    unknown = F.transform(F.array_except(keys, F.lit(required + allowed)), lambda k: F.concat(F.lit(f"{prefix}unknown:"), k))
+    return F.concat(missing, unknown)
+
+
 def key_errors(rows: DataFrame, location: Column, json: Column, required: list[str], allowed: list[str]) -> DataFrame:
     """Missing and unknown keys of JSON objects, one error each."""
-    keys = F.json_object_keys(json)
-    missing = F.transform(F.array_except(F.lit(required), keys), lambda k: F.concat(F.lit("missing:"), k))
-    unknown = F.transform(F.array_except(keys, F.lit(required + allowed)), lambda k: F.concat(F.lit("unknown:"), k))
-    return rows.select(location.alias("location"), F.explode(F.concat(missing, unknown)).alias("code"))
+    return rows.select(location.alias("location"), F.explode(key_codes(json, required, allowed)).alias("code"))
 
 
-def forbidden_keys(rows: DataFrame, location: Column, json: Column) -> DataFrame:
-    """Banned keys at any depth, with case and punctuation taken off (B2).
+def banned_keys(json: Column) -> Column:
+    """The different banned keys of a record at any depth, with case and punctuation taken off (B2).
 
     The record is parsed and written again, so that every key stands right before its colon; the strings of the record are then read one
     after the other, which needs no recursion. What the parser refuses (repeated keys, text that is no JSON) is read as it is. Each key's
@@ -79,7 +84,12 @@ def forbidden_keys(rows: DataFrame, location: Column, json: Column) -> DataFrame
     keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda k: F.regexp_replace(k, r"\s*:\z", ""))
     decoded = F.transform(keys, lambda k: F.coalesce(F.get(F.from_json(F.concat(F.lit("["), k, F.lit("]")), "array<string>"), 0), F.regexp_replace(k, r"\\(?:u[0-9A-Fa-f]{4}|.)", "")))
     bare = F.transform(decoded, lambda k: F.regexp_replace(F.lower(k), r"[^a-z0-9]", ""))
-    return rows.select(location.alias("location"), F.explode(F.array_distinct(F.array_intersect(bare, F.lit(list(BANNED))))).alias("key"))
+    return F.array_distinct(F.array_intersect(bare, F.lit(list(BANNED))))
+
+
+def forbidden_keys(rows: DataFrame, location: Column, json: Column) -> DataFrame:
+    """A row for each banned key of a record (B2)."""
+    return rows.select(location.alias("location"), F.explode(banned_keys(json)).alias("key"))
 
 
 def is_safe_path(path: Column) -> Column:
@@ -93,14 +103,16 @@ def is_under(root: Column, path: Column) -> Column:
     return (root != "") & ~path.startswith("/") & (depth >= 0)
 
 
+def group_rules(group: Column, kind: Column, split: Column) -> dict[str, Column]:
+    """Failing conditions of a group: it is unknown, or forbids the source kind or the split."""
+    named = lambda pick: F.coalesce(*(F.when(group == g, F.lit(pick(rule))) for g, rule in GROUP_RULES.items()))
+    known = group.isin(*GROUP_RULES)
+    return {"group": _not(known), "source_kind": known & _not(kind == named(lambda r: r[0])), "split": known & _not(F.array_contains(named(lambda r: list(r[1])), split))}
+
+
 def group_rule_errors(rows: DataFrame, location: Column) -> DataFrame:
-    """Groups that are unknown or whose source kind or split they forbid (B6, E16). The rules are a handful of rows."""
-    rules = rows.sparkSession.createDataFrame([(g, kind, list(splits)) for g, (kind, splits) in GROUP_RULES.items()], "group string, r_kind string, r_splits array<string>")
-    joined = rows.withColumn("__at", location).join(F.broadcast(rules), "group", "left")
-    known = F.col("r_kind").isNotNull()
-    return errors(joined, F.col("__at"), {
-        "group": ~known, "source_kind": known & _not(F.col("source_kind") == F.col("r_kind")), "split": known & _not(F.array_contains("r_splits", F.col("split"))),
-    })
+    """Groups that are unknown or whose source kind or split they forbid (B6, E16). The rules are a handful, so they are literals."""
+    return errors(rows, location, group_rules(F.col("group"), F.col("source_kind"), F.col("split")))
 
 
 def block_errors(rows: DataFrame, location: Column, kind: Column, blocks: dict[str, str]) -> DataFrame:
@@ -156,11 +168,8 @@ def id_list_rules(ids: Column, empty: bool = True) -> dict[str, Column]:
     return {"array": _not(there), "unique": F.size(F.array_distinct(ids)) != F.size(ids), "id": F.exists(ids, lambda i: _not(i.rlike(t.STABLE_ID)))}
 
 
-def manifest_errors(rows: DataFrame, as_of: str) -> DataFrame:
-    """Every rule of a manifest's fixture record, as rows (location, code); a code names the field and, where it has several, the rule.
-
-    ``rows`` has the nested columns of the manifest, in their names there; location is the fixture's id.
-    """
+def record_rules(as_of: str) -> dict[str, Column]:
+    """Failing conditions of a manifest's fixture record, over its nested columns in their names there."""
     col = F.col
     rules = {
         "schemaVersion": _not(col("schemaVersion") == "1.0.0"), "corpusVersion": _not(col("corpusVersion").rlike(t.SEMVER)), "fixtureId": _not(col("fixtureId").rlike(t.STABLE_ID)),
@@ -185,8 +194,17 @@ def manifest_errors(rows: DataFrame, as_of: str) -> DataFrame:
     capture = F.coalesce(kind == "CONSENTED_CAPTURE", F.lit(False))
     rules["deviceContext.missing"] = capture & col("deviceContext").isNull()
     rules |= {f"deviceContext.{n}": capture & col("deviceContext").isNotNull() & c for n, c in device_rules(col("deviceContext")).items()}
-    by_group = group_rule_errors(rows.withColumn("source_kind", kind), F.col("fixtureId"))
-    return errors(rows, F.col("fixtureId"), rules).unionByName(by_group)
+    return rules
+
+
+def manifest_errors(rows: DataFrame, as_of: str) -> DataFrame:
+    """Every rule of a manifest's fixture record, as rows (location, code); a code names the field and, where it has several, the rule.
+
+    ``rows`` has the nested columns of the manifest, in their names there; location is the fixture's id. For files, inventory and splits
+    see :func:`veilframe.operators.manifests.report`.
+    """
+    by_group = group_rule_errors(rows.withColumn("source_kind", F.col("sourceKind")), F.col("fixtureId"))
+    return errors(rows, F.col("fixtureId"), record_rules(as_of)).unionByName(by_group)
 
 
 def transform_rules(rotation: Column, crop: Column, matrix: Column) -> dict[str, Column]:

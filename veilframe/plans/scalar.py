@@ -11,6 +11,7 @@ from veilframe.functions import phones, tables
 from veilframe.functions import text as t
 from veilframe.functions.geometry import Rect
 from veilframe.operators import evaluate
+from veilframe.operators import manifests as m
 from veilframe.operators import quality as q
 from veilframe.operators import sessions
 from veilframe.operators import spans as s
@@ -403,6 +404,19 @@ def b24_masked(spark, sf):
     return q.masked(derive.table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("secret")), "secret")
 
 
+def b11_report(spark, sf):
+    """The whole report: records as JSON text, some broken, with keys too many and too few and ids used twice; their files; the inventory; both splits."""
+    ok = F.col("ok")
+    rows = _manifest(spark, sf).withColumns({
+        "fixtureId": F.when(ok % 101 == 0, "fx:again").otherwise(F.col("fixtureId")), "sourcePath": F.concat(F.when(ok % 7 == 0, "../").when(ok % 11 == 0, "/").otherwise("a/"), ok, F.lit(".jpg")),
+        "provenanceRef": F.when(ok % 109 != 0, F.col("provenanceRef")), "note": F.when(ok % 107 == 0, 1), "Face_Crop": F.when(ok % 71 == 0, 1),
+    })
+    json = F.to_json(F.struct(*m.FIXTURE_KEYS, *m.FIXTURE_BLOCKS, "note", "Face_Crop"))
+    records = rows.select(ok.alias("line"), F.when(ok % 103 == 0, F.substring(json, 1, 60)).otherwise(json).alias("json"))
+    files = derive.table(spark, sf, "orders").where("o_orderkey % 113 <> 0").selectExpr("concat('a/', o_orderkey, '.jpg') AS path", "sha2(concat('fx:', o_orderkey), 256) AS sha256", "o_orderkey % 17 + IF(o_orderkey % 127 = 0, 1, 0) AS bytes")
+    return m.report(records, "2024-05-01", files, "full-v1", 1000)
+
+
 def b25_dismissible(spark, sf):
     rows = derive.truth_box(spark, sf).groupBy("frame").agg(F.collect_list(F.struct(F.when(F.col("ln") % 2 == 0, "AUTO_BARCODE").otherwise("FACE").alias("category"), F.array(F.struct(F.col("left").alias("x"), F.col("top").alias("y")), F.struct(F.col("right").alias("x"), F.col("bottom").alias("y"))).alias("bounds"))).alias("regions"))
     decisions = rows.selectExpr("frame AS session", "frame AS ts_ns", "IF(frame % 4 = 0, 'FULL_SHIELD', 'REGIONAL_SAFE') AS status", "regions")
@@ -438,6 +452,26 @@ def _faults(faults: dict[str, str], table: str = "man", prefix: str = "") -> str
     return " UNION ALL ".join(f"SELECT fixtureId AS location, '{prefix}{code}' AS code FROM {table} WHERE {where}" for code, where in faults.items())
 
 
+def _report() -> str:
+    """The report's errors: those of the records that are JSON, of files, of the inventory and of the splits."""
+    man = _MAN.replace("FROM orders)", "FROM orders WHERE o_orderkey % 103 <> 0)")
+    row = {**_ROW, "missing:provenanceRef": "ok % 109 = 0", "provenanceRef": "ok % 109 = 0", "unknown:note": "ok % 107 = 0", "unknown:Face_Crop": "ok % 71 = 0", "forbidden:facecrop": "ok % 71 = 0"}
+    files = {"sourcePath.absent": "ok % 113 = 0", "sourceDigest.file": "ok % 113 <> 0 AND ok % 89 = 0", "publicDataset.byteLength.file": "ok % 113 <> 0 AND ok % 127 = 0 AND ok % 3 = 0 AND ok % 79 <> 0"}
+    files = {code: f"{w} AND ok % 7 <> 0 AND ok % 11 <> 0" for code, w in files.items()}
+    cap = {**_CAP, "provenance": "ok % 29 = 0 OR ok % 109 = 0"}
+    syn = {k: f"({w}) AND ok % 3 = 1" for k, w in _SYN.items()}
+    of_rows = [_faults(row), _faults(_PUB, "pub", "publicDataset."), _faults(syn, "syn", "syntheticSource."), _faults(cap, "cap", "captureAuthorization."), _faults(_DEVICE, "cap", "deviceContext."), _GROUPS, _faults(files)]
+    return f"""WITH {man}, whole AS (SELECT o_orderkey AS ok FROM orders), long AS (SELECT split, 'sourceGroupId' AS key, 'src-' || cust AS value FROM man UNION ALL SELECT split, 'sourceDigests', CASE WHEN ok % 89 = 0 THEN 'xyz' ELSE fixtureId END FROM man
+          UNION ALL SELECT split, 'actorIds', unnest(['act-1', 'act-' || cust % 3]) FROM man UNION ALL SELECT split, 'generatorSeeds', 'seed' FROM man WHERE ok % 43 <> 0 UNION ALL SELECT split, 'roomMotionIds', unnest(['ok:1', CASE WHEN ok % 47 = 0 THEN '!' ELSE 'r.2' END]) FROM man),
+        wanted(grp, n) AS (VALUES ('WIDER_FACE', 200), ('BIV_PRIV_SEG', 16), ('RENDERER', 12), ('CONSENTED_FACE', 12), ('PRIORITY_2', 26), ('FAULT_INJECTION', 20)),
+        counted AS (SELECT grp, count(*) AS n FROM (SELECT grp FROM man UNION ALL SELECT 'none' FROM whole WHERE ok % 103 = 0) GROUP BY grp)
+        SELECT substr(location, 4)::BIGINT AS line, code, NULL::VARCHAR AS detail FROM ({" UNION ALL ".join(of_rows)})
+        UNION ALL SELECT ok, 'json', NULL FROM whole WHERE ok % 103 = 0 UNION ALL SELECT ok, 'fixtureId.duplicate', NULL FROM (SELECT ok, min(ok) OVER () AS first FROM man WHERE ok % 101 = 0) WHERE ok > first
+        UNION ALL SELECT NULL, 'records', n::VARCHAR FROM (SELECT count(*) AS n FROM whole) WHERE n <> 1000
+        UNION ALL SELECT NULL, 'profile.' || coalesce(c.grp, w.grp), coalesce(c.n, 0)::VARCHAR FROM counted c FULL JOIN wanted w ON c.grp = w.grp WHERE coalesce(c.n, 0) <> coalesce(w.n, 0)
+        UNION ALL SELECT NULL, 'leakage.' || key, value FROM long WHERE split IN ('DEVELOPMENT', 'HOLDOUT') GROUP BY key, value HAVING count(DISTINCT split) = 2"""
+
+
 ORACLE = {
     "c1_boxes": sql("""WITH b AS (SELECT frame, obj, greatest(0, least(1, (pk % 700 - 30) / 640e0)) AS x0, greatest(0, least(1, (sk % 400 - 10) / 360e0)) AS y0, greatest(0, least(1, (pk % 700 - 30 + ln * 20) / 640e0)) AS x1, greatest(0, least(1, (sk % 400 - 10 + ln * 15) / 360e0)) AS y1 FROM truth_box)
         SELECT frame, obj, round(x0, 9) AS x0, round(y0, 9) AS y0, round(greatest(x0, x1), 9) AS x1, round(greatest(y0, y1), 9) AS y1 FROM b""", "truth_box"),
@@ -496,6 +530,7 @@ ORACLE = {
     "b9_synthetic": f"WITH {_MAN} " + _faults(_SYN, "syn"),
     "b10_captures": f"WITH {_MAN} " + _faults({**_CAP, **_DEVICE}, "cap"),
     "b11_manifest": f"WITH {_MAN} " + " UNION ALL ".join([_faults(_ROW), _faults(_PUB, "pub", "publicDataset."), _faults({k: f"({w}) AND ok % 3 = 1" for k, w in _SYN.items()}, "syn", "syntheticSource."), _faults(_CAP, "cap", "captureAuthorization."), _faults(_DEVICE, "cap", "deviceContext."), _GROUPS]),
+    "b11_report": _report(),
     "b14_gate": sql(f"WITH {_MAN} SELECT 'fx:' || frame AS fixtureId, obj, grp AS \"group\" FROM truth_box JOIN man ON ok = frame WHERE category = 'PHONE' AND grp <> 'BIV_PRIV_SEG'", "truth_box"),
     "b18_faces": sql("""WITH o AS (SELECT CASE WHEN frame % 500 < 7 THEN 'face-x-' ELSE 'face-dev-' END || lpad((frame % 500)::VARCHAR, 4, '0') AS fixture, frame, frame * 1000 AS ts_ns, 'face-' || lpad(lower(to_hex(obj)), 8, '0') AS object, CASE WHEN pk % 50 = 0 THEN 'HOST' ELSE 'UNKNOWN' END AS role, ln > 1 AS protectable,
           CASE WHEN ln > 1 AND pk % 20 > 0 OR pk % 90 = 1 THEN obj * 40 + CASE WHEN sk % 40 = 0 THEN frame * 2000 ELSE 0 END - CASE WHEN sk % 41 = 0 THEN 900 ELSE 0 END END AS since FROM truth_box)
@@ -519,4 +554,4 @@ ORACLE = {
         UNION ALL SELECT frame, (obj - 1)::INT, 'objectId' FROM d WHERE oid = '!' OR length(oid) < 3 UNION ALL SELECT frame, (obj - 1)::INT, 'duplicate' FROM d WHERE k > 1 AND length(oid) >= 3 UNION ALL SELECT frame, (obj - 1)::INT, 'role' FROM d WHERE pk % 8 = 0""", "truth_box"),
 }
 QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, l6_cells, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d4_numbers, d20_slices, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
-    b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
+    b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b11_report, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
