@@ -12,7 +12,9 @@ from veilframe.functions import phones, tables
 from veilframe.functions import text as t
 from veilframe.operators import evaluate, quality
 from veilframe.plans import evaluation
+from veilframe.plans import stateful as stateful_plans
 from veilframe.sources import records
+from veilframe.streaming import policies
 
 SF = "/root/testdata/sf0.001"
 GAPS = " .()-"
@@ -196,3 +198,59 @@ def test_table_function_refuses_a_moving_grid(spark):
 def test_one_code_begins_no_other():
     codes = [p.code for p in phones.PLANS.values()]
     assert not [(a, b) for a in codes for b in codes if a != b and b.startswith(a)]
+
+
+def test_both_policies_in_one_session():
+    windows = policies.Windows(100, 20, 40)
+    step = policies.composition_step(policies.carry_step(("TEXT",), windows), policies.guard_step(windows))
+    finding = lambda at, n=0, scene=False, failed=False, kind=0, frame=-1: ("s", at, kind, "TEXT", at + 100, failed, n, scene, frame)
+    face = lambda at, n=0, kind=0, frame=-1, zones=True, thermal="NOMINAL", recovery="VERIFIED", failed=False: ("s", at, kind, at + 100, failed, n, zones, True, 0, thermal, recovery, False, frame, False)
+    frame = lambda at, k, **options: ("s", at, 1, k, finding(at, kind=1, frame=k), face(at, kind=1, frame=k, **options))
+    rows = [
+        frame(1, 1),  # no face snapshot: shielded, findings not looked at
+        ("s", 2, 0, -1, None, face(2, n=3)),
+        frame(3, 2),  # faces are known, findings are not
+        ("s", 4, 0, -1, finding(4, n=2), None),
+        frame(5, 3),  # both
+        frame(15, 4),  # the findings are carried
+        frame(30, 5, thermal="WARNING"),  # expanded by the findings' age and by the heat
+        frame(31, 6, zones=False),  # latched; what was accepted is forgotten, the snapshot that waits is not
+        frame(32, 7, recovery="PENDING"),
+        frame(33, 8),  # open again, and the waiting snapshot counts as new
+        ("s", 34, 0, -1, finding(34, failed=True), None),
+        frame(35, 9),  # a failed snapshot does not take away what a window covers
+        ("s", 36, 0, -1, None, face(36, failed=True)),
+        frame(37, 10),
+        frame(38, 11),
+    ]
+    state, out = policies.composition_start(), []
+    for row in rows:
+        state, more = step(state, row)
+        out += more
+    assert out == [
+        ("s", 1, "FULL_SHIELD", "MISSING", 0), ("s", 2, "FULL_SHIELD", "ERROR", 0), ("s", 3, "REGIONAL_SAFE", "FRESH", 5), ("s", 4, "REGIONAL_SAFE", "CARRIED", 5), ("s", 5, "REGIONAL_SAFE", "EXPANDED", 5),
+        ("s", 6, "FULL_SHIELD", "ERROR", 0), ("s", 7, "FULL_SHIELD", "ERROR", 0), ("s", 8, "REGIONAL_SAFE", "FRESH", 5), ("s", 9, "REGIONAL_SAFE", "CARRIED", 5), ("s", 10, "FULL_SHIELD", "ERROR", 0), ("s", 11, "FULL_SHIELD", "ERROR", 0),
+    ]
+
+
+def test_a_session_of_both_policies_is_the_fold_of_its_rows(spark):
+    """The query's rows are those of the step over each session's rows in order, whatever the partitions."""
+    sf = "/root/testdata/sf0.001"
+    found = sorted(tuple(r) for r in stateful_plans.j4_composition(spark, sf).collect())
+    frames = stateful_plans._frames(spark, sf)
+    windows = policies.Windows(30 * stateful_plans.DAY, 20 * stateful_plans.DAY, 40 * stateful_plans.DAY)
+    events = [(tuple(r), "c") for r in stateful_plans._carry_rows(frames).collect()] + [(tuple(r), "g") for r in stateful_plans._guard_rows(frames).collect()]
+    by_session = {}
+    for row, side in events:
+        by_session.setdefault(row[0], []).append((row, side))
+    wanted = []
+    for session, rows in by_session.items():
+        step = policies.composition_step(policies.carry_step(("TEXT", "BARCODE"), windows), policies.guard_step(windows))
+        waiting = [(r[1], 0, None, r if s == "c" else None, r if s == "g" else None) for r, s in rows if r[2] == 0]
+        faces = {r[12]: r for r, s in rows if s == "g" and r[2] == 1}
+        waiting += [(r[1], 1, r[8], r, faces[r[8]]) for r, s in rows if s == "c" and r[2] == 1]
+        state = policies.composition_start()
+        for at, kind, k, c, g in sorted(waiting, key=lambda x: x[:2]):
+            state, more = step(state, (session, at, kind, k, c, g))
+            wanted += more
+    assert len(found) > 100 and found == sorted(wanted)

@@ -62,26 +62,8 @@ def j4_composition(spark, sf):
     frames = carry.where("kind = 1").drop("g").join(guard.where("kind = 1").select("session", "frame", "g"), ["session", "frame"]).select(*cols, "c", "g")
     rows = carry.where("kind = 0").unionByName(guard.where("kind = 0").select(*cols, F.lit(None).alias("c"), "g")).unionByName(frames)
     windows = p.Windows(30 * DAY, 20 * DAY, 40 * DAY)
-    carry_step, guard_step = p.carry_step(("TEXT", "BARCODE"), windows), p.guard_step(windows)
-    names_c, names_g = rows.schema["c"].dataType.fieldNames(), rows.schema["g"].dataType.fieldNames()
-
-    def step(state, row):
-        a, b = state
-        as_tuple = lambda d, names: tuple(d[n] for n in names)
-        if row[2] == 0:
-            if row[4] is not None:
-                a, _ = carry_step(a, as_tuple(row[4], names_c))
-            else:
-                b, _ = guard_step(b, as_tuple(row[5], names_g))
-            return (a, b), []
-        b, face = guard_step(b, as_tuple(row[5], names_g))
-        if face[0][3] == "FULL_SHIELD":
-            return (p.carry_start() | {"latest": a["latest"]}, b), [(row[0], row[3], "FULL_SHIELD", face[0][4], 0)]
-        a, finding = carry_step(a, as_tuple(row[4], names_c))
-        status, basis, n, _ = p.composed(face[0][3:6], (finding[0][3], finding[0][4]))
-        return (a, b), [(row[0], row[3], status, basis, n)]
-
-    return fold_sorted(rows, "session", ["at", "kind"], lambda: (p.carry_start(), p.guard_start()), step, "session long, frame long, status string, basis string, regions long")
+    step = p.composition_step(p.carry_step(("TEXT", "BARCODE"), windows), p.guard_step(windows))
+    return fold_sorted(rows, "session", ["at", "kind"], p.composition_start, step, "session long, frame long, status string, basis string, regions long")
 
 
 def _detections(spark, sf):

@@ -179,6 +179,40 @@ def composed(face: tuple[str, str, int], finding: tuple[str, int]) -> tuple[str,
     return status, max(basis, finding[0], key=BASIS.index), n + finding[1], False
 
 
+def composition_start() -> tuple[dict, dict]:
+    """State of :func:`composition_step`: that of the finding carry and that of the face policy."""
+    return carry_start(), guard_start()
+
+
+def composition_step(carry, guard):
+    """Both policies over one session (J4). Rows: (session, at, kind, frame, finding, face), the last two a row of ``carry`` and one of ``guard``.
+
+    kind 0 is a snapshot, with the row of the policy that it is for and None for the other; kind 1 is a frame, with both. Out comes (session,
+    frame, status, basis, regions). Under a face shield the findings are not looked at, and what was accepted of them is forgotten; snapshots
+    that wait are kept.
+    """
+    as_tuple = lambda row: tuple(row.values()) if isinstance(row, dict) else tuple(row)
+
+    def step(state: tuple[dict, dict], row: tuple) -> tuple[tuple[dict, dict], list[tuple]]:
+        findings, faces = state
+        session, _, kind, frame, finding, face = row
+        if kind == 0:
+            if finding is not None:
+                findings, _ = carry(findings, as_tuple(finding))
+            else:
+                faces, _ = guard(faces, as_tuple(face))
+            return (findings, faces), []
+        faces, decided = guard(faces, as_tuple(face))
+        if decided[0][3] == "FULL_SHIELD":
+            status, basis, n, _ = composed(decided[0][3:6], ("FRESH", 0))
+            return (carry_start() | {"latest": findings["latest"]}, faces), [(session, frame, status, basis, n)]
+        findings, carried = carry(findings, as_tuple(finding))
+        status, basis, n, _ = composed(decided[0][3:6], carried[0][3:5])
+        return (findings, faces), [(session, frame, status, basis, n)]
+
+    return step
+
+
 def _overlap(a: tuple, b: tuple) -> float:
     w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
     h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
