@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilframe import derive
 from veilframe.functions import phones, tables
 from veilframe.functions import text as t
-from veilframe.operators import evaluate, quality
+from veilframe.operators import evaluate, quality, spans
 from veilframe.plans import evaluation
 from veilframe.plans import stateful as stateful_plans
 from veilframe.sources import records
@@ -254,3 +254,21 @@ def test_a_session_of_both_policies_is_the_fold_of_its_rows(spark):
             state, more = step(state, (session, at, kind, k, c, g))
             wanted += more
     assert len(found) > 100 and found == sorted(wanted)
+
+
+def test_terms_of_sessions_and_their_limits(spark):
+    terms = [("a", "  Foo\u00a0 BAR "), ("a", "\uff21b"), ("a", "foo bar"), ("b", "x\u0001"), ("b", "fine"), ("c", "y" * 65), ("d", None), ("e", " \t "), ("h", "z" * 64), *(("f", f"t{i}") for i in range(33)), *(("g", f"t{i % 32}") for i in range(90)), (None, "loose")]
+    zones = [("a", i) for i in range(8)] + [("h", i) for i in range(9)] + [("only", i) for i in range(9)]
+    raw = spark.createDataFrame(terms, "session string, term string").withColumn("__x", F.lit(1))
+    kept, refused = spans.session_terms(raw, spark.createDataFrame(zones, "session string, term int"))
+    assert {(r.session, r.refusal) for r in refused.collect()} == {("b", "control"), ("c", "length"), ("d", "null"), ("e", "length"), ("f", "terms"), ("h", "zones"), ("only", "zones")}
+    rows = {(r.session, r.term) for r in kept.collect()}
+    assert rows == {("a", "foo bar"), ("a", "ab"), (None, "loose"), *(("g", f"t{i}") for i in range(32))}
+    asked = [(1, "a", "FOO  bar"), (2, "a", "AB"), (3, "b", "fine"), (4, "g", "T31"), (5, "a", "\u0002"), (6, "a", None), (7, None, "loose"), (8, "a", "foo"), (9, "nobody", "ab"), (1, "a", "FOO  bar")]
+    found = spans.configured(spark.createDataFrame(asked, "id int, session string, candidate string").withColumn("term", F.lit("t")), kept)
+    assert sorted((r.id, r.configured, r.refusal) for r in found.collect()) == [
+        (1, True, None), (1, True, None), (2, True, None), (3, False, None), (4, True, None), (5, None, "control"), (6, None, "null"), (7, False, None), (8, False, None), (9, False, None),
+    ]
+    nothing = spark.createDataFrame([], "session string, term string")
+    kept, refused = spans.session_terms(nothing, nothing)
+    assert kept.count() == 0 and refused.count() == 0

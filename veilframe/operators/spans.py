@@ -17,6 +17,8 @@ from veilframe.functions.geometry import let
 
 #: More terms than this are refused, as a session's list is short.
 MOST_TERMS = 32
+MOST_ZONES, MOST_CHARACTERS = 8, 64
+_SPACES = r"[\s\x1c-\x1f\u1680\u2000-\u200a\u2028\u2029\u205f\u3000]+"
 
 
 _UNITS: dict[str, str] = {}
@@ -214,8 +216,42 @@ def _all(docs: DataFrame, key: str, text: str, terms: DataFrame) -> DataFrame:
 
 def normalized_terms(raw: DataFrame) -> DataFrame:
     """Terms in NFKC, lower case and single spaces; those with control characters, or not of 1 to 64 characters, are left out."""
-    term = F.trim(F.regexp_replace(_nfkc_whole("term"), r"[\s\x1c-\x1f\u1680\u2000-\u200a\u2028\u2029\u205f\u3000]+", " "))
-    return raw.select(term.alias("term")).where((F.length("term").between(1, 64)) & ~F.col("term").rlike(r"[\x00-\x1f\x7f-\x9f]")).distinct()
+    return _term_form(raw.select("term"), "term").where("__refusal IS NULL").select(F.col("__term").alias("term")).distinct()
+
+
+def _term_form(rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` with __term, the form in which terms are compared, and __refusal, why it cannot be a term: ``null``, ``control`` or ``length``."""
+    term = F.trim(F.regexp_replace(_nfkc_whole(name), _SPACES, " "))
+    control, fits = F.col("__term").rlike(r"[\x00-\x1f\x7f-\x9f]"), F.length("__term").between(1, MOST_CHARACTERS)
+    return rows.withColumn("__term", term).withColumn("__refusal", F.when(F.col("__term").isNull(), "null").when(control, "control").when(~fits, "length"))
+
+
+def session_terms(terms: DataFrame, zones: DataFrame, session: str = "session") -> tuple[DataFrame, DataFrame]:
+    """Each session's configured terms and what is wrong with the others' configurations: (session, term) and (session, refusal).
+
+    ``terms`` has the session and term, ``zones`` a row for each zone of a session. One bad term (``null``, ``control``, ``length``), more than
+    MOST_TERMS different texts (``terms``) or more than MOST_ZONES zones (``zones``) refuse the whole session, which then has no terms; of
+    several reasons the last by name is given. Repeated rows of a term count once, those of a zone each time. Nothing is gathered in a session:
+    a crowded one is counted, and its terms stay rows.
+    """
+    formed = _term_form(terms.select(session, "term").distinct(), "term")
+    most = lambda n, most, code: F.when(n > most, code)
+    by_terms = formed.groupBy(session).agg(F.greatest(F.max("__refusal"), most(F.count("*"), MOST_TERMS, "terms")).alias("refusal"))
+    by_zones = zones.groupBy(session).agg(most(F.count("*"), MOST_ZONES, "zones").alias("refusal"))
+    refused = by_terms.unionByName(by_zones).where("refusal IS NOT NULL").groupBy(session).agg(F.max("refusal").alias("refusal"))
+    kept = formed.join(refused.select(F.col(session).alias("__s")), F.col(session).eqNullSafe(F.col("__s")), "left_anti")
+    return kept.select(session, F.col("__term").alias("term")).distinct(), refused
+
+
+def configured(candidates: DataFrame, terms: DataFrame, session: str = "session") -> DataFrame:
+    """``candidates`` with configured, whether a session has this very term, and refusal, why a candidate cannot be one (configured is then null).
+
+    ``candidates`` has the session and candidate, ``terms`` is the first table of :func:`session_terms`. A null session has no terms.
+    """
+    formed = _term_form(candidates, "candidate")
+    held = terms.select(F.col(session).alias("__s"), F.col("term").alias("__t"))
+    both = formed.join(held, (F.col(session) == F.col("__s")) & (F.col("__term") == F.col("__t")), "left")
+    return both.withColumns({"configured": F.when(F.col("__refusal").isNull(), F.col("__t").isNotNull()), "refusal": F.col("__refusal")}).drop("__term", "__refusal", "__s", "__t")
 
 
 def collapse_sequences(scores: DataFrame, key: str, symbols: list[str]) -> DataFrame:

@@ -214,6 +214,17 @@ def d9_terms(spark, sf):
     return s.normalized_terms(raw)
 
 
+def d9_sessions(spark, sf):
+    """The sessions' terms looked up by candidates; some sessions have a bad term, too many terms or too many zones."""
+    part = derive.table(spark, sf, "part").selectExpr("p_partkey AS pk", "p_name", "IF(p_partkey % 5 = 0, p_partkey % 4, p_partkey % 150) AS session")
+    terms = part.selectExpr("session", "concat('  ', p_name, IF(pk % 97 = 0, '\u0001', ''), '  X', IF(pk % 89 = 0, repeat('y', 70), '')) AS term")
+    zones = derive.table(spark, sf, "supplier").selectExpr("s_suppkey % 12 AS session", "s_suppkey AS zone")
+    candidates = part.selectExpr("pk", "IF(pk % 7 = 0, session + 1, session) AS session", "concat(upper(p_name), IF(pk % 101 = 0, '\u0007', ' '), 'x') AS candidate")
+    kept, refused = s.session_terms(terms, zones)
+    found = s.configured(candidates, kept)
+    return found.join(refused.withColumnRenamed("refusal", "session_refusal"), "session", "left").select("pk", "session", "configured", "refusal", "session_refusal")
+
+
 def d10_redacted(spark, sf):
     """Digests of whole texts without their structured spans."""
     text = F.col("text")
@@ -508,6 +519,11 @@ ORACLE = {
         s AS (SELECT *, greatest(0, least(1 - w, ("left" + "right") / 2 + ln / 640e0 * el - w / 2)) AS l, greatest(0, least(1 - h, (top + bottom) / 2 + obj / 640e0 * el - h / 2)) AS t FROM q) SELECT frame, obj, round(l, 9) AS "left", round(t, 9) AS top, round(l + w, 9) AS "right", round(t + h, 9) AS bottom FROM s""", "truth_box"),
     "d5_codes": """SELECT doc_id, 'ONE_TIME_CODE' AS category, 22 AS start, 28 AS "end" FROM documents WHERE doc_id % 3 = 0""",
     "d9_terms": "SELECT DISTINCT lower(trim(p_name)) || ' x' AS term FROM part",
+    "d9_sessions": """WITH p AS (SELECT p_partkey AS pk, p_name, CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 4 ELSE p_partkey % 150 END AS session FROM part),
+        t AS (SELECT DISTINCT session, p_name || CASE WHEN pk % 97 = 0 THEN '!' ELSE '' END || CASE WHEN pk % 89 = 0 THEN '?' ELSE '' END AS raw, lower(trim(p_name)) || ' x' AS term, CASE WHEN pk % 97 = 0 THEN 'control' WHEN pk % 89 = 0 THEN 'length' END AS bad FROM p),
+        r AS (SELECT session, max(refusal) AS refusal FROM (SELECT session, bad AS refusal FROM t UNION ALL SELECT session, 'terms' FROM t GROUP BY session HAVING count(DISTINCT raw) > 32 UNION ALL SELECT s_suppkey % 12, 'zones' FROM supplier GROUP BY 1 HAVING count(*) > 8) WHERE refusal IS NOT NULL GROUP BY session),
+        k AS (SELECT DISTINCT session, term FROM t ANTI JOIN r USING (session)), c AS (SELECT pk, CASE WHEN pk % 7 = 0 THEN session + 1 ELSE session END AS session, lower(p_name) || ' x' AS term, CASE WHEN pk % 101 = 0 THEN 'control' END AS refusal FROM p)
+        SELECT pk, c.session, CASE WHEN c.refusal IS NULL THEN k.term IS NOT NULL END AS configured, c.refusal, r.refusal AS session_refusal FROM c LEFT JOIN k ON k.session = c.session AND k.term = c.term LEFT JOIN r ON r.session = c.session""",
     "d20_slices": """WITH f AS (SELECT l_orderkey AS image, bool_or(l_partkey % 90 + 10 <= 20 OR l_suppkey % 90 + 12 <= 20) AS s, bool_or(round(l_tax * 100)::INT % 3 = 2) AS b, bool_or(round(l_discount * 100)::INT % 5 = 2) AS o,
             bool_or(l_linenumber = 6 OR (l_linenumber <> 7 AND l_linenumber // 5 > 0)) AS d FROM lineitem GROUP BY ALL)
         SELECT image, 'small' AS slice FROM f WHERE s UNION ALL SELECT image, 'heavy_blur' FROM f WHERE b UNION ALL SELECT image, 'heavy_occlusion' FROM f WHERE o UNION ALL SELECT image, 'difficult_capture' FROM f WHERE d
@@ -553,5 +569,5 @@ ORACLE = {
         SELECT frame AS location, (obj - 1)::INT AS place, 'category' AS code FROM d WHERE ln = 6 UNION ALL SELECT frame, (obj - 1)::INT, 'polygon' FROM d WHERE ln = 2 OR ln = 3 AND "right" + 0.9::DOUBLE > 1 UNION ALL SELECT frame, (obj - 1)::INT, 'visibility' FROM d WHERE ln > 5
         UNION ALL SELECT frame, (obj - 1)::INT, 'objectId' FROM d WHERE oid = '!' OR length(oid) < 3 UNION ALL SELECT frame, (obj - 1)::INT, 'duplicate' FROM d WHERE k > 1 AND length(oid) >= 3 UNION ALL SELECT frame, (obj - 1)::INT, 'role' FROM d WHERE pk % 8 = 0""", "truth_box"),
 }
-QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, l6_cells, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d4_numbers, d20_slices, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
+QUERIES = {f.__name__: f for f in (c1_boxes, c2_rect_pairs, c11_polygons, c14_point_in_polygon, c15_raster, l6_cells, c16_matrices, c19_transforms, c22_turned, c23_codes, c24_boxes, c27_predicted, c29_masks, c29_shields, d2_emails, d3_cards, d4_phones, d4_numbers, d20_slices, d5_codes, d5_text_codes, d1_normal, d6_watchlist, d7_all_spans, d7_refused, d8_listed, d9_terms, d9_sessions, d10_redacted, d11_sequences, d12_strings, d21_patterns, d22_means,
     b1_keys, b2_forbidden, b3_manifest, b6_groups, b7_blocks, b8_public, b9_synthetic, b10_captures, b11_manifest, b11_report, b12_frames, b13_objects, b14_gate, b15_states, b17_id_lists, b18_roles, b18_faces, b19_lanes, b20_boxes, b21_rules, b23_endpoints, b24_masked, b25_dismissible)}
