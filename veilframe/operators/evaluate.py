@@ -145,8 +145,11 @@ def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
     return best.select("frame", "obj", "pred", (F.col("inter") / F.col("t_area")).alias("coverage"), ((F.col("p_area") - F.col("inter")) / F.col("p_area")).alias("excess"))
 
 
-def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by: str) -> DataFrame:
-    """Targets of a frame in order, each taking the unused finding of largest overlap; ties take the highest finding."""
+def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by: str, *more: str) -> DataFrame:
+    """Targets of a frame in order, each taking the unused finding of largest overlap; ties take the highest finding.
+
+    ``more`` names further columns to keep.
+    """
 
     def take(state: tuple[set, set], row: tuple) -> tuple[tuple[set, set], list[tuple]]:
         served, used = state
@@ -156,17 +159,22 @@ def sequential_best(pairs: DataFrame, frame: str, target: str, finding: str, by:
         used.add(row[2])
         return state, [row]
 
-    kept = pairs.select(frame, target, finding, by).where(F.col(by) > 0)
+    kept = pairs.select(frame, target, finding, by, *more).where(F.col(by) > 0)
     return fold_sorted(kept, frame, [target, F.desc(by), F.desc(finding)], lambda: (set(), set()), take, kept.schema)
 
 
-def _bit_rows(objects: DataFrame, grid: int, *keep: str) -> DataFrame:
-    """A row for each grid row of each object, its cells as words of bits; an object's corners must be in the unit square."""
-    return objects.select("frame", *keep, F.explode(g.bit_rows(F.col("poly"), grid)).alias("__r")).select("frame", *keep, F.col("__r.y").alias("y"), F.col("__r.words").alias("words"))
+def _matches(targets: DataFrame, findings: DataFrame, grid: int) -> DataFrame:
+    """The pairs of :func:`cell_matches`, with the words that both have from their first common row, top, on.
 
-
-def _both(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+    Objects are rows with a mask each, and no plan has a row for each of their grid rows before it is known which pairs are taken.
+    """
+    t = targets.select("frame", "obj", "category", g.mask(F.col("poly"), grid).alias("__t"))
+    p = findings.select("frame", "pred", "p_category", g.mask(F.col("poly"), grid).alias("__p"))
+    # Two inequalities and not an equality: the frame alone stays the join's key, by which the objects may lie already.
+    same = (F.col("category") <= F.col("p_category")) & (F.col("category") >= F.col("p_category"))
+    met = t.join(p, "frame").where(same & (F.col("__t.top") <= F.col("__p.bottom")) & (F.col("__p.top") <= F.col("__t.bottom")))
+    both = met.select("frame", "obj", "pred", g.shared_cells(F.col("__t"), F.col("__p"), grid).alias("__s"))
+    return both.select("frame", "obj", "pred", F.col("__s.n").alias("cells"), F.col("__s.top").alias("top"), F.col("__s.words").alias("words"))
 
 
 def cell_matches(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
@@ -174,30 +182,41 @@ def cell_matches(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) ->
 
     ``targets`` has frame, obj, category and poly; ``findings`` frame, pred, p_category and poly.
     """
-    t, p = _bit_rows(targets, grid, "obj", "category"), _bit_rows(findings, grid, "pred", "p_category").withColumnsRenamed({"words": "p_words", "p_category": "category"})
-    met = t.join(p, ["frame", "y", "category"]).select("frame", "obj", "pred", g.bits(_both(F.col("words"), F.col("p_words"))).alias("n"))
-    return sequential_best(met.where("n > 0").groupBy("frame", "obj", "pred").agg(F.sum("n").alias("cells")), "frame", "obj", "pred", "cells")
+    return sequential_best(_matches(targets, findings, grid), "frame", "obj", "pred", "cells")
 
 
-def mask_rows(masks: dict[str, DataFrame], grid: int = g.GRID) -> DataFrame:
-    """(frame, y) and, for each named mask, the union of its objects' cells in that row as words (I4).
+def _unions(parts: dict[str, DataFrame], grid: int) -> DataFrame:
+    """(frame, slot) and, for each named part, the union of its objects' words there and how many objects it has, each counted in one slot (I4).
 
-    ``masks`` has rows (frame, y, words). Words are or-ed map-side, so a crowded frame sends a row for each grid row.
+    Parts have rows (frame, top, words); words may be null. An object is sent to its frame's task as one row and taken apart there, so a grid row
+    is never moved. A slot is a word of a grid row.
     """
-    n, zero = -(-grid // 64), F.lit(0).cast("bigint")
-    each = [rows.select("frame", "y", *((F.get("words", i) if own == name else zero).alias(f"{name}_{i}") for name in masks for i in range(n))) for own, rows in masks.items()]
-    joined = reduce(DataFrame.unionByName, each).groupBy("frame", "y").agg(*(F.bit_or(f"{name}_{i}").alias(f"{name}_{i}") for name in masks for i in range(n)))
-    return joined.select("frame", "y", *(F.array(*(F.col(f"{name}_{i}") for i in range(n))).alias(name) for name in masks))
+    names, width = list(parts), -(-grid // 64)
+    each = [rows.select("frame", F.lit(i).alias("part"), "top", "words") for i, rows in enumerate(parts.values())]
+    apart = reduce(DataFrame.unionByName, each).repartition("frame").select("frame", "part", "top", F.posexplode_outer("words").alias("i", "word"))
+    slot = (F.coalesce(F.col("top") * width + F.col("i"), F.lit(0))).alias("slot")
+    own = lambda k, value: F.when(F.col("part") == k, value).otherwise(F.lit(0).cast("bigint"))
+    words = [own(k, F.coalesce("word", F.lit(0).cast("bigint"))).alias(name) for k, name in enumerate(names)]
+    counts = [own(k, F.when(F.coalesce("i", F.lit(0)) == 0, F.lit(1).cast("bigint")).otherwise(0)).alias(f"n_{name}") for k, name in enumerate(names)]
+    return apart.select("frame", slot, *words, *counts).groupBy("frame", "slot").agg(*(F.bit_or(n).alias(n) for n in names), *(F.sum(f"n_{n}").alias(f"n_{n}") for n in names))
+
+
+def _masked(objects: DataFrame, grid: int) -> DataFrame:
+    return objects.select("frame", g.mask(F.col("poly"), grid).alias("__m")).select("frame", "__m.top", "__m.words")
+
+
+def _n(words: Column) -> Column:
+    return F.sum(F.bit_count(words))
 
 
 def mask_sets(a: DataFrame, b: DataFrame, grid: int = g.GRID) -> DataFrame:
     """Per frame, the cells of the union, the intersection and the differences of two masks, each the union of its objects (I4).
 
-    ``a`` and ``b`` have frame and poly.
+    ``a`` and ``b`` have frame and poly. Frames without a cell are left out.
     """
-    rows = mask_rows({"a": _bit_rows(a, grid), "b": _bit_rows(b, grid)}, grid)
-    counts = rows.groupBy("frame").agg(*(F.sum(g.bits(F.col(x))).alias(x) for x in ("a", "b")), F.sum(g.bits(_both(F.col("a"), F.col("b")))).alias("both"))
-    return counts.select("frame", (F.col("a") + F.col("b") - F.col("both")).alias("union_cells"), F.col("both").alias("shared_cells"), (F.col("a") - F.col("both")).alias("only_a"), (F.col("b") - F.col("both")).alias("only_b"))
+    a_, b_ = F.col("a"), F.col("b")
+    rows = _unions({"a": _masked(a, grid).where("words IS NOT NULL"), "b": _masked(b, grid).where("words IS NOT NULL")}, grid)
+    return rows.groupBy("frame").agg(_n(a_.bitwiseOR(b_)).alias("union_cells"), _n(a_.bitwiseAND(b_)).alias("shared_cells"), _n(a_.bitwiseAND(F.bitwise_not(b_))).alias("only_a"), _n(b_.bitwiseAND(F.bitwise_not(a_))).alias("only_b"))
 
 
 def raster_counts(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -> DataFrame:
@@ -205,16 +224,13 @@ def raster_counts(targets: DataFrame, findings: DataFrame, grid: int = g.GRID) -
 
     Covered is the union of what the matched pairs share. Cells are bits of grid rows, and no plan has a row for each cell.
     """
-    taken = cell_matches(targets, findings, grid)
-    t, p = _bit_rows(targets, grid, "obj"), _bit_rows(findings, grid, "pred")
-    covered = taken.select("frame", "obj", "pred").join(t, ["frame", "obj"]).join(p.withColumnRenamed("words", "p_words"), ["frame", "pred", "y"]).select("frame", "y", _both(F.col("words"), F.col("p_words")).alias("words"))
-    rows = mask_rows({"t": t, "p": p, "c": covered}, grid)
-    n = lambda words: F.sum(g.bits(words))
-    counts = rows.groupBy("frame").agg(n(F.col("t")).alias("truth_cells"), n(F.col("c")).alias("covered_cells"), n(F.col("p")).alias("predicted_cells"), n(_both(F.col("p"), F.transform("t", F.bitwise_not))).alias("excess_cells"))
-    tally = lambda df, name: df.groupBy("frame").agg(F.count("*").alias(name))
-    out = tally(targets, "targets").join(tally(findings, "findings"), "frame", "full").join(tally(taken, "recalled"), "frame", "left").join(counts, "frame", "full")
-    names = ("targets", "recalled", "truth_cells", "covered_cells", "predicted_cells", "excess_cells", "findings")
-    return out.fillna({c: 0 for c in names}).select("frame", *names, (F.coalesce("findings", F.lit(0)) - F.coalesce("recalled", F.lit(0))).alias("false_positives"))
+    taken = sequential_best(_matches(targets, findings, grid), "frame", "obj", "pred", "cells", "top", "words")
+    rows = _unions({"t": _masked(targets, grid), "p": _masked(findings, grid), "c": taken.select("frame", "top", "words")}, grid)
+    t, p, c = (F.col(x) for x in "tpc")
+    counts = rows.groupBy("frame").agg(
+        F.sum("n_t").alias("targets"), F.sum("n_c").alias("recalled"), _n(t).alias("truth_cells"), _n(c).alias("covered_cells"), _n(p).alias("predicted_cells"), _n(p.bitwiseAND(F.bitwise_not(t))).alias("excess_cells"), F.sum("n_p").alias("findings"),
+    )
+    return counts.withColumn("false_positives", F.col("findings") - F.col("recalled"))
 
 
 def suite_report(frames: DataFrame, grid: int = g.GRID) -> DataFrame:
