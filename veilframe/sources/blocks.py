@@ -12,11 +12,12 @@ stand between blocks only. Null lines are blank. An empty table gives no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from veilframe.streaming.folds import fold_sorted
@@ -52,13 +53,13 @@ def _long(n: int | None) -> int:
     return -1 if n is None or n < 0 else min(n, (1 << 62) - 1)
 
 
-def chunk_map(at: list[int], raw: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def chunk_map(at: list[int], raw: list[str | None]) -> tuple[list[int], list[int], list[int]]:
     """For each line at which a name may be due: the state after the chunk, where the last name then stands (-1: none) and its count (-1: not read here).
 
     Worked out from the last line to the first, as a block leads to the line behind it.
     """
     n = len(raw)
-    state, last, declared = np.zeros(n + 1, dtype=np.int64), np.full(n + 1, -1, dtype=np.int64), np.full(n + 1, -1, dtype=np.int64)
+    state, last, declared = [0] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
     for i in range(n - 1, -1, -1):
         if not _name(raw[i]):
             state[i], last[i], declared[i] = state[i + 1], last[i + 1], declared[i + 1]
@@ -82,11 +83,39 @@ def chunk_map(at: list[int], raw: list[str | None]) -> tuple[np.ndarray, np.ndar
     return state, last, declared
 
 
-def _maps(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("at", kind="stable")
-    state, last, declared = chunk_map(rows["at"].tolist(), rows["raw"].tolist())
-    first = _long(whole_number(rows["raw"].iat[0] or ""))
-    return pd.DataFrame([(rows["file"].iat[0], rows["chunk"].iat[0], len(rows), first, state.tobytes(), last.tobytes(), declared.tobytes())], columns=["file", "chunk", "n", "first", "state", "last", "declared"])
+def _made_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*out) if out else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+MAPS = "file string, chunk long, n long, first long, state binary, last binary, declared binary"
+_MAPS_SCHEMA = pa.schema({"file": pa.string(), **{c: pa.int64() for c in ("chunk", "n", "first")}, **{c: pa.binary() for c in ("state", "last", "declared")}})
+_LABELLED_SCHEMA = pa.schema([("file", pa.string()), ("at", pa.int64()), ("kind", pa.string()), *((c, pa.int64()) for c in ("block", "declared", "box")), ("name", pa.string()), ("values", pa.list_(pa.int64())), ("error", pa.string())])
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of sorted lines; many small chunks pass in one batch, and one chunk alone is held."""
+    now, at, raw, out, size = None, [], [], [], 0
+
+    def made() -> tuple:
+        state, last, declared = (np.array(x, dtype=np.int64).tobytes() for x in chunk_map(at, raw))
+        return (*now, len(raw), _long(whole_number(raw[0] or "")), state, last, declared)
+
+    for batch in batches:
+        for file, chunk, place, text in zip(*(batch.column(c).to_pylist() for c in ("file", "chunk", "at", "raw"))):
+            if (file, chunk) != now:
+                if raw:
+                    out.append(made())
+                    size += len(raw)
+                    if size >= CHUNK:
+                        yield _made_of(out, _MAPS_SCHEMA)
+                        out, size = [], 0
+                now, at, raw = (file, chunk), [], []
+            at.append(place)
+            raw.append(text)
+    if raw:
+        out.append(made())
+    yield _made_of(out, _MAPS_SCHEMA)
 
 
 def _enter(now: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], list[tuple]]:
@@ -106,40 +135,42 @@ def _enter(now: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int],
     return (due, block, declared), out
 
 
-def _label(rows: pd.DataFrame) -> pd.DataFrame:
-    """The lines of a chunk, read from the state in which it is entered."""
-    rows = rows.sort_values("at", kind="stable")
-    due, block, declared = (int(rows[c].iat[0]) for c in ("due", "block", "declared"))
-    file, out = rows["file"].iat[0], []
-    left = due if due > 0 else 0  # rows of the open block that are still due
-    waits = due == COUNT
-    for at, raw in zip(rows["at"].tolist(), rows["raw"].tolist()):
-        text = raw or ""
-        if due == LOST:
-            break
-        if waits:
-            count, waits = whole_number(text), False
-            declared = _long(count)
-            error = "count" if count is None else "negative" if count < 0 else None
-            out.append((file, at, "count", block, declared, None, None, None, error))
-            if error:
-                due = LOST
-            left = max(declared, 1)
-        elif left:
-            fields = text.split()
-            if declared == 0:
-                out.append((file, at, "placeholder", block, declared, None, None, None, None if fields == ["0"] * len(FIELDS) else "placeholder"))
-            else:
-                values = [whole_number(x) for x in fields[: len(FIELDS)]]
-                values = [x if x is None or -(1 << 63) <= x < 1 << 63 else None for x in values]
-                error = "fields" if len(fields) < len(FIELDS) else "integer" if None in values else None
-                out.append((file, at, "box", block, declared, declared - left + 1, None, values, error))
-            left -= 1
-        elif name := _name(text):
-            block, declared, waits, safe = at, -1, True, safe_name(name)
-            out.append((file, at, "name", block, None, None, safe or name, None, None if safe else "name"))
-    frame = pd.DataFrame(out, columns=["file", "at", "kind", "block", "declared", "box", "name", "values", "error"])
-    return frame.astype({"declared": "Int64", "box": "Int64"})
+def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines of chunks, each read from the state in which it is entered; that state is the first row of a chunk."""
+    file, due, block, declared, left, waits = None, LOST, -1, -1, 0, False
+    for batch in batches:
+        out = []
+        for file, entered, at, raw, *state in zip(*(batch.column(c).to_pylist() for c in ("file", "entered", "at", "raw", "due", "block", "declared"))):
+            if entered:
+                due, block, declared = state
+                left = max(due, 0)  # rows of the open block that are still due
+                waits = due == COUNT
+                continue
+            if due == LOST:
+                continue
+            text = raw or ""
+            if waits:
+                count, waits = whole_number(text), False
+                declared = _long(count)
+                error = "count" if count is None else "negative" if count < 0 else None
+                out.append((file, at, "count", block, declared, None, None, None, error))
+                if error:
+                    due = LOST
+                left = max(declared, 1)
+            elif left:
+                fields = text.split()
+                if declared == 0:
+                    out.append((file, at, "placeholder", block, declared, None, None, None, None if fields == ["0"] * len(FIELDS) else "placeholder"))
+                else:
+                    values = [whole_number(x) for x in fields[: len(FIELDS)]]
+                    values = [x if x is None or -(1 << 63) <= x < 1 << 63 else None for x in values]
+                    error = "fields" if len(fields) < len(FIELDS) else "integer" if None in values else None
+                    out.append((file, at, "box", block, declared, declared - left + 1, None, values, error))
+                left -= 1
+            elif name := _name(text):
+                block, declared, waits, safe = at, -1, True, safe_name(name)
+                out.append((file, at, "name", block, None, None, safe or name, None, None if safe else "name"))
+        yield _made_of(out, _LABELLED_SCHEMA)
 
 
 def block_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -148,16 +179,23 @@ def block_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     ``lines`` has file, at and raw; ``at`` ascends in a file. A block is known by where its name stands.
     """
     dealt = lines.select("file", F.col("at").cast("long").alias("at"), "raw", F.floor(F.col("at") / chunk).cast("long").alias("chunk"))
-    maps = dealt.groupBy("file", "chunk").applyInPandas(_maps, "file string, chunk long, n long, first long, state binary, last binary, declared binary")
+    maps = dealt.repartition("file", "chunk").sortWithinPartitions("file", "chunk", "at").mapInArrow(_maps, MAPS)
     entered = fold_sorted(maps, "file", ["chunk"], lambda: (0, -1, -1), _enter, "file string, chunk long, due long, block long, declared long")
-    return dealt.join(entered, ["file", "chunk"]).groupBy("file", "chunk").applyInPandas(_label, LABELLED)
+    none = F.lit(None).cast("long")
+    both = entered.select("file", "chunk", F.lit(True).alias("entered"), none.alias("at"), F.lit(None).cast("string").alias("raw"), "due", "block", "declared")
+    both = both.unionByName(dealt.select("file", "chunk", F.lit(False).alias("entered"), "at", "raw", *(none.alias(c) for c in ("due", "block", "declared"))))
+    return both.repartition("file", "chunk").sortWithinPartitions("file", "chunk", F.desc("entered"), "at").mapInArrow(_label, LABELLED)
+
+
+def _in_block() -> WindowSpec:
+    """Rows of a block from its name, which is its first line, to each line; the frame runs, so a block of any length passes."""
+    return Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def block_text(lines: DataFrame, chunk: int = CHUNK, labelled: DataFrame | None = None) -> DataFrame:
     """The boxes: file, filename, block, declared, box number and the ten fields, null where a field is missing or no number."""
     labelled = block_lines(lines, chunk) if labelled is None else labelled
-    names = labelled.where("kind = 'name'").select("file", "block", F.col("name").alias("filename"))
-    boxes = labelled.where("kind = 'box'").join(names, ["file", "block"])
+    boxes = labelled.withColumn("filename", F.first("name").over(_in_block())).where("kind = 'box'")
     return boxes.select("file", "filename", "block", F.col("declared").try_cast("int").alias("declared"), F.col("box").try_cast("int").alias("box"), *(F.get("values", F.lit(i)).try_cast("int").alias(n) for i, n in enumerate(FIELDS)))
 
 
@@ -169,12 +207,12 @@ def block_errors(labelled: DataFrame) -> DataFrame:
     wrong row of zeros, ``truncated`` fewer boxes than declared, ``fields`` and ``integer`` a box of less than ten fields or with
     a field that is no whole number.
     """
-    names = labelled.where("kind = 'name'").select("file", "block", F.col("name").alias("filename"))
-    own = labelled.where("error IS NOT NULL").select("file", "block", "at", F.col("error").alias("code"))
-    seen = names.withColumn("k", F.row_number().over(Window.partitionBy("file", "filename").orderBy("block")))
-    again = seen.where("k > 1").select("file", "block", F.col("block").alias("at"), F.lit("duplicate").alias("code"))
-    rows = F.count_if(F.col("kind").isin("box", "placeholder"))
-    blocks = labelled.groupBy("file", "block").agg(rows.alias("rows"), F.max("at").alias("at"), F.max(F.when(F.col("kind") == "count", F.col("declared"))).alias("declared"))
+    rows, declared = F.count_if(F.col("kind").isin("box", "placeholder")), F.max(F.when(F.col("kind") == "count", F.col("declared")))
+    seen = labelled.select("file", "block", "at", "kind", "error", F.first("name").over(_in_block()).alias("filename"), rows.over(_in_block()).alias("rows"), declared.over(_in_block()).alias("declared"), F.lead("at").over(Window.partitionBy("file", "block").orderBy("at")).alias("next"))
     short = F.when(F.col("declared").isNull(), "no_count").when((F.col("declared") == 0) & (F.col("rows") == 0), "no_placeholder").when(F.col("rows") < F.col("declared"), "truncated")
-    ends = blocks.select("file", "block", "at", short.alias("code")).where("code IS NOT NULL")
-    return own.unionByName(again).unionByName(ends).join(names, ["file", "block"]).select("file", "filename", "at", "code")
+    # A name goes on without a code too, as it may be a duplicate.
+    codes = F.array_compact(F.array("error", F.when(F.col("next").isNull(), short), F.when(F.col("kind") == "name", "")))
+    found = seen.select("file", "filename", "block", "at", F.explode(codes).alias("code"))
+    order = Window.partitionBy("file", "filename", F.col("code") == "").orderBy("block")
+    counted = found.withColumn("k", F.when(F.col("code") == "", F.row_number().over(order)))
+    return counted.where("code <> '' OR k > 1").select("file", "filename", "at", F.when(F.col("code") == "", "duplicate").otherwise(F.col("code")).alias("code"))
