@@ -14,10 +14,21 @@ from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 CELLS = "veilframe_cells"
 
 
+def _row(height: float, grid: int) -> int:
+    """The first row whose center is at or below a height; ``grid`` where none is."""
+    y = min(grid, max(0, math.ceil(height * grid - 0.5)))
+    while y and (y - 0.5) / grid >= height:
+        y -= 1
+    while y < grid and (y + 0.5) / grid < height:
+        y += 1
+    return y
+
+
 class Cells:
-    """Runs of cells whose center lies in a polygon, row by row, as (y, first, last): ``LATERAL veilframe_cells(polygon, grid)``.
+    """Runs of cells whose center lies in a polygon, as (y, first, last, height): ``LATERAL veilframe_cells(polygon, grid)``.
 
-    A run is a row, so that a polygon sends as many rows as it is high and not as it is large; ``explode(sequence(first, last))`` makes cells.
+    ``height`` rows from y on have the run from first to last. Where a polygon's sides are upright, its rows are one run, so a box sends a
+    single row; elsewhere a polygon sends as many as it is high. ``explode(sequence(...))`` of both makes cells.
 
     A polygon is an array of points, each an array of two numbers of the unit square. A null polygon, or one of fewer than two points, has
     no cells; a grid that is no positive constant is refused when the query is analyzed.
@@ -30,20 +41,30 @@ class Cells:
             raise ValueError("a polygon is an array of points, each an array of two numbers")
         if not (grid.isConstantExpression and isinstance(grid.value, int) and grid.value > 0):
             raise ValueError("the grid is a positive whole constant")
-        return AnalyzeResult(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "first", "last")]))
+        return AnalyzeResult(T.StructType([T.StructField(c, T.IntegerType()) for c in ("y", "first", "last", "height")]))
 
-    def eval(self, polygon: list[list[float]] | None, grid: int) -> Iterator[tuple[int, int, int]]:
+    def eval(self, polygon: list[list[float]] | None, grid: int) -> Iterator[tuple[int, int, int, int]]:
         if polygon is None or len(polygon) < 2:
             return
-        edges = list(zip(polygon, polygon[1:] + polygon[:1]))
-        heights = [p[1] for p in polygon]
-        for y in range(max(0, math.floor(min(heights) * grid)), min(grid - 1, math.ceil(max(heights) * grid)) + 1):
-            at = (y + 0.5) / grid
-            crossed = sorted((b[0] - a[0]) * (at - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges if (a[1] > at) != (b[1] > at))
-            for left, right in zip(crossed[::2], crossed[1::2]):
-                first, behind = max(0, math.ceil(left * grid - 0.5)), min(grid, math.ceil(right * grid - 0.5))
-                if first < behind:
-                    yield y, first, behind - 1
+        rows = {y: _row(y, grid) for y in {p[1] for p in polygon}}
+        sides, bands, (x, y) = [], set(), polygon[-1]
+        for x2, y2 in polygon:
+            top, behind = rows[y], rows[y2]
+            if top != behind:
+                sides.append((top, behind, x, y, x2, y2) if top < behind else (behind, top, x, y, x2, y2))
+                bands |= {top, behind}
+            x, y = x2, y2
+        bands = sorted(bands)
+        for top, behind in zip(bands, bands[1:]):
+            across = [side for side in sides if side[0] <= top < side[1]]
+            upright = all([side[2] == side[4] for side in across])
+            for now in range(top, behind, behind - top if upright else 1):
+                at = (now + 0.5) / grid
+                crossed = sorted([(x2 - x) * (at - y) / (y2 - y) + x for _, _, x, y, x2, y2 in across])
+                for k in range(0, len(crossed), 2):
+                    first, end = max(0, math.ceil(crossed[k] * grid - 0.5)), min(grid, math.ceil(crossed[k + 1] * grid - 0.5))
+                    if first < end:
+                        yield now, first, end - 1, behind - top if upright else 1
 
 
 def register(spark: SparkSession) -> None:
