@@ -6,9 +6,11 @@ import random
 import pandas as pd
 import pyarrow as pa
 
+from pyspark.sql import functions as F
+
 from veilframe.functions import rasters
 from veilframe.functions.tables import Cells
-from veilframe.operators import evaluate
+from veilframe.operators import evaluate, manifests, quality
 
 
 def test_few_tries_find_all_faults(spark):
@@ -48,3 +50,18 @@ def test_runs_of_a_box_are_one_row():
     for shape, wanted in zip([*shapes, box], found):
         made = [r * grid + x for y, first, last, height in Cells().eval(shape, grid) for r in range(y, y + height) for x in range(first, last + 1)]
         assert sorted(made) == wanted
+
+
+def test_banned_keys_with_and_without_escapes(spark):
+    banned = sorted(quality.BANNED)[0]
+    odd, escaped = banned.upper()[:1] + "-_ " + banned[1:], "\\u%04x" % ord(banned[0]) + banned[1:]
+    texts = ['{"%s": 1, "a": {"b": [{"%s": 2}]}}' % (odd, banned), '{"%s": 1}' % escaped, '{"a": "%s"}' % banned, "", None]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, json string").select("i", quality.banned_keys(F.col("json")).alias("k")).collect()
+    assert [x.k for x in sorted(got)] == [[banned], [banned], [], [], None]
+
+
+def test_a_manifest_is_parsed_once(spark):
+    records = spark.range(3).select(F.col("id").alias("line"), F.concat(F.lit('{"a": '), "id", F.lit("}")).alias("json"))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString().lower()
+    parse = "from_json(structfield(schemaversion"
+    assert parse in plan(manifests.parsed(records)) and parse not in plan(manifests.report(records, "2024-05-01"))

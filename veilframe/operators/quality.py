@@ -77,12 +77,13 @@ def banned_keys(json: Column) -> Column:
 
     The record is parsed and written again, so that every key stands right before its colon; the strings of the record are then read one
     after the other, which needs no recursion. What the parser refuses (repeated keys, text that is no JSON) is read as it is. Each key's
-    escapes are decoded by itself.
+    escapes are decoded by itself, where it has any.
     """
     plain = F.coalesce(F.to_json(F.try_parse_json(json)), json)
     strings = F.regexp_extract_all(plain, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
     keys = F.transform(F.filter(strings, lambda s: s.endswith(":")), lambda k: F.regexp_replace(k, r"\s*:\z", ""))
-    decoded = F.transform(keys, lambda k: F.coalesce(F.get(F.from_json(F.concat(F.lit("["), k, F.lit("]")), "array<string>"), 0), F.regexp_replace(k, r"\\(?:u[0-9A-Fa-f]{4}|.)", "")))
+    read = lambda k: F.coalesce(F.get(F.from_json(F.concat(F.lit("["), k, F.lit("]")), "array<string>"), 0), F.regexp_replace(k, r"\\(?:u[0-9A-Fa-f]{4}|.)", ""))
+    decoded = F.transform(keys, lambda k: F.when(F.contains(k, F.lit("\\")), read(k)).otherwise(k))
     bare = F.transform(decoded, lambda k: F.regexp_replace(F.lower(k), r"[^a-z0-9]", ""))
     return F.array_distinct(F.array_intersect(bare, F.lit(list(BANNED))))
 
