@@ -8,9 +8,17 @@ from pyspark.sql import functions as F
 from veilframe.functions import geometry as g
 from veilframe.functions import text as t
 
-def coco_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Images, categories and annotations of COCO files."""
-    doc = spark.read.json(path, multiLine=True)
+
+#: The fields of COCO files; a segmentation, of whichever form, stays JSON text.
+COCO = "images array<struct<id:{0},file_name:string,width:double,height:double>>, categories array<struct<id:{0},name:string>>, annotations array<struct<id:{0},image_id:{0},category_id:{0},bbox:array<double>,area:double,iscrowd:int,segmentation:string>>"
+
+
+def coco_tables(spark: SparkSession, path: str, ids: str = "long") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, categories and annotations of COCO files (A6); ``ids`` is the type of their ids.
+
+    The fields are given, so that no pass looks for them, and a table's pass skips what the other tables hold.
+    """
+    doc = spark.read.schema(COCO.format(ids)).json(path, multiLine=True)
     return tuple(doc.select(F.explode(part).alias("v")).select("v.*") for part in ("images", "categories", "annotations"))
 
 
