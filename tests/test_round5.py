@@ -30,3 +30,8 @@ def test_coco_files_are_read_without_a_pass_for_their_fields(spark, tmp_path):
     assert sorted((x.id, x.file_name, x.width, x.height) for x in images.collect()) == [(0, "0.jpg", 640, 480), (1, "1.jpg", 640, 480), (9, "9.jpg", 1, 1)]
     assert [tuple(x) for x in categories.distinct().collect()] == [(7, "c")]
     assert sorted((x.id, x.image_id, x.bbox, str(json.loads(x.segmentation))) for x in notes.collect()) == [(2**40, 0, [1, 2, 3, 4], "{'counts': 'a'}"), (2**40 + 1, 1, [0.5, 0, 1000, 1], "[[1, 2]]")]
+
+
+def test_sides_of_a_code_are_worked_out_once():
+    code = str(g.code_bounds(g.code_polygon(F.col("p"), F.col("q")), F.col("m")))
+    assert code.count("array_min") == code.count("array_max") == 4
