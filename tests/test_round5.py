@@ -35,3 +35,20 @@ def test_coco_files_are_read_without_a_pass_for_their_fields(spark, tmp_path):
 def test_sides_of_a_code_are_worked_out_once():
     code = str(g.code_bounds(g.code_polygon(F.col("p"), F.col("q")), F.col("m")))
     assert code.count("array_min") == code.count("array_max") == 4
+
+
+def test_boxes_that_lie_by_frame_are_paired_in_place(spark):
+    plan = _plan(evaluation.e7_overlap_pairs(spark, SMALL))
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(l_orderkey") > 0
+
+
+def test_crowded_frames_are_matched_as_others_are(spark):
+    rng = random.Random(5)
+    box = lambda: (x := rng.randrange(50) / 64, y := rng.randrange(50) / 64, x + rng.randrange(1, 14) / 64, y + rng.randrange(1, 14) / 64)
+    rows = [(f, o, *box()) for f, n in ((1, 3), (2, 90), (3, 1), (4, 30)) for o in range(n)]
+    truth = spark.createDataFrame(rows, "frame long, obj int, left double, top double, right double, bottom double")
+    preds = spark.createDataFrame([(f, o, *box()) for f, o, *_ in rows if o % 5 != 4] + [(9, 1, *box())], "frame long, pred int, p_left double, p_top double, p_right double, p_bottom double")
+    counted = evaluate.sizes(truth, preds, "frame")
+    assert sorted((x.frame, x.a, x.b) for x in counted.collect()) == [(1, 3, 3), (2, 90, 72), (3, 1, 1), (4, 30, 24), (9, 0, 1)]
+    got = [sorted(tuple(x) for x in evaluate.one_to_one(truth, preds, evaluate.overlap_pairs(truth, preds, counted=c), "iou", "contained", most=m, counted=c).collect()) for m in (1 << 20, 12, 0) for c in (None, counted)]
+    assert got[0] and all(x == got[0] for x in got)

@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
-from veilframe.operators.relations import meeting, nearest_monotonic
-from veilframe.shared import cut
+from veilframe.operators.relations import meeting, nearest_monotonic, sizes
+from veilframe.shared import kept as keep
 from veilframe.streaming.folds import fold_sorted
 
 #: A frame that may have more pairs than this is matched by rounds over many tasks.
@@ -48,10 +48,10 @@ def image_slices(objects: DataFrame, image: str) -> DataFrame:
     return each.select(image, F.explode(slice_labels(*(F.col(f"__{i}") for i in range(4)))).alias("slice"))
 
 
-def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, padding: float = 0.25) -> DataFrame:
-    """Pairs in one frame whose overlap is enough or whose padded prediction holds the truth."""
+def overlap_pairs(truth: DataFrame, preds: DataFrame, least_iou: float = 0.20, padding: float = 0.25, counted: DataFrame | None = None) -> DataFrame:
+    """Pairs in one frame whose overlap is enough or whose padded prediction holds the truth (E7); ``counted`` are the sizes of both by frame."""
     t, p = Rect.of(), Rect.of("p_")
-    both = meeting(truth, preds, "frame", t, g.expand(p, padding)).withColumns({"iou": g.iou(t, p), "contained": g.contains_rect(g.expand(p, padding), t)})
+    both = meeting(truth, preds, "frame", t, g.expand(p, padding), counted=counted).withColumns({"iou": g.iou(t, p), "contained": g.contains_rect(g.expand(p, padding), t)})
     return both.where((F.col("iou") >= least_iou) | F.col("contained"))
 
 
@@ -83,31 +83,32 @@ def dominant_pairs(pairs: DataFrame, frame: str, truth: str, pred: str, by: str,
     """
     kept = pairs.select(frame, truth, pred, by, *more)
     order = F.struct((-F.col(by)).alias("__by"), truth, pred, by, *more)
-    left = cut(kept)
+    left = keep(kept)
     size, taken = left.count(), []
     while size:
         of_truth = left.groupBy(frame, truth).agg(F.min(order).alias("__b")).select(frame, *(F.col(f"__b.{c}").alias(c) for c in (truth, pred, by, *more)))
         of_pred = left.groupBy(frame, pred).agg(F.min(order).alias("__b")).select(frame, F.col(f"__b.{truth}").alias(truth), pred)
-        best = cut(of_truth.join(of_pred, [frame, truth, pred], "left_semi"))
+        best = keep(of_truth.join(of_pred, [frame, truth, pred], "left_semi"))
         taken.append(best)
-        left = cut(left.join(best.select(frame, truth), [frame, truth], "left_anti").join(best.select(frame, pred), [frame, pred], "left_anti"))
+        left = keep(left.join(best.select(frame, truth), [frame, truth], "left_anti").join(best.select(frame, pred), [frame, pred], "left_anti"))
         before, size = size, left.count()
         if size > (1 - least_share) * before:
             return reduce(DataFrame.unionByName, taken, greedy_pairs(left, frame, truth, pred, by, *more))
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
-def one_to_one(truth: DataFrame, preds: DataFrame, pairs: DataFrame, by: str, *more: str, most: int = MOST_PAIRS) -> DataFrame:
+def one_to_one(truth: DataFrame, preds: DataFrame, pairs: DataFrame, by: str, *more: str, most: int = MOST_PAIRS, counted: DataFrame | None = None) -> DataFrame:
     """Greedy pairs of boxes: frames that may have more than ``most`` pairs go by rounds, all others by the fold, with equal rows.
 
-    How many pairs a frame may have is told by its boxes, which takes one aggregation and no pairs.
+    How many pairs a frame may have is told by its boxes, which takes one aggregation and no pairs: ``counted``, their sizes by frame, if these
+    are known. Where some frames are crowded, the pairs are found once and written with a mark.
     """
-    boxes = truth.select("frame", F.lit(1).alias("t"), F.lit(0).alias("p")).unionAll(preds.select("frame", F.lit(0), F.lit(1)))
-    crowded = cut(boxes.groupBy("frame").agg(F.sum("t").alias("t"), F.sum("p").alias("p")).where(F.col("t") * F.col("p") > most).select("frame"))
+    crowded = keep((sizes(truth, preds, "frame") if counted is None else counted).where(F.col("a") * F.col("b") > most).select("frame"))
     names = ("frame", "obj", "pred", by, *more)
     if crowded.isEmpty():
         return greedy_pairs(pairs, *names)
-    return greedy_pairs(pairs.join(crowded, "frame", "left_anti"), *names).unionByName(dominant_pairs(pairs.join(crowded, "frame", "left_semi"), *names))
+    found = keep(pairs.select(*names).join(crowded.withColumn("__crowded", F.lit(True)), "frame", "left"))
+    return greedy_pairs(found.where("__crowded IS NULL"), *names).unionByName(dominant_pairs(found.where("__crowded"), *names))
 
 
 def mutual_best(pairs: DataFrame, frame: str, truth: str, pred: str, by: str) -> DataFrame:
@@ -126,7 +127,8 @@ def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
     An image is in every slice that one of its objects is in; contained counts matched pairs alone; a prediction without a
     match is a false positive. Images with predictions alone count as baseline.
     """
-    matched = one_to_one(truth, preds, overlap_pairs(truth, preds), "iou", "contained")
+    counted = sizes(truth, preds, "frame")
+    matched = one_to_one(truth, preds, overlap_pairs(truth, preds, counted=counted), "iou", "contained", counted=counted)
     hits = matched.groupBy("frame").agg(F.count("*").alias("matched"), F.count_if("contained").alias("contained"), F.sum("iou").alias("iou_sum"))
     flags = ("is_small", "is_blurred", "is_occluded", "is_difficult")
     images = truth.groupBy("frame").agg(F.count("*").alias("objects"), *(F.bool_or(c).alias(c) for c in flags))
@@ -140,8 +142,9 @@ def slice_totals(truth: DataFrame, preds: DataFrame) -> DataFrame:
 def coverage_pairs(truth: DataFrame, preds: DataFrame) -> DataFrame:
     """Greedy one-to-one pairs by intersection area, with the share of truth covered and of prediction in excess."""
     t, p = Rect.of(), Rect.of("p_")
-    both = meeting(truth, preds, "frame", t, p).withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
-    best = one_to_one(truth, preds, both, "inter", "t_area", "p_area")
+    counted = sizes(truth, preds, "frame")
+    both = meeting(truth, preds, "frame", t, p, counted=counted).withColumns({"inter": g.intersection_area(t, p), "t_area": g.area(t), "p_area": g.area(p)}).where("inter > 0")
+    best = one_to_one(truth, preds, both, "inter", "t_area", "p_area", counted=counted)
     return best.select("frame", "obj", "pred", (F.col("inter") / F.col("t_area")).alias("coverage"), ((F.col("p_area") - F.col("inter")) / F.col("p_area")).alias("excess"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
-from veilframe.shared import cut, scratch
+from veilframe.shared import cut, kept, scratch
 from veilframe.streaming.folds import fold_sorted
 
 
@@ -15,23 +15,38 @@ from veilframe.streaming.folds import fold_sorted
 CROWD = 64
 
 
-def meeting(a: DataFrame, b: DataFrame, key: str, reach_a: Rect, reach_b: Rect, crowd: int = CROWD) -> DataFrame:
+def sizes(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """(key, a, b): how many rows of each a key has, kept."""
+    each = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(key, F.lit(0), F.lit(1)))
+    return kept(each.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "sizes")
+
+
+def meeting(a: DataFrame, b: DataFrame, key: str, reach_a: Rect, reach_b: Rect, crowd: int = CROWD, counted: DataFrame | None = None) -> DataFrame:
     """Pairs of rows of ``a`` and ``b`` of one key whose reaches may meet; what the caller asks for is a condition on these.
 
+    Rows of frames with few boxes are paired by their key alone: where they lie by it already, as numbered objects do, nothing is moved.
     A frame with many boxes is cut into a grid, as fine as it is crowded, and only rows of one cell are paired; a pair comes from the
-    first cell that both reach. So a crowded frame neither pairs everything with everything nor stays in one task.
+    first cell that both reach. So a crowded frame neither pairs everything with everything nor stays in one task. ``counted`` are the
+    :func:`sizes` of both, if they are known.
     """
-    counts = a.select(key).unionAll(b.select(key)).groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sqrt(F.count("*") / crowd))).cast("int").alias("__g"))
+    if counted is None:
+        counted = a.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(b.select(key, F.lit(0), F.lit(1))).groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    n = F.col("a") + F.col("b")
+    crowded = kept(counted.where(n > crowd).select(key, F.ceil(F.sqrt(n / crowd)).cast("int").alias("__g")), "crowded")
+    if crowded.isEmpty():
+        return a.join(b, key)
 
     def placed(rows: DataFrame, reach: Rect, side: str) -> DataFrame:
         cell = lambda v: F.greatest(F.lit(0), F.least(F.col("__g") - 1, F.floor(v * F.col("__g")).cast("int")))
-        first = rows.join(counts, key).withColumns({f"__{side}x": cell(reach.left), f"__{side}y": cell(reach.top), "__r": cell(reach.right), "__b": cell(reach.bottom)})
+        first = rows.join(crowded, key).withColumns({f"__{side}x": cell(reach.left), f"__{side}y": cell(reach.top), "__r": cell(reach.right), "__b": cell(reach.bottom)})
         across = first.withColumn("__x", F.explode(F.sequence(f"__{side}x", F.greatest(f"__{side}x", "__r"))))
         return across.withColumn("__y", F.explode(F.sequence(f"__{side}y", F.greatest(f"__{side}y", "__b")))).drop("__g", "__r", "__b")
 
     pairs = placed(a, reach_a, "a").join(placed(b, reach_b, "b"), [key, "__x", "__y"])
     once = (F.col("__x") == F.greatest("__ax", "__bx")) & (F.col("__y") == F.greatest("__ay", "__by"))
-    return pairs.where(once).drop("__x", "__y", "__ax", "__ay", "__bx", "__by")
+    spread = pairs.where(once).drop("__x", "__y", "__ax", "__ay", "__bx", "__by")
+    few = lambda rows: rows.join(crowded, key, "left_anti")
+    return few(a).join(few(b), key).unionByName(spread)
 
 
 def matched_and_extra(truth: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from veilframe import derive
 from veilframe.functions import geometry as g
 from veilframe.functions.geometry import Rect
 from veilframe.operators import evaluate as e
-from veilframe.operators.relations import nearest_monotonic
+from veilframe.operators.relations import nearest_monotonic, sizes
 from veilframe.plans.views import sql
 
 
@@ -35,13 +35,15 @@ def e7_overlap_pairs(spark, sf):
 
 def e8_greedy(spark, sf):
     truth, preds = _both(spark, sf)
-    return e.one_to_one(truth, preds, e.overlap_pairs(truth, preds), "iou", "contained").select("frame", "obj", "pred", F.round("iou", 9).alias("iou"), "contained")
+    n = sizes(truth, preds, "frame")
+    return e.one_to_one(truth, preds, e.overlap_pairs(truth, preds, counted=n), "iou", "contained", counted=n).select("frame", "obj", "pred", F.round("iou", 9).alias("iou"), "contained")
 
 
 def e8_rounds(spark, sf):
     """The pairs of e8_greedy with every frame of more than twelve possible pairs matched by rounds."""
     truth, preds = _both(spark, sf)
-    return e.one_to_one(truth, preds, e.overlap_pairs(truth, preds), "iou", "contained", most=12).select("frame", "obj", "pred", F.round("iou", 9).alias("iou"), "contained")
+    n = sizes(truth, preds, "frame")
+    return e.one_to_one(truth, preds, e.overlap_pairs(truth, preds, counted=n), "iou", "contained", most=12, counted=n).select("frame", "obj", "pred", F.round("iou", 9).alias("iou"), "contained")
 
 
 def e8_mutual_best(spark, sf):
