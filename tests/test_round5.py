@@ -52,3 +52,27 @@ def test_crowded_frames_are_matched_as_others_are(spark):
     assert sorted((x.frame, x.a, x.b) for x in counted.collect()) == [(1, 3, 3), (2, 90, 72), (3, 1, 1), (4, 30, 24), (9, 0, 1)]
     got = [sorted(tuple(x) for x in evaluate.one_to_one(truth, preds, evaluate.overlap_pairs(truth, preds, counted=c), "iou", "contained", most=m, counted=c).collect()) for m in (1 << 20, 12, 0) for c in (None, counted)]
     assert got[0] and all(x == got[0] for x in got)
+
+
+def test_means_of_polygons(spark):
+    rng = random.Random(6)
+    shapes = [(f, o, [[rng.randrange(9) / 8, rng.randrange(9) / 8] for _ in range(rng.randrange(1, 6))]) for f in range(12) for o in range(1 + 70 * (f == 3))]
+    cells = [(f, x / 16, y / 16, float(x * y)) for f in range(11) for x in range(17) for y in range(17)]
+    polygons = spark.createDataFrame([*shapes, shapes[0]], "frame int, obj int, poly array<array<double>>")
+    got = sorted(tuple(r) for r in evaluate.polygon_mean(polygons, spark.createDataFrame(cells, "frame int, x double, y double, score double")).collect())
+
+    def held(x, y, p):
+        edges = [(a, b) for a, b in zip(p, p[1:] + p[:1]) if (a[1] > y) != (b[1] > y)]
+        return sum(x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in edges) % 2 == 1
+
+    def mean(f, p):
+        found = [s for c, x, y, s in cells if c == f and held(x, y, p)]
+        return sum(found) / len(found) if found else 0.0
+
+    assert [x[:2] for x in got] == sorted((f, o) for f, o, _ in [*shapes, shapes[0]])
+    assert all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, sorted((f, o, mean(f, p)) for f, o, p in [*shapes, shapes[0]])))
+
+
+def test_means_of_polygons_are_one_aggregation(spark):
+    plan = _plan(evaluation.f17_polygon_mean(spark, SMALL))
+    assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(l_orderkey") > 0
