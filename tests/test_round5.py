@@ -3,12 +3,14 @@
 import json
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as g
 from veilframe.operators import evaluate
 from veilframe.plans import evaluation
 from veilframe.sources import corpora
+from veilframe.streaming import folds, policies
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -76,3 +78,19 @@ def test_means_of_polygons(spark):
 def test_means_of_polygons_are_one_aggregation(spark):
     plan = _plan(evaluation.f17_polygon_mean(spark, SMALL))
     assert plan.count("Exchange hashpartitioning(") == plan.count("Exchange hashpartitioning(l_orderkey") > 0
+
+
+def test_values_of_columns():
+    for kind, made in ((pa.int64(), [2**62 + 1, None, -1]), (pa.float64(), [0.1, None]), (pa.bool_(), [True, None, False]), (pa.string(), ["a", None]), (pa.list_(pa.list_(pa.float64())), [[[1.0, None], []], None, [], [[2.0], None]])):
+        whole = pa.array(made, kind)
+        for column in (whole, whole[1:], whole[:0]):
+            assert folds.values_of(column) == column.to_pylist()
+
+
+def test_a_track_is_moved_once_a_row(monkeypatch):
+    calls, moved = [], policies._moved
+    monkeypatch.setattr(policies, "_moved", lambda *a: calls.append(a) or moved(*a))
+    step, state = policies.track_step(), policies.tracks_start()
+    for at in (0, 1):
+        state, out = step(state, (1, at * 10**8, [(i / 8, 0.1, i / 8 + 0.1, 0.2, None) for i in range(4)]))
+    assert [(x[2], x[7]) for x in out] == [(i, "AMBIGUOUS") for i in range(4)] and len(calls) == 4

@@ -284,15 +284,29 @@ def track_step(expiry: int = 400_000_000, least_iou: float = 0.10, most_distance
             if hints.get(hint) == t:
                 del hints[hint]
         pairs: list[tuple[float, int, int]] = []
-        for i, b in enumerate(boxes):
-            for t, k in tracks.items():
-                p = _moved(k, at)
-                overlap, distance = _overlap(p, b), math.hypot((p[0] + p[2] - b[0] - b[2]) / 2, (p[1] + p[3] - b[1] - b[3]) / 2)
-                w, h = (p[2] - p[0]) / (b[2] - b[0]), (p[3] - p[1]) / (b[3] - b[1])
-                if overlap >= least_iou or (max(w, 1 / w, h, 1 / h) <= most_scale and distance <= most_distance):
-                    bonus = 2.0 if b[4] is not None and hints.get(b[4]) == t else 0.0
+        # A track is moved once a row, and what is asked of each pair stands here in place of calls.
+        moved = {t: _moved(k, at) for t, k in tracks.items()}
+        sides = [(t, *p, p[2] - p[0], p[3] - p[1]) for t, p in moved.items()]
+        nearby: list[set[int]] = [set() for _ in boxes]
+        for i, (left, top, right, bottom, hint) in enumerate(boxes):
+            width, height, mine = right - left, bottom - top, nearby[i]
+            for t, p0, p1, p2, p3, pw, ph in sides:
+                w, h = pw / width, ph / height
+                x = (right if right < p2 else p2) - (left if left > p0 else p0)
+                y = (bottom if bottom < p3 else p3) - (top if top > p1 else p1)
+                overlap = 0.0
+                if x > 0.0 and y > 0.0:
+                    union = pw * ph + width * height - x * y
+                    overlap = x * y / union if union > 0 else 0.0
+                close = overlap >= least_iou
+                if not close and not (w <= most_scale and 1 / w <= most_scale and h <= most_scale and 1 / h <= most_scale):
+                    continue
+                distance = math.hypot((p0 + p2 - left - right) / 2, (p1 + p3 - top - bottom) / 2)
+                if close or distance <= most_distance:
+                    bonus = 2.0 if hint is not None and hints.get(hint) == t else 0.0
                     pairs.append((bonus + overlap + 1 - min(1.0, distance / most_distance), i, t))
-        near = lambda i: {t for _, j, t in pairs if j == i}
+                    mine.add(t)
+        near = nearby.__getitem__
         for i, b in enumerate(boxes):
             prior = hints.get(b[4]) if b[4] is not None else None
             if prior is not None and prior not in near(i):
@@ -330,7 +344,7 @@ def track_step(expiry: int = 400_000_000, least_iou: float = 0.10, most_distance
                 used_tracks.add(t)
         for t, k in tracks.items():
             if t not in used_tracks:
-                k["box"] = _moved(k, at)
+                k["box"] = moved[t]
                 k["lost"] = k["lost"] or t in unsure
                 k["confidence"] = "AMBIGUOUS" if k["lost"] else "PREDICTED"
         state["last"] = at
