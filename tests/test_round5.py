@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from veilframe.functions import geometry as g
-from veilframe.operators import evaluate
-from veilframe.plans import evaluation
+from veilframe.operators import evaluate, relations
+from veilframe.plans import evaluation, relational
 from veilframe.sources import corpora
 from veilframe.streaming import folds, policies
 
@@ -94,3 +94,18 @@ def test_a_track_is_moved_once_a_row(monkeypatch):
     for at in (0, 1):
         state, out = step(state, (1, at * 10**8, [(i / 8, 0.1, i / 8 + 0.1, 0.2, None) for i in range(4)]))
     assert [(x[2], x[7]) for x in out] == [(i, "AMBIGUOUS") for i in range(4)] and len(calls) == 4
+
+
+def test_words_that_lie_by_document_meet_spans_in_place(spark):
+    plan = _plan(relational.e6_spans(spark, SMALL))
+    assert "bin#" not in plan and "LeftAnti" not in plan
+
+
+def test_spans_of_crowded_and_other_keys(spark):
+    rng = random.Random(7)
+    elements = [(k, i, a := rng.randrange(2000), a + rng.randrange(1, 40)) for k in (1, 2, 3) for i in range(60)]
+    spans = [(k, a := rng.randrange(2200), a + rng.randrange(1, 9)) for k, n in ((1, 5), (2, 90), (4, 3)) for _ in range(n)] + [(1, 3000, 3001)] * 2 + [(None, 1, 2)]
+    wanted = sorted(((k, a, b, i) for k, a, b in spans for i in ([i for e, i, s, t in elements if e == k and s < b and t > a] or [None])), key=repr)
+    frames = spark.createDataFrame(elements, "k int, element int, start long, end long"), spark.createDataFrame(spans, "k int, start long, end long")
+    for crowd in (0, 10, 1000):
+        assert sorted((tuple(x) for x in relations.span_elements(*frames, "k", crowd=crowd).collect()), key=repr) == wanted

@@ -131,23 +131,39 @@ def decision_lookup(frames: DataFrame, decisions: DataFrame, forgotten: DataFram
     return joined.select("session", "ts_ns", F.coalesce(reason, F.lit("OK")).alias("lookup"), F.when(reason.isNull(), F.col("status")).otherwise("FULL_SHIELD").alias("status"))
 
 
-def span_elements(elements: DataFrame, spans: DataFrame, key: str, width: int = 256) -> DataFrame:
+def span_elements(elements: DataFrame, spans: DataFrame, key: str, width: int = 256, crowd: int = 256) -> DataFrame:
     """Elements that a half-open span overlaps, and spans without one (element null), which are errors.
 
-    Intervals are cut at multiples of ``width`` and meet by (key, bin), so a key with very many elements and spans is spread, and no two
+    The elements of a key with at most ``crowd`` spans meet all of these: where they lie by key already, none is moved. Those of other keys are cut,
+    as their spans are, at multiples of ``width`` and meet by (key, bin), so a key with very many elements and spans is spread, and no two
     meet that are far apart. A pair that shares several bins is taken from the first.
     """
+    crowded = kept(spans.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > crowd).select(key), "crowded")
+    wanted = spans.select(key, "start", "end")
+    each = elements.select(F.col(key).alias("__k"), "element", F.col("start").alias("e_start"), F.col("end").alias("e_end"))
+    touches = (F.col("e_start") < F.col("end")) & (F.col("e_end") > F.col("start"))
+    few = wanted if crowded.isEmpty() else wanted.join(crowded, key, "left_anti")
+    # A span without an element stays, so that what is missed takes no second pass.
+    found = few.join(each, (F.col(key) == F.col("__k")) & touches, "left").select(key, "start", "end", "element")
+    if crowded.isEmpty():
+        return found
+    many = lambda rows: rows.join(crowded, key, "left_semi")
+    spread = many(wanted)
+    hits = _binned_hits(many(each.withColumnRenamed("__k", key)), spread, key, width).where(touches).select(key, "start", "end", "element")
+    missed = spread.join(hits, [key, "start", "end"], "left_anti").withColumn("element", F.lit(None).cast(elements.schema["element"].dataType))
+    return found.unionByName(hits).unionByName(missed)
+
+
+def _binned_hits(elements: DataFrame, spans: DataFrame, key: str, width: int) -> DataFrame:
+    """Elements (key, element, e_start, e_end) and spans that share a bin, each pair in the first that both have."""
+
+    at = lambda c: F.floor(c / width)
 
-    def binned(rows: DataFrame) -> DataFrame:
-        at = lambda c: F.floor(c / width)
-        first, last = at(F.col("start")), at(F.greatest(F.col("end") - 1, F.col("start")))
-        return rows.select("*", first.alias("first"), F.explode(F.sequence(first, last)).alias("bin"))
+    def binned(rows: DataFrame, start: str, end: str) -> DataFrame:
+        return rows.select("*", F.explode(F.sequence(at(F.col(start)), at(F.greatest(F.col(end) - 1, F.col(start))))).alias("bin"))
 
-    e = binned(elements.select(key, "element", "start", "end")).select(key, "bin", "element", F.col("start").alias("e_start"), F.col("end").alias("e_end"), F.col("first").alias("e_first"))
-    met = binned(spans.select(key, "start", "end")).join(e, [key, "bin"])
-    hits = met.where((F.col("bin") == F.greatest("first", "e_first")) & (F.col("e_start") < F.col("end")) & (F.col("e_end") > F.col("start"))).select(key, "start", "end", "element")
-    missed = spans.select(key, "start", "end").join(hits, [key, "start", "end"], "left_anti")
-    return hits.unionByName(missed.withColumn("element", F.lit(None).cast(elements.schema["element"].dataType)))
+    met = binned(spans, "start", "end").join(binned(elements, "e_start", "e_end"), [key, "bin"])
+    return met.where(F.col("bin") == F.greatest(at(F.col("start")), at(F.col("e_start"))))
 
 
 def track_candidates(tracks: DataFrame, seen: DataFrame, key: str, least_iou: float = 0.10, most_scale: float = 2.0, most_distance: float = 0.30) -> DataFrame:
@@ -218,8 +234,9 @@ def reading_order(elements: DataFrame, key: str, most_chars: int | None = None)
     Elements that end behind ``most_chars`` get ``within`` false, where the bound is given.
     """
     w = Window.partitionBy(key).orderBy("top", "left", "element").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0))
-    out = elements.withColumns({"start": start, "end": start + F.length("text")})
+    # Lengths come first, so that texts which are not asked for are not moved.
+    start = F.coalesce(F.sum(F.col("__n") + 1).over(w), F.lit(0))
+    out = elements.withColumn("__n", F.length("text")).withColumns({"start": start, "end": start + F.col("__n")}).drop("__n")
     return out if most_chars is None else out.withColumn("within", F.col("end") <= most_chars)
 
 

@@ -51,7 +51,8 @@ def e5_lookup(spark, sf):
 
 
 def _elements(spark, sf):
-    docs = derive.table(spark, sf, "documents").select("doc_id", F.posexplode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("element", "text"))
+    # Texts are dealt by document before they are taken apart, so that their words lie by document and are not moved one by one.
+    docs = derive.table(spark, sf, "documents").select("doc_id", "text").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").select("doc_id", F.posexplode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("element", "text"))
     return docs.selectExpr("doc_id", "CAST(element AS BIGINT) AS element", "text", "(element % 16) / 16D AS left", "floor(element / 16) / 64D AS top")
 
 
