@@ -166,10 +166,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """
     keys = cut(fingerprints(docs).distinct())
     placed = cluster(keys)
-    name = next(n for n in ("__kept" + "_" * i for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
-    chosen = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    kept = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    taken = {c.lower() for c in docs.columns}
+    id_, none = (next(n for n in (name + "_" * i for i in range(len(taken) + 1)) if n not in taken) for name in ("__kept", "__none"))
+    doc_id = F.col("doc_id").cast("long")
+    by = [F.coalesce(doc_id, F.lit(0)).alias(id_), doc_id.isNull().alias(none)]
+    chosen = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*by).distinct()
+    # Texts move once: rows that lie by id, whatever their texts, need no second deal to meet their repeats.
+    kept = docs.select("*", *by).join(chosen, [id_, none], "left_semi")
+    return kept.dropDuplicates([id_, none, "doc_id", "text"]).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def hex_of(fp: Column) -> Column:
