@@ -127,7 +127,8 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = MOST) -> DataFr
         table = _tables(rows, masks, fan)
         sizes = table.groupBy("path", "key").agg(F.count("*").alias("n")).where("n > 1")
         salted = sizes.withColumn("salt", F.explode(F.lit(list(range(SALTS)))))
-        met = table.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted, ["path", "key", "salt"])
+        # Spark sizes either side as before its explode, a 15th or 16th of it, and would broadcast more than the driver holds.
+        met = table.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["path", "key", "salt"])
         last = level == len(by_level) - 1
         small = met if last else met.where(F.col("n") <= most)
         groups = small.groupBy("path", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
