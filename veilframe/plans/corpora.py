@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,17 +15,24 @@ from veilframe.sources import corpora as c
 from veilframe.sources import records as r
 
 
+def _line(when: str, k: str, raw: str) -> str:
+    return f"IF({when}, named_struct('k', {k}, 'raw', {raw}), NULL)"
+
+
+def _lines_of(spark, sf, *lines: str) -> DataFrame:
+    """(frame, k, raw): the lines that each box gives, with n, the boxes of its frame, at hand; boxes are numbered and counted once."""
+    t = derive.truth_box(spark, sf).withColumn("n", F.count("*").over(Window.partitionBy("frame")))
+    return t.selectExpr("frame", f"inline(array_compact(array({', '.join(lines)})))")
+
+
 def _block_lines(spark, sf):
     """An order's lines written as one block: name, count, rows of ten numbers; a file has the orders of 256 keys in a row.
 
     Some names occur twice, and some blocks are empty, with a row of zeros in place of boxes.
     """
-    t = derive.truth_box(spark, sf)
-    n = t.groupBy("frame").agg(F.count("*").alias("n"))
-    name = t.select("frame").distinct().selectExpr("frame", "0L AS k", "concat('f', frame - IF(frame % 97 = 0, 1, 0), '.jpg') AS raw")
-    count = n.selectExpr("frame", "1L AS k", "IF(frame % 89 = 0, '0', CAST(n AS STRING)) AS raw")
-    rows = t.where("frame % 89 <> 0 OR obj = 1").selectExpr("frame", "obj + 1L AS k", "IF(frame % 89 = 0, '0 0 0 0 0 0 0 0 0 0', concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, IF(obj = 3, NULL, '1'))) AS raw")
-    return name.unionByName(count).unionByName(rows).selectExpr("concat('file', frame div 256) AS file", "frame * 1000 + k AS at", "raw")
+    name, count = _line("obj = 1", "0L", "concat('f', frame - IF(frame % 97 = 0, 1, 0), '.jpg')"), _line("obj = 1", "1L", "IF(frame % 89 = 0, '0', CAST(n AS STRING))")
+    row = _line("frame % 89 <> 0 OR obj = 1", "obj + 1L", "IF(frame % 89 = 0, '0 0 0 0 0 0 0 0 0 0', concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, IF(obj = 3, NULL, '1')))")
+    return _lines_of(spark, sf, name, count, row).selectExpr("concat('file', frame div 256) AS file", "frame * 1000 + k AS at", "raw")
 
 
 def a5_blocks(spark, sf):
@@ -36,19 +41,18 @@ def a5_blocks(spark, sf):
 
 def _broken_lines(spark, sf):
     """Files of one order each, written as blocks, with one thing wrong in many of them, by the order's key."""
-    t = derive.truth_box(spark, sf)
-    n = t.groupBy("frame").agg(F.count("*").alias("n"))
-    name = n.selectExpr("frame", "0L AS k", "CASE frame % 16 WHEN 1 THEN '../up.jpg' WHEN 2 THEN '/top.jpg' ELSE concat('d//f', frame, '.jpg') END AS raw")
-    count = n.where("frame % 16 <> 3").selectExpr("frame", "1L AS k", "CASE frame % 16 WHEN 4 THEN 'many' WHEN 5 THEN '-1' WHEN 6 THEN CAST(n + 1 AS STRING) WHEN 7 THEN '0' WHEN 8 THEN '0' ELSE CAST(n AS STRING) END AS raw")
-    rows = t.where("frame % 16 NOT IN (3, 7, 8)").selectExpr("frame", "obj + 1L AS k", "CASE WHEN frame % 16 = 9 AND obj = 2 THEN '1 2 3' WHEN frame % 16 = 10 AND obj = 2 THEN '1 2 3 4 5 6 7 8 9 x' ELSE concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, 1) END AS raw")
-    zeros = n.where("frame % 16 = 8").selectExpr("frame", "2L AS k", "'9 9 9 9 9 9 9 9 9 9' AS raw")
-    twice = n.where("frame % 16 = 11").select("frame", F.explode(F.expr("array(named_struct('k', n + 2, 'raw', ''), named_struct('k', n + 3, 'raw', concat('d/f', frame, '.jpg')), named_struct('k', n + 4, 'raw', '0'), named_struct('k', n + 5, 'raw', '0 0 0 0 0 0 0 0 0 0'))")).alias("x")).select("frame", "x.*")
-    return reduce(DataFrame.unionByName, (name, count, rows, zeros, twice)).selectExpr("CAST(frame AS STRING) AS file", "k AS at", "raw")
+    first, twice = "obj = 1", "obj = 1 AND frame % 16 = 11"
+    name = _line(first, "0L", "CASE frame % 16 WHEN 1 THEN '../up.jpg' WHEN 2 THEN '/top.jpg' ELSE concat('d//f', frame, '.jpg') END")
+    count = _line(f"{first} AND frame % 16 <> 3", "1L", "CASE frame % 16 WHEN 4 THEN 'many' WHEN 5 THEN '-1' WHEN 6 THEN CAST(n + 1 AS STRING) WHEN 7 THEN '0' WHEN 8 THEN '0' ELSE CAST(n AS STRING) END")
+    row = _line("frame % 16 NOT IN (3, 7, 8)", "obj + 1L", "CASE WHEN frame % 16 = 9 AND obj = 2 THEN '1 2 3' WHEN frame % 16 = 10 AND obj = 2 THEN '1 2 3 4 5 6 7 8 9 x' ELSE concat_ws(' ', pk, sk, ln, obj, 1, 0, 0, 0, 2, 1) END")
+    zeros = _line(f"{first} AND frame % 16 = 8", "2L", "'9 9 9 9 9 9 9 9 9 9'")
+    again = [_line(twice, f"n + {k}", raw) for k, raw in ((2, "''"), (3, "concat('d/f', frame, '.jpg')"), (4, "'0'"), (5, "'0 0 0 0 0 0 0 0 0 0'"))]
+    return _lines_of(spark, sf, name, count, row, zeros, *again).selectExpr("CAST(frame AS STRING) AS file", "k AS at", "raw")
 
 
 def a5_block_errors(spark, sf):
     """Every error of block files: those of the blocks above, and those of files with one thing wrong each."""
-    found = [b.block_errors(b.block_lines(lines)) for lines in (_block_lines(spark, sf), _broken_lines(spark, sf))]
+    found = [b.block_errors(b.block_lines(lines, full=False)) for lines in (_block_lines(spark, sf), _broken_lines(spark, sf))]
     return found[0].unionByName(found[1])
 
 

@@ -12,11 +12,11 @@ stand between blocks only. Null lines are blank. An empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from pathlib import PurePosixPath
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -40,8 +40,9 @@ def whole_number(text: str) -> int | None:
 
 def safe_name(text: str) -> str | None:
     """A relative path in plain form; None if it leads out of its folder or nowhere."""
-    path = PurePosixPath(text.replace("\\", "/"))
-    return None if path.is_absolute() or ".." in path.parts or not path.parts else str(path)
+    path = text.replace("\\", "/")
+    parts = [x for x in path.split("/") if x not in ("", ".")]
+    return None if path.startswith("/") or ".." in parts or not parts else "/".join(parts)
 
 
 def _name(raw: str | None) -> str:
@@ -53,39 +54,100 @@ def _long(n: int | None) -> int:
     return -1 if n is None or n < 0 else min(n, (1 << 62) - 1)
 
 
-def chunk_map(at: list[int], raw: list[str | None]) -> tuple[list[int], list[int], list[int]]:
-    """For each line at which a name may be due: the state after the chunk, where the last name then stands (-1: none) and its count (-1: not read here).
+#: Lines that stand for themselves as names, that are counts, that cannot be a whole number, and rows of up to ten plain numbers. All others are read by Python.
+_PLAIN, _DIGITS, _NEVER, _NUMBERS = r"^[!-~]([ -~]*[!-~])?$", r"^[0-9]{1,18}$", r"[!-*,./:-^`-~]|[!-~][\t ]+[!-~]", r"^[0-9]{1,18}( [0-9]{1,18}){0,9}$"
 
-    Worked out from the last line to the first, as a block leads to the line behind it.
+
+def _where(text: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(text, pattern).to_numpy(zero_copy_only=False)
+
+
+def _read(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lines without nulls: which are blank, each as a count (-1 if it cannot be used), and which are no whole number."""
+    blank, digits = ~_where(text, _PLAIN), _where(text, _DIGITS)
+    odd = np.flatnonzero(blank)
+    blank[odd] = [not _name(x) for x in text.take(pa.array(odd)).to_pylist()]
+    number, none = np.full(len(text), -1, dtype=np.int64), ~digits
+    number[digits] = text.filter(pa.array(digits)).cast(pa.int64()).to_numpy()
+    rest = np.flatnonzero(~digits & ~_where(text, _NEVER))
+    found = [whole_number(x) for x in text.take(pa.array(rest)).to_pylist()]
+    number[rest], none[rest] = [_long(x) for x in found], [x is None for x in found]
+    return blank, number, none
+
+
+def _steps(blank: np.ndarray, number: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
+    """How names lead to names in chunks that begin at ``begins``. A chunk of n lines takes n + 1 slots, the last of which stands for its end.
+
+    Out come each line's slot and the count behind it, and for each slot the next one (itself: none) and the state in which a chunk is left from there.
+    """
+    line, sizes = np.arange(len(blank)), np.diff(np.append(begins, len(blank)))
+    chunk = np.repeat(np.arange(len(begins)), sizes)
+    slot, end = line + chunk, (begins + sizes)[chunk]
+    follows = line + 1 < end
+    count = np.where(follows, np.append(number[1:], -1), -1)
+    rows = 2 + np.maximum(count, 1)
+    inside = ~blank & (count >= 0) & (line + rows <= end)
+    to, state = np.arange(len(blank) + len(begins)), np.zeros(len(blank) + len(begins), dtype=np.int64)
+    to[slot[blank]] += 1
+    to[slot[inside]] += rows[inside]
+    out = ~blank & ~inside
+    state[slot[out]] = np.where(~follows, COUNT, np.where(count < 0, LOST, line + rows - end))[out]
+    return slot, count, to, state
+
+
+def chunk_maps(at: np.ndarray, blank: np.ndarray, number: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each slot of :func:`_steps`, a line at which a name may be due: the state after the chunk, where the last name then stands (-1: none) and its count (-1: not read here).
+
+    Steps are doubled until none leads further, as a block leads to the line behind it.
     """
-    n = len(raw)
-    state, last, declared = [0] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
-    for i in range(n - 1, -1, -1):
-        if not _name(raw[i]):
-            state[i], last[i], declared[i] = state[i + 1], last[i + 1], declared[i + 1]
-            continue
-        last[i] = at[i]
-        if i + 1 == n:
-            state[i] = COUNT
-            continue
-        count = _long(whole_number(raw[i + 1] or ""))
-        if count < 0:
-            state[i] = LOST
-            continue
-        behind = i + 2 + max(count, 1)
-        declared[i] = count
-        if behind > n:
-            state[i] = behind - n
-        else:
-            state[i] = state[behind]
-            if last[behind] >= 0:
-                last[i], declared[i] = last[behind], declared[behind]
-    return state, last, declared
-
-
-def _made_of(out: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*out) if out else [()] * len(schema)
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+    slot, count, to, state = _steps(blank, number, begins)
+    line = np.full(len(to), -1)
+    line[slot] = np.arange(len(slot))
+    name = np.full(len(to), -1)
+    name[slot[~blank]] = slot[~blank]
+    while True:
+        name = np.where(name[to] >= 0, name[to], name)
+        further = to[to]
+        if (further == to).all():
+            break
+        to = further
+    last = line[name]
+    none = name < 0
+    return state[to], np.where(none, -1, at[last]), np.where(none, -1, count[last])
+
+
+def _together(batches: Iterator[pa.RecordBatch], begins: Callable[[pa.RecordBatch], np.ndarray]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Sorted rows, whole chunks at a time (many small ones, or one large one), and where these begin."""
+    held, size, enough = [], 0, CHUNK
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= enough:
+            rows = _one(held)
+            first = begins(rows)
+            if first[-1]:
+                yield rows.slice(0, first[-1]), first[:-1]
+            held, size = [rows.slice(first[-1])], rows.num_rows - int(first[-1])
+            enough = max(CHUNK, 2 * size)
+    if size:
+        rows = _one(held)
+        yield rows, begins(rows)
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.concat_batches(batches) if len(batches) > 1 else batches[0]
+
+
+def _chunk_begins(rows: pa.RecordBatch) -> np.ndarray:
+    file, chunk = rows.column("file"), rows.column("chunk").to_numpy()
+    null = file.is_null().to_numpy(zero_copy_only=False)
+    file = file.fill_null("")
+    other = pc.not_equal(file[1:], file[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(np.concatenate(([True], other | (null[1:] != null[:-1]) | (chunk[1:] != chunk[:-1]))))
+
+
+def _numbers(values: np.ndarray, none: np.ndarray) -> pa.Array:
+    return pa.array(values, pa.int64(), mask=none)
 
 
 MAPS = "file string, chunk long, n long, first long, state binary, last binary, declared binary"
@@ -94,28 +156,14 @@ _LABELLED_SCHEMA = pa.schema([("file", pa.string()), ("at", pa.int64()), ("kind"
 
 
 def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each chunk of sorted lines; many small chunks pass in one batch, and one chunk alone is held."""
-    now, at, raw, out, size = None, [], [], [], 0
-
-    def made() -> tuple:
-        state, last, declared = (np.array(x, dtype=np.int64).tobytes() for x in chunk_map(at, raw))
-        return (*now, len(raw), _long(whole_number(raw[0] or "")), state, last, declared)
-
-    for batch in batches:
-        for file, chunk, place, text in zip(*(batch.column(c).to_pylist() for c in ("file", "chunk", "at", "raw"))):
-            if (file, chunk) != now:
-                if raw:
-                    out.append(made())
-                    size += len(raw)
-                    if size >= CHUNK:
-                        yield _made_of(out, _MAPS_SCHEMA)
-                        out, size = [], 0
-                now, at, raw = (file, chunk), [], []
-            at.append(place)
-            raw.append(text)
-    if raw:
-        out.append(made())
-    yield _made_of(out, _MAPS_SCHEMA)
+    """A row for each chunk of sorted lines."""
+    for rows, begins in _together(batches, _chunk_begins):
+        blank, number, _ = _read(rows.column("raw").fill_null(""))
+        sizes = np.diff(np.append(begins, rows.num_rows))
+        ends = pa.py_buffer(np.concatenate(([0], np.cumsum(sizes + 1) * 8)).astype(np.int32))
+        maps = [pa.Array.from_buffers(pa.binary(), len(begins), [None, ends, pa.py_buffer(np.ascontiguousarray(x, dtype=np.int64))]) for x in chunk_maps(rows.column("at").to_numpy(), blank, number, begins)]
+        first = pa.array(begins)
+        yield pa.RecordBatch.from_arrays([rows.column("file").take(first), rows.column("chunk").take(first), pa.array(sizes, pa.int64()), pa.array(number[begins], pa.int64()), *maps], schema=_MAPS_SCHEMA)
 
 
 def _enter(now: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int], list[tuple]]:
@@ -135,48 +183,118 @@ def _enter(now: tuple[int, int, int], row: tuple) -> tuple[tuple[int, int, int],
     return (due, block, declared), out
 
 
-def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of chunks, each read from the state in which it is entered; that state is the first row of a chunk."""
-    file, due, block, declared, left, waits = None, LOST, -1, -1, 0, False
-    for batch in batches:
-        out = []
-        for file, entered, at, raw, *state in zip(*(batch.column(c).to_pylist() for c in ("file", "entered", "at", "raw", "due", "block", "declared"))):
-            if entered:
-                due, block, declared = state
-                left = max(due, 0)  # rows of the open block that are still due
-                waits = due == COUNT
-                continue
-            if due == LOST:
-                continue
-            text = raw or ""
-            if waits:
-                count, waits = whole_number(text), False
-                declared = _long(count)
-                error = "count" if count is None else "negative" if count < 0 else None
-                out.append((file, at, "count", block, declared, None, None, None, error))
-                if error:
-                    due = LOST
-                left = max(declared, 1)
-            elif left:
-                fields = text.split()
-                if declared == 0:
-                    out.append((file, at, "placeholder", block, declared, None, None, None, None if fields == ["0"] * len(FIELDS) else "placeholder"))
-                else:
-                    values = [whole_number(x) for x in fields[: len(FIELDS)]]
-                    values = [x if x is None or -(1 << 63) <= x < 1 << 63 else None for x in values]
-                    error = "fields" if len(fields) < len(FIELDS) else "integer" if None in values else None
-                    out.append((file, at, "box", block, declared, declared - left + 1, None, values, error))
-                left -= 1
-            elif name := _name(text):
-                block, declared, waits, safe = at, -1, True, safe_name(name)
-                out.append((file, at, "name", block, None, None, safe or name, None, None if safe else "name"))
-        yield _made_of(out, _LABELLED_SCHEMA)
-
-
-def block_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def _spans(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of spans, which span each is of, and its place there."""
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+    return first[of] + place, of, place
+
+
+def _boxes(text: pa.Array, full: bool) -> tuple[np.ndarray, pa.Array]:
+    """The errors of boxes, and their first ten fields as numbers (not ``full``: nulls)."""
+    plain = _where(text, _NUMBERS)
+    error, slow = np.full(len(text), None, dtype=object), []
+    many = pc.count_substring(text, " ").to_numpy(zero_copy_only=False)
+    error[plain & (many < len(FIELDS) - 1)] = "fields"
+    odd = np.flatnonzero(~plain)
+    for i, fields in zip(odd.tolist(), (x.split() for x in text.take(pa.array(odd)).to_pylist())):
+        values = [whole_number(x) for x in fields[: len(FIELDS)]]
+        values = [x if x is None or -(1 << 63) <= x < 1 << 63 else None for x in values]
+        error[i] = "fields" if len(fields) < len(FIELDS) else "integer" if None in values else None
+        slow.append(values)
+    if not full:
+        return error, pa.nulls(len(text), pa.list_(pa.int64()))
+    cut = pc.split_pattern(text.filter(pa.array(plain)), " ")
+    fast = pa.ListArray.from_arrays(cut.offsets, cut.values.cast(pa.int64()))
+    place = np.empty(len(text), dtype=np.int64)
+    place[plain], place[odd] = np.arange(len(text) - len(odd)), np.arange(len(odd)) + len(text) - len(odd)
+    return error, pa.concat_arrays([fast, pa.array(slow, pa.list_(pa.int64()))]).take(pa.array(place))
+
+
+def _labelled(rows: pa.RecordBatch, heads: np.ndarray, full: bool) -> pa.RecordBatch:
+    """The lines of chunks, each read from the state in which it is entered, which is the row at a chunk's head."""
+    due, block, declared = (rows.column(c).take(pa.array(heads)).to_numpy() for c in ("due", "block", "declared"))
+    lines = rows.filter(pc.invert(rows.column("entered")))
+    sizes = np.diff(np.append(heads, rows.num_rows)) - 1
+    begins = np.cumsum(sizes) - sizes
+    ends = begins + sizes
+    at, text = lines.column("at").to_numpy(), lines.column("raw").fill_null("")
+    blank, number, none = _read(text)
+    slot, count, to, _ = _steps(blank, number, begins)
+
+    # Of the block that is open where a chunk begins: its count, then its rows.
+    waits = np.flatnonzero((due == COUNT) & (sizes > 0))
+    open_first, open_n = begins.copy(), np.maximum(due, 0)
+    declared = declared.copy()
+    declared[waits] = number[begins[waits]]
+    open_first[waits] += 1
+    open_n[waits] = np.where(declared[waits] < 0, 0, np.maximum(declared[waits], 1))
+    left = open_n.copy()
+    lost = (due == LOST) | ((due == COUNT) & (declared < 0))
+    start = np.where(lost, ends, np.minimum(open_first + open_n, ends))
+    open_n = np.minimum(open_n, ends - open_first)
+
+    # The names that are met from there.
+    found, leads, named = [], to.tolist(), np.zeros(len(to), dtype=bool)
+    named[slot[~blank]] = True
+    named = named.tolist()
+    chunks = np.arange(len(begins))
+    for place, end in zip((start + chunks).tolist(), (ends + chunks).tolist()):
+        while place < end:
+            if named[place]:
+                found.append(place)
+            if (step := leads[place]) == place:
+                break
+            place = step
+    line = np.full(len(to), -1)
+    line[slot] = np.arange(len(slot))
+    names = line[np.array(found, dtype=np.int64)]
+    end = np.repeat(ends, sizes)[names]
+    counts = names[names + 1 < end] + 1
+    n = np.where(count[names] < 0, 0, np.minimum(np.maximum(count[names], 1), np.maximum(end - names - 2, 0)))
+
+    kind, of, said, box = (np.zeros(len(text), dtype=np.int64) for _ in range(4))
+    kind[names], of[names] = 1, at[names]
+    kind[counts], of[counts], said[counts] = 2, at[counts - 1], number[counts]
+    kind[begins[waits]], of[begins[waits]], said[begins[waits]] = 2, block[waits], declared[waits]
+    for first, size, own, total, before in ((open_first, open_n, block, declared, declared - left), (names + 2, n, at[names], count[names], np.zeros(len(names), dtype=np.int64))):
+        mine, span, place = _spans(first, size)
+        kind[mine], of[mine], said[mine], box[mine] = np.where(total[span] == 0, 3, 4), own[span], total[span], before[span] + place + 1
+
+    error, name, boxes = np.full(len(text), None, dtype=object), np.full(len(text), None, dtype=object), np.flatnonzero(kind == 4)
+    for i, raw in zip(names.tolist(), text.take(pa.array(names)).to_pylist()):
+        safe = safe_name(plain := _name(raw))
+        name[i], error[i] = safe or plain, None if safe else "name"
+    bad = np.flatnonzero((kind == 2) & (number < 0))
+    error[bad] = np.where(none[bad], "count", "negative")
+    zeros = np.flatnonzero(kind == 3)
+    error[zeros] = [None if x.split() == ["0"] * len(FIELDS) else "placeholder" for x in text.take(pa.array(zeros)).to_pylist()]
+    error[boxes], values = _boxes(text.take(pa.array(boxes)), full)
+
+    told = kind > 0
+    if not full:  # of a block in a chunk: its name, its last line and its errors
+        chunk = np.repeat(chunks, sizes)
+        at_all = np.flatnonzero(told)
+        after = np.concatenate(((of[at_all[1:]] != of[at_all[:-1]]) | (chunk[at_all[1:]] != chunk[at_all[:-1]]), [True]))[: len(at_all)]
+        ends_here = np.zeros(len(text), dtype=bool)
+        ends_here[at_all[after]] = True
+        told &= ends_here | (kind == 1) | (error != None)  # noqa: E711
+    keep = np.flatnonzero(told)
+    of_box = np.zeros(len(text), dtype=np.int64)
+    of_box[boxes] = np.arange(len(boxes))
+    k = kind[keep]
+    kinds = pa.array(["name", "count", "placeholder", "box"]).take(pa.array(k - 1))
+    return pa.RecordBatch.from_arrays(
+        [lines.column("file").take(pa.array(keep)), _numbers(at[keep], np.zeros(len(keep), dtype=bool)), kinds, _numbers(of[keep], np.zeros(len(keep), dtype=bool)), _numbers(said[keep], k == 1), _numbers(box[keep], k != 4), pa.array(name[keep], pa.string()), values.take(pa.array(of_box[keep], mask=k != 4)), pa.array(error[keep], pa.string())],
+        schema=_LABELLED_SCHEMA,
+    )
+
+
+def block_lines(lines: DataFrame, chunk: int = CHUNK, full: bool = True) -> DataFrame:
     """Every line of block files with what it is: a name, a count, a placeholder or a box of its block, and its error.
 
-    ``lines`` has file, at and raw; ``at`` ascends in a file. A block is known by where its name stands.
+    ``lines`` has file, at and raw; ``at`` ascends in a file. A block is known by where its name stands. Not ``full``, what
+    :func:`block_errors` has no need of is left out: lines without an error that are neither names nor a block's last in a chunk, and fields.
     """
     dealt = lines.select("file", F.col("at").cast("long").alias("at"), "raw", F.floor(F.col("at") / chunk).cast("long").alias("chunk"))
     maps = dealt.repartition("file", "chunk").sortWithinPartitions("file", "chunk", "at").mapInArrow(_maps, MAPS)
@@ -184,7 +302,12 @@ def block_lines(lines: DataFrame, chunk: int = CHUNK) -> DataFrame:
     none = F.lit(None).cast("long")
     both = entered.select("file", "chunk", F.lit(True).alias("entered"), none.alias("at"), F.lit(None).cast("string").alias("raw"), "due", "block", "declared")
     both = both.unionByName(dealt.select("file", "chunk", F.lit(False).alias("entered"), "at", "raw", *(none.alias(c) for c in ("due", "block", "declared"))))
-    return both.repartition("file", "chunk").sortWithinPartitions("file", "chunk", F.desc("entered"), "at").mapInArrow(_label, LABELLED)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, heads in _together(batches, lambda x: np.flatnonzero(x.column("entered").to_numpy(zero_copy_only=False))):
+            yield _labelled(rows, heads, full)
+
+    return both.repartition("file", "chunk").sortWithinPartitions("file", "chunk", F.desc("entered"), "at").mapInArrow(label, LABELLED)
 
 
 def _in_block() -> WindowSpec:
@@ -207,8 +330,9 @@ def block_errors(labelled: DataFrame) -> DataFrame:
     wrong row of zeros, ``truncated`` fewer boxes than declared, ``fields`` and ``integer`` a box of less than ten fields or with
     a field that is no whole number.
     """
-    rows, declared = F.count_if(F.col("kind").isin("box", "placeholder")), F.max(F.when(F.col("kind") == "count", F.col("declared")))
-    seen = labelled.select("file", "block", "at", "kind", "error", F.first("name").over(_in_block()).alias("filename"), rows.over(_in_block()).alias("rows"), declared.over(_in_block()).alias("declared"), F.lead("at").over(Window.partitionBy("file", "block").orderBy("at")).alias("next"))
+    # The last row of a block tells how many it has, and each how many were declared.
+    rows, declared = F.coalesce(F.max(F.when(F.col("kind") == "placeholder", 1).otherwise(F.col("box"))).over(_in_block()), F.lit(0)), F.max("declared")
+    seen = labelled.select("file", "block", "at", "kind", "error", F.first("name").over(_in_block()).alias("filename"), rows.alias("rows"), declared.over(_in_block()).alias("declared"), F.lead("at").over(Window.partitionBy("file", "block").orderBy("at")).alias("next"))
     short = F.when(F.col("declared").isNull(), "no_count").when((F.col("declared") == 0) & (F.col("rows") == 0), "no_placeholder").when(F.col("rows") < F.col("declared"), "truncated")
     # A name goes on without a code too, as it may be a duplicate.
     codes = F.array_compact(F.array("error", F.when(F.col("next").isNull(), short), F.when(F.col("kind") == "name", "")))
